@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 WINDOW, END = 4096, 2
 #: Tokens of document tails that a task gathers before it packs them.
 POOL_TOKENS = 1 << 22
-#: Words whose ids a task remembers.
-CACHE_WORDS = 400_000
+#: Words, and pieces of words, whose ids a Python worker remembers from task to task.
+CACHE_WORDS = CACHE_PIECES = 700_000
 
 
 def best_fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -70,41 +70,80 @@ def minimum_slack_bins(lengths: list[int], window: int = WINDOW) -> list[list[in
     return bins
 
 
-class Encoder:
-    """Ids of whole texts, word by word with a memory.
+#: ASCII signs, of which a word's end makes one piece of its own.
+_SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def _byte_letters() -> dict[int, int]:
+    """Byte-level vocabularies write a printable byte as itself and the others,
+    in order, as the characters from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: 256 + k for k, b in enumerate(rest)}
+
+
+class Encoder(dict):
+    """Ids of whole texts, word by word with a memory (the dict itself).
 
     The tokenizer never merges across ASCII white space, so a text's ids are
-    the ids of its words in turn. ASCII texts are lower-cased first, as the
-    tokenizer would do, unless they may hold the name of a special token.
+    the ids of its words in turn. It also cuts a word of letters from the signs
+    after it, so the two are looked up apart. Any other word goes through the
+    whole tokenizer.
     """
 
     def __init__(self, path: str, end: int = END):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.end = np.array([end], "<u4").tobytes()
-        self.known: dict[bytes, bytes] = {}
-
-    def _learn(self, words: list[bytes]) -> None:
-        for lo in range(0, len(words), 2_000):
-            part = [w.decode() for w in words[lo : lo + 2_000]]
-            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            starts = np.cumsum([0, *(len(w) + 1 for w in part)])
-            ids = np.array(found.ids, "<u4")
-            first = np.fromiter((a for a, _ in found.offsets), np.int64, len(ids))
-            cut = np.searchsorted(first, starts)
-            for k, w in enumerate(words[lo : lo + 2_000]):
-                self.known[w] = ids[cut[k] : cut[k + 1]].tobytes()
-
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        split = [(t.lower() if t.isascii() and b"<|" not in t else t).split() for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        missing = {w for words in split for w in words if w not in self.known}
-        if missing:
-            self._learn(sorted(missing))
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) + self.end for words in split]
+        self.pieces: dict[str, bytes] = {}
+        self.letters = _byte_letters()
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            plain = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+            ids = np.array([t.id for t in self.model.tokenize(plain)], "<u4").tobytes()
+            self.pieces[piece] = ids
+        return ids
+
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode().lower()
+        core = text.rstrip(_SIGNS)
+        # Latin letters below U+0250 are composed already and lower-case one by one.
+        if core.isalpha() and max(core) < "\u0250":
+            ids = self._piece(core)
+            if len(core) < len(text):
+                ids += self._piece(text[len(core) :])
+        else:
+            ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        self[word] = ids
+        return ids
+
+    def _words(self, text: bytes) -> list[bytes]:
+        # A-Z may become a-z beforehand, unless that could compose with a mark
+        # (their UTF-8 begins with CC or CD) or make the name of a special token.
+        if b"<|" in text or b"\xcc" in text or b"\xcd" in text:
+            return text.split()
+        return text.lower().split()
+
+    def __call__(self, text: bytes) -> bytes:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        if len(self.pieces) > CACHE_PIECES:
+            self.pieces.clear()
+        return b"".join([self[w] for w in self._words(text)]) + self.end
+
+
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
+
+
+def _encoder(path: str, end: int) -> Encoder:
+    if (path, end) not in _ENCODERS:
+        _ENCODERS[path, end] = Encoder(path, end)
+    return _ENCODERS[path, end]
 
 
 _FIELDS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -190,13 +229,12 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = Encoder(tokenizer, end), _Packer(TaskContext.get().partitionId(), window)
+        encode, packer = _encoder(tokenizer, end), _Packer(TaskContext.get().partitionId(), window)
         for batch in batches:
             ids = batch.column(0).to_pylist()
             texts = [t or b"" for t in batch.column(1).to_pylist()]
-            for lo in range(0, len(texts), 256):
-                for doc, found in zip(ids[lo : lo + 256], encode(texts[lo : lo + 256]), strict=True):
-                    packer.add(doc, found)
+            for doc, text in zip(ids, texts, strict=True):
+                packer.add(doc, encode(text))
                 if packer.pooled >= POOL_TOKENS:
                     packer.pack(False)
                 if len(packer.rows) >= 10_000:
