@@ -1,19 +1,1365 @@
-"""Registered queries over the driver's tables."""
+"""Registered queries over the driver's tables, each with the SQL that must give the same rows where SQL can."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import families, lines
+from ..functions import text as T
+from ..functions.canonical import canonical_json, case_key, digits_mod3, stable_hash, to_json
+from ..operators import audit, dataset, dedup, findings, gates, ledger, matching, metrics, reviews, rules, sampling, usage
+from ..sources import code, jsonl, reports
+from . import views as V
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
 
+def _query(f: Query) -> Query:
+    _QUERIES[f.__name__] = f
+    return f
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _sql(name: str, views: tuple[str, ...], body: str, more: str = "") -> None:
+    """Register SQL: the views, further ``more`` clauses, and the query's body."""
+    head = V.sql_of(*views) if views else ""
+    _SQL[name] = head + ((", " if head else "WITH ") + more if more else "") + "\n" + body
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact-duplicate clusters of findings."""
+    return a3_clusters(spark, sf_dir)
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- findings ---------------------------------------------------------------
+
+#: What the exact key compares, in SQL over the findings view.
+_KEY = "repo, commit_sha, lower(scanner) AS scanner, version, lower(rule_id) AS rule_n, ruleset, file, start_line, end_line, start_col, end_col"
+_KEYS = "repo, commit_sha, scanner, version, rule_n, ruleset, file, start_line, end_line, start_col, end_col"
+_ID = "'finding-' || sha256(repo || '|' || commit_sha || '|' || scanner || '|' || lower(rule_id) || '|' || file || '|' || start_line || '|' || end_line || '|' || coalesce(CAST(start_col AS VARCHAR), '-'))"
+
+
+@_query
+def a1_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of findings."""
+    f = V.findings(spark, sf_dir)
+    f = f.withColumn("location", F.col("location").withField("file", T.normalize_path(F.col("location.file"))))
+    return findings.statistics(f)
+
+
+_sql("a1_statistics", ("findings",), """
+SELECT count(*) AS findings, count(DISTINCT rule_id) AS unique_rules, count(DISTINCT file) AS unique_files, CAST(count(trace_file) AS BIGINT) AS trace_nodes,
+  CAST(max(CASE WHEN trace_file IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS max_trace_nodes, count(trace_file) AS with_trace FROM findings""")
+
+
+@_query
+def a1_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings by scanner, severity and category."""
+    return findings.counts(V.findings(spark, sf_dir))
+
+
+_sql("a1_counts", ("findings",), """
+SELECT 'scanner' AS dimension, scanner AS value, count(*) AS n FROM findings GROUP BY 2
+UNION ALL SELECT 'severity', coalesce(severity, 'None'), count(*) FROM findings GROUP BY 2
+UNION ALL SELECT 'category', coalesce(category, 'None'), count(*) FROM findings GROUP BY 2""")
+
+
+@_query
+def p1_category_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of two categories, whatever their case."""
+    return findings.of_categories(V.findings(spark, sf_dir), "SECURITY", "command-injection").select(
+        F.col("provenance.raw_result_ref").alias("ref"), F.col("rule.category").alias("category")
+    )
+
+
+_sql("p1_category_filter", ("findings",), "SELECT ref, category FROM findings WHERE lower(category) IN ('security', 'command-injection')")
+
+
+@_query
+def x7_x8_normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths, urls and commits in their normal form, whatever their spelling."""
+    f = findings.keyed(V.findings(spark, sf_dir))
+    return f.select(F.col("provenance.raw_result_ref").alias("ref"), "repo_n", "commit_n", "path_n")
+
+
+_sql("x7_x8_normal_forms", ("findings",), "SELECT ref, repo AS repo_n, commit_sha AS commit_n, file AS path_n FROM findings")
+
+
+@_query
+def a2_exact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations by exact identity."""
+    g = dedup.exact_groups(V.findings(spark, sf_dir))
+    return g.select(
+        F.col("repo_n").alias("repo"), F.col("commit_n").alias("commit_sha"), F.col("scanner_n").alias("scanner"), "rule_n", F.col("path_n").alias("file"),
+        "start_line", "end_line", "start_col", "end_col", "members", F.element_at("finding_ids", 1).alias("least_id"),
+    )
+
+
+_sql("a2_exact_groups", ("findings",), f"""
+SELECT repo, commit_sha, scanner, rule_n, file, start_line, end_line, start_col, end_col, count(*) AS members, min(id) AS least_id
+FROM (SELECT {_KEY}, {_ID} AS id FROM findings) GROUP BY {_KEYS}""")
+
+
+@_query
+def a3_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of exact duplicates, one row each."""
+    f = dedup.canonical(V.findings(spark, sf_dir), cross_tool=False)
+    s = dedup.summaries(f)
+    return s.select(
+        "repo_url", "commit", "file", "start_line", "end_line", "member_count", "cluster_type", F.array_join("finding_ids", ",").alias("finding_ids"),
+        F.array_join("scanners", ",").alias("scanners"), F.array_join("rule_ids", ",").alias("rule_ids"),
+        F.array_join(F.transform("observed_by", lambda o: F.concat_ws(":", o["scanner"], o["rule_id"])), ",").alias("observed_by"),
+    )
+
+
+_sql("a3_clusters", ("findings",), f"""
+SELECT repo AS repo_url, commit_sha AS commit, file, start_line, end_line, count(*) AS member_count,
+  CASE WHEN count(*) > 1 THEN 'EXACT_DUPLICATE' ELSE 'SINGLETON' END AS cluster_type, string_agg(DISTINCT id, ',' ORDER BY id) AS finding_ids,
+  scanner AS scanners, string_agg(DISTINCT rule_id, ',' ORDER BY rule_id) AS rule_ids,
+  string_agg(DISTINCT scanner || ':' || rule_id, ',' ORDER BY scanner || ':' || rule_id) AS observed_by
+FROM (SELECT {_KEY}, rule_id, {_ID} AS id FROM findings) GROUP BY {_KEYS}""")
+
+
+@_query
+def a5_dedup_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of exact deduplication."""
+    return dedup.statistics(dedup.canonical(V.findings(spark, sf_dir), cross_tool=False))
+
+
+_sql("a5_dedup_statistics", ("findings",), f"""
+SELECT CAST(sum(n) AS BIGINT) AS input_findings, CAST(sum(n) AS BIGINT) AS output_findings, count(*) AS exact_groups, CAST(sum(n) - count(*) AS BIGINT) AS exact_duplicate_observations,
+  count(*) AS canonical_clusters, CAST(0 AS BIGINT) AS cross_tool_merges, CAST(0 AS BIGINT) AS cross_tool_clusters,
+  count(*) FILTER (n > 1) AS exact_duplicate_clusters, count(*) FILTER (n = 1) AS singleton_clusters, CAST(sum(n) AS BIGINT) AS findings_with_canonical_id
+FROM (SELECT count(*) AS n FROM (SELECT {_KEY} FROM findings) GROUP BY {_KEYS})""")
+
+
+@_query
+def j6_cross_tool_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of groups of different scanners that describe one place, by file."""
+    p = dedup.cross_tool_pairs(dedup.exact_groups(V.findings(spark, sf_dir)))
+    cols = lambda s: [F.col(f"k{s}.start_line").alias(f"start_{s}"), F.col(f"k{s}.scanner_n").alias(f"scanner_{s}"), F.col(f"k{s}.rule_n").alias(f"rule_{s}")]
+    return p.select(F.col("repo_n").alias("repo"), F.col("path_n").alias("file"), *cols("a"), *cols("b"))
+
+
+_sql("j6_cross_tool_pairs", ("findings",), """
+SELECT repo, file, start_a, scanner_a, rule_a, start_b, scanner_b, rule_b FROM (
+  SELECT a.repo, a.file, a.start_line AS start_a, a.scanner AS scanner_a, a.rule_n AS rule_a, b.start_line AS start_b, b.scanner AS scanner_b, b.rule_n AS rule_b
+  FROM g a JOIN g b ON a.repo = b.repo AND a.commit_sha = b.commit_sha AND a.file = b.file AND a.scanner <> b.scanner
+  WHERE greatest(0, b.start_line - a.end_line, a.start_line - b.end_line) <= 5
+    AND (a.start_line, a.end_line, coalesce(a.start_col, -1), coalesce(a.end_col, -1), a.scanner, a.rule_n) < (b.start_line, b.end_line, coalesce(b.start_col, -1), coalesce(b.end_col, -1), b.scanner, b.rule_n)
+    AND NOT coalesce(a.start_line = a.end_line AND b.start_line = b.end_line AND a.start_line = b.start_line AND (a.end_col < b.start_col OR b.end_col < a.start_col), false)
+    AND len(list_filter(a.sides, lambda x: len(list_filter(b.sides, lambda y:
+      (x.cwe IS NOT NULL AND y.cwe IS NOT NULL AND x.cwe <> y.cwe) OR (x.snip IS NOT NULL AND y.snip IS NOT NULL AND x.snip <> y.snip)
+      OR NOT (a.rule_n = b.rule_n OR coalesce(x.cwe = y.cwe, false) OR coalesce(x.ev = y.ev, false) OR list_has_any(x.cats, y.cats)))) > 0)) = 0
+)""", f"""g AS (
+  SELECT {_KEYS}, list(DISTINCT {{'cwe': cwe_no, 'snip': snip, 'ev': ev, 'cats': cats}}) AS sides FROM (
+    SELECT {_KEY}, cwe_no, trim(regexp_replace(snippet, '\\s+', ' ', 'g')) AS snip,
+      coalesce('s' || trim(regexp_replace(snippet, '\\s+', ' ', 'g')), 'f' || CASE WHEN lower(fingerprint) <> 'requires login' THEN lower(fingerprint) END) AS ev,
+      coalesce(list_filter(list_transform(regexp_split_to_array(lower(category), '[,;|]'), lambda c: trim(c)), lambda c: c <> ''), CAST([] AS VARCHAR[])) AS cats
+    FROM findings) GROUP BY {_KEYS})""")
+
+
+@_query
+def c1_canonical_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters over all scanners, merged completely linked."""
+    s = dedup.summaries(dedup.canonical(V.findings(spark, sf_dir)))
+    return s.select("canonical_finding_id", "cluster_type", "repo_url", "commit", "file", "start_line", "end_line", "member_count", F.array_join("scanners", ",").alias("scanners"))
+
+
+@_query
+def c1_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of clustering over all scanners."""
+    return dedup.statistics(dedup.canonical(V.findings(spark, sf_dir)))
+
+
+@_query
+def v1_v2_finding_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Malformed findings and ids with two identities: none."""
+    return findings.violations(V.findings(spark, sf_dir))
+
+
+_sql("v1_v2_finding_gate", (), "SELECT 'x' AS rule_id, 'x' AS key, 'x' AS detail WHERE 1 = 0")
+
+
+@_query
+def w2_latest_observation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each finding id the last observation."""
+    f = V.findings(spark, sf_dir).select("finding_id", F.col("provenance.raw_result_ref").alias("ref"))
+    return findings.latest_by(f, ["finding_id"], "ref")
+
+
+_sql("w2_latest_observation", ("findings",), f"SELECT id AS finding_id, max(ref) AS ref FROM (SELECT {_ID} AS id, ref FROM findings) GROUP BY 1")
+
+
+@_query
+def j8_second_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings with the CWEs, snippets and traces that another report of the same places adds."""
+    f = V.findings(spark, sf_dir)
+    r = lambda scanner: f.filter(F.col("scanner.name") == scanner).withColumn("location", F.col("location").withField("file", T.normalize_path(F.col("location.file"))))
+    j = findings.with_second_report(r("opengrep"), r("semgrep"))
+    return j.select(
+        F.col("provenance.raw_result_ref").alias("ref"), F.array_join("rule.cwe", ",").alias("cwe"), F.col("rule.category").alias("category"), "snippet", "fingerprint",
+        F.array_join("provenance.evidence_refs", ",").alias("refs"), F.get("dataflow_trace", F.lit(0))["line"].alias("first_line"),
+    )
+
+
+_sql("j8_second_report", ("findings",), """
+SELECT f.ref, coalesce(array_to_string(list_sort(list_distinct(list_filter(['CWE-' || f.cwe_no, 'CWE-' || o.cwe_no], lambda x: x IS NOT NULL))), ','), '') AS cwe,
+  coalesce(f.category, o.category) AS category, coalesce(f.snippet, o.snippet) AS snippet, coalesce(f.fingerprint, o.fingerprint) AS fingerprint,
+  CASE WHEN o.trace_file IS NOT NULL THEN least(f.ref, o.ref) || ',' || greatest(f.ref, o.ref) ELSE f.ref END AS refs,
+  coalesce(CASE WHEN o.trace_file IS NOT NULL THEN o.at END, CASE WHEN f.trace_file IS NOT NULL THEN f.at END) AS first_line
+FROM s f LEFT JOIN p ON p.ref = f.ref AND p.n = 1 LEFT JOIN s o ON o.ref = p.other WHERE f.scanner = 'opengrep'""", """s AS (
+  SELECT *, CASE WHEN trace_line = trace_end THEN '' || trace_line ELSE trace_line || '-' || trace_end END AS at FROM findings),
+p AS (SELECT a.ref, count(*) AS n, min(b.ref) AS other FROM s a JOIN s b ON a.rule_id = b.rule_id AND a.file = b.file AND a.start_line = b.start_line AND a.end_line = b.end_line
+  AND coalesce(a.start_col = b.start_col, true) AND a.message = b.message WHERE a.scanner = 'opengrep' AND b.scanner = 'semgrep' GROUP BY a.ref)""")
+
+
+# --- scalar functions -------------------------------------------------------
+
+
+@_query
+def x11_x12_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line values of several shapes as spans, and their distance from line 20."""
+    k = F.col("l_orderkey")
+    raw = (
+        F.when(k % 7 == 0, (k % 50).cast("string"))
+        .when(k % 7 == 1, F.concat((k % 50).cast("string"), F.lit("-"), (k % 50 + k % 9 - 2).cast("string")))
+        .when(k % 7 == 2, F.concat(F.lit(" 0"), (k % 50).cast("string"), F.lit(" - "), (k % 50 + 1).cast("string"), F.lit(" ")))
+        .when(k % 7 == 3, "x12")
+        .when(k % 7 == 4, "")
+        .otherwise((k % 40 + 1).cast("string"))
+    )
+    rows = _table(spark, sf_dir, "lineitem").select("l_orderkey", raw.alias("line")).distinct().withColumn("s", lines.span(F.col("line")))
+    strict = lines.strict_span(F.col("line")).isNotNull()
+    gap = lines.distance(F.col("s.start"), F.col("s.end"), F.lit(20), F.lit(20))
+    return rows.select("l_orderkey", "line", F.col("s.start").alias("start"), F.col("s.end").alias("end_line"), strict.alias("strict"), F.when(F.col("s").isNotNull(), gap).alias("gap"))
+
+
+_sql("x11_x12_spans", (), """
+SELECT l_orderkey, line, CASE WHEN ok THEN a END AS start, CASE WHEN ok THEN b END AS end_line,
+  coalesce(ok AND regexp_full_match(line, '[1-9][0-9]*(-[1-9][0-9]*)?'), false) AS strict, CASE WHEN ok THEN greatest(0, 20 - b, a - 20) END AS gap
+FROM (SELECT *, coalesce(a >= 1 AND b >= a, false) AS ok FROM (
+  SELECT l_orderkey, line, TRY_CAST(regexp_extract(line, '^\\s*([0-9]+)(?:\\s*-\\s*([0-9]+))?\\s*$', 1) AS INTEGER) AS a,
+    coalesce(TRY_CAST(regexp_extract(line, '^\\s*([0-9]+)\\s*-\\s*([0-9]+)\\s*$', 2) AS INTEGER), TRY_CAST(regexp_extract(line, '^\\s*([0-9]+)(?:\\s*-\\s*([0-9]+))?\\s*$', 1) AS INTEGER)) AS b
+  FROM (SELECT DISTINCT l_orderkey, CASE l_orderkey % 7 WHEN 0 THEN '' || (l_orderkey % 50) WHEN 1 THEN (l_orderkey % 50) || '-' || (l_orderkey % 50 + l_orderkey % 9 - 2)
+    WHEN 2 THEN ' 0' || (l_orderkey % 50) || ' - ' || (l_orderkey % 50 + 1) || ' ' WHEN 3 THEN 'x12' WHEN 4 THEN '' ELSE '' || (l_orderkey % 40 + 1) END AS line FROM lineitem)))""")
+
+
+@_query
+def x14_cwes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CWE ids that texts name in several spellings, sorted as strings."""
+    k = F.col("p_partkey")
+    raw = F.concat(F.lit("cwe-0"), (k % 120).cast("string"), F.lit(" and CWE_"), (k % 7).cast("string"), F.lit(", Cwe/"), (k % 120).cast("string"), F.lit(" scwe "), (k % 3).cast("string"))
+    return _table(spark, sf_dir, "part").select("p_partkey", F.array_join(T.cwes(raw), ",").alias("cwes"))
+
+
+_sql("x14_cwes", (), """
+SELECT p_partkey, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all('cwe-0' || (p_partkey % 120) || ' and CWE_' || (p_partkey % 7) || ', Cwe/' || (p_partkey % 120) || ' scwe ' || (p_partkey % 3),
+  '(?i)CWE[-_/ ]?(\\d+)', 1), lambda x: 'CWE-' || CAST(x AS INTEGER)))), ',') AS cwes FROM part""")
+
+
+@_query
+def x17_x24_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Category tokens and keys, snippet hashes and evidence fingerprints."""
+    f = V.flat(spark, sf_dir, "findings")
+    return f.select(
+        "ref", F.array_join(T.category_tokens(F.col("category")), "|").alias("tokens"), T.category_key(F.col("category")).alias("category_key"),
+        T.snippet_hash(T.usable_snippet(F.col("snippet"))).alias("snippet_hash"), T.evidence_fingerprint(F.col("snippet"), F.col("fingerprint")).alias("evidence"),
+    )
+
+
+_sql("x17_x24_keys", ("findings",), """
+SELECT ref, coalesce(array_to_string(list_filter(list_transform(regexp_split_to_array(lower(category), '[,;|]'), lambda c: trim(c)), lambda c: c <> ''), '|'), '') AS tokens,
+  coalesce(regexp_replace(lower(category), '[^\\p{L}\\p{N}]', '', 'g'), '') AS category_key, sha256(trim(regexp_replace(snippet, '\\s+', ' ', 'g'))) AS snippet_hash,
+  coalesce(sha256(trim(regexp_replace(snippet, '\\s+', ' ', 'g'))), CASE WHEN lower(fingerprint) <> 'requires login' THEN lower(fingerprint) END) AS evidence FROM findings""")
+
+
+def _families_sql(numbers: str, key: str) -> str:
+    tests = []
+    for name, (members, aliases) in families.FAMILIES.items():
+        by_name = " OR ".join(f"contains({key}, '{families.key_of(a)}')" for a in aliases)
+        tests.append(f"CASE WHEN list_has_any({numbers}, [{', '.join(map(str, members))}]) OR {by_name} THEN '{name}' END")
+    return f"list_filter([{', '.join(tests)}], lambda x: x IS NOT NULL)"
+
+
+_ENTRY_CWES = "list_sort(list_distinct(list_transform(regexp_extract_all(coalesce(l1, '') || ' ' || coalesce(l2, ''), '(?i)CWE[-_/ ]?(\\d+)', 1), lambda x: CAST(x AS INTEGER))))"
+_CATEGORY_KEY = "coalesce(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]', '', 'g'), '')"
+
+
+@_query
+def x19_x20_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vulnerability families of the known entries."""
+    e = V.entries(spark, sf_dir)
+    numbers, names = families.of_entry(F.col("vuln_category_l1"), F.col("vuln_category_l2"))
+    return e.select("entry_id", F.array_join(numbers.cast("array<string>"), ",").alias("cwes"), F.array_join(names, ",").alias("families"))
+
+
+_E_FAMILIES = f"list_sort(list_distinct(list_concat({_families_sql('cw', _CATEGORY_KEY.format('l1'))}, {_families_sql('cw', _CATEGORY_KEY.format('l2'))})))"
+_sql("x19_x20_families", ("entries",), f"""
+SELECT entry_id, coalesce(array_to_string(cw, ','), '') AS cwes, coalesce(array_to_string({_E_FAMILIES}, ','), '') AS families FROM (SELECT *, {_ENTRY_CWES} AS cw FROM entries)""")
+
+
+@_query
+def x34_x35_urls_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repository slugs, safe paths and languages by suffix."""
+    f = V.findings(spark, sf_dir)
+    path = F.when(F.col("location.start_line") % 5 == 0, F.concat(F.lit("../"), F.col("location.file"))).when(F.col("location.start_line") % 5 == 1, F.lit("a/.GIT/x.TSX")).otherwise(F.col("location.file"))
+    return f.select(F.col("provenance.raw_result_ref").alias("ref"), T.repo_slug(F.col("repo_url")).alias("slug"), T.is_safe_path(path).alias("safe"), T.language(path).alias("language"))
+
+
+_sql("x34_x35_urls_paths", ("findings",), """
+SELECT ref, replace(substr(repo, 20), '/', '__') AS slug, start_line % 5 NOT IN (0, 1) AS safe, CASE WHEN start_line % 5 = 1 THEN 'typescript' ELSE 'python' END AS language FROM findings""")
+
+
+@_query
+def x36_x37_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without advisory ids, entry names and credentials."""
+    d = _table(spark, sf_dir, "documents")
+    tail = F.concat(F.lit(" see CVE-2024-"), F.lpad((F.col("doc_id") % 10000).cast("string"), 5, "0"), F.lit(" and ENTRY-00012; Authorization: Bearer abc.def"))
+    text = F.concat(F.left(F.regexp_replace("text", "[^a-z ]", ""), F.lit(60)), tail)
+    return d.select("doc_id", T.redact_ids(text).alias("ids"), T.redact_secrets(text).alias("secrets"))
+
+
+_sql("x36_x37_redaction", (), """
+SELECT doc_id, b || ' see [REDACTED] and [REDACTED]; Authorization: Bearer abc.def' AS ids, b || ' see CVE-2024-' || lpad('' || (doc_id % 10000), 5, '0') || ' and ENTRY-00012; Authorization: [REDACTED]' AS secrets
+FROM (SELECT doc_id, left(regexp_replace(text, '[^a-z ]', '', 'g'), 60) AS b FROM documents)""")
+
+
+@_query
+def x38_failure_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stable codes of failure messages."""
+    said = F.when(F.col("event_id") % 4 == 0, "HTTP 429 Too Many Requests").when(F.col("event_id") % 4 == 1, "please Sign in again").when(F.col("event_id") % 4 == 2, "Usage limit; rate limit").otherwise("other")
+    return _table(spark, sf_dir, "events").select("event_id", T.failure_code(said).alias("code"))
+
+
+_sql("x38_failure_codes", (), "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'PROVIDER_RATE_LIMIT' WHEN 1 THEN 'PROVIDER_TOKEN_REVOKED' WHEN 2 THEN 'PROVIDER_USAGE_LIMIT' END AS code FROM events")
+
+
+@_query
+def x41_portable_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths as scanners' reports compare them; leading dots go too."""
+    f = V.findings(spark, sf_dir)
+    path = F.concat(F.lit("./.github/"), F.col("location.file"))
+    return f.select(F.col("provenance.raw_result_ref").alias("ref"), T.portable_path(path).alias("path"))
+
+
+_sql("x41_portable_paths", ("findings",), """
+SELECT ref, 'github/' || CASE file_form WHEN 0 THEN './' || file WHEN 1 THEN replace(file, '/', '//') ELSE file END AS path FROM findings""")
+
+
+@_query
+def x43_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which timestamps name their offset."""
+    ts = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    said = F.when(F.col("event_id") % 4 == 0, F.concat(ts, F.lit("Z"))).when(F.col("event_id") % 4 == 1, ts).when(F.col("event_id") % 4 == 2, F.concat(ts, F.lit("+07:00"))).otherwise("2024-13-01T00:00:00Z")
+    return _table(spark, sf_dir, "events").select("event_id", T.is_zoned_time(said).alias("zoned"))
+
+
+_sql("x43_timestamps", (), "SELECT event_id, event_id % 4 IN (0, 2) AS zoned FROM events")
+
+
+@_query
+def x44_hash_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repositories dealt to three parts by a stable hash."""
+    e = V.entries(spark, sf_dir).select("repo_url").distinct()
+    return e.select("repo_url", digits_mod3(stable_hash("seed", F.col("repo_url"))).alias("part"))
+
+
+_sql("x44_hash_splits", ("entries",), """
+SELECT repo AS repo_url, CAST(list_sum(list_transform(regexp_extract_all(sha256('seed' || chr(0) || repo), '[0-9a-f]'), lambda d: instr('0123456789abcdef', d) - 1)) % 3 AS INTEGER) AS part
+FROM (SELECT DISTINCT repo FROM entries)""")
+
+
+@_query
+def x1_canonical_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical JSON of customers, its hash, and the key of a case."""
+    c = _table(spark, sf_dir, "customer")
+    row = canonical_json(to_json(F.struct("c_name", F.col("c_custkey").alias("key"), F.lit(None).cast("string").alias("none"))))
+    return c.select("c_custkey", row.alias("json"), F.sha2(row, 256).alias("hash"), case_key(F.col("c_name")).alias("case_key"))
+
+
+_sql("x1_canonical_json", (), """
+SELECT c_custkey, j AS json, sha256(j) AS hash, substr(sha256(c_name), 1, 20) AS case_key FROM (SELECT *, '{"c_name":"' || c_name || '","key":' || c_custkey || ',"none":null}' AS j FROM customer)""")
+
+
+# --- matching ---------------------------------------------------------------
+
+_MATCH_SQL = f"""
+fs AS (SELECT *, CASE WHEN cwe_no IS NULL THEN CAST([] AS INTEGER[]) ELSE [CAST(cwe_no AS INTEGER)] END AS fc FROM findings),
+fk AS (SELECT *, {_families_sql('fc', _CATEGORY_KEY.format('category'))} AS ff FROM fs),
+es AS (SELECT *, {_ENTRY_CWES} AS cw FROM entries WHERE verify = 1),
+ek AS (SELECT *, {_E_FAMILIES} AS ef FROM es),
+pairs AS (
+  SELECT f.ref, e.entry_id, e.report_id, greatest(0, e.sink_start - f.end_line, f.start_line - e.sink_end) AS gap,
+    CASE WHEN f.trace_file = e.source_file THEN greatest(0, e.source_line - f.trace_end, f.trace_line - e.source_line) END AS source_gap,
+    list_has_any(f.fc, e.cw) OR list_has_any(f.ff, e.ef) AS agrees
+  FROM fk f JOIN ek e ON f.repo = e.repo AND f.commit_sha = e.commit_sha AND f.file = e.file
+  WHERE greatest(0, e.sink_start - f.end_line, f.start_line - e.sink_end) <= 5),
+tiers AS (SELECT *, CASE WHEN gap = 0 AND coalesce(source_gap = 0, false) THEN 0 WHEN coalesce(source_gap <= 5, false) AND agrees THEN 1 ELSE 2 END AS tier FROM pairs),
+best AS (SELECT *, min(tier) OVER (PARTITION BY ref) AS m FROM tiers)"""
+_TIER = "CASE {} WHEN 0 THEN 'STRICT' WHEN 1 THEN 'STRONG' WHEN 2 THEN 'CANDIDATE' ELSE 'UNMATCHED' END"
+
+
+@_query
+def j1_tier_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best tier of each observation, with the entries that match at it."""
+    m = matching.match_candidates(V.findings(spark, sf_dir), V.entries(spark, sf_dir))
+    ids = F.transform("matches", lambda x: F.concat_ws("|", x["entry_id"], x["report_id"], x["source_supported_by_trace"].cast("string"), x["category_cwe_compatible"].cast("string")))
+    return m.select("ref", "match_tier", F.array_join(ids, ",").alias("matches"))
+
+
+_sql("j1_tier_match", ("findings", "entries"), f"""
+SELECT f.ref, {_TIER.format('m')} AS match_tier, coalesce(ms, '') AS matches FROM findings f LEFT JOIN (
+  SELECT ref, min(m) AS m, string_agg(entry_id || '|' || report_id || '|' || coalesce(source_gap <= 5, false) || '|' || agrees, ',' ORDER BY entry_id, report_id) AS ms
+  FROM best WHERE tier = m GROUP BY ref) b ON b.ref = f.ref""", _MATCH_SQL)
+
+
+@_query
+def w1_tier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations by best tier."""
+    return matching.tier_counts(matching.match_candidates(V.findings(spark, sf_dir), V.entries(spark, sf_dir)))
+
+
+_sql("w1_tier_counts", ("findings", "entries"), f"""
+SELECT t AS match_tier, count(x) AS n FROM (SELECT unnest(['STRICT', 'STRONG', 'CANDIDATE', 'UNMATCHED']) AS t) LEFT JOIN (
+  SELECT {_TIER.format('m')} AS x FROM findings f LEFT JOIN (SELECT ref, min(tier) AS m FROM tiers GROUP BY ref) b ON b.ref = f.ref) ON x = t GROUP BY t""", _MATCH_SQL)
+
+
+@_query
+def a6_canonical_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best tiers and distinct matches of findings with one id."""
+    m = matching.canonical_matches(matching.match_candidates(V.findings(spark, sf_dir), V.entries(spark, sf_dir)))
+    ids = F.array_distinct(F.transform("matches", lambda x: x["entry_id"]))
+    return m.select("canonical_finding_id", "match_tier", F.size("member_finding_ids").alias("members"), F.array_join(ids, ",").alias("entries"))
+
+
+_sql("a6_canonical_matches", ("findings", "entries"), f"""
+SELECT f.id AS canonical_finding_id, {_TIER.format('min(f.m)')} AS match_tier, 1 AS members, coalesce(string_agg(DISTINCT b.entry_id, ',' ORDER BY b.entry_id), '') AS entries
+FROM (SELECT *, min(t) OVER (PARTITION BY id) AS m FROM ids) f LEFT JOIN best b ON b.ref = f.ref AND b.tier = b.m AND f.t = f.m AND b.tier = f.m GROUP BY f.id""",
+     _MATCH_SQL + f", ids AS (SELECT x.ref, {_ID} AS id, coalesce(t.m, 3) AS t FROM findings x LEFT JOIN (SELECT ref, min(tier) AS m FROM tiers GROUP BY ref) t ON t.ref = x.ref)")
+
+
+@_query
+def j5_a11_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries and reports that findings cover."""
+    f, e = V.findings(spark, sf_dir), V.entries(spark, sf_dir)
+    return matching.coverage(e, f, matching.covering(matching.match_candidates(f, e, verified_only=False)))
+
+
+_sql("j5_a11_coverage", ("findings", "entries"), """
+SELECT e.entries, e.reports, m.me AS matched_entries, m.mr AS matched_reports, n.f - m.refs AS unmatched_findings, n.f AS findings, m.me / e.entries AS entry_recall, m.mr / e.reports AS report_recall
+FROM (SELECT count(*) AS entries, count(DISTINCT report_id) AS reports FROM entries) e,
+  (SELECT count(DISTINCT entry_id) AS me, count(DISTINCT report_id) AS mr, count(DISTINCT ref) AS refs FROM best WHERE tier = m AND tier < 2) m, (SELECT count(*) AS f FROM findings) n""",
+     _MATCH_SQL.replace("WHERE verify = 1", ""))
+
+
+@_query
+def j4_two_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings given by two endpoints against the entries."""
+    f = V.findings(spark, sf_dir)
+    node = lambda file, line: F.struct(file.alias("file"), line.alias("line"), F.lit("").alias("code"))
+    f = f.select(
+        F.col("provenance.raw_result_ref").alias("finding_id"), "repo_url", "commit",
+        node(F.col("location.file"), lines.line_text(F.col("location.start_line"), F.col("location.end_line"))).alias("critical_operation"),
+        node(F.get("dataflow_trace", F.lit(0))["file"], F.get("dataflow_trace", F.lit(0))["line"]).alias("entry_point"),
+    )
+    return matching.two_endpoint_matches(f, V.entries(spark, sf_dir), 3)
+
+
+_sql("j4_two_endpoints", ("findings", "entries"), """
+SELECT f.ref AS finding_id, e.entry_id, e.report_id FROM findings f JOIN entries e ON f.repo = e.repo AND f.commit_sha = e.commit_sha AND f.file = e.file AND f.trace_file = e.source_file
+WHERE greatest(0, e.sink_start - f.end_line, f.start_line - e.sink_end) <= 3 AND greatest(0, e.source_line - f.trace_end, f.trace_line - e.source_line) <= 3""")
+
+
+# --- metrics ----------------------------------------------------------------
+
+_COUNTERS = """count(*) FILTER (truth AND v = 'TRUE_POSITIVE') AS tp, count(*) FILTER (NOT truth AND v = 'TRUE_POSITIVE') AS fp,
+  count(*) FILTER (NOT truth AND v = 'FALSE_POSITIVE') AS tn, count(*) FILTER (truth AND v = 'FALSE_POSITIVE') AS fn,
+  count(*) FILTER (truth AND v = 'ABSTAIN') AS abstain_on_true, count(*) FILTER (NOT truth AND v = 'ABSTAIN') AS abstain_on_false,
+  count(*) FILTER (truth AND v IS NULL) AS missing_on_true, count(*) FILTER (NOT truth AND v IS NULL) AS missing_on_false"""
+_RATES = """tp, fp, tn, fn, abstain_on_true, abstain_on_false, missing_on_true, missing_on_false, tp + fp + tn + fn AS decided,
+  tp + fp + tn + fn + abstain_on_true + abstain_on_false + missing_on_true + missing_on_false AS labeled_total,
+  tp / nullif(tp + fp, 0) AS precision, tp / nullif(tp + fn, 0) AS recall,
+  CASE WHEN tp + fp = 0 OR tp + fn = 0 THEN NULL WHEN tp = 0 THEN 0.0::DOUBLE ELSE 2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)) END AS f1,
+  tn / nullif(tn + fp, 0) AS specificity, (tp + tn) / nullif(tp + fp + tn + fn, 0) AS accuracy,
+  tp / nullif(tp + fn + abstain_on_true + missing_on_true, 0) AS tp_retention, tn / nullif(tn + fp + abstain_on_false + missing_on_false, 0) AS fp_removal,
+  (tp + fp + tn + fn) / nullif(tp + fp + tn + fn + abstain_on_true + abstain_on_false + missing_on_true + missing_on_false, 0) AS selective_coverage"""
+_ERRORS = ", fp / nullif(fp + tn, 0) AS false_positive_rate, fn / nullif(fn + tp, 0) AS false_negative_rate"
+_DECIDED = """p AS (SELECT finding_id, verdict, eligible FROM reviews WHERE doc % 11 <> 0),
+d AS (SELECT g.*, p.verdict AS v, g.label IN ('TP_KNOWN', 'TP_NOVEL') AS truth FROM gold g LEFT JOIN p ON p.finding_id = g.finding_id
+  WHERE g.label <> 'UNCERTAIN' AND coalesce(p.eligible, true))"""
+
+
+@_query
+def a7_a8_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts against gold labels."""
+    return metrics.classification(V.gold(spark, sf_dir), V.predictions(spark, sf_dir))
+
+
+_sql("a7_a8_classification", ("gold", "reviews"), f"SELECT {_RATES} FROM (SELECT {_COUNTERS} FROM d)", _DECIDED)
+
+
+@_query
+def j9_label_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands outside the metrics, by kind."""
+    return metrics.label_audit(V.gold(spark, sf_dir), V.predictions(spark, sf_dir))
+
+
+_sql("j9_label_audit", ("gold", "reviews"), """
+SELECT 'excluded_label' AS kind, label AS value, count(*) AS n FROM gold WHERE label = 'UNCERTAIN' GROUP BY 2
+UNION ALL SELECT 'excluded_prediction', '', count(*) FROM p WHERE NOT eligible HAVING count(*) > 0
+UNION ALL SELECT 'excluded_labeled_case', '', count(*) FROM p JOIN k USING (finding_id) WHERE NOT eligible HAVING count(*) > 0
+UNION ALL SELECT 'missing_prediction', '', count(*) FROM k ANTI JOIN p USING (finding_id) HAVING count(*) > 0
+UNION ALL SELECT 'extra_prediction', '', count(*) FROM p ANTI JOIN k USING (finding_id) WHERE eligible HAVING count(*) > 0""",
+     "p AS (SELECT finding_id, eligible FROM reviews WHERE doc % 11 <> 0), k AS (SELECT finding_id FROM gold WHERE label <> 'UNCERTAIN')")
+
+
+@_query
+def a9_machine_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts against machine labels, with error rates and the bounds of the true share."""
+    return metrics.machine_reference(V.machine(spark, sf_dir), V.predictions(spark, sf_dir))
+
+
+_sql("a9_machine_reference", ("gold", "reviews"), f"""
+SELECT {_RATES}{_ERRORS}, records, t AS machine_true_positive, f AS machine_false_positive, u AS machine_uncertain, t / records AS tp_fraction_lower_bound, (t + u) / records AS tp_fraction_upper_bound
+FROM (SELECT {_COUNTERS} FROM d), (SELECT count(*) AS records, count(*) FILTER (label LIKE 'TP%') AS t, count(*) FILTER (label = 'FP_CONFIRMED') AS f, count(*) FILTER (label = 'UNCERTAIN') AS u FROM gold)""", _DECIDED)
+
+
+@_query
+def a10_by_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rates by repository, rule, CWE, language and dataflow."""
+    return metrics.by_dimension(V.machine(spark, sf_dir), V.predictions(spark, sf_dir))
+
+
+_sql("a10_by_dimension", ("gold", "reviews"), f"SELECT dimension, key, {_RATES}{_ERRORS} FROM (SELECT dimension, key, {_COUNTERS} FROM x GROUP BY 1, 2)", _DECIDED + """,
+x AS (SELECT 'repository' AS dimension, repository AS key, truth, v FROM d UNION ALL SELECT 'rule', rule_id, truth, v FROM d UNION ALL SELECT 'language', language, truth, v FROM d
+  UNION ALL SELECT 'dataflow', CAST(has_dataflow AS VARCHAR), truth, v FROM d UNION ALL SELECT 'cwe', cwe_a, truth, v FROM d WHERE cwe_a IS NOT NULL
+  UNION ALL SELECT 'cwe', cwe_b, truth, v FROM d WHERE cwe_b IS NOT NULL UNION ALL SELECT 'cwe', 'UNKNOWN', truth, v FROM d WHERE cwe_a IS NULL AND cwe_b IS NULL)""")
+
+
+@_query
+def a12_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agreement of two reviewers, rounded as sums may differ in their last digit."""
+    a = metrics.agreement(V.reviewer(spark, sf_dir), V.reviewer(spark, sf_dir, True))
+    return a.select("records", "agreements", *[F.round(c, 9).alias(c) for c in ("raw_agreement", "chance_expected_agreement", "cohen_kappa")])
+
+
+_sql("a12_agreement", ("reviews",), """
+SELECT n AS records, a AS agreements, round(a / n, 9) AS raw_agreement, round(e, 9) AS chance_expected_agreement, round((a / n - e) / (1 - e), 9) AS cohen_kappa FROM (
+  SELECT count(*) AS n, count(*) FILTER (verdict = verdict_b) AS a,
+    (count(*) FILTER (verdict = 'TRUE_POSITIVE') * count(*) FILTER (verdict_b = 'TRUE_POSITIVE') + count(*) FILTER (verdict = 'FALSE_POSITIVE') * count(*) FILTER (verdict_b = 'FALSE_POSITIVE')
+     + count(*) FILTER (verdict = 'ABSTAIN') * count(*) FILTER (verdict_b = 'ABSTAIN')) / (count(*) * count(*)) AS e FROM reviews)""")
+
+
+@_query
+def a13_verdict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts by reviewer and by pair."""
+    return metrics.verdict_counts(V.reviewer(spark, sf_dir), V.reviewer(spark, sf_dir, True))
+
+
+_sql("a13_verdict_counts", ("reviews",), """
+SELECT 'reviewer_a' AS side, verdict, count(*) AS n FROM reviews GROUP BY 2 UNION ALL SELECT 'reviewer_b', verdict_b, count(*) FROM reviews GROUP BY 2
+UNION ALL SELECT 'pair', verdict || '|' || verdict_b, count(*) FROM reviews GROUP BY 2""")
+
+
+# --- reviews ----------------------------------------------------------------
+
+_SURE = "verdict = 'FALSE_POSITIVE' AND verdict_b = 'FALSE_POSITIVE' AND confidence = 'HIGH' AND confidence_b = 'HIGH' AND valid AND valid_b"
+_ROUTED = f"""audited AS (
+  SELECT finding_id FROM (SELECT finding_id, row_number() OVER (ORDER BY sha256('audit' || chr(0) || finding_id)) AS r, count(*) OVER () AS n FROM reviews WHERE {_SURE}) WHERE r <= greatest(1, ceil(n * 0.2))),
+routed AS (SELECT *, array_to_string(list_filter([CASE WHEN verdict <> verdict_b THEN 'MODEL_DISAGREEMENT' END, CASE WHEN verdict = 'TRUE_POSITIVE' OR verdict_b = 'TRUE_POSITIVE' THEN 'ANY_TRUE_POSITIVE' END,
+  CASE WHEN verdict = 'ABSTAIN' OR verdict_b = 'ABSTAIN' THEN 'ANY_ABSTAIN' END, CASE WHEN confidence <> 'HIGH' OR confidence_b <> 'HIGH' THEN 'ANY_NON_HIGH_CONFIDENCE' END,
+  CASE WHEN NOT valid THEN 'REVIEWER_A_INVALID_EVIDENCE' END, CASE WHEN NOT valid_b THEN 'REVIEWER_B_INVALID_EVIDENCE' END,
+  CASE WHEN finding_id IN (SELECT finding_id FROM audited) THEN 'DETERMINISTIC_CONSENSUS_FP_AUDIT' END], lambda x: x IS NOT NULL), ',') AS reasons FROM reviews)"""
+
+
+def _reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reviews.reconcile(V.reviewer(spark, sf_dir), V.reviewer(spark, sf_dir, True))
+
+
+def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = V.flat(spark, sf_dir, "reviews")
+    v = F.when(F.col("doc") % 7 == 0, "TRUE_POSITIVE").when(F.col("doc") % 7 == 1, "UNCERTAIN").otherwise("FALSE_POSITIVE")
+    none = F.array().cast(reviews.EVIDENCE)
+    return r.filter("doc % 23 <> 0").select(
+        "finding_id", v.alias("verdict"), F.lit("MEDIUM").alias("confidence"), F.array().cast("array<string>").alias("reason_codes"),
+        F.lit("c").alias("reasoning"), none.alias("evidence"), F.lit(None).cast("string").alias("uncertainty_reason"),
+    )
+
+
+@_query
+def j11_c7_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which findings go to the adjudicator, and why."""
+    return _reconciled(spark, sf_dir).select("finding_id", "routed", F.array_join("route_reasons", ",").alias("route_reasons"))
+
+
+_sql("j11_c7_routing", ("reviews",), "SELECT finding_id, coalesce(reasons, '') <> '' AS routed, coalesce(reasons, '') AS route_reasons FROM routed", _ROUTED)
+
+
+@_query
+def a13_route_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings by route reason."""
+    return reviews.route_counts(_reconciled(spark, sf_dir))
+
+
+_sql("a13_route_counts", ("reviews",), "SELECT reason, count(*) AS n FROM (SELECT unnest(CASE WHEN coalesce(reasons, '') = '' THEN ['NOT_ROUTED'] ELSE string_split(reasons, ',') END) AS reason FROM routed) GROUP BY 1", _ROUTED)
+
+
+@_query
+def c8_machine_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels from decisions and consensus."""
+    la = reviews.labels(_reconciled(spark, sf_dir), _decisions(spark, sf_dir), "2026-01-01T00:00:00Z")
+    return la.select("finding_id", "label", "confidence", F.array_join("reason_codes", ",").alias("reason_codes"), F.size("evidence").alias("evidence"), "reviewer_role", "blind_first")
+
+
+_sql("c8_machine_labels", ("reviews",), """
+SELECT finding_id, CASE WHEN NOT r THEN 'MACHINE_FALSE_POSITIVE' WHEN doc % 23 = 0 THEN NULL WHEN doc % 7 = 0 THEN 'MACHINE_TRUE_POSITIVE' WHEN doc % 7 = 1 THEN 'MACHINE_UNCERTAIN' ELSE 'MACHINE_FALSE_POSITIVE' END AS label,
+  CASE WHEN NOT r THEN 'HIGH' WHEN doc % 23 = 0 THEN NULL ELSE 'MEDIUM' END AS confidence,
+  CASE WHEN r AND doc % 23 = 0 THEN NULL WHEN r THEN '' WHEN doc % 2 = 0 THEN 'CONSTANT_VALUE' ELSE 'CONSTANT_VALUE,SAFE_API_USAGE' END AS reason_codes,
+  CASE WHEN r AND doc % 23 = 0 THEN NULL WHEN r THEN 0 ELSE 1 END AS evidence, CASE WHEN r THEN 'ADJUDICATOR_C' ELSE 'CONSENSUS_A_B' END AS reviewer_role, r AS blind_first
+FROM (SELECT *, coalesce(reasons, '') <> '' AS r FROM routed)""", _ROUTED)
+
+
+@_query
+def a14_audit_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many audited consensus findings were not confirmed."""
+    r = _reconciled(spark, sf_dir)
+    return reviews.audit_outcome(r, reviews.labels(r, _decisions(spark, sf_dir), "2026-01-01T00:00:00Z"))
+
+
+_sql("a14_audit_outcome", ("reviews",), """
+SELECT count(*) AS audited, count(*) FILTER (doc % 23 <> 0 AND doc % 7 < 2) AS not_confirmed, count(*) FILTER (doc % 23 <> 0 AND doc % 7 < 2) / count(*) AS not_confirmed_rate,
+  count(*) FILTER (doc % 23 <> 0 AND doc % 7 < 2) / count(*) > 0.1 AS expand_audit FROM routed WHERE finding_id IN (SELECT finding_id FROM audited)""", _ROUTED)
+
+
+@_query
+def p9_j12_adjudication(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adjudicator's input: opinions in an order that a hash decides."""
+    r = _reconciled(spark, sf_dir)
+    third = _decisions(spark, sf_dir).select("finding_id", "verdict", "confidence")
+    ids = r.select("finding_id")
+    f = V.findings(spark, sf_dir).limit(1).drop("finding_id")  # any finding's shape; each case carries a copy
+    q = reviews.adjudication_input(r, third, ids.crossJoin(F.broadcast(f)))  # one row
+    return q.select("finding_id", F.col("opinions")[0]["reasoning"].alias("first"), F.col("opinions")[1]["reasoning"].alias("second"), F.col("blind_opinion.verdict").alias("third"), F.size("opinions.evidence").alias("opinions"))
+
+
+_sql("p9_j12_adjudication", ("reviews",), """
+SELECT finding_id, CASE WHEN odd THEN 'b' ELSE 'a' END || doc AS first, CASE WHEN odd THEN 'a' ELSE 'b' END || doc AS second,
+  CASE WHEN doc % 7 = 0 THEN 'TRUE_POSITIVE' WHEN doc % 7 = 1 THEN 'UNCERTAIN' ELSE 'FALSE_POSITIVE' END AS third, 2 AS opinions
+FROM (SELECT *, instr('13579bdf', substr(sha256(finding_id), 2, 1)) > 0 AS odd FROM routed WHERE coalesce(reasons, '') <> '' AND doc % 23 <> 0)""", _ROUTED)
+
+
+@_query
+def p5_blind_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings as blind reviewers see them."""
+    b = reviews.for_model(reviews.blind(V.findings(spark, sf_dir)), message=8, mark="..")
+    return b.select(F.col("provenance.raw_result_ref").alias("ref"), F.col("scanner.name").alias("scanner"), "message", F.size("dataflow_trace").alias("nodes"), "omitted_trace_nodes")
+
+
+_sql("p5_blind_projection", ("findings",), """
+SELECT ref, CASE WHEN scanner = 'opengrep' THEN 'other' ELSE scanner END AS scanner, 'messag..' AS message, CASE WHEN trace_file IS NULL THEN 0 ELSE 1 END AS nodes, 0 AS omitted_trace_nodes FROM findings""")
+
+
+@_query
+def j18_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run's verdicts with a retry's in the place of those it repeats, and no work left."""
+    a, b = V.reviewer(spark, sf_dir).select("finding_id", "verdict"), V.reviewer(spark, sf_dir, True).select("finding_id", "verdict").filter("verdict <> 'ABSTAIN'")
+    return reviews.overlay(a, b)
+
+
+_sql("j18_overlay", ("reviews",), "SELECT finding_id, CASE WHEN verdict_b <> 'ABSTAIN' THEN verdict_b ELSE verdict END AS verdict FROM reviews")
+
+
+@_query
+def p19_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases that no success covers yet."""
+    r = V.flat(spark, sf_dir, "reviews")
+    done = r.select("finding_id", F.when(F.col("doc") % 3 == 0, "FAILED").otherwise("SUCCESS").alias("status"))
+    return reviews.pending(r.select("finding_id"), done)
+
+
+_sql("p19_pending", ("reviews",), "SELECT finding_id FROM reviews WHERE doc % 3 = 0")
+
+
+# --- samples and orders -----------------------------------------------------
+
+
+@_query
+def o3_seeded_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of each document in a seeded order."""
+    return sampling.with_position(V.flat(spark, sf_dir, "reviews").select("finding_id"), "seed")
+
+
+_sql("o3_seeded_positions", ("reviews",), "SELECT finding_id, row_number() OVER (ORDER BY sha256('seed' || chr(0) || finding_id)) - 1 AS position FROM reviews")
+
+
+@_query
+def o4_bottom_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first tenth of a seeded order."""
+    return sampling.bottom_share(V.flat(spark, sf_dir, "reviews").select("finding_id"), 0.1, "seed")
+
+
+_sql("o4_bottom_share", ("reviews",), "SELECT finding_id FROM (SELECT finding_id, row_number() OVER (ORDER BY sha256('seed' || chr(0) || finding_id)) AS r, count(*) OVER () AS n FROM reviews) WHERE r <= greatest(1, ceil(n * 0.1))")
+
+
+@_query
+def o5_systematic_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixty documents at equal steps of a seeded order, with their weight."""
+    return sampling.systematic(V.flat(spark, sf_dir, "reviews").select("finding_id"), 60, "seed")
+
+
+_sql("o5_systematic_sample", ("reviews",), """
+SELECT finding_id, n / 60 AS sample_weight FROM (SELECT finding_id, row_number() OVER (ORDER BY sha256('seed' || chr(0) || finding_id)) - 1 AS p, count(*) OVER () AS n FROM reviews)
+WHERE floor((p + 1) * 60 / n) > floor(p * 60 / n)""")
+
+
+# --- ground truth -----------------------------------------------------------
+
+
+@_query
+def a15_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots with their projects, reports and entries."""
+    s = audit.snapshots(V.entries(spark, sf_dir))
+    return s.select("repo_url", "commit", F.array_join("projects", ",").alias("projects"), F.array_join("report_ids", ",").alias("report_ids"), F.array_join("entry_ids", ",").alias("entry_ids"), "num_reports", "num_entries")
+
+
+_sql("a15_snapshots", ("entries",), """
+SELECT repo AS repo_url, commit_sha AS commit, string_agg(DISTINCT project, ',' ORDER BY project) AS projects, string_agg(DISTINCT report_id, ',' ORDER BY report_id) AS report_ids,
+  string_agg(entry_id, ',' ORDER BY entry_id) AS entry_ids, CAST(count(DISTINCT report_id) AS INTEGER) AS num_reports, CAST(count(*) AS INTEGER) AS num_entries FROM entries GROUP BY repo, commit_sha""")
+
+
+@_query
+def a16_benchmark_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of entries and reports."""
+    return audit.statistics(V.entries(spark, sf_dir), V.reports(spark, sf_dir))
+
+
+_REPORTS = "rp AS (SELECT report_id, count(*) AS n, CAST(regexp_extract(report_id, '(\\d+)$', 1) AS BIGINT) AS k FROM entries GROUP BY report_id)"
+_sql("a16_benchmark_statistics", ("entries",), """
+SELECT (SELECT count(*) FROM rp WHERE k % 19 <> 0) AS reports, count(*) AS entries, count(*) FILTER (verify = 1) AS verified_entries, count(*) FILTER (verify = 0) AS unverified_entries,
+  count(DISTINCT repo) AS distinct_repositories, count(DISTINCT project) AS distinct_projects, count(DISTINCT repo || commit_sha) AS distinct_snapshots,
+  count(*) FILTER (sink_start <> sink_end) AS entries_with_line_ranges FROM entries""", _REPORTS)
+
+
+@_query
+def a16_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports by category of their entries."""
+    return audit.by_category(V.entries(spark, sf_dir))
+
+
+_sql("a16_by_category", ("entries",), "SELECT l1 AS vuln_category_l1, count(DISTINCT report_id) AS reports FROM entries GROUP BY 1")
+
+
+@_query
+def a16_by_repository(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries by repository."""
+    return audit.by_repository(V.entries(spark, sf_dir))
+
+
+_sql("a16_by_repository", ("entries",), "SELECT repo AS repo_url, count(*) AS entries FROM entries GROUP BY 1")
+
+
+@_query
+def j16_v8_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with entries and reports."""
+    return audit.violations(V.entries(spark, sf_dir), V.reports(spark, sf_dir))
+
+
+_sql("j16_v8_audit", ("entries",), """
+SELECT 'UNKNOWN_REPORT' AS rule_id, entry_id AS key, report_id AS detail FROM entries JOIN rp USING (report_id) WHERE k % 19 = 0
+UNION ALL SELECT 'REPORT_COUNT', report_id, '' || n FROM rp WHERE k % 19 <> 0 AND k % 17 = 0""", _REPORTS)
+
+
+# --- scan ledger ------------------------------------------------------------
+
+_JOBS = """att AS (SELECT *, row_number() OVER (PARTITION BY repo, commit_sha, scanner ORDER BY event_id) AS attempt FROM attempts),
+jobs AS (SELECT repo AS repo_url, commit_sha AS commit, scanner, count(*) AS attempts, count(*) FILTER (status = 'TIMEOUT') AS timeouts,
+  max_by(status, attempt) AS status, last(error_type ORDER BY attempt) AS error_type FROM att GROUP BY 1, 2, 3),
+js AS (SELECT *, status = 'SUCCESS' OR (status = 'SKIPPED' AND coalesce(error_type = 'NoApplicableRuleConfig', false)) AS done FROM jobs)"""
+_SCANNERS = ["click", "error", "view"]
+
+
+def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.job_states(V.attempts(spark, sf_dir))
+
+
+@_query
+def a22_d3_job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last statuses, timeouts and quarantine of scan jobs."""
+    return _jobs(spark, sf_dir).drop("duration_seconds")
+
+
+_sql("a22_d3_job_states", ("attempts",), "SELECT repo_url, commit, scanner, attempts, timeouts, status, error_type, CASE WHEN NOT done AND timeouts >= 2 THEN 'QUARANTINED' ELSE status END AS state FROM js", _JOBS)
+
+
+@_query
+def d4_orphaned_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Job states when only one scan is still alive."""
+    return ledger.job_states(V.attempts(spark, sf_dir), 3, ["scan-1"]).select("repo_url", "commit", "scanner", "status", "state")
+
+
+_sql("d4_orphaned_attempts", ("attempts",), """
+SELECT repo_url, commit, scanner, CASE WHEN o THEN 'INTERRUPTED' ELSE status END AS status, CASE WHEN NOT done AND timeouts >= 3 THEN 'QUARANTINED' WHEN o THEN 'INTERRUPTED' ELSE status END AS state
+FROM (SELECT js.*, js.status = 'RUNNING' AND l.scan_id <> 'scan-1' AS o FROM js JOIN (SELECT repo, commit_sha, scanner, max_by(scan_id, attempt) AS scan_id FROM att GROUP BY 1, 2, 3) l
+  ON l.repo = js.repo_url AND l.commit_sha = js.commit AND l.scanner = js.scanner)""", _JOBS)
+
+
+@_query
+def o6_job_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which jobs come first."""
+    return ledger.priorities(_jobs(spark, sf_dir))
+
+
+_sql("o6_job_priorities", ("attempts",), """
+SELECT repo_url, commit, scanner, CASE WHEN done THEN 4 WHEN timeouts >= 2 THEN 3 WHEN status IN ('FAILED', 'INTERRUPTED') THEN 1 WHEN status = 'TIMEOUT' THEN 2 WHEN status = 'RUNNING' THEN 3 ELSE 1 END AS priority FROM js""", _JOBS)
+
+
+def _coverage_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = V.attempts(spark, sf_dir)
+    snapshots = a.select("repo_url", "commit").distinct().filter(F.col("commit") > "2")
+    jobs = _jobs(spark, sf_dir).filter(~((F.col("scanner") == "view") & (F.col("commit") < "5")))
+    return ledger.coverage_rows(jobs, snapshots, _SCANNERS)
+
+
+_COVERAGE = _JOBS + """, sn AS (SELECT DISTINCT repo_url, commit FROM js WHERE commit > '2'),
+ex AS (SELECT repo_url, commit, unnest(['click', 'error', 'view']) AS scanner FROM sn),
+cov AS (SELECT coalesce(j.repo_url, ex.repo_url) AS repo_url, coalesce(j.commit, ex.commit) AS commit, coalesce(j.scanner, ex.scanner) AS scanner, j.status, j.error_type,
+  CASE WHEN j.status IS NULL THEN 'MISSING' WHEN j.scanner NOT IN ('click', 'error', 'view') THEN 'IGNORED' WHEN ex.scanner IS NULL THEN 'UNEXPECTED' WHEN done THEN 'OK' ELSE 'BLOCKING' END AS verdict,
+  CASE WHEN timeouts >= 2 THEN 'QUARANTINED_TIMEOUT' ELSE j.status END AS b
+  FROM (SELECT * FROM js WHERE NOT (scanner = 'view' AND commit < '5')) j FULL JOIN ex ON j.repo_url = ex.repo_url AND j.commit = ex.commit AND j.scanner = ex.scanner)"""
+
+
+@_query
+def j14_coverage_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each expected or found job counts."""
+    return _coverage_rows(spark, sf_dir)
+
+
+_sql("j14_coverage_rows", ("attempts",), "SELECT repo_url, commit, scanner, status, error_type, verdict, CASE WHEN verdict = 'BLOCKING' THEN b END AS blocking FROM cov", _COVERAGE)
+
+
+@_query
+def j14_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the scan is complete."""
+    return ledger.coverage(_coverage_rows(spark, sf_dir))
+
+
+_sql("j14_coverage", ("attempts",), """
+SELECT count(*) FILTER (verdict IN ('MISSING', 'OK', 'BLOCKING')) AS jobs_expected, count(*) FILTER (verdict IN ('OK', 'BLOCKING')) AS jobs_accounted, count(*) FILTER (verdict = 'MISSING') AS missing,
+  count(*) FILTER (verdict = 'UNEXPECTED') AS unexpected, count(*) FILTER (verdict = 'IGNORED') AS ignored, count(*) FILTER (verdict = 'BLOCKING') AS blocking,
+  count(*) FILTER (verdict IN ('MISSING', 'UNEXPECTED', 'BLOCKING')) = 0 AS complete FROM cov""", _COVERAGE)
+
+
+@_query
+def a19_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statuses of expected and of blocking jobs."""
+    return ledger.status_counts(_coverage_rows(spark, sf_dir))
+
+
+_sql("a19_status_counts", ("attempts",), """
+SELECT 'status' AS kind, status, count(*) AS n FROM cov WHERE verdict IN ('OK', 'BLOCKING') GROUP BY 2 UNION ALL SELECT 'blocking', b, count(*) FROM cov WHERE verdict = 'BLOCKING' GROUP BY 2""", _COVERAGE)
+
+
+@_query
+def a29_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scan's progress."""
+    return ledger.progress(_jobs(spark, sf_dir), 1000)
+
+
+_sql("a29_progress", ("attempts",), """
+SELECT count(*) AS jobs, count(*) FILTER (done) AS done, count(*) FILTER (NOT done AND timeouts >= 2) AS quarantined, count(*) FILTER (status IN ('FAILED', 'INTERRUPTED') AND timeouts < 2) AS failed,
+  CAST(sum(attempts) AS BIGINT) AS attempts, 100.0::DOUBLE * count(*) FILTER (done) / 1000 AS percent FROM js""", _JOBS)
+
+
+def _reports_of_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw errors and scanned paths of successful jobs, made of their events."""
+    a = V.flat(spark, sf_dir, "attempts")
+    k = F.get_json_object("props", "$.k")
+    kind = F.when(F.col("event_id") % 3 == 0, '["PartialParsing","x"]').otherwise('"Timeout"')
+    error = F.concat(F.lit('{"type":'), kind, F.lit(',"path":"./src\\\\m'), k, F.lit('.py","level":"warn"}'))
+    return a.groupBy(F.col("repo").alias("repo_url"), F.lit("c").alias("commit"), "scanner").agg(
+        F.collect_list(F.when(F.col("event_id") % 5 == 0, error)).alias("errors"), F.collect_list(F.when(F.col("event_id") % 5 != 0, F.concat(F.lit("src/M"), k, F.lit(".py")))).alias("scanned")
+    )
+
+
+_ERRS = """ev AS (SELECT repo AS repo_url, 'c' AS commit, scanner, event_id, 'src/m' || (props::JSON ->> '$.k') || '.py' AS file FROM attempts),
+er AS (SELECT *, CASE WHEN event_id % 3 = 0 THEN 'PartialParsing' ELSE 'Timeout' END AS t FROM ev WHERE event_id % 5 = 0),
+jb AS (SELECT DISTINCT repo_url, scanner, (length(scanner) % 4 = 3) AS failed FROM ev)"""
+
+
+def _error_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    r = _reports_of_jobs(spark, sf_dir)
+    errors = ledger.errors_of(r)
+    scanned = r.select(*ledger.JOB, F.explode("scanned").alias("path"))
+    jobs = r.select(*ledger.JOB, F.when(F.length("scanner") % 4 == 3, "FAILED").otherwise("SUCCESS").alias("status"))
+    return errors, ledger.alternate_engines(errors, scanned, jobs)
+
+
+_ALTERNATES = _ERRS + """, alt AS (SELECT er.repo_url, er.commit, er.scanner, er.event_id, er.file, o.scanner AS other,
+  CASE WHEN j.repo_url IS NULL THEN 'MISSING' WHEN j.failed THEN 'FAILED' WHEN p.k > 0 THEN 'PARTIAL' WHEN p.k = 0 THEN 'FILE_ERROR:Timeout' WHEN s.file IS NOT NULL THEN 'SCANNED_CLEAN' ELSE 'NOT_SCANNED' END AS file_status
+  FROM er JOIN (SELECT DISTINCT scanner FROM jb) o ON o.scanner <> er.scanner LEFT JOIN jb j ON j.repo_url = er.repo_url AND j.scanner = o.scanner
+  LEFT JOIN (SELECT repo_url, scanner, file, count(*) FILTER (t = 'PartialParsing') AS k FROM er GROUP BY 1, 2, 3) p ON p.repo_url = er.repo_url AND p.scanner = o.scanner AND p.file = er.file
+  LEFT JOIN (SELECT DISTINCT repo_url, scanner, file FROM ev WHERE event_id % 5 <> 0) s ON s.repo_url = er.repo_url AND s.scanner = o.scanner AND s.file = er.file WHERE er.t = 'PartialParsing')"""
+
+
+@_query
+def j15_alternate_engines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What other scanners made of partly parsed files."""
+    return _error_rows(spark, sf_dir)[1].drop("error_index", "path")
+
+
+_sql("j15_alternate_engines", ("attempts",), "SELECT repo_url, commit, scanner, file, other, file_status FROM alt", _ALTERNATES)
+
+
+@_query
+def a20_error_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of errors inside reports."""
+    return ledger.error_summary(*_error_rows(spark, sf_dir))
+
+
+_sql("a20_error_summary", ("attempts",), """
+SELECT count(*) AS observations, count(DISTINCT repo_url || scanner) AS jobs_with_errors, count(*) FILTER (t = 'PartialParsing') AS partial_parsing_observations,
+  count(DISTINCT repo_url || scanner || file) FILTER (t = 'PartialParsing') AS partial_parsing_engine_files, count(DISTINCT repo_url || file) FILTER (t = 'PartialParsing') AS partial_parsing_files,
+  (SELECT count(DISTINCT repo_url || file) FROM (SELECT event_id, repo_url, file FROM alt GROUP BY 1, 2, 3 HAVING count(*) FILTER (file_status = 'SCANNED_CLEAN') = 0)) AS unresolved_partial_files FROM er""", _ALTERNATES)
+
+
+@_query
+def a20_error_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors by scanner and type."""
+    return ledger.error_counts(_error_rows(spark, sf_dir)[0])
+
+
+_sql("a20_error_counts", ("attempts",), "SELECT 'scanner' AS dimension, scanner AS value, count(*) AS n FROM er GROUP BY 2 UNION ALL SELECT 'type', t, count(*) FROM er GROUP BY 2", _ERRS)
+
+
+@_query
+def v18_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns on which one scan's attempts differ."""
+    return ledger.provenance_violations(V.attempts(spark, sf_dir), "repo_url", "scan_id")
+
+
+_sql("v18_provenance", ("attempts",), "SELECT 'MIXED_PROVENANCE' AS rule_id, scan_id || ' ' || scanner AS key, 'repo_url=' || count(DISTINCT repo) AS detail FROM attempts GROUP BY scan_id, scanner HAVING count(DISTINCT repo) > 1")
+
+
+# --- usage ------------------------------------------------------------------
+
+
+@_query
+def a23_session_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last cumulative counters of sessions, summed by role."""
+    c = _table(spark, sf_dir, "conversations")
+    events = c.select(
+        "role", F.concat(F.lit("file-"), F.col("conv_id").cast("string")).alias("file"), F.col("turn").cast("int").alias("line"),
+        F.when(F.col("turn") % 4 == 1, F.concat(F.lit("t"), (F.col("conv_id") % 50).cast("string"))).alias("thread_id"),
+        F.create_map(F.lit("tokens"), F.length("text").cast("long"), F.lit("turns"), F.lit(1).cast("long")).alias("usage"),
+    )
+    return usage.totals(usage.by_session(events.filter("line is not null"), ["role"]), ["role"])
+
+
+_sql("a23_session_usage", (), """
+WITH e AS (SELECT role, 'file-' || conv_id AS file, CAST(turn AS INTEGER) AS line, CASE WHEN turn % 4 = 1 THEN 't' || (conv_id % 50) END AS th, length(text) AS n FROM conversations),
+s AS (SELECT role, file, line, n, coalesce(last_value(th IGNORE NULLS) OVER (PARTITION BY role, file ORDER BY line), file) AS session FROM e),
+l AS (SELECT role, session, max_by(n, (file, line)) AS n FROM s GROUP BY 1, 2)
+SELECT role, 'tokens' AS counter, CAST(sum(n) AS BIGINT) AS n FROM l GROUP BY 1 UNION ALL SELECT role, 'turns', count(*) FROM l GROUP BY 1""")
+
+
+@_query
+def x46_usage_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of several providers under common names."""
+    k = F.col("doc_id")
+    raw = F.when(k % 2 == 0, F.create_map(F.lit("prompt_tokens"), k, F.lit("completionTokens"), k, F.lit("totalTokenCount"), k + 2)).otherwise(
+        F.create_map(F.lit("inputTokens"), k + 1, F.lit("output_tokens_details.reasoning_tokens"), k + 3, F.lit("candidatesTokenCount"), -k)
+    )
+    return usage.totals(_table(spark, sf_dir, "documents").select("doc_id", usage.normalized(raw).alias("usage")), ["doc_id"])
+
+
+_sql("x46_usage_names", (), """
+SELECT doc_id, 'input_tokens' AS counter, doc_id + doc_id % 2 AS n FROM documents UNION ALL SELECT doc_id, 'total_tokens', doc_id + 2 FROM documents WHERE doc_id % 2 = 0
+UNION ALL SELECT doc_id, 'reasoning_output_tokens', doc_id + 3 FROM documents WHERE doc_id % 2 = 1""")
+
+
+@_query
+def a25_case_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases by status."""
+    return usage.case_counts(V.flat(spark, sf_dir, "attempts"), 1_000_000)
+
+
+_sql("a25_case_counts", ("attempts",), """
+SELECT count(*) FILTER (status = 'SUCCESS') AS success, count(*) FILTER (status = 'FAILED') AS failed, count(*) FILTER (status = 'INTERRUPTED') AS interrupted, count(*) FILTER (status = 'RUNNING') AS running,
+  count(*) AS started, 1000000 - count(*) AS pending FROM attempts""")
+
+
+@_query
+def v28_event_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations whose turns do not open, close and end."""
+    c = _table(spark, sf_dir, "conversations")
+    kind = F.when(F.col("turn") == 0, "thread.started").when(F.col("role") == "user", "turn.started").otherwise("turn.completed")
+    return usage.event_violations(c.select("conv_id", F.col("turn").alias("line"), kind.alias("type")).dropDuplicates(["conv_id", "line"]), ["conv_id"]).filter("rule_id <> 'OPEN_TURN'")
+
+
+# --- source text ------------------------------------------------------------
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code.lines_of(_table(spark, sf_dir, "documents").filter("text is not null"), ["doc_id"])
+
+
+@_query
+def s20_line_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines 2 to 3 of each document, numbered."""
+    wanted = _table(spark, sf_dir, "documents").select("doc_id", F.lit(2).alias("start"), F.lit(3).alias("end")).distinct()
+    return code.slices(wanted, _lines(spark, sf_dir), ["doc_id"], numbered=True).select("doc_id", "slice")
+
+
+_sql("s20_line_slices", (), """
+WITH d AS (SELECT doc_id, regexp_split_to_array(text, '\\r\\n|\\r|\\n') AS a FROM documents),
+e AS (SELECT doc_id, CASE WHEN a[-1] = '' THEN a[:-2] ELSE a END AS a FROM d)
+SELECT doc_id, CASE WHEN len(a) >= 3 THEN '2: ' || a[2] || chr(10) || '3: ' || a[3] WHEN len(a) = 2 THEN '2: ' || a[2] END AS slice FROM e""")
+
+
+@_query
+def s27_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first forty lines that hold a word."""
+    ls = _lines(spark, sf_dir).withColumnRenamed("doc_id", "file")
+    return code.search(ls, "THE", case_sensitive=False).select("file", "n", "truncated")
+
+
+_sql("s27_search", (), """
+WITH d AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\\r\\n|\\r|\\n')) AS t, generate_subscripts(regexp_split_to_array(text, '\\r\\n|\\r|\\n'), 1) AS n FROM documents),
+h AS (SELECT doc_id AS file, CAST(n AS INTEGER) AS n FROM d WHERE contains(lower(t), 'the'))
+SELECT file, n, (SELECT count(*) FROM h) > 40 AS truncated FROM h ORDER BY file, n LIMIT 40""")
+
+
+@_query
+def s28_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first hundred names below a folder of pages."""
+    p = _table(spark, sf_dir, "pages").select(F.regexp_replace("url", "^https?://", "").alias("file"))
+    hosts = p.select(F.concat(F.lit("root/"), F.regexp_extract("file", "^[^?#]*", 0)).alias("file"))
+    return code.children(hosts, "root")
+
+
+_sql("s28_children", (), """
+WITH p AS (SELECT regexp_extract(regexp_replace(url, '^https?://', ''), '^[^?#]*') AS f FROM pages WHERE url IS NOT NULL)
+SELECT DISTINCT string_split(f, '/')[1] AS name, contains(f, '/') AS is_folder FROM p ORDER BY lower(name), name LIMIT 100""")
+
+
+@_query
+def s18_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files by language, excluded folders left out."""
+    f = V.findings(spark, sf_dir).select(F.regexp_replace("location.file", r"\.py$", F.when(F.col("location.start_line") % 2 == 0, ".go").otherwise(".py")).alias("file")).distinct()
+    f = f.withColumn("file", T.normalize_path(F.col("file"))).distinct()
+    found = code.detect_languages(f, {"python": [".py"], "go": [".go"]}, ["**/m4*"])
+    return found.groupBy("language").agg(F.count_distinct("file").alias("files"))
+
+
+_sql("s18_languages", ("findings",), """
+SELECT CASE WHEN start_line % 2 = 0 THEN 'go' ELSE 'python' END AS language, count(DISTINCT file) AS files FROM findings WHERE NOT starts_with(file, 'src/m4') GROUP BY 1""")
+
+
+def _rule_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """YAML rule files made of parts: two rules each, some of them security."""
+    p = _table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    category = lambda n: F.when((k + n) % 3 == 0, "Security").otherwise("style")
+    rule = lambda n: F.concat(F.lit("  - id: 'rule-"), ((k + n) % 900).cast("string"), F.lit("'\n    metadata:\n      category: "), category(n), F.lit("\n"))
+    name = F.concat(F.lit("lang"), (k % 5).cast("string"), F.lit("/f"), k.cast("string"), F.when(k % 50 == 7, ".test.yaml").otherwise(".yaml"))
+    return p.select(name.alias("file"), F.concat(F.lit("rules:\n"), rule(0), rule(3 + 0)).alias("text"))
+
+
+_RULES = "rf AS (SELECT p_partkey AS k, 'lang' || (p_partkey % 5) || '/f' || p_partkey || '.yaml' AS file FROM part WHERE p_partkey % 50 <> 7), ri AS (SELECT file, 2 AS line, 'rule-' || (k % 900) AS rule_id FROM rf UNION ALL SELECT file, 5, 'rule-' || ((k + 3) % 900) FROM rf)"
+
+
+@_query
+def s16_rule_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule ids of YAML files with their lines."""
+    return code.rule_ids(_rule_files(spark, sf_dir))
+
+
+_sql("s16_rule_ids", (), "SELECT file, line, rule_id FROM ri", _RULES)
+
+
+@_query
+def a17_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of rules."""
+    return rules.inventory(code.rule_ids(_rule_files(spark, sf_dir)))
+
+
+_sql("a17_inventory", (), """
+SELECT (SELECT count(DISTINCT file) FROM ri) AS config_files, CAST(sum(n) AS BIGINT) AS rule_id_occurrences, count(*) AS unique_rule_ids, count(*) FILTER (n > 1) AS duplicate_rule_ids
+FROM (SELECT rule_id, count(*) AS n FROM ri GROUP BY 1)""", _RULES)
+
+
+@_query
+def a17_duplicate_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules that stand in more than one place."""
+    d = rules.duplicate_rules(code.rule_ids(_rule_files(spark, sf_dir)))
+    return d.select("rule_id", F.array_join(F.transform("occurrences", lambda o: F.concat_ws(":", o["file"], o["line"].cast("string"))), ",").alias("places"))
+
+
+_sql("a17_duplicate_rules", (), "SELECT rule_id, string_agg(file || ':' || line, ',' ORDER BY file, line) AS places FROM ri GROUP BY 1 HAVING count(*) > 1", _RULES)
+
+
+@_query
+def a18_security_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule files whose rules are all security, by folder."""
+    return rules.selection_counts(rules.security_files(code.rule_categories(_rule_files(spark, sf_dir))))
+
+
+_sql("a18_security_rules", (), "SELECT 'lang' || (k % 5) AS folder, count(*) FILTER (k % 3 = 0) AS selected, count(*) FILTER (k % 3 <> 0) AS skipped, CAST(0 AS BIGINT) AS mixed FROM rf GROUP BY 1", _RULES)
+
+
+@_query
+def j17_rule_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule folders for the languages of the documents' sources."""
+    d = _table(spark, sf_dir, "documents").select("source", F.col("lang").alias("language")).distinct()
+    configs = rules.routes(spark, {"en": ["generic", "english"], "de": ["generic"], "fr": ["generic", "french"], "es": ["generic"]})
+    return rules.folders_for(d, configs)
+
+
+_sql("j17_rule_routing", (), """
+SELECT DISTINCT source, folder FROM documents JOIN (SELECT 'generic' AS folder, unnest(['en', 'de', 'fr', 'es']) AS l UNION ALL SELECT 'english', 'en' UNION ALL SELECT 'french', 'fr') c ON c.l = lang""")
+
+
+# --- gates ------------------------------------------------------------------
+
+
+@_query
+def v10_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blind findings whose texts name an advisory or an entry."""
+    b = reviews.blind(V.findings(spark, sf_dir)).withColumn("finding_id", F.col("provenance.raw_result_ref"))
+    k = F.col("location.start_line")
+    b = b.withColumn("message", F.when(k % 9 == 0, "see cve-2023-12345").when(k % 9 == 1, "like Entry-00017 there").otherwise(F.col("message")))
+    return gates.leaks(b)
+
+
+_sql("v10_leaks", ("findings",), """
+SELECT CASE WHEN start_line % 9 = 0 THEN 'ADVISORY_ID' ELSE 'ENTRY_ID' END AS rule_id, ref AS key, '$.message' AS detail FROM findings WHERE start_line % 9 < 2""")
+
+
+@_query
+def v10_json_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forbidden keys and unknown keys in JSON."""
+    e = _table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 6 == 0, '{"k": {"Gold-Label": 1}}').otherwise(F.col("props")).alias("props"))
+    return gates.json_leaks(e, "props", "event_id").unionByName(gates.unknown_keys(e, "props", "event_id", ["a"]))
+
+
+_sql("v10_json_leaks", (), "SELECT 'FORBIDDEN_KEY' AS rule_id, event_id AS key, 'goldlabel' AS detail FROM events WHERE event_id % 6 = 0 UNION ALL SELECT 'UNKNOWN_KEY', event_id, 'k' FROM events")
+
+
+@_query
+def u4_id_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids that only labels or only predictions have."""
+    return gates.different_ids(V.gold(spark, sf_dir), V.predictions(spark, sf_dir), names=("MISSING_PREDICTION", "MISSING_LABEL"))
+
+
+_sql("u4_id_differences", ("gold", "reviews"), """
+SELECT 'MISSING_PREDICTION' AS rule_id, finding_id AS key, '' AS detail FROM gold WHERE finding_id NOT IN (SELECT finding_id FROM reviews WHERE doc % 11 <> 0)
+UNION ALL SELECT 'MISSING_LABEL', finding_id, '' FROM reviews WHERE doc % 11 <> 0 AND finding_id NOT IN (SELECT finding_id FROM gold)""")
+
+
+@_query
+def v24_repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finding ids of more than one observation."""
+    return gates.repeated(V.findings(spark, sf_dir), "finding_id")
+
+
+_sql("v24_repeated_ids", ("findings",), f"SELECT 'REPEATED_ID' AS rule_id, id AS key, '' || count(*) AS detail FROM (SELECT {_ID} AS id FROM findings) GROUP BY id HAVING count(*) > 1")
+
+
+@_query
+def v13_prediction_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews that break the contract of frozen predictions."""
+    r = V.reviewer(spark, sf_dir).withColumn("abstain_reason", F.when(F.col("verdict") == "ABSTAIN", "unclear"))
+    r = r.withColumn("evidence", F.when(F.col("verdict") != "ABSTAIN", F.col("evidence")).otherwise(F.array().cast(reviews.EVIDENCE)))
+    r = r.withColumn("abstain_reason", F.when(F.length("reasoning") % 4 == 0, None).otherwise(F.col("abstain_reason")))
+    return gates.predictions(r, V.gold(spark, sf_dir)).filter("rule_id <> 'EXTRA_PREDICTION'")
+
+
+_sql("v13_prediction_gate", ("reviews", "gold"), """
+SELECT 'ABSTAIN_FIELDS' AS rule_id, finding_id AS key, 'ABSTAIN' AS detail FROM reviews WHERE verdict = 'ABSTAIN' AND length('a' || doc) % 4 = 0
+UNION ALL SELECT 'MISSING_PREDICTION', finding_id, '' FROM gold WHERE finding_id NOT IN (SELECT finding_id FROM reviews)""")
+
+
+@_query
+def v22_frozen_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of a frozen package that recomputing changes."""
+    g = V.gold(spark, sf_dir)
+    kept = g.withColumn("label", F.when(F.substring("finding_id", -1, 1) == "5", "UNCERTAIN").otherwise(F.col("label")))
+    return gates.frozen_copy(kept, g)
+
+
+_sql("v22_frozen_copy", ("gold",), """
+SELECT r AS rule_id, finding_id AS key, '' AS detail FROM gold, (SELECT unnest(['NOT_RECOMPUTED', 'NOT_FROZEN']) AS r) WHERE finding_id LIKE '%5' AND label <> 'UNCERTAIN'""")
+
+
+# --- dataset ----------------------------------------------------------------
+
+
+def _enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled rows with features in the shape of the enriched dataset."""
+    m = V.machine(spark, sf_dir)
+    return m.select("finding_id", F.struct("label").alias("machine_reference"), "features")
+
+
+@_query
+def p10_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of findings."""
+    f = V.findings(spark, sf_dir).select(F.col("provenance.raw_result_ref").alias("ref"), dataset.features().alias("f"))
+    return f.select("ref", "f.rule_id", F.array_join("f.cwes", ",").alias("cwes"), "f.language", "f.has_dataflow")
+
+
+_sql("p10_features", ("findings",), "SELECT ref, rule_id, coalesce('CWE-' || cwe_no, '') AS cwes, 'python' AS language, trace_file IS NOT NULL AS has_dataflow FROM findings")
+
+
+@_query
+def j13_enriched_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings with labels, and with links for the positive ones."""
+    f = V.findings(spark, sf_dir).withColumn("finding_id", F.col("provenance.raw_result_ref"))
+    label = F.when(F.col("location.start_line") % 4 == 0, "MACHINE_TRUE_POSITIVE").otherwise("MACHINE_FALSE_POSITIVE")
+    labels = f.select("finding_id", label.alias("label"))
+    m = matching.match_candidates(f, V.entries(spark, sf_dir))
+    d = dataset.build(f, labels, m)
+    p = F.col("post_freeze_linkage")
+    return d.select("finding_id", p["status"].alias("status"), p["match_tier"].alias("match_tier"), F.array_join(p["linked_entry_ids"], ",").alias("linked"), F.size(p["candidate_matches"]).alias("candidates"))
+
+
+_sql("j13_enriched_dataset", ("findings", "entries"), f"""
+SELECT f.ref AS finding_id, CASE WHEN f.start_line % 4 <> 0 THEN 'NOT_APPLICABLE' WHEN coalesce(b.m, 3) < 2 THEN 'MACHINE_TP_LINKED' ELSE 'MACHINE_TP_UNLINKED' END AS status,
+  CASE WHEN f.start_line % 4 = 0 THEN {_TIER.format('b.m')} END AS match_tier, CASE WHEN f.start_line % 4 = 0 AND b.m < 2 THEN b.es ELSE '' END AS linked,
+  CAST(CASE WHEN f.start_line % 4 = 0 THEN coalesce(b.n, 0) ELSE 0 END AS INTEGER) AS candidates
+FROM findings f LEFT JOIN (SELECT ref, min(m) AS m, count(*) AS n, string_agg(DISTINCT entry_id, ',' ORDER BY entry_id) AS es FROM best WHERE tier = m GROUP BY ref) b ON b.ref = f.ref""", _MATCH_SQL)
+
+
+def _small_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dataset with seven positives in repositories of their own."""
+    e = _enriched(spark, sf_dir)
+    no = F.regexp_extract("finding_id", r"(\d+)$", 1).cast("long")
+    first = e.filter(F.col("machine_reference.label") == "MACHINE_TRUE_POSITIVE").orderBy(no).limit(7).select("finding_id", F.lit(True).alias("kept"))
+    j = e.join(first, "finding_id", "left").filter((F.col("machine_reference.label") == "MACHINE_FALSE_POSITIVE") | F.col("kept"))
+    own = F.when(F.col("kept"), F.concat(F.lit("own-"), F.col("finding_id"))).otherwise(F.col("features.repository"))
+    return j.withColumn("features", F.col("features").withField("repository", own)).drop("kept")
+
+
+@_query
+def c3_repository_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repositories assigned to splits that meet the targets."""
+    return dataset.assign(_small_split(spark, sf_dir), "seed")
+
+
+@_query
+def c4_balanced_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One matched negative for each positive of a split."""
+    rows = _small_split(spark, sf_dir)
+    return dataset.balanced(rows, dataset.assign(rows, "seed"), "seed")
+
+
+@_query
+def u5_split_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings and repositories that two splits share: none."""
+    rows = _small_split(spark, sf_dir)
+    return dataset.split_leaks(dataset.balanced(rows, dataset.assign(rows, "seed"), "seed"), rows)
+
+
+_sql("u5_split_leaks", (), "SELECT 'x' AS rule_id, 'x' AS key, 'x' AS detail WHERE 1 = 0")
+
+
+@_query
+def p12_accept_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metrics of believing every finding."""
+    m = V.machine(spark, sf_dir)
+    return metrics.machine_reference(m, dataset.accept_all(m)).select("tp", "fp", "tn", "fn", "precision", "recall", "selective_coverage")
+
+
+_sql("p12_accept_all", ("gold",), """
+SELECT t AS tp, f AS fp, CAST(0 AS BIGINT) AS tn, CAST(0 AS BIGINT) AS fn, t / (t + f) AS precision, 1.0::DOUBLE AS recall, 1.0::DOUBLE AS selective_coverage
+FROM (SELECT count(*) FILTER (label LIKE 'TP%') AS t, count(*) FILTER (label = 'FP_CONFIRMED') AS f FROM gold)""")
+
+
+@_query
+def p13_import_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Imported verdicts that do not fit their split."""
+    p = V.predictions(spark, sf_dir).withColumn("verdict", F.when(F.substring("finding_id", -1, 1) == "7", "MAYBE").otherwise(F.col("verdict")))
+    return dataset.import_violations(p, V.gold(spark, sf_dir)).filter("rule_id <> 'EXTRA_PREDICTION'")
+
+
+_sql("p13_import_gate", ("gold", "reviews"), """
+SELECT 'MISSING_PREDICTION' AS rule_id, finding_id AS key, '' AS detail FROM gold WHERE finding_id NOT IN (SELECT finding_id FROM reviews WHERE doc % 11 <> 0)
+UNION ALL SELECT 'INVALID_VERDICT', finding_id, 'MAYBE' FROM reviews WHERE doc % 11 <> 0 AND doc % 10 = 7""")
+
+
+# --- raw reports ------------------------------------------------------------
+
+
+def _raw_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scanner's JSON report made of parts, in the shape that ``read_scanner_json`` gives."""
+    p = _table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    place = lambda line: F.struct(line.cast("string").alias("line"), F.lit("3").alias("col"))
+    result = F.to_json(
+        F.struct(
+            F.concat(F.lit("home.rules.python."), "p_type").alias("check_id"), F.concat(F.lit(".\\src\\f"), k.cast("string"), F.lit(".py")).alias("path"),
+            place(k % 40 + 1).alias("start"), place(k % 40 + k % 3).alias("end"),
+            F.struct(
+                F.col("p_name").alias("message"), F.lit("ERROR").alias("severity"), F.when(k % 2 == 0, "requires login").otherwise("x  =  1").alias("lines"),
+                F.lit("FP").alias("fingerprint"), F.struct(F.array(F.lit("CWE-78: text"), F.lit("CWE-0022")).alias("cwe"), F.array(F.lit("b"), F.lit(" a ")).alias("category")).alias("metadata"),
+            ).alias("extra"),
+        )
+    )
+    return p.groupBy().agg(F.array_sort(F.collect_list(F.struct("p_partkey", result.alias("r")))).alias("rs")).select(
+        F.lit("1.0.0").alias("version"), F.transform("rs", lambda x: x["r"]).alias("results"), F.array().cast("array<string>").alias("errors"),
+        F.struct(F.array().cast("array<string>").alias("scanned")).alias("paths"), F.lit("raw.json").alias("source_file"),
+    )
+
+
+_CONTEXT = reports.Context("https://github.com/acme/x.git", "a" * 40, "semgrep", "1.0.0", "b" * 40, "scan", "raw.json", ruleset_root="/home/rules")
+
+
+@_query
+def s9_scanner_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of a raw report."""
+    f = reports.findings_of_json(_raw_report(spark, sf_dir), _CONTEXT)
+    return f.select(
+        F.col("provenance.raw_result_ref").alias("ref"), "repo_url", F.col("rule.id").alias("rule_id"), F.array_join("rule.cwe", ",").alias("cwe"), F.col("rule.category").alias("category"),
+        "location.file", "location.start_line", "location.end_line", "location.start_col", "snippet", "fingerprint",
+    )
+
+
+_sql("s9_scanner_json", (), """
+SELECT 'raw.json#results/' || (row_number() OVER (ORDER BY p_partkey) - 1) AS ref, 'https://github.com/acme/x' AS repo_url, 'python.' || p_type AS rule_id, 'CWE-22,CWE-78' AS cwe, 'a, b' AS category,
+  'src/f' || p_partkey || '.py' AS file, CAST(p_partkey % 40 + 1 AS INTEGER) AS start_line, CAST(greatest(p_partkey % 40 + p_partkey % 3, p_partkey % 40 + 1) AS INTEGER) AS end_line, 3 AS start_col,
+  CASE WHEN p_partkey % 2 = 1 THEN 'x  =  1' END AS snippet, CASE WHEN p_partkey % 2 = 1 THEN sha256('x = 1') ELSE 'FP' END AS fingerprint FROM part""")
+
+
+@_query
+def v31_report_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What makes a raw report unusable."""
+    r = _raw_report(spark, sf_dir).withColumn("version", F.lit("0.9"))
+    return reports.report_violations(r, _CONTEXT)
+
+
+_sql("v31_report_gate", (), "SELECT 'VERSION_MISMATCH' AS rule_id, 'raw.json' AS key, '0.9' AS detail")
+
+
+@_query
+def k1_canonical_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as canonical JSON lines."""
+    return jsonl.canonical_rows(_table(spark, sf_dir, "nation").select("n_name", "n_nationkey"))
+
+
+_sql("k1_canonical_rows", (), """SELECT '{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || '}' AS value FROM nation""")
