@@ -31,15 +31,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     This cuts the lineage and survives lost executors. Joins against the table
     are also plain scan-to-shuffle joins, whose skewed partitions adaptive
     execution can split; an aggregate below a join would prevent that.
+    ``files`` bounds the number of files of a table whose rows are counted.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if files is not None:
+        df = df.coalesce(files)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -16,8 +16,10 @@ from .graph import connected_components
 BITS, BLOCK = 64, 16
 #: Fingerprints that a subtrie holds before its node pairs go to tasks of their own.
 SUBTRIE_ROWS = 50_000
-#: Node pairs that a task holds at once, and the pairs below which it compares leaves.
-FRONTIER, LEAF_PAIRS = 400_000, 24
+#: Node pairs that a task expands at once, and the pairs below which it compares leaves.
+FRONTIER, LEAF_PAIRS = 100_000, 24
+#: Texts that a task holds as Python objects at once.
+SLICE = 512
 
 
 def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
@@ -47,8 +49,10 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter((fingerprint(t or b"") for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            for lo in range(0, b.num_rows, SLICE):
+                part = b.slice(lo, SLICE)
+                fps = np.fromiter((fingerprint(t or b"") for t in part.column(1).to_pylist()), np.uint64, part.num_rows)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t"))
     return rows.mapInArrow(run, "doc_id long, fp long")
@@ -57,7 +61,7 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 # --- the trie self-join inside one task -------------------------------------
 
 
-def _spanning(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarray:
+def _spanning(a: np.ndarray, b: np.ndarray, label: np.ndarray) -> None:
     """Merge the components of ``label`` along the links (a, b); roots are minima."""
     while len(a):
         la, lb = label[a], label[b]
@@ -71,7 +75,6 @@ def _spanning(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.nda
             if np.array_equal(up, label):
                 break
             label[:] = up
-    return label
 
 
 def _pairs_of(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,6 +88,7 @@ def _pairs_of(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _descend(x: np.ndarray, start: int, f: np.ndarray, budget: int, label: np.ndarray) -> None:
     """Traverse the node pairs ``f`` of the trie over the sorted values ``x`` from bit ``start``."""
+    ones_at: dict[int, np.ndarray] = {}
     stack = [(start, f)]
     while stack:
         t, f = stack.pop()
@@ -94,11 +98,13 @@ def _descend(x: np.ndarray, start: int, f: np.ndarray, budget: int, label: np.nd
         if small.any():
             i, j = _pairs_of(f[:, small])
             keep = (i < j) & (np.bitwise_count(x[i] ^ x[j]) <= budget)
-            _spanning(len(x), i[keep], j[keep], label)
+            _spanning(i[keep], j[keep], label)
             f = f[:, ~small]
             if not f.shape[1]:
                 continue
-        ones = np.concatenate(([0], np.cumsum((x >> np.uint64(BITS - 1 - t)) & np.uint64(1)))).astype(np.int64)
+        if t not in ones_at:
+            ones_at[t] = np.concatenate(([0], np.cumsum((x >> np.uint64(BITS - 1 - t)) & np.uint64(1), dtype=np.int32)))
+        ones = ones_at[t]
         a0, a1, b0, b1, d = f
         am, bm = a1 - (ones[a1] - ones[a0]), b1 - (ones[b1] - ones[b0])
         own = a0 == b0
@@ -145,8 +151,6 @@ def trie_links(group: np.ndarray, x: np.ndarray, lo: np.ndarray, hi: np.ndarray,
 
 def _join_partition(budget: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] = []
-
         def solve(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             g, x, rep, lo, hi, s = cols
             root = trie_links(g, x, lo, hi, s, budget)
@@ -172,7 +176,6 @@ def _join_partition(budget: int):
             buffered, count = [[k[cut:] for k in cols]], len(cols[0]) - cut
         if count:
             yield from solve([np.concatenate(k) for k in zip(*buffered, strict=True)])
-        kept.clear()
 
     return run
 
