@@ -76,7 +76,7 @@ def _around(found: Column, size: int) -> Column:
     return F.transform(starts, lambda s: F.struct(s.alias("start"), F.lit(size).alias("size"), F.array_join(F.slice(F.col("words"), s + 1, size), " ").alias("window")))
 
 
-def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, items_text: str = "text") -> DataFrame:
     """Rows (row, doc_id, n_words, places, items), one for each document row.
 
     ``places`` are the numbers of words inside an occurrence of a window,
@@ -89,7 +89,7 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     is verified word by word against the windows. A set too large for that is
     joined by shuffle instead.
     """
-    windows = item_windows(items, text_col=text_col, window=window).persist()
+    windows = item_windows(items, text_col=items_text, window=window).persist()
     sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     words = _held(rows, "words", words_of(F.col("text")), "row", "doc_id")
@@ -144,35 +144,39 @@ def report(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     )
 
 
+def _boxed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows (own, t, row_key): the other columns as a struct, so that none of their names can clash."""
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
+    return docs.select(own.alias("own"), F.col(text_col).alias("t"), F.xxhash64(id_col, text_col).alias("row_key"))
+
+
 def remove_spans(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """The documents without the words that were hit, each with the separator before it.
 
     Other words and separators stay as they are, and so do all other columns
     and rows. Documents without a hit are not touched.
     """
-    key = F.xxhash64(id_col, text_col)
-    own = docs.withColumn("row_key", key)
+    rows = _boxed(docs, id_col, text_col)
     found = (
-        hits(own, items, "row_key", text_col, window)
+        hits(rows, items, "row_key", "t", window)
         .filter(F.size("places") > 0)
         .select(F.col("doc_id").alias("row_key"), "places")
         .dropDuplicates(["row_key"])
     )
-    joined = own.join(found.hint("shuffle_hash"), "row_key", "left")
-    hit = joined.filter("places is not null")
-    parts = _held(hit, "w", F.array_remove(F.split(F.col(text_col), SEPARATOR_CASED), ""), *hit.columns)
-    parts = _held(parts, "g", F.split(F.col(text_col), WORD_CASED), *parts.columns)
+    joined = rows.join(found.hint("shuffle_hash"), "row_key", "left")
+    parts = _held(joined.filter("places is not null"), "w", F.array_remove(F.split("t", SEPARATOR_CASED), ""), "own", "t", "places")
+    parts = _held(parts, "g", F.split("t", WORD_CASED), "own", "w", "places")
     kept = F.array_except(F.sequence(F.lit(0), F.size("w") - 1), F.col("places"))
     clean = F.concat(
         F.array_join(F.transform(kept, lambda i: F.concat(F.get(F.col("g"), i), F.get(F.col("w"), i))), ""), F.element_at("g", -1)
     )
-    return (
-        joined.filter("places is null").select(*docs.columns).unionByName(parts.withColumn(text_col, clean).select(*docs.columns))
-    )
+    both = joined.filter("places is null").select("own", "t").unionByName(parts.select("own", clean.alias("t")))
+    return both.select(*[F.col("t").alias(c) if c == text_col else F.col("own")[c].alias(c) for c in docs.columns])
 
 
 def remove_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """The documents without a hit, with all their columns."""
-    own = docs.withColumn("row_key", F.xxhash64(id_col, text_col))
-    found = hits(own, items, "row_key", text_col, window).filter(F.size("places") > 0).select(F.col("doc_id").alias("row_key"))
-    return own.join(found, "row_key", "left_anti").select(*docs.columns)
+    rows = _boxed(docs, id_col, text_col)
+    found = hits(rows, items, "row_key", "t", window).filter(F.size("places") > 0).select(F.col("doc_id").alias("row_key"))
+    left = rows.join(found, "row_key", "left_anti")
+    return left.select(*[F.col("t").alias(c) if c == text_col else F.col("own")[c].alias(c) for c in docs.columns])

@@ -110,17 +110,18 @@ class Model:
         for j, table in enumerate(self.automata):
             width, flat_table, root = table.shape[1], table.ravel(), table[0]
             state = np.zeros(len(owner), np.int64)
-            found = np.ones(len(owner), np.int64)  # the phrase that is open at the end
+            found = np.zeros(len(owner), np.int64)
             for c in steps:
                 n = len(c)
                 to = flat_table[state[:n] * width + c]
                 miss = np.flatnonzero(to == 0)
                 if len(miss):
+                    # The phrase so far ends here; a symbol that the language lacks is one by itself.
                     again = root[c[miss]]
-                    found[miss] += 1 + (again == 0)
+                    found[miss] += (state[miss] != 0).astype(np.int64) + (again == 0)
                     to[miss] = again
                 state[:n] = to
-            np.add.at(counts[:, j], owner, found)
+            np.add.at(counts[:, j], owner, found + (state != 0))
         return counts, size
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:

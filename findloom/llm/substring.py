@@ -108,11 +108,6 @@ def _window_rows(repeat: int):
     return run
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows with equal id and text get one key, as they get one result."""
-    return docs.withColumn("row_key", F.xxhash64(id_col, text_col))
-
-
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repeat: int = REPEAT, seed: int = SEED) -> DataFrame:
     """Rows (row_key, spans): the word ranges that maximal repeats cover in a text.
 
@@ -130,7 +125,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     3. Where contexts differ, the match ends inside: one window of each place
        after another is compared, by its hash beside the anchor's, 128 bits.
     """
-    keyed = _keyed(docs, id_col, text_col).select("row_key", F.col(text_col).cast("binary").alias("t"))
+    # Rows with equal id and text get one key, as they get one result.
+    keyed = docs.select(F.xxhash64(id_col, text_col).alias("row_key"), F.col(text_col).cast("binary").alias("t"))
     rows = materialize(
         keyed.mapInArrow(_anchor_rows(repeat, seed), "row_key long, first int, count int, anchor long, context long"), "anchors"
     )
@@ -218,8 +214,12 @@ def _cut_rows(with_text: bool):
 
 
 def _joined(docs: DataFrame, id_col: str, text_col: str, repeat: int, seed: int) -> DataFrame:
+    """Rows (own, t, spans): the other columns of a document as a struct, its
+    text, and its spans or null. No name of ``docs`` can clash."""
     spans = materialize(repeated_spans(docs, id_col, text_col, repeat, seed), "spans")
-    return _keyed(docs, id_col, text_col).join(spans.hint("shuffle_hash"), "row_key", "left")
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
+    rows = docs.select(own.alias("own"), F.col(text_col).alias("t"), F.xxhash64(id_col, text_col).alias("row_key"))
+    return rows.join(spans.hint("shuffle_hash"), "row_key", "left")
 
 
 def removal_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repeat: int = REPEAT, seed: int = SEED) -> DataFrame:
@@ -228,7 +228,8 @@ def removal_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null and empty texts have no words. Rows that repeat a document remove each
     other's words wherever they hold ``repeat`` or more.
     """
-    rows = _joined(docs, id_col, text_col, repeat, seed).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("t"), "spans")
+    rows = _joined(docs.select(id_col, text_col), id_col, text_col, repeat, seed)
+    rows = rows.select(F.col("own")[id_col].cast("long").alias("doc_id"), F.col("t").cast("binary").alias("t"), "spans")
     return rows.mapInArrow(_cut_rows(False), "doc_id long, n_words long, n_removed long, kept string").withColumnRenamed("kept", "kept_sha256")
 
 
@@ -239,14 +240,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     joined by one space. All rows and columns stay.
     """
     rows = _joined(docs, id_col, text_col, repeat, seed)
-    whole = rows.filter("spans is null").select(*docs.columns)
-    others = [c for c in docs.columns if c != text_col]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text_col)
-    part = (
-        rows.filter("spans is not null")
-        .select(*others, F.col(text_col).cast("binary").alias("t"), "spans")
-        .mapInArrow(_cut_rows(True), f"{fields}, n_words long, n_removed long, kept string")
-        .withColumn(text_col, F.col("kept"))
-        .select(*docs.columns)
-    )
-    return whole.unionByName(part)
+    own = rows.schema["own"].dataType.simpleString()
+    part = rows.filter("spans is not null").select("own", F.col("t").cast("binary").alias("t"), "spans")
+    part = part.mapInArrow(_cut_rows(True), f"own {own}, n_words long, n_removed long, kept string").select("own", F.col("kept").alias("t"))
+    both = rows.filter("spans is null").select("own", "t").unionByName(part)
+    return both.select(*[F.col("t").alias(c) if c == text_col else F.col("own")[c].alias(c) for c in docs.columns])

@@ -184,7 +184,9 @@ _COMPLETE = "record_id string, record_type string, target_uri string, refers_to
 _SEGMENT = "origin string, number int, total long, record_type string, target_uri string, refers_to string, block binary"
 
 
-def _decoded(block: bytes) -> tuple[bytes | None, str | None]:
+def _decoded(block: bytes, kind: str | None) -> tuple[bytes | None, str | None]:
+    if kind == "revisit":
+        return None, None  # it has its response's headers alone
     try:
         return http_payload(block), None
     except ValueError as why:
@@ -197,7 +199,7 @@ def _complete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
             for h, block in parse(data):
                 if "warc-segment-number" not in h:
-                    rows.append((h.get("warc-record-id"), h.get("warc-type"), h.get("warc-target-uri"), h.get("warc-refers-to"), *_decoded(block)))
+                    rows.append((h.get("warc-record-id"), h.get("warc-type"), h.get("warc-target-uri"), h.get("warc-refers-to"), *_decoded(block, h.get("warc-type"))))
             yield _batch(rows, _COMPLETE)
 
 
@@ -242,7 +244,7 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block, error = reassemble([(p["number"], p["block"]) for p in parts], totals)
             payload = None
             if block is not None:
-                payload, error = _decoded(block)
+                payload, error = _decoded(block, kind)
             rows.append((origin, kind, uri, refers, payload, error))
         yield _batch(rows, _COMPLETE)
 
@@ -254,7 +256,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     order of their numbers, checked against the stated total length and joined;
     only segments are shuffled, and a group is one record's. Then chunked
     framing is decoded. A record that fails a check has a null payload and the
-    reason in ``error``. A folder without records gives no rows.
+    reason in ``error``; a revisit has neither payload nor error. A folder without records gives no rows.
     """
     files = spark.read.format("binaryFile").load(path).select("content")
     whole = files.mapInArrow(_complete, _COMPLETE)
