@@ -159,12 +159,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .select("anchor", "window"),
         "twice",
     )
+    # Every place learns how often its context occurs: one row in, one row out.
+    counted = places.join(contexts.select("anchor", "context", "n"), ["anchor", "context"], "left")
     repeats = (
-        places.filter("not mixed")
+        counted.filter("not mixed or n > 1")
         .select("row_key", "first", "count")
-        .unionByName(
-            mixed.join(contexts.filter("n > 1").select("anchor", "context"), ["anchor", "context"], "left_semi").select("row_key", "first", "count")
-        )
         .unionByName(
             windows.filter("lone")
             .join(twice, ["anchor", "window"], "left_semi")
