@@ -17,7 +17,7 @@ def lines_of(files: DataFrame, keys: list[str], text_col: str = "text") -> DataF
 
 def read_tree(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """Rows (file, text) of the text files below a folder; paths relative to it."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root)
+    rows = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
     name = F.regexp_replace(F.col("_metadata.file_path"), "^.*?" + root.rstrip("/").rsplit("/", 1)[-1] + "/", "")
     return rows.select(name.alias("file"), F.col("value").alias("text"))
 
