@@ -164,14 +164,15 @@ def remove_spans(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         .dropDuplicates(["row_key"])
     )
     joined = rows.join(found.hint("shuffle_hash"), "row_key", "left")
-    parts = _held(joined.filter("places is not null"), "w", F.array_remove(F.split("t", SEPARATOR_CASED), ""), "own", "t", "places")
-    parts = _held(parts, "g", F.split("t", WORD_CASED), "own", "w", "places")
+    hit = lambda value: F.when(F.col("places").isNotNull(), value)
+    parts = _held(joined, "w", hit(F.array_remove(F.split("t", SEPARATOR_CASED), "")), "own", "t", "places")
+    parts = _held(parts, "g", hit(F.split("t", WORD_CASED)), "own", "t", "w", "places")
     kept = F.array_except(F.sequence(F.lit(0), F.size("w") - 1), F.col("places"))
     clean = F.concat(
         F.array_join(F.transform(kept, lambda i: F.concat(F.get(F.col("g"), i), F.get(F.col("w"), i))), ""), F.element_at("g", -1)
     )
-    both = joined.filter("places is null").select("own", "t").unionByName(parts.select("own", clean.alias("t")))
-    return both.select(*[F.col("t").alias(c) if c == text_col else F.col("own")[c].alias(c) for c in docs.columns])
+    text = F.when(F.col("places").isNull(), F.col("t")).otherwise(clean)
+    return parts.select(*[text.alias(c) if c == text_col else F.col("own")[c].alias(c) for c in docs.columns])
 
 
 def remove_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
