@@ -200,7 +200,10 @@ def _cut_rows(with_text: bool):
             for i, t in enumerate(batch.column("t").to_pylist()):
                 part = slice(offsets[i], offsets[i + 1]) if present[i] else slice(0, 0)
                 n, removed, kept = cut(t, first[part], stop[part])
-                out.append((n, removed, kept.decode() if with_text else hashlib.sha256(kept).hexdigest()))
+                if not with_text:
+                    out.append((n, removed, hashlib.sha256(kept).hexdigest()))
+                else:
+                    out.append((n, removed, kept.decode() if present[i] else None if t is None else t.decode()))
             n, removed, kept = zip(*out, strict=True) if out else ((), (), ())
             cols = [batch.column(k) for k in batch.schema.names if k not in ("t", "spans")]
             names = [k for k in batch.schema.names if k not in ("t", "spans")]
@@ -240,7 +243,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = _joined(docs, id_col, text_col, repeat, seed)
     own = rows.schema["own"].dataType.simpleString()
-    part = rows.filter("spans is not null").select("own", F.col("t").cast("binary").alias("t"), "spans")
-    part = part.mapInArrow(_cut_rows(True), f"own {own}, n_words long, n_removed long, kept string").select("own", F.col("kept").alias("t"))
-    both = rows.filter("spans is null").select("own", "t").unionByName(part)
-    return both.select(*[F.col("t").alias(c) if c == text_col else F.col("own")[c].alias(c) for c in docs.columns])
+    cut_ = rows.select("own", F.col("t").cast("binary").alias("t"), "spans").mapInArrow(
+        _cut_rows(True), f"own {own}, n_words long, n_removed long, kept string"
+    )
+    return cut_.select(*[F.col("kept").alias(c) if c == text_col else F.col("own")[c].alias(c) for c in docs.columns])
