@@ -172,10 +172,10 @@ def restored_evidence(cited: DataFrame, exposed: DataFrame) -> DataFrame:
     """
     e = exposed.groupBy("finding_id", "node").agg(F.min("position").alias("e_position"))
     held = e.select(
-        "finding_id", F.col("node").alias("e"), "e_position", numbered(F.col("node.code")).alias("e_lines"), strict_span(F.col("node.line")).alias("e_at")
+        F.col("finding_id").alias("e_finding"), F.col("node").alias("e"), "e_position", numbered(F.col("node.code")).alias("e_lines"), strict_span(F.col("node.line")).alias("e_at")
     )
     c = cited.withColumn("lines", numbered(F.col("node.code"))).withColumn("at", strict_span(F.col("node.line")))
-    j = c.join(held, (c.finding_id == held.finding_id) & c.node["file"].eqNullSafe(held.e["file"]), "left").drop(held.finding_id)
+    j = c.join(held, (F.col("finding_id") == F.col("e_finding")) & F.col("node.file").eqNullSafe(F.col("e.file")), "left")
     same = lambda k: F.col(f"node.{k}").eqNullSafe(F.col(f"e.{k}"))
     found = F.col("e").isNotNull()
     inside = F.filter("e_lines", lambda x: (x["n"] >= F.col("at.start")) & (x["n"] <= F.col("at.end")))

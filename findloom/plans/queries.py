@@ -1363,3 +1363,86 @@ def k1_canonical_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _sql("k1_canonical_rows", (), """SELECT '{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || '}' AS value FROM nation""")
+
+
+# --- evidence and official gates --------------------------------------------
+
+
+@_query
+def j20_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citations that no range shown in their case holds whole."""
+    r = V.flat(spark, sf_dir, "reviews")
+    at = lambda lo, n: [F.col("finding_id"), F.lit("a.py").alias("file"), lo.cast("int").alias("start"), (lo + n).cast("int").alias("end")]
+    shown = r.select(*at(F.col("doc") % 40, 10)).unionByName(r.select(*at(F.col("doc") % 25 + 30, 5)))
+    return reviews.citations_outside(r.select(*at(F.col("doc") % 33 + 4, F.col("doc") % 5)), shown)
+
+
+_sql("j20_citations", ("reviews",), """
+SELECT finding_id, 'a.py' AS file, CAST(s AS INTEGER) AS start, CAST(s + doc % 5 AS INTEGER) AS end FROM (SELECT *, doc % 33 + 4 AS s FROM reviews)
+WHERE NOT (doc % 40 <= s AND s + doc % 5 <= doc % 40 + 10) AND NOT (doc % 25 + 30 <= s AND s + doc % 5 <= doc % 25 + 35)""")
+
+
+@_query
+def c5_evidence_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long citations in ranges of 25 lines."""
+    r = V.flat(spark, sf_dir, "reviews")
+    return reviews.in_ranges(r.select("finding_id", (F.col("doc") % 40 + 1).cast("int").alias("start"), (F.col("doc") % 40 + 1 + F.col("doc") % 90).cast("int").alias("end")))
+
+
+_sql("c5_evidence_ranges", ("reviews",), """
+SELECT finding_id, CAST(s AS INTEGER) AS start, CAST(least(e, s + 24) AS INTEGER) AS end
+FROM (SELECT finding_id, doc % 40 + 1 + doc % 90 AS e, unnest(range(doc % 40 + 1, doc % 40 + 2 + doc % 90, 25)) AS s FROM reviews)""")
+
+
+@_query
+def j19_evidence_restoration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cited evidence as the exposed node that it must mean."""
+    r = V.flat(spark, sf_dir, "reviews")
+    node = lambda file, line, said, text: F.struct(F.lit(file).alias("file"), line.alias("line"), said.alias("description"), text.alias("code"))
+    n = (F.col("doc") % 9 + 10).cast("string")
+    numbered = F.concat_ws("\n", *[F.concat((F.col("doc") % 9 + 10 + k).cast("string"), F.lit(f": t{k}")) for k in range(4)])
+    part = F.concat((F.col("doc") % 9 + 11).cast("string"), F.lit(":t1\n"), (F.col("doc") % 9 + 12).cast("string"), F.lit(":  t2"))
+    long, inner = F.concat_ws("-", n, (F.col("doc") % 9 + 13).cast("string")), F.concat_ws("-", (F.col("doc") % 9 + 11).cast("string"), (F.col("doc") % 9 + 12).cast("string"))
+    exposed = r.select("finding_id", F.posexplode(F.array(node("a.py", n, F.lit("d"), F.lit("x")), node("b.py", long, F.lit("d"), numbered))).alias("position", "node"))
+    k = F.col("doc") % 7
+    cited = (
+        F.when(k == 0, node("a.py", n, F.lit("d"), F.lit("x"))).when(k == 1, node("a.py", n, F.lit("d"), F.lit("y"))).when(k == 2, node("a.py", n, F.lit("e"), F.lit("y")))
+        .when(k == 3, node("a.py", F.lit("1"), F.lit("e"), F.lit("x"))).when(k == 4, node("b.py", F.lit("1"), F.lit("e"), F.replace(numbered, F.lit(": "), F.lit(":"))))
+        .when(k == 5, node("b.py", inner, F.lit("e"), part)).otherwise(node("c.py", n, F.lit("d"), F.lit("x")))
+    )
+    verdict = F.when(F.col("doc") % 2 == 0, "UNCERTAIN").otherwise("FALSE_POSITIVE")
+    got = reviews.restored_evidence(r.select("finding_id", verdict.alias("verdict"), F.lit(0).alias("position"), cited.alias("node")), exposed)
+    return got.select("finding_id", "operation", F.col("node.file").alias("file"), F.col("node.line").alias("line"))
+
+
+_sql("j19_evidence_restoration", ("reviews",), """
+SELECT finding_id, CASE doc % 7 WHEN 0 THEN 'EXACT' WHEN 1 THEN 'FILE_LINE_DESCRIPTION' WHEN 2 THEN 'FILE_LINE_UNIQUE_CODE' WHEN 3 THEN 'FILE_CODE' WHEN 4 THEN 'FILE_NUMBERED_CODE'
+    WHEN 5 THEN 'TIGHTEST_CONTAINING' ELSE CASE WHEN doc % 2 = 0 THEN 'CLEARED' ELSE 'REJECTED' END END AS operation,
+  CASE WHEN doc % 7 < 4 THEN 'a.py' WHEN doc % 7 < 6 THEN 'b.py' END AS file,
+  CASE WHEN doc % 7 < 4 THEN '' || (doc % 9 + 10) WHEN doc % 7 < 6 THEN (doc % 9 + 10) || '-' || (doc % 9 + 13) END AS line FROM reviews""")
+
+
+@_query
+def v3_gold_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What keeps gold labels and predictions from an official metric."""
+    g = V.flat(spark, sf_dir, "gold").select("finding_id", "label", F.regexp_extract("finding_id", r"(\d+)$", 1).cast("long").alias("k"))
+    strings = lambda *x: F.array(*map(F.lit, x)).cast("array<string>")
+    false, known, k = F.col("label") == "FP_CONFIRMED", F.col("label") == "TP_KNOWN", F.col("k")
+    labels = g.select(
+        "finding_id", F.lit(1).alias("schema_version"), "label", F.when(k % 8 == 0, " ").otherwise("why").alias("reasoning"), strings("e").alias("evidence"),
+        F.struct(F.lit("m").alias("id"), F.when(k % 2 == 0, "MODEL").otherwise("HUMAN").alias("kind")).alias("reviewer"),
+        F.struct(F.lit("LLM_VERIFIED").alias("method"), F.lit(True).alias("blind"), (k % 6 != 0).alias("independent_from_candidate_generator")).alias("verification"),
+        F.when(k % 9 == 0, "2026-01-01T00:00:00").otherwise("2026-01-01T00:00:00Z").alias("reviewed_at"),
+        F.when(false & (k % 5 != 0), strings("CONSTANT_VALUE")).otherwise(strings()).alias("reason_codes"),
+        F.when(known, strings("entry-1")).otherwise(strings()).alias("linked_entry_ids"), F.when(known & (k % 11 != 0), strings("report-1")).otherwise(strings()).alias("linked_report_ids"),
+    )
+    p = V.flat(spark, sf_dir, "reviews").join(g.select("finding_id"), "finding_id", "left_semi")
+    return gates.gold_inputs(labels, p.select("finding_id", "verdict", F.col("eligible").alias("evaluation_eligible")))
+
+
+_sql("v3_gold_gate", ("gold", "reviews"), """
+SELECT broken AS rule_id, finding_id AS key, label AS detail FROM (
+  SELECT finding_id, label, unnest(list_filter([CASE WHEN k % 8 = 0 THEN 'REASONING' END, CASE WHEN k % 6 = 0 THEN 'MODEL_VERIFICATION' END, CASE WHEN k % 9 = 0 THEN 'REVIEWED_AT' END,
+    CASE WHEN label = 'FP_CONFIRMED' AND k % 5 = 0 THEN 'FALSE_WITHOUT_REASON' END, CASE WHEN label = 'TP_KNOWN' AND k % 11 = 0 THEN 'KNOWN_WITHOUT_LINK' END], lambda x: x IS NOT NULL)) AS broken
+  FROM (SELECT *, CAST(regexp_extract(finding_id, '(\\d+)$', 1) AS BIGINT) AS k FROM gold))
+UNION ALL SELECT 'NOT_ELIGIBLE', finding_id, verdict FROM reviews WHERE NOT eligible AND finding_id IN (SELECT finding_id FROM gold)""")
