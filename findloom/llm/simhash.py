@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import near_copies
 from .common import materialize
 from .graph import connected_components
 
@@ -258,17 +259,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without near-duplicates: of each component the smallest doc_id stays.
+    """The documents without near copies: of each component the smallest doc_id stays.
 
-    All columns are kept. Rows that repeat a kept doc_id leave one row; rows
-    with a null doc_id, which name no document, stay.
+    Near copies are those of ``near_copies``: five-word shingle sets at a
+    similarity of 0.8 or more, which fingerprints at three or fewer bits mostly
+    miss. All columns are kept. Rows that repeat a kept doc_id and its text
+    leave one row; rows with a null doc_id, which name no document, stay.
     """
-    kept = materialize(
-        near_duplicates(docs, id_col, text_col).filter("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct(),
-        "kept",
-    )
+    kept = near_copies.first_of_each(docs, id_col, text_col).select(F.col("doc_id").alias("kept doc_id"), F.col("same").alias("kept same"))
+    named = docs.withColumn("row same", near_copies.same_text(text_col))
+    on = (F.col(id_col).cast("long") == F.col("kept doc_id")) & (F.col("row same") == F.col("kept same"))
     return (
-        docs.join(kept.hint("shuffle_hash"), id_col, "left_semi")
-        .dropDuplicates([id_col])
+        named.join(kept.hint("shuffle_hash"), on, "left_semi")
+        .dropDuplicates([id_col, "row same"])
+        .drop("row same")
         .unionByName(docs.filter(F.col(id_col).isNull()))
     )

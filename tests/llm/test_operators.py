@@ -90,6 +90,41 @@ def test_near_duplicates_and_keeping(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(components(8, linked)))
 
 
+def slow_shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set())
+
+
+def test_near_copies_against_all_pairs(spark):
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(3000)}"
+    texts = [None, "", " ", "one two", "One  TWO", "one three"]
+    for n in (6, 25, 60, 120, 300):
+        for _ in range(8):
+            base = [word() for _ in range(n)]
+            for edits in range(0, 1 + n // 20):
+                copy = list(base)
+                for k in rng.sample(range(n), edits):
+                    copy[k] = word()
+                texts.append(" ".join(copy))
+    common = " ".join(word() for _ in range(40))  # a passage of many texts, which are no copies
+    texts += [common + " " + " ".join(word() for _ in range(rng.randint(10, 60))) for _ in range(60)]
+    rng.shuffle(texts)
+    sets = [slow_shingles(t) for t in texts]
+    alike = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
+    linked = [(i, j) for i in range(len(texts)) for j in range(i) if alike(sets[i], sets[j])]
+    apart = [(i, j) for i, j in linked if (slow_fingerprint(texts[i]) ^ slow_fingerprint(texts[j])).bit_count() > 3]
+    assert len(apart) > 100  # op3's links would not find them
+    kept = sorted(r["doc_id"] for r in simhash.keep_one_of_each(docs_of(spark, texts)).collect())
+    assert kept == sorted(set(components(len(texts), linked)))
+
+
+def test_near_copies_of_one_id_with_other_texts(spark):
+    texts = ["a b c d e f", "g h i j k l", "a b c d e f", "m n o p q r"]
+    rows = spark.createDataFrame(list(zip([1, 1, 2, None], texts, strict=True)), "doc_id long, text string")
+    assert sorted(r["text"] for r in simhash.keep_one_of_each(rows.unionByName(rows.limit(1))).collect()) == [texts[0], texts[1], texts[3]]
+
+
 def test_components_of_a_chain_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 100 + i) for i in range(1, 40)] + [(7, 7), (200, None)]
     got = {r["node"]: r["component"] for r in graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
