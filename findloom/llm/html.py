@@ -23,7 +23,8 @@ BROADCAST_TEMPLATES, PARTS = 20_000, 64
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)", re.DOTALL
 )
-_ATTRIBUTE = re.compile(r"(class|id|role|itemprop|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
+#: One attribute with its value, from the name's start on, so that no name is looked for inside a value.
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s>/=]*)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s\"'>][^\s>]*)))?|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)")
 _WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
@@ -55,31 +56,39 @@ CLOSES = {
 MAIN = {"article", "main"}
 
 
-def _beside(name: str, attributes: str) -> bool:
+def _attributes(text: str) -> dict[str, str]:
+    """The attributes of a tag in lower case; of a repeated name the first counts."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(text):
+        if m[1]:
+            found.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
+    return found
+
+
+def _beside(name: str, attributes: str, main: bool) -> tuple[bool, bool]:
+    """Whether an element is beside the article, and whether only a word of its class, id or role says so inside one."""
     if name in OUTSIDE:
-        return True
-    if name in MAIN or name in ("html", "body") or not attributes:
-        for m in _ATTRIBUTE.finditer(attributes):
-            if m[1].lower() in ("class", "id") and set(_WORDS.findall((m[2] or m[3] or m[4] or "").lower())) & {"comment", "comments", "reply"} and name == "article":
-                return True
-        return False
-    for m in _ATTRIBUTE.finditer(attributes):
-        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
-        if key in ("class", "id", "role") and set(_WORDS.findall(value)) & BESIDE:
-            return True
-    return False
-
-
-def tokens(html: str) -> Iterator[tuple[str, str, str, bool, bool]]:
-    """(kind, path, text, outside, inside main) of each tag and text of a page.
+        return True, False
+    has = _attributes(attributes) if attributes else {}
+    if name in MAIN or name in ("html", "body"):
+        words = set(_WORDS.findall(has.get("class", "") + " " + has.get("id", "")))
+        named = name == "article" and bool(words & {"comment", "comments", "reply"})
+        return named and not main, named and main
+    if "hidden" in has or has.get("aria-hidden") == "true":
+        return True, False
+    named = any(set(_WORDS.findall(has.get(key, ""))) & BESIDE for key in ("class", "id", "role"))
+    return named and not main, named and main
+
+
+def tokens(html: str) -> Iterator[tuple[str, str, str, bool, bool, bool]]:
+    """(kind, path, text, outside, inside main, doubtful) of each tag and text of a page.
 
     ``kind`` is open, close, break or text; ``path`` the open elements. Tags
     that the page leaves open are closed as browsers do: a block ends an open
     paragraph, an item the item before it, a closing tag all that is open in it.
+    What a class or id inside main names beside the article is doubtful.
     """
-    stack: list[tuple[str, bool, bool]] = []  # name, outside, main
+    stack: list[tuple[str, bool, bool, bool]] = []  # name, outside, main, doubtful
     at, raw = 0, None
     low = html.lower() if any(f"<{r}" in html or f"<{r.upper()}" in html for r in ("script", "style", "title", "textarea")) else html
 
@@ -93,10 +102,10 @@ def tokens(html: str) -> Iterator[tuple[str, str, str, bool, bool]]:
             raw = None
             continue
         m = _TOKEN.search(html, at)
-        outside, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        outside, main, doubtful = stack[-1][1:] if stack else (False, False, False)
         text = html[at : m.start() if m else len(html)]
         if text:
-            yield "text", path(), text, outside, main
+            yield "text", path(), text, outside, main, doubtful
         if not m:
             break
         at = m.end()
@@ -107,11 +116,11 @@ def tokens(html: str) -> Iterator[tuple[str, str, str, bool, bool]]:
             break  # a tag that the page's end cuts off
         if m[1]:
             if name == "br" or name == "p" and all(s[0] != "p" for s in stack):
-                yield "break", path(), name, outside, main
+                yield "break", path(), name, outside, main, doubtful
                 continue
             depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
             if depth is not None and not (name not in BLOCKS and any(s[0] in BLOCKS for s in stack[depth + 1 :])):
-                yield "close", path(), name, outside, main
+                yield "close", path(), name, outside, main, doubtful
                 del stack[depth:]
             continue
         if name in BLOCKS:
@@ -125,13 +134,13 @@ def tokens(html: str) -> Iterator[tuple[str, str, str, bool, bool]]:
                     break
                 if stack[k][0] in ("ul", "ol", "dl", "table", "tbody", "select"):
                     break
-        outside, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        outside, main, doubtful = stack[-1][1:] if stack else (False, False, False)
         if name in VOID or m[3].rstrip().endswith("/") and name not in BLOCKS:
-            yield "break" if name in ("br", "hr") else "void", path(), name, outside, main
+            yield "break" if name in ("br", "hr") else "void", path(), name, outside, main, doubtful
             continue
-        beside = _beside(name, m[3]) or name == "header" and not main
-        stack.append((name, outside or beside, main or name in MAIN))
-        yield "open", path(), name, stack[-1][1], stack[-1][2]
+        beside, named = _beside(name, m[3], main)
+        stack.append((name, outside or beside or name == "header" and not main, main or name in MAIN, doubtful or named))
+        yield "open", path(), name, *stack[-1][1:]
         if name in RAW:
             raw = name
 
@@ -147,12 +156,12 @@ def _hash(kind: str, path: str, text: str) -> int:
 def occurrences(html: str) -> dict[int, int]:
     """How often each token occurs in a page. A token is a tag or a whole text
     node, told apart by its path. Text of an article or main element is data,
-    whatever repeats, and no token of a template."""
+    whatever repeats, and no token of a template, except where it is doubtful."""
     out: dict[int, int] = {}
-    for kind, path, text, _, main in tokens(html):
+    for kind, path, text, _, main, doubtful in tokens(html):
         if kind == "text":
             text = _clean(text)
-            if not text or main:
+            if not text or main and not doubtful:
                 continue
         h = _hash(kind, path, text)
         out[h] = out.get(h, 0) + 1
@@ -202,7 +211,9 @@ def extract(html: str, template: np.ndarray | None) -> str:
 
     The text of an article or main element is the page's if there is one with
     text; else all slots count. Text that the template holds, and text of
-    elements beside the article, is left out. Blocks are joined by a newline.
+    elements beside the article, is left out. Inside an article, a word of a class
+    or id alone drops nothing: the template has to hold the text as well. Blocks
+    are joined by a newline.
     """
     known = set(template.tolist()) if template is not None and len(template) else ()
     found: tuple[list[str], list[str]] = ([], [])
@@ -215,11 +226,11 @@ def extract(html: str, template: np.ndarray | None) -> str:
         if text:
             found[inside].append(text)
 
-    for kind, path, text, outside, main in tokens(html):
+    for kind, path, text, outside, main, doubtful in tokens(html):
         if kind == "text":
             if outside:
                 continue
-            if not main and known and _hash("text", path, _clean(text)) in known:
+            if (doubtful or not main) and known and _hash("text", path, _clean(text)) in known:
                 continue
             if main != inside:
                 close()

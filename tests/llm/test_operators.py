@@ -428,6 +428,28 @@ def test_html_templates(spark):
     assert got[100] == "Our site\nContact us here\nlone\npage\nMade by us" and got[101] == got[102] == ""
 
 
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<div style='overflow:hidden'><article><p>kept</article></div>", "kept"),
+        ("<article><p>a <a href='/hidden-gems' title=\"the hidden cave\">link</a> b</article>", "a link b"),
+        ("<p>a <a href=\"/x?id=search\">b</a> <i data-id='ad' data-class=share>c</i>", "a b c"),
+        ("<article><section id='related-work'><h2 id=search>Search</h2><p>text</p></section></article>", "Search\ntext"),
+        ("<p>a<b hidden>no</b><b HIDDEN=''>no</b><b aria-hidden='true'>no</b><b aria-hidden=false>b</b>", "ab"),
+        ("<div title='>' id='ad'>no</div><p>yes", "yes"),
+    ],
+)
+def test_html_attributes_are_told_from_values(page, text):
+    assert html.extract(page, None) == text
+
+
+def test_html_class_in_an_article_drops_what_the_template_holds(spark):
+    frame = "<body><p>Our site</p><article><p>{}</p><div class='share'>Share this</div><section id='related-work'>{}</section></article><p>Made by us</p></body>"
+    pages = [(i, f"http://a.example/{i}", frame.format(f"text {i}", f"work {i}")) for i in range(8)]
+    got = html.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {i: f"text {i}\nwork {i}" for i in range(8)}
+
+
 # --- urls -------------------------------------------------------------------
 
 
