@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from findloom.llm import decontamination, graph, html, language, media, packing, quality, simhash, substring, urls, warc
+from findloom.llm import decontamination, graph, language, media, packing, quality, simhash, substring, urls, warc
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 SF = "/root/testdata/sf0.001"
@@ -396,60 +396,6 @@ def test_quality_on_held_out_rows(spark):
     assert kept == {r["doc_id"] for r in scored}
 
 
-# --- html -------------------------------------------------------------------
-
-
-@pytest.mark.parametrize(
-    "page,text",
-    [
-        (None, ""),
-        ("", ""),
-        ("plain &amp; simple", "plain & simple"),
-        ("<body><nav>menu</nav><article><h1>T  itle</h1><p>one<br>two</p><p>three &eacute;</article><footer>f</footer>", "T itle\none two\nthree é"),
-        ("<div class='ad'>buy</div><p>text<p>more<script>var x='<p>no</p>'</script><div id=comments>c</div>", "text\nmore"),
-        ("<main><p>a<div>b</div>c</main><aside>x</aside>", "a\nb\nc"),
-        ("<ul><li>one<li>two</ul><table><tr><td>x<td>y</table>", "one\ntwo\nx\ny"),
-        ("<p>a<!-- <p>no --><b>b</b> c", "ab c"),
-        ("<title>t</title><style>p{}</style><p>only &lt;this&gt;", "only <this>"),
-        ("<article><p>cut off <a href='x", "cut off"),
-    ],
-)
-def test_html_extraction(page, text):
-    assert html.extract(page or "", None) == text
-
-
-def test_html_templates(spark):
-    frame = "<body><div><span>Our site</span><p>Contact us here</p></div><div><p>{}</p><p>{}</p></div><p>Made by us</p></body>"
-    pages = [(i, f"http://a.example/{i}", frame.format(f"first text {i}", f"more words {i * 7}")) for i in range(8)]
-    pages += [(100, "http://b.example/1", frame.format("lone", "page")), (101, None, None), (102, "http://a.example/x", "")]
-    df = spark.createDataFrame(pages, "page_id long, url string, html string")
-    got = {r["page_id"]: r["text"] for r in html.main_text(df).collect()}
-    assert all(got[i] == f"first text {i}\nmore words {i * 7}" for i in range(8))
-    assert got[100] == "Our site\nContact us here\nlone\npage\nMade by us" and got[101] == got[102] == ""
-
-
-@pytest.mark.parametrize(
-    "page,text",
-    [
-        ("<div style='overflow:hidden'><article><p>kept</article></div>", "kept"),
-        ("<article><p>a <a href='/hidden-gems' title=\"the hidden cave\">link</a> b</article>", "a link b"),
-        ("<p>a <a href=\"/x?id=search\">b</a> <i data-id='ad' data-class=share>c</i>", "a b c"),
-        ("<article><section id='related-work'><h2 id=search>Search</h2><p>text</p></section></article>", "Search\ntext"),
-        ("<p>a<b hidden>no</b><b HIDDEN=''>no</b><b aria-hidden='true'>no</b><b aria-hidden=false>b</b>", "ab"),
-        ("<div title='>' id='ad'>no</div><p>yes", "yes"),
-    ],
-)
-def test_html_attributes_are_told_from_values(page, text):
-    assert html.extract(page, None) == text
-
-
-def test_html_class_in_an_article_drops_what_the_template_holds(spark):
-    frame = "<body><p>Our site</p><article><p>{}</p><div class='share'>Share this</div><section id='related-work'>{}</section></article><p>Made by us</p></body>"
-    pages = [(i, f"http://a.example/{i}", frame.format(f"text {i}", f"work {i}")) for i in range(8)]
-    got = html.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
-    assert {r["page_id"]: r["text"] for r in got} == {i: f"text {i}\nwork {i}" for i in range(8)}
-
-
 # --- urls -------------------------------------------------------------------
 
 
