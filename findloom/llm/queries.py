@@ -27,8 +27,8 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
-    # A page's url ends in the id of the document that it shows.
-    shown = pages.select("url", F.regexp_extract(urls.path_of(F.col("url")), r"/([0-9]{1,18})", 1).try_cast("long").alias("doc_id"))
+    # The last step of a page's path is the id of the document that it shows.
+    shown = pages.select("url", F.regexp_extract(urls.path_of(F.col("url")), r"/([0-9]{1,18})(?:\.[a-z]+)?/?$", 1).try_cast("long").alias("doc_id"))
     bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
     labelled = shown.join(labels, "doc_id").select("url", F.when(bad, urls.BLOCK).otherwise(urls.ALLOW).alias("label"))
     return urls.judge(pages, URL_RULES, urls.mine(labelled))

@@ -8,9 +8,13 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 BLOCK, ALLOW = "block", "allow"
-#: Least share of the labelled urls, and of those with the antecedent, that a rule holds for.
-SUPPORT, CONFIDENCE = 0.002, 0.8
+#: Labelled urls that a rule has to block at least, in number and as a share, and the share of those with its tokens.
+LEAST_URLS, SUPPORT, CONFIDENCE = 20, 0.0002, 0.8
+#: Standard deviations by which a rule's confidence has to stand off the share of urls to block at large.
+CERTAINTY = 3.0
 #: Rows of the inverted index up to which it is broadcast.
 BROADCAST_INDEX = 100_000
 _LABEL = "label="
@@ -46,20 +50,41 @@ def tokens_of(url: Column) -> Column:
     return F.coalesce(F.array_distinct(F.concat(host, path, keys, F.filter(extra, lambda x: ~x.endswith("=")))), F.array())
 
 
-def mine(labelled: DataFrame, url_col: str = "url", label_col: str = "label", support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+def mine(
+    labelled: DataFrame, url_col: str = "url", label_col: str = "label", support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = LEAST_URLS
+) -> DataFrame:
     """Rows (rule_id, antecedent, confidence, support): token sets whose urls are to be blocked.
 
-    ``label_col`` holds ``block`` or ``allow``. Support prunes while mining, and
-    bounds the number of frequent tokens by the mean number of tokens over it.
+    ``label_col`` holds ``block`` or ``allow``; rows with a null label or url
+    teach nothing. A rule needs ``least`` urls that it rightly blocks, be the
+    table small or large, and a confidence whose lower bound is above the share
+    of urls to block at large, so that no rule remembers single rows. A rule is
+    left out where one without one of its tokens is as confident. ``support``
+    prunes while mining, and bounds the number of frequent tokens by the mean
+    number of tokens over it. Without labelled urls there are no rules.
     """
-    baskets = labelled.filter(F.col(label_col).isNotNull() & F.col(url_col).isNotNull()).select(
-        F.array_append(tokens_of(F.col(url_col)), F.concat(F.lit(_LABEL), F.col(label_col))).alias("items")
-    )
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
+    known = labelled.filter(F.col(label_col).isNotNull() & F.col(url_col).isNotNull())
+    baskets = materialize(known.select(F.array_append(tokens_of(F.col(url_col)), F.concat(F.lit(_LABEL), F.col(label_col))).alias("items")), "baskets")
+    n, bad = baskets.agg(F.count("*"), F.count_if(F.array_contains("items", _LABEL + BLOCK))).first()
+    if not n:
+        return baskets.sparkSession.createDataFrame([], _RULES)
+    model = FPGrowth(itemsCol="items", minSupport=max(support, min(1.0, least / n)), minConfidence=confidence).fit(baskets)
     rules = model.associationRules.filter(F.array_contains("consequent", _LABEL + BLOCK))
-    return rules.select(
-        F.concat_ws(" ", F.array_sort("antecedent")).alias("rule_id"), "antecedent", "confidence", "support"
+    # The lower bound of Wilson's interval for the share of a rule's urls that are to be blocked.
+    p, m, z = F.col("confidence"), F.round(F.col("support") * n / F.col("confidence")), F.lit(CERTAINTY)
+    bound = (p + z * z / (2 * m) - z * F.sqrt(p * (1 - p) / m + z * z / (4 * m * m))) / (1 + z * z / m)
+    sure = rules.filter(bound > bad / n).select(
+        F.concat_ws(" ", F.array_sort("antecedent")).alias("rule_id"), F.array_sort("antecedent").alias("antecedent"), "confidence", "support"
     )
+    sure = materialize(sure, "sure")
+    i = F.explode(F.sequence(F.lit(1), F.size("antecedent")))
+    one_less = sure.filter(F.size("antecedent") > 1).select("rule_id", F.col("confidence").alias("own"), "antecedent", i.alias("i"))
+    one_less = one_less.select("rule_id", "own", F.array_except("antecedent", F.array(F.element_at("antecedent", F.col("i")))).alias("antecedent"))
+    implied = one_less.join(sure.select("antecedent", "confidence"), "antecedent").filter("confidence >= own").select("rule_id")
+    return materialize(sure.join(implied, "rule_id", "left_anti"), "rules")
+
+
+_RULES = "rule_id string, antecedent array<string>, confidence double, support double"
 
 
 def _fixed(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
@@ -90,18 +115,14 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], mined: DataFrame, id_c
         path_of(url).alias("path"),
         url.alias("url"),
     ).withColumn("fixed", _fixed(F.col("host"), F.col("path"), rules))
-    mined = mined.persist()
     index = mined.select(F.explode("antecedent").alias("token"), "rule_id", "confidence", F.size("antecedent").alias("needed"))
-    if mined.agg(F.sum(F.size("antecedent"))).first()[0] is None:
-        found = rows.select("row", "page_id", "host", "path", "fixed", F.lit(None).cast("string").alias("mined_rule"), F.lit(None).cast("double").alias("confidence"))
-    else:
-        if index.count() <= BROADCAST_INDEX:
-            index = F.broadcast(index)
-        tokens = rows.select("row", "page_id", "host", "path", "fixed", F.explode_outer(F.when(F.col("fixed").isNull(), tokens_of(F.col("url")))).alias("token"))
-        own = ["row", "page_id", "host", "path", "fixed"]
-        met = tokens.join(index, "token", "left").groupBy(*own, "rule_id", "needed", "confidence").agg(F.count("*").alias("n"))
-        best = F.max(F.when(F.col("n") == F.col("needed"), F.struct("confidence", F.col("rule_id"))))
-        found = met.groupBy(*own).agg(best.alias("best")).select(*own, F.col("best.rule_id").alias("mined_rule"), F.col("best.confidence").alias("confidence"))
+    if index.count() <= BROADCAST_INDEX:
+        index = F.broadcast(index)
+    own = ["row", "page_id", "host", "path", "fixed"]
+    tokens = rows.select(*own, F.explode_outer(F.when(F.col("fixed").isNull(), tokens_of(F.col("url")))).alias("token"))
+    met = tokens.join(index, "token", "left").groupBy(*own, "rule_id", "needed", "confidence").agg(F.count("*").alias("n"))
+    best = F.max(F.when(F.col("n") == F.col("needed"), F.struct("confidence", F.col("rule_id"))))
+    found = met.groupBy(*own).agg(best.alias("best")).select(*own, F.col("best.rule_id").alias("mined_rule"), F.col("best.confidence").alias("confidence"))
     by_method = F.when(F.col("mined_rule").isNotNull(), BLOCK).otherwise(ALLOW)
     return found.select(
         "page_id", "host", "path", F.col("fixed.rule").alias("rule"), F.coalesce("fixed.verdict", by_method).alias("verdict"), "mined_rule", "confidence"
