@@ -431,6 +431,7 @@ def classes(parsed: DataFrame) -> DataFrame:
     vectors = counted.groupBy("host", "token").agg(
         F.count("*").alias("support"), F.sum(vector.bitwiseAND(0xFFFFFFFF)).alias("low"), F.sum(F.shiftright(vector, 32)).alias("high")
     )
+    vectors = vectors.filter(F.col("support") >= SUPPORT * MIN_PAGES)  # most texts are on one page alone
     articles = parsed.select("host", "article").distinct().groupBy("host").agg(F.count("*").alias("articles")).filter(F.col("articles") >= MIN_PAGES)
     frequent = vectors.join(articles.hint("shuffle_hash"), "host").filter(F.col("support") >= SUPPORT * F.col("articles"))
     same = frequent.groupBy("host", "support", "low", "high").agg(F.collect_list("token").alias("tokens"), F.first("articles").alias("articles"))
