@@ -12,14 +12,16 @@ from pyspark.sql import functions as F
 
 from .common import crc_bucket
 
-#: The bound of the training sample: letters and spaces of a language, and texts expected for it.
-TRAIN_SYMBOLS, TRAIN_TEXTS = 30_000, 60
-#: Symbols of a text that are parsed as one lane; a longer text is several lanes.
+#: The bound of the training sample: letters and spaces of a language, texts expected for it, and languages, the most frequent first.
+TRAIN_SYMBOLS, TRAIN_TEXTS, LANGUAGES = 30_000, 60, 200
+#: Symbols of a text that are parsed beside each other; the parsing goes on over their borders.
 LANE = 512
 UNKNOWN = "und"
-SPACE, OTHER, FIRST = 1, 2, 3
-#: Letters that get a symbol of their own; the rest share one.
-ALPHABET = 96
+SPACE, FIRST = 1, 2
+#: Bits of a letter that a language's text does not show: those of a code point.
+LITERAL = 20.0
+#: Cells of all dense transition tables; automata that do not fit have their transitions as sorted pairs.
+DENSE_CELLS = 48_000_000
 
 _IS_LETTER: np.ndarray | None = None
 
@@ -36,17 +38,18 @@ def points(text: str) -> np.ndarray:
     return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def symbols(text: str, table: np.ndarray) -> np.ndarray:
-    """The text as symbols; each run of other characters than letters is one space."""
-    s = table[points(text)]
-    if not len(s):
-        return s
-    return s[np.concatenate(([True], (s[1:] != SPACE) | (s[:-1] != SPACE)))]
+def joined(text: str) -> np.ndarray:
+    """The code points of the text in lower case; each run of other characters than letters is one space."""
+    p = points(text)
+    letter = _letters()[p]
+    keep = letter.copy()
+    keep[1:] |= letter[:-1]
+    keep[:1] = True
+    return np.where(letter, p, 32)[keep]
 
 
-def suffix_automaton(s: list[int], width: int) -> np.ndarray:
-    """The transitions of the suffix automaton of ``s`` by state and symbol; the
-    root is state 0, and 0 also stands for no transition."""
+def suffix_automaton(s: list[int]) -> list[dict[int, int]]:
+    """By state the transitions of the suffix automaton of ``s``; the root is state 0, to which none leads."""
     follow: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in s:
@@ -72,64 +75,158 @@ def suffix_automaton(s: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = clone
         last = new
-    table = np.zeros((len(follow), width), np.uint16 if len(follow) < 1 << 16 else np.int32)
-    for state, edges in enumerate(follow):
-        for c, to in edges.items():
-            table[state, c] = to
-    return table
+    return follow
+
+
+class Transitions:
+    """The transitions of an automaton as arrays; 0 stands for none. Symbol 0 has none."""
+
+    def __init__(self, follow: list[dict[int, int]], width: int, dense: bool):
+        self.width = width
+        self.keys = np.array([state * width + c for state, edges in enumerate(follow) for c in sorted(edges)], np.int64)
+        self.to = np.array([edges[c] for edges in follow for c in sorted(edges)], np.int32)
+        self.table = None
+        if dense:
+            self.table = np.zeros(len(follow) * width, np.uint16 if len(follow) < 1 << 16 else np.int32)
+            self.table[self.keys] = self.to
+            self.keys = self.to = np.zeros(0, np.int32)
+
+    def step(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        key = state * self.width + c
+        if self.table is not None:
+            return self.table[key].astype(np.int64)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.to[at], 0).astype(np.int64)
+
+    def count(self, s: np.ndarray) -> int:
+        """The phrases of one text, symbol by symbol."""
+        phrases, state = 0, 0
+        zero = np.zeros(1, np.int64)
+        for c in s.reshape(-1, 1):
+            to = int(self.step(zero + state, c)[0])
+            if not to:
+                phrases += state != 0
+                to = int(self.step(zero, c)[0])
+                phrases += to == 0
+            state = to
+        return phrases + (state != 0)
+
+
+def _by_text(told: np.ndarray, offsets: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """How many of each text's symbols are told."""
+    return np.add.reduceat(np.append(told, False).astype(np.int64), offsets) * (size > 0) if len(size) else np.zeros(0, np.int64)
 
 
 @dataclass
 class Model:
-    """By language an automaton; ``cost`` is the bits of a phrase that points into its text."""
+    """By language an automaton and the symbols of its letters; ``cost`` is the bits of a phrase that points into its text.
+
+    ``letters`` numbers the letters of all samples by code point, ``symbol``
+    has a language's symbol of each; a letter that the language lacks is 0, and
+    costs ``LITERAL`` bits beside its phrase.
+    """
 
     languages: list[str]
-    codes: np.ndarray
-    automata: list[np.ndarray]
+    letters: np.ndarray
+    symbol: list[np.ndarray]
+    automata: list[Transitions]
     cost: list[float]
 
-    def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """By text and language the number of phrases of the greedy cross parsing, and by text its symbols.
+    def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By text and language the phrases of the greedy cross parsing and the
+        symbols that the language lacks, and by text its symbols.
 
         A phrase is the longest piece of the language's text that goes on from
-        the last one's end. All lanes take a step at once.
+        the last one's end; a symbol that the language lacks is one by itself.
+        Long texts are parsed as lanes, all of which take a step at once. Each
+        lane is parsed as if a phrase began with it; then the phrase that really
+        goes on over its border is followed until a phrase begins where one
+        began before, from where on the two are the same. Where they do not
+        meet within a lane, the text is parsed once more, symbol by symbol.
         """
-        parsed = [symbols(t, self.codes) for t in texts]
+        parsed = [self.letters[joined(t)] for t in texts]
         size = np.fromiter(map(len, parsed), np.int64, len(parsed))
         lanes = -(-size // LANE)
         owner = np.repeat(np.arange(len(texts)), lanes)
         part = np.arange(len(owner)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
         length = np.minimum(LANE, size[owner] - part * LANE)
         order = np.argsort(-length, kind="stable")
-        owner, length = owner[order], length[order]
-        start = (np.cumsum(size) - size)[owner] + part[order] * LANE
-        flat = np.concatenate(parsed) if parsed else np.zeros(0, np.uint8)
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        start = (np.cumsum(size) - size)[owner] + part * LANE
+        before = place[np.flatnonzero(part > 0) - 1]  # of each lane that is no text's first, the lane before it
+        later = place[part > 0]
+        by_length = np.argsort(-length[order][later], kind="stable")
+        before, later = before[by_length], later[by_length]
+        owner, length, start = owner[order], length[order], start[order]
+        flat = np.concatenate(parsed) if parsed else np.zeros(0, np.int64)
         active = np.searchsorted(-length, -np.arange(1, LANE + 1), side="right")
+        offsets = np.cumsum(size) - size
         counts = np.zeros((len(texts), len(self.languages)), np.int64)
-        steps = [flat[start[:n] + k].astype(np.int64) for k, n in enumerate(active.tolist()) if n]
-        for j, table in enumerate(self.automata):
-            width, flat_table, root = table.shape[1], table.ravel(), table[0]
+        lacking = np.zeros_like(counts)
+        for j, automaton in enumerate(self.automata):
+            s = self.symbol[j][flat]
+            begins = np.zeros(len(flat) + 1, bool)  # where a phrase begins, as far as its lane knows
+            begins[start] = True
             state = np.zeros(len(owner), np.int64)
-            found = np.zeros(len(owner), np.int64)
-            for c in steps:
-                n = len(c)
-                to = flat_table[state[:n] * width + c]
+            for k, n in enumerate(active.tolist()):
+                if not n:
+                    break
+                at = start[:n] + k
+                c = s[at]
+                to = automaton.step(state[:n], c)
                 miss = np.flatnonzero(to == 0)
                 if len(miss):
-                    # The phrase so far ends here; a symbol that the language lacks is one by itself.
-                    again = root[c[miss]]
-                    found[miss] += (state[miss] != 0).astype(np.int64) + (again == 0)
+                    begins[at[miss]] = True
+                    again = automaton.step(np.zeros(len(miss), np.int64), c[miss])
+                    begins[at[miss[again == 0]] + 1] = True
                     to[miss] = again
                 state[:n] = to
-            np.add.at(counts[:, j], owner, found + (state != 0))
-        return counts, size
+            begins[offsets[1:]] = True  # a text's end marks its neighbour's first symbol, which begins a phrase anyway
+            total = _by_text(begins[:-1], offsets, size)
+            lacking[:, j] = _by_text(s == 0, offsets, size)
+            apart = self._mend(automaton, s, begins, state[before], start[later], length[later], owner[later], total)
+            for i in apart:
+                total[i] = automaton.count(s[offsets[i] : offsets[i] + size[i]])
+            counts[:, j] = total
+        return counts, lacking, size
+
+    @staticmethod
+    def _mend(automaton: Transitions, s: np.ndarray, begins: np.ndarray, state: np.ndarray, start: np.ndarray, length: np.ndarray, owner: np.ndarray, total: np.ndarray) -> list[int]:
+        """Follow the phrases that go over the lanes' borders, and put ``total`` right.
+
+        Returns the texts with a lane in which the two parsings do not meet.
+        """
+        on = np.flatnonzero(state != 0)
+        state = state[on]
+        change = np.zeros(len(owner), np.int64)
+        apart: set[int] = set()
+        for k in range(LANE):
+            over = length[on] <= k
+            if over.any():
+                apart.update(owner[on[over]].tolist())
+                on, state = on[~over], state[~over]
+            if not len(on):
+                break
+            at = start[on] + k
+            c = s[at]
+            told = begins[at]
+            to = automaton.step(state, c)
+            fresh = (to == 0) | (state == 0)
+            met = fresh & told
+            change[on] += fresh.astype(np.int64) - told
+            to[to == 0] = automaton.step(np.zeros(int((to == 0).sum()), np.int64), c[to == 0])
+            on, state = on[~met], to[~met]
+        apart.update(owner[on].tolist())
+        np.add.at(total, owner, change)
+        return sorted(apart)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Languages and scores: one less the winner's bits over the runner-up's."""
         letters = _letters()
         known = [t if t and letters[points(t)].any() else "" for t in texts]
-        counts, size = self.phrases(known)
-        bits = counts * np.array(self.cost)
+        counts, lacking, size = self.phrases(known)
+        bits = counts * np.array(self.cost) + lacking * LITERAL
         names, scores = [], np.zeros(len(texts))
         if not self.languages:
             return [UNKNOWN] * len(texts), scores
@@ -145,48 +242,57 @@ class Model:
 
 
 def build(samples: dict[str, list[str]], limit: int = TRAIN_SYMBOLS) -> Model:
-    """A model of texts by language, each language with as much text as the least one has, ``limit`` at most."""
-    seen: dict[int, int] = {}
-    letters = _letters()
-    for texts in samples.values():
-        for t in texts:
-            p, n = np.unique(points(t), return_counts=True)
-            for c, k in zip(p.tolist(), n.tolist(), strict=True):
-                if letters[c]:
-                    seen[c] = seen.get(c, 0) + k
-    chosen = sorted(seen, key=lambda c: (-seen[c], c))[:ALPHABET]
-    codes = np.where(letters, OTHER, SPACE).astype(np.uint8)
-    for k, c in enumerate(chosen):
-        codes[c] = FIRST + k
+    """A model of texts by language, ``limit`` symbols of each at most. Every letter of a sample has a symbol of its own."""
     languages = sorted(samples)
     train = []
     for name in languages:
-        s: list[int] = []
+        parts, n = [], 0
         for t in samples[name]:
-            s += [*symbols(t, codes).tolist(), 0]
-            if len(s) > limit:
+            p = joined(t)[: limit - n]
+            parts.append(p)
+            n += len(p) + 1
+            if n >= limit:
                 break
-        train.append(s[:limit])
-    automata = [suffix_automaton(s, FIRST + len(chosen)) for s in train]
-    return Model(languages, codes, automata, [float(np.log2(max(2, len(s)))) for s in train])
+        train.append(parts)
+    seen = np.unique(np.concatenate([np.array([32], np.int64), *(p for parts in train for p in parts)]))
+    letters = np.zeros(0x110000, np.int32 if len(seen) >= 1 << 16 else np.uint16)
+    letters[seen] = np.arange(1, len(seen) + 1)
+    symbol, automata, cost = [], [], []
+    for parts in train:
+        own = np.unique(np.concatenate([letters[np.array([32])], *(letters[p] for p in parts)]))
+        table = np.zeros(len(seen) + 1, np.int64)
+        table[own] = np.arange(SPACE, len(own) + SPACE)
+        table[letters[32]] = SPACE
+        table[own[own != letters[32]]] = np.arange(FIRST, len(own) + 1)
+        s: list[int] = []
+        for p in parts:
+            s += [*table[letters[p]].tolist(), len(own) + 1]  # no text has the symbol between two texts
+        follow = suffix_automaton(s)
+        width = len(own) + 2
+        automata.append(Transitions(follow, width, len(follow) * width * len(languages) <= DENSE_CELLS))
+        symbol.append(table)
+        cost.append(float(np.log2(max(2, len(s)))))
+    return Model(languages, letters, symbol, automata, cost)
 
 
 def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, folds: int, held_out: int, texts: int = TRAIN_TEXTS, limit: int = TRAIN_SYMBOLS) -> dict[str, list[str]]:
     """By language the texts of lowest hash, about ``texts`` of them, none beyond ``limit`` characters.
 
-    The count of each language sets a threshold for its hashes, so no language
-    is sorted or gathered in one task; what reaches the driver is bounded.
+    Learns the ``LANGUAGES`` most frequent values of ``lang_col``. The count of
+    each sets a threshold for its hashes, so no language is sorted or gathered
+    in one task; what reaches the driver is bounded.
     """
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (crc_bucket(F.col(id_col), folds) != held_out)).select(
-        F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.substring(text_col, 1, limit).alias("t")
+        F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.substring(text_col, 1, limit).alias("t")
     )
+    frequent = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    if not frequent:
+        return {}
+    counted = docs.sparkSession.createDataFrame([(r["lang"], r["n"]) for r in frequent], "lang string, n long")
     share = F.pmod("h", F.lit(1 << 30)) / F.lit(float(1 << 30))
-    counted = known.groupBy("lang").count().collect()
-    wanted = F.lit(False)
-    for r in counted:
-        wanted = wanted | ((F.col("lang") == r["lang"]) & (share < texts / r["count"]))
-    out: dict[str, list[str]] = {r["lang"]: [] for r in counted}
-    for r in sorted(known.filter(wanted).collect(), key=lambda r: (r["h"], r["t"])):
+    wanted = known.join(F.broadcast(counted), "lang").filter(share < texts / F.col("n")).select("lang", "h", "t")
+    out: dict[str, list[str]] = {r["lang"]: [] for r in frequent}
+    for r in sorted(wanted.collect(), key=lambda r: (r["h"], r["t"])):
         out[r["lang"]].append(r["t"])
     letters = _letters()
     return {k: v for k, v in out.items() if any(letters[points(t)].any() for t in v)}
