@@ -180,7 +180,8 @@ d AS (
 f AS (SELECT *, min(page_id) OVER (PARTITION BY n, digest) AS first_id FROM d)
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
   CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN page_id <> first_id THEN first_id END AS refers_to, url AS target_uri
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to, url AS target_uri,
+  CAST(NULL AS VARCHAR) AS error
 FROM f
 """
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import base64
 import gzip
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,17 +92,16 @@ def _record(headers: list[tuple[str, bytes]], block: bytes) -> bytes:
     return b"\r\n".join(lines) + b"\r\n\r\n" + block
 
 
-def _records(row_id, url: str | None, payload: bytes, refers_to, digest: str, room: int, step: int) -> Iterator[bytes]:
+def _records(name: str, url: str | None, payload: bytes, refers_to, digest: str, room: int, step: int) -> Iterator[bytes]:
     """The records of one page. If the first archive's ``room`` is too small,
     the block goes on in continuation records of at most ``step`` bytes."""
-    name = f"<{PREFIX}{row_id}>"
     about = [("WARC-Record-ID", name.encode()), ("WARC-Date", _DATE.encode()), ("WARC-Payload-Digest", f"sha1:{digest}".encode())]
     if url is not None:
         about.append(("WARC-Target-URI", _line(url)))
     about.append(("Content-Type", b"application/http; msgtype=response"))
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
     if refers_to is not None:
-        more = [("WARC-Type", b"revisit"), ("WARC-Profile", REVISIT_PROFILE.encode()), ("WARC-Refers-To", f"<{PREFIX}{refers_to}>".encode())]
+        more = [("WARC-Type", b"revisit"), ("WARC-Profile", REVISIT_PROFILE.encode()), ("WARC-Refers-To", f"<{PREFIX}{refers_to}:{digest}>".encode())]
         yield _record([*more, *about], head)
         return
     block = head + chunked(payload)
@@ -113,7 +115,7 @@ def _records(row_id, url: str | None, payload: bytes, refers_to, digest: str, ro
         number = k + 2
         headers = [
             ("WARC-Type", b"continuation"),
-            ("WARC-Record-ID", f"<{PREFIX}{row_id}:segment:{number}>".encode()),
+            ("WARC-Record-ID", f"{name[:-1]}:segment:{number}>".encode()),
             ("WARC-Date", _DATE.encode()),
             ("WARC-Segment-Origin-ID", name.encode()),
             ("WARC-Segment-Number", b"%d" % number),
@@ -130,8 +132,10 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     goes on in the next one as continuation segments. Of equal payloads of at
     least ``min_bytes`` bytes the smallest id keeps the response, the others
     become revisit records. A null payload is empty; a null url is left out; an
-    empty table writes no record. Ids should be unique: rows that repeat one
-    are all written, and rows of a null id are always responses.
+    empty table writes no record. A record's id is made of the row's id and
+    the payload's digest, so rows that repeat an id with other payloads are told
+    apart; rows that repeat both are numbered within their task. Rows of a null
+    id are always responses.
     """
     payload = F.coalesce(F.col(payload_col), F.lit("").cast("binary"))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload"))
@@ -139,9 +143,14 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, used = [], 0
+        seen_here: dict[str, int] = {}  # names of rows that may be cut into segments
         for b in batches:
             for row_id, url, data, digest, refers_to in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
-                for record in _records(row_id, url, data, refers_to, digest, archive_bytes - used, archive_bytes):
+                name = f"{PREFIX}{row_id}:{digest}"
+                if refers_to is None and 2 * len(data) + 1024 > archive_bytes - used:
+                    seen_here[name] = seen_here.get(name, 0) + 1
+                    name = name if seen_here[name] == 1 else f"{name}:copy:{TaskContext.get().partitionId()}.{seen_here[name]}"
+                for record in _records(f"<{name}>", url, data, refers_to, digest, archive_bytes - used, archive_bytes):
                     parts.append(record)
                     used += len(record)
                     if used >= archive_bytes:
@@ -180,8 +189,9 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end + 4 + size
 
 
-_COMPLETE = "record_id string, record_type string, target_uri string, refers_to string, payload binary, error string"
-_SEGMENT = "origin string, number int, total long, record_type string, target_uri string, refers_to string, block binary"
+_COMPLETE = "record_id string, record_type string, target_uri string, refers_to string, stated_digest string, payload binary, error string"
+_DIGESTS = "record_id string, record_type string, target_uri string, refers_to string, stated_digest string, payload_bytes long, payload_digest string, error string"
+_SEGMENT = ", number int, total long, block binary"
 
 
 def _decoded(block: bytes, kind: str | None) -> tuple[bytes | None, str | None]:
@@ -193,26 +203,35 @@ def _decoded(block: bytes, kind: str | None) -> tuple[bytes | None, str | None]:
         return None, f"framing: {why}"
 
 
-def _complete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for data in b.column(0).to_pylist():
-            rows = []
-            for h, block in parse(data):
-                if "warc-segment-number" not in h:
-                    rows.append((h.get("warc-record-id"), h.get("warc-type"), h.get("warc-target-uri"), h.get("warc-refers-to"), *_decoded(block, h.get("warc-type"))))
-            yield _batch(rows, _COMPLETE)
+def _shown(payload: bytes | None, digests: bool) -> tuple:
+    """A payload as the columns of a record: itself, or its size and digest."""
+    if not digests:
+        return (payload,)
+    if payload is None:
+        return None, None
+    return len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for data in b.column(0).to_pylist():
-            rows = []
-            for h, block in parse(data):
-                if "warc-segment-number" in h:
-                    origin = h.get("warc-segment-origin-id") or h.get("warc-record-id")
+def _record_rows(digests: bool):
+    """Each record of the archives: a whole one decoded, a segment as it is."""
+    schema = (_DIGESTS if digests else _COMPLETE) + _SEGMENT
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for data in b.column(0).to_pylist():
+                rows = []
+                for h, block in parse(data):
+                    about = h.get("warc-type"), h.get("warc-target-uri"), h.get("warc-refers-to"), h.get("warc-payload-digest", "").removeprefix("sha1:") or None
+                    if "warc-segment-number" not in h:
+                        payload, error = _decoded(block, about[0])
+                        rows.append((h.get("warc-record-id"), *about, *_shown(payload, digests), error, None, None, None))
+                        continue
                     total = h.get("warc-segment-total-length")
-                    rows.append((origin, int(h["warc-segment-number"]), total and int(total), h.get("warc-type"), h.get("warc-target-uri"), h.get("warc-refers-to"), block))
-            yield _batch(rows, _SEGMENT)
+                    origin = h.get("warc-segment-origin-id") or h.get("warc-record-id")
+                    rows.append((origin, *about, *_shown(None, digests), None, int(h["warc-segment-number"]), total and int(total), block))
+                yield _batch(rows, schema)
+
+    return run
 
 
 _TYPES = {"string": pa.string(), "binary": pa.binary(), "int": pa.int32(), "long": pa.int64()}
@@ -237,42 +256,52 @@ def reassemble(segments: list[tuple[int, bytes]], totals: list[int]) -> tuple[by
     return block, None
 
 
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = []
-        for origin, kind, uri, refers, parts, totals in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
-            block, error = reassemble([(p["number"], p["block"]) for p in parts], totals)
-            payload = None
-            if block is not None:
-                payload, error = _decoded(block, kind)
-            rows.append((origin, kind, uri, refers, payload, error))
-        yield _batch(rows, _COMPLETE)
+def _joined(digests: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for *about, parts, totals in zip(*(b.column(k).to_pylist() for k in range(7)), strict=True):
+                block, error = reassemble([(p["number"], p["block"]) for p in parts], totals)
+                payload = None
+                if block is not None:
+                    payload, error = _decoded(block, about[1])
+                rows.append((*about, *_shown(payload, digests), error))
+            yield _batch(rows, _DIGESTS if digests else _COMPLETE)
+
+    return run
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (record_id, record_type, target_uri, refers_to, payload, error), one for each record.
+def read_archives(spark: SparkSession, path: str, digests: bool = False) -> DataFrame:
+    """Rows (record_id, record_type, target_uri, refers_to, stated_digest, payload, error), one for each record.
 
     Segments are grouped by the id of the record that they continue, put in
     order of their numbers, checked against the stated total length and joined;
     only segments are shuffled, and a group is one record's. Then chunked
     framing is decoded. A record that fails a check has a null payload and the
-    reason in ``error``; a revisit has neither payload nor error. A folder without records gives no rows.
+    reason in ``error``; a revisit has neither payload nor error. A folder
+    without records gives no rows.
+
+    With ``digests``, payload_bytes and payload_digest stand for the payload,
+    and the archives are read once, into a table of the records' facts and the
+    segments' blocks.
     """
-    files = spark.read.format("binaryFile").load(path).select("content")
-    whole = files.mapInArrow(_complete, _COMPLETE)
+    schema = _DIGESTS if digests else _COMPLETE
+    records = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_record_rows(digests), schema + _SEGMENT)
+    if digests:
+        records = materialize(records, "records")
+    about = ["record_type", "target_uri", "refers_to", "stated_digest"]
     first = F.col("number") == 1
     groups = (
-        files.mapInArrow(_segments, _SEGMENT)
-        .groupBy("origin")
+        records.filter("number is not null")
+        .groupBy("record_id")
         .agg(
-            F.max(F.when(first, F.col("record_type"))).alias("record_type"),
-            F.max(F.when(first, F.col("target_uri"))).alias("target_uri"),
-            F.max(F.when(first, F.col("refers_to"))).alias("refers_to"),
+            *[F.max(F.when(first, F.col(c))).alias(c) for c in about],
             F.collect_list(F.struct("number", "block")).alias("parts"),
             F.collect_list("total").alias("totals"),
         )
     )
-    return whole.unionByName(groups.mapInArrow(_joined, _COMPLETE))
+    whole = records.filter("number is null").drop("number", "total", "block")
+    return whole.unionByName(groups.mapInArrow(_joined(digests), schema))
 
 
 def _number(column: str) -> Column:
@@ -284,26 +313,30 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """Write ``pages`` to archives in the shared folder, read them, and report.
 
     Rows (page_id, payload_bytes, payload_digest, record_type, refers_to,
-    target_uri), one for each page; a revisit's payload is its response's.
+    target_uri, error), one for each page; a revisit's payload is that of the
+    response that it names. ``error`` says what is wrong with a record, a
+    revisit without its response among them, and is null for a sound one.
     """
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
     html = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     write_archives(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), html.alias("payload")), path)
-    found = materialize(
-        read_archives(spark, path).select(
-            _number("record_id").alias("page_id"),
-            "record_type",
-            _number("refers_to").alias("refers_to"),
-            "target_uri",
-            F.when(F.col("record_type") == "response", F.length("payload").cast("long")).alias("payload_bytes"),
-            F.when(F.col("record_type") == "response", digest32(F.col("payload"))).alias("payload_digest"),
-        ),
-        "records",
+    read = read_archives(spark, path, digests=True)
+    found = read.withColumn("page_id", _number("record_id")).withColumn("refers_to", _number("refers_to"))
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri", "error"]
+    responses, revisit = found.filter("record_type = 'response'"), found.filter("record_type = 'revisit'")
+    needed = materialize(revisit.select("page_id", "record_type", "refers_to", "target_uri", "stated_digest"), "revisits")
+    facts = responses.select(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("stated_digest"), "payload_bytes").filter("refers_to is not null")
+    facts = facts.dropDuplicates(["refers_to", "stated_digest"])
+    facts = materialize(facts.join(needed.select("refers_to", "stated_digest").distinct(), ["refers_to", "stated_digest"], "left_semi"), "facts")
+    answered = needed.join(facts, ["refers_to", "stated_digest"], "left").select(
+        "page_id",
+        "payload_bytes",
+        F.when(F.col("payload_bytes").isNotNull(), F.col("stated_digest")).alias("payload_digest"),
+        "record_type",
+        "refers_to",
+        "target_uri",
+        F.when(F.col("payload_bytes").isNull(), "revisit: its response is missing").alias("error"),
     )
-    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri"]
-    responses = found.filter("record_type = 'response'")
-    facts = responses.select(F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest").filter("refers_to is not null").dropDuplicates(["refers_to"])
-    needed = found.filter("record_type = 'revisit'").drop("payload_bytes", "payload_digest")
-    facts = materialize(facts.join(needed.select("refers_to").distinct(), "refers_to", "left_semi"), "facts")
-    return responses.select(*columns).unionByName(needed.join(facts, "refers_to").select(*columns))
+    wrong = F.when(F.col("payload_digest") != F.col("stated_digest"), "payload: another digest is stated")
+    return responses.withColumn("error", F.coalesce("error", wrong)).select(*columns).unionByName(answered.select(*columns))

@@ -288,19 +288,40 @@ def test_warc_round_trip_with_segments(spark, tmp_path):
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     path = f"file://{tmp_path}/warc"
     warc.write_archives(pages.select("page_id", "url", payload.alias("payload")).repartition(2), path, archive_bytes=3000)
-    got = {int(re.search(r":(\d+)>", r["record_id"])[1]): r for r in warc.read_archives(spark, path).collect()}
+    got = {int(re.search(r":page:(\d+):", r["record_id"])[1]): r for r in warc.read_archives(spark, path).collect()}
+    digests = {r["record_id"]: r for r in warc.read_archives(spark, path, digests=True).collect()}
+    for r in got.values():
+        other = digests.pop(r["record_id"])
+        if r["payload"] is not None:
+            assert (other["payload_bytes"], other["payload_digest"]) == (len(r["payload"]), r["stated_digest"])
+    assert not digests
     first = {}
     for i, b in enumerate(bodies):
         r, b = got.pop(i), (b or "").encode()
         assert r["error"] is None
         if b in first:
-            assert r["record_type"] == "revisit" and r["refers_to"] == f"<urn:page:{first[b]}>"
+            assert r["record_type"] == "revisit" and r["refers_to"].startswith(f"<urn:page:{first[b]}:")
         else:
             assert r["record_type"] == "response" and bytes(r["payload"]) == b
             first[b] = i
     assert not got
 
 
+def test_warc_of_repeated_ids_and_a_missing_response(spark, tmp_path, monkeypatch):
+    bodies = ["a" * 6000, "b" * 6000, "a" * 6000, "a" * 6000, "c", "c"]
+    pages = spark.createDataFrame(list(zip([1, 1, 1, 2, None, 3], ["http://h/"] * 6, bodies, strict=True)), "page_id long, url string, html string")
+    payload = F.col("html").cast("binary")
+    path = f"file://{tmp_path}/warc"
+    warc.write_archives(pages.select("page_id", "url", payload.alias("payload")), path, archive_bytes=3000)
+    got = warc.read_archives(spark, path).collect()
+    assert len(got) == 6 and all(r["error"] is None for r in got)
+    assert sorted(bytes(r["payload"]).decode() for r in got if r["record_type"] == "response") == sorted([bodies[0], bodies[1], bodies[2], "c", "c"])
+    whole = warc.read_archives
+    monkeypatch.setattr(warc, "read_archives", lambda *a, **k: whole(*a, **k).filter("record_id not like '%:page:1:%'"))
+    (lone,) = [r for r in warc.round_trip(pages).collect() if r["page_id"] == 2]
+    assert lone["payload_bytes"] is None and lone["error"] == "revisit: its response is missing"
+
+
 def test_warc_damage():
     parts = [(2, b"cd"), (1, b"ab"), (3, b"e")]
     assert warc.reassemble(parts, [5]) == (b"abcde", None)
