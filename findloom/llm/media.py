@@ -222,31 +222,40 @@ def media_columns(rows: DataFrame, media_col: str = "media") -> DataFrame:
     return rows.select(*kept, media_col).mapInArrow(run, ", ".join([*fields, _COLUMNS]))
 
 
+_DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, timescale long, duration long, n_samples long, keyframes array<struct<offset:long,length:long>>"
+
+
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        out = []
-        for data in b.column(2).to_pylist():
-            t = demux(data)[0]
-            payload = samples(data, t)
-            ranges = np.stack((t["offsets"][t["sync"]], t["sizes"][t["sync"]]), axis=1).astype("<i8").tobytes()
-            feature = f"{t['codec'].strip()};{t['timescale']};{t['duration']};{len(t['sizes'])};{len(t['sync'])};{zlib.crc32(ranges):08x}"
-            out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), feature))
-        cols = list(zip(*out, strict=True)) or [()] * 6
-        types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["doc_id", "n_bytes", *names])
+        for lo in range(0, b.num_rows, 256):
+            out = []
+            for data in b.column(2).slice(lo, 256).to_pylist():
+                t = demux(data)[0]
+                payload = samples(data, t)
+                at, size = t["offsets"][t["sync"]], t["sizes"][t["sync"]]
+                feature = f"{t['codec'].strip()};{t['timescale']};{t['duration']};{len(t['sizes'])};{len(t['sync'])};{zlib.crc32(payload[at[0] - t['offsets'][0] :][: int(size[0])]) if len(at) else 0:08x}"
+                ranges = [{"offset": o, "length": n} for o, n in zip(at.tolist(), size.tolist(), strict=True)]
+                out.append(
+                    (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), feature)
+                    + (t["codec"].strip(), t["timescale"], t["duration"], len(t["sizes"]), ranges)
+                )
+            types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), _RANGES]
+            names = [f.split()[0] for f in _DIGESTS.split(", ")]
+            cols = list(zip(*out, strict=True)) or [()] * len(types)
+            own = [b.column(k).slice(lo, len(out)) for k in range(2)]
+            yield pa.RecordBatch.from_arrays([*own, *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names)
 
 
 def store_and_read(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Store each whole text in a container of a written table, read it back, and report.
 
     Rows (doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32,
-    media_bytes, media_sha256, feature), one for each input row. Null and empty
-    texts are 64 bytes 0. ``feature`` names codec, timescale, duration, samples,
-    keyframes and a checksum of the keyframes' byte ranges.
+    media_bytes, media_sha256, feature, codec, timescale, duration, n_samples,
+    keyframes), one for each input row; what follows ``feature`` is read from
+    the boxes alone, keyframes being byte ranges of the container. Null and
+    empty texts are 64 bytes 0. ``feature`` joins codec, timescale, duration,
+    samples, keyframes and the checksum of the first keyframe. Rows that repeat
+    a text have equal values; a null doc_id stays null.
     """
     stored = materialize(with_containers(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("p")), "id", "p"), "media")
-    return stored.mapInArrow(
-        _digests,
-        "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string",
-    )
+    return stored.mapInArrow(_digests, _DIGESTS)

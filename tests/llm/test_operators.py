@@ -355,6 +355,21 @@ def test_media_of_broken_containers(spark):
     assert all(got[i]["error"] and got[i]["codec"] is None for i in range(1, 6))
 
 
+def test_media_query_by_value(spark):
+    texts = [None, "", "a", "a", "é" * 31, "x" * 64, "\u0000", "long " * 9000]
+    df = docs_of(spark, texts).withColumn("codec", F.lit("clash"))
+    for r in media.store_and_read(df).collect():
+        raw = (texts[r["doc_id"]] or "").encode()
+        padded = raw + b"\0" * (64 - len(raw) % 64 if len(raw) % 64 or not raw else 0)
+        assert (r["n_bytes"], r["payload_bytes"], r["tail_crc32"]) == (len(raw), len(padded), zlib.crc32(padded[-64:]))
+        assert r["payload_sha256"] == hashlib.sha256(padded).hexdigest()
+        box = media.mux(padded)
+        assert (r["media_bytes"], r["media_sha256"]) == (len(box), hashlib.sha256(box).hexdigest())
+        assert (r["codec"], r["duration"], r["n_samples"]) == ("raw", len(padded), len(padded) // 64)
+        kept = [padded[k : k + 64] for k in range(0, len(padded), 64 * 16)]
+        assert [box[k["offset"] : k["offset"] + k["length"]] for k in r["keyframes"]] == kept
+
+
 # --- language ---------------------------------------------------------------
 
 
@@ -422,6 +437,53 @@ def test_discriminant_is_the_density_ratio():
     assert np.allclose(quality.Model(means, whiten, constants).score(x), want)
 
 
+def plain_statistics(text):
+    """The statistics word by word, as FEATURES names them."""
+    raw = text.encode()
+    words = raw.split()
+    n = len(words)
+    sign = lambda c: chr(c) in "!#$%&*+/<=>?@[\\]^_`{|}~"
+    share = lambda k, total: math.sqrt(k / total)
+    upper, lower = sum(65 <= c <= 90 for c in raw), sum(97 <= c <= 122 for c in raw)
+    lines = raw.split(b"\n")
+    pairs = list(zip(words, words[1:], strict=False))
+    return [
+        math.log(n + 1),
+        share(sum(map(sign, raw)), len(raw) + 100),
+        share(upper, upper + lower + 100),
+        share(sum(a == b for a, b in pairs), n + 20),
+        math.log(len(set(words)) + 1) / math.log(n + 1),
+        math.log(len(set(pairs)) + 1) / math.log(max(n - 1, 1) + 1),
+        min(1.2, len(zlib.compress(raw, 1)) / (len(raw) + 100)),
+        math.log(len(raw) / n),
+        share(len(lines) - len(set(lines)), len(lines) + 5),
+        share(sum(sign(w[-1]) for w in words), n + 20),
+        share(sum(all(map(sign, w)) for w in words), n + 20),
+    ]
+
+
+def test_statistics_word_by_word():
+    rng = random.Random(10)
+    texts = ["one", "a a a", "A!? #b\nA!? #b\n", "é È | | ~", "x\x0by z"] + [" ".join(rng.choices(["The", "fox,", "<b>", "||", "\n", "é", "a-b", "END."], k=rng.randint(1, 80))) + "q" for _ in range(40)]
+    for text in texts:
+        assert np.allclose(quality.statistics(text.encode()), plain_statistics(text)), text
+    assert quality.statistics(b"") == quality.statistics(b" \n") == [0.0] * len(quality.FEATURES)
+
+
+def test_fit_is_the_moments_of_each_class(spark):
+    rng = np.random.default_rng(11)
+    k = len(quality.FEATURES)
+    rows = [(int(c), *(rng.normal(size=k) * (1 + c) + c).tolist()) for c in rng.integers(0, 2, 300)]
+    model = quality.fit(spark.createDataFrame(rows, "label int, " + ", ".join(f"{f} double" for f in quality.FEATURES)).repartition(3))
+    for c in (0, 1):
+        x = np.array([r[1:] for r in rows if r[0] == c])
+        cov = np.cov(x.T, bias=True)
+        cov = 0.95 * cov + 0.05 * np.diag(np.diag(cov)) + 1e-3 * np.eye(k)
+        assert np.allclose(model.means[c], x.mean(axis=0))
+        assert np.allclose(np.linalg.inv(model.whiten[c].T @ model.whiten[c]), cov)
+        assert np.isclose(model.constants[c], np.log((len(x) + 1) / (len(rows) + 2)) - 0.5 * np.linalg.slogdet(cov)[1])
+
+
 def test_quality_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     d, la = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
