@@ -27,14 +27,38 @@ def shared_dir(spark: SparkSession) -> str:
     return "file:///tmp/checkpoints"
 
 
+#: Folders that this process has written and not yet released.
+_WRITTEN: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
+
+
+def written() -> list[str]:
+    return list(_WRITTEN)
+
+
+def release(spark: SparkSession, keep: tuple[str, ...] = ()) -> int:
+    """Delete the tables that operators have written on the way, and return their number.
+
+    Results are lazy and may read such tables until they are written
+    themselves, so it is the caller who knows when they can go; ``keep`` names
+    folders to stay.
+    """
+    gone = [path for path in _WRITTEN if path not in keep]
+    for path in gone:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        _WRITTEN.remove(path)
+    return len(gone)
 
 
 def materialize(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
-    This cuts the lineage and survives lost executors. Joins against the table
+    The table stays until ``release``. This cuts the lineage and survives lost executors. Joins against the table
     are also plain scan-to-shuffle joins, whose skewed partitions adaptive
     execution can split; an aggregate below a join would prevent that.
     ``files`` bounds the number of files of a table whose rows are counted.

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, html, language, media, packing, quality, simhash, substring, urls, warc
-from .common import materialize, table
+from .common import materialize, release, table, written
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 URL_RULES = [
@@ -22,10 +22,12 @@ URL_RULES = [
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a record of WARC archives, read back: see ``warc.round_trip``. Null html is an empty payload."""
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict of every url: see ``urls.judge``. A null url, or one without ``://``, has an empty host and path and is allowed."""
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     # The last step of a page's path is the id of the document that it shows.
     shown = pages.select("url", F.regexp_extract(urls.path_of(F.col("url")), r"/([0-9]{1,18})(?:\.[a-z]+)?/?$", 1).try_cast("long").alias("doc_id"))
@@ -35,55 +37,68 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint and component of every document: see ``simhash.near_duplicates``. Null and empty texts share fingerprint zero."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored in an ISO container and read back: see ``media.store_and_read``. Null and empty texts are 64 bytes 0."""
     return media.store_and_read(table(spark, sf_dir, "documents"))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark words in every document: see ``decontamination.report``. A null text has no words and is clean."""
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document: see ``language.identify``. A null text or one without a letter is ``und``."""
     return language.identify(table(spark, sf_dir, "documents"))
 
 
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that every document loses as repeats: see ``substring.removal_report``. A null text has no words."""
     return substring.removal_report(table(spark, sf_dir, "documents"))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document: see ``quality.score_documents``. Null and empty texts have statistics of zero."""
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page: see ``html.main_text``. Null and empty pages have none."""
     return html.main_text(table(spark, sf_dir, "pages"))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every document in its sequences: see ``packing.pack``. A null text is the end token alone."""
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that the quality model rejects. Null and empty texts are judged as texts of no words."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies keep the smallest doc_id. Rows with a null doc_id stay."""
     return simhash.keep_one_of_each(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the words of repeats of 35 words or more. Every row stays, an empty text as it is."""
     return substring.remove_repeats(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the words of benchmark windows. Every row stays; a clean text is not touched."""
     return decontamination.remove_spans(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack the documents into sequences; no documents give no rows."""
     return packing.pack(docs, TOKENIZER)
 
 
@@ -97,12 +112,18 @@ STAGES = [
 
 
 def run_stages(spark: SparkSession, sf_dir: str, stages=STAGES) -> DataFrame:
-    """Each stage works on the written table of the one before."""
+    """Each stage works on the written table of the one before, which is then
+    deleted with all that the stage wrote on its way."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(stages):
+        begun = written()
         docs = stage(spark, docs, sf_dir)
         if k < len(stages) - 1:
             docs = materialize(docs, f"stage-{name}")
+            if k:
+                begun = [path for path in begun if path != last]
+            last = written()[-1]
+            release(spark, keep=(*begun, last))
     return docs
 
 
