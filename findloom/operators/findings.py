@@ -84,6 +84,16 @@ def statistics(findings: DataFrame) -> DataFrame:
     )
 
 
+def by_job(findings: DataFrame) -> DataFrame:
+    """Rows (repo_url, commit, scanner, ...): the totals of each scan job's findings."""
+    return findings.groupBy("repo_url", "commit", F.col("scanner.name").alias("scanner")).agg(
+        F.count("*").alias("findings"),
+        F.count_distinct("rule.id").alias("unique_rules"),
+        F.count_distinct("location.file").alias("unique_files"),
+        F.count_if(F.size("dataflow_trace") > 0).alias("with_trace"),
+    )
+
+
 def counts(findings: DataFrame) -> DataFrame:
     """Rows (dimension, value, n) by scanner, severity and category; a missing value counts as ``None``."""
     sides = {"scanner": "scanner.name", "severity": "rule.severity", "category": "rule.category"}
@@ -105,9 +115,10 @@ def with_second_report(findings: DataFrame, other: DataFrame) -> DataFrame:
     CWEs are united. Identity does not change.
     """
     columns = findings.columns
-    rows = findings.withColumn("row", F.monotonically_increasing_id())
     alike = ["rule.id", "location.file", "location.start_line", "location.end_line"]
-    f = rows.select("row", *[F.col(c).alias(f"k{i}") for i, c in enumerate(alike)], F.col("location.start_col").alias("col"), "message")
+    own = [*[F.col(c).alias(f"k{i}") for i, c in enumerate(alike)], F.coalesce("location.start_col", F.lit(-1)).alias("k4"), F.coalesce("message", F.lit("")).alias("k5")]
+    f = findings.select(*own).distinct()
+    keys = f.columns
     o = other.select(
         *[F.col(c).alias(f"k{i}") for i, c in enumerate(alike)],
         F.col("location.start_col").alias("o_col"),
@@ -115,10 +126,9 @@ def with_second_report(findings: DataFrame, other: DataFrame) -> DataFrame:
         F.struct("dataflow_trace", "snippet", "fingerprint", "rule", "provenance").alias("o"),
     )
     open_ = lambda a, b, none: F.coalesce((F.col(a) == none) | (F.col(b) == none) | (F.col(a) == F.col(b)), F.lit(True))
-    same_col = F.coalesce(F.col("col") == F.col("o_col"), F.lit(True))
-    partners = f.join(o, [f"k{i}" for i in range(len(alike))]).filter(same_col & open_("message", "o_message", ""))
-    single = partners.groupBy("row").agg(F.count("*").alias("n"), F.min_by("o", F.col("o.provenance.raw_result_ref")).alias("o")).filter("n = 1").select("row", "o")
-    j = rows.join(single, "row", "left")
+    partners = f.join(o, keys[: len(alike)]).filter(open_("k4", "o_col", -1) & open_("k5", "o_message", ""))
+    single = partners.groupBy(*keys).agg(F.count("*").alias("n"), F.min_by("o", F.col("o.provenance.raw_result_ref")).alias("o")).filter("n = 1").select(*keys, "o")
+    j = findings.select("*", *own).join(single, keys, "left")
     traced = F.coalesce(F.size("o.dataflow_trace") > 0, F.lit(False))
     filled = lambda own, theirs: F.when(F.coalesce(F.col(own), F.lit("")) != "", F.col(own)).otherwise(F.coalesce(F.when(F.col(theirs) != "", F.col(theirs)), F.col(own)))
     cwe = F.array_sort(F.array_union(F.coalesce("rule.cwe", F.array()), F.coalesce("o.rule.cwe", F.array())))
@@ -142,14 +152,13 @@ def with_second_report(findings: DataFrame, other: DataFrame) -> DataFrame:
 
 def with_snippets(findings: DataFrame, lines: DataFrame) -> DataFrame:
     """Findings without a snippet get the lines that they span from (repo_url, commit, file, n, text)."""
-    columns = findings.columns
-    rows = findings.withColumn("row", F.monotonically_increasing_id())
-    wanted = rows.filter("snippet is null").select(
-        "row", "repo_url", "commit", F.col("location.file").alias("file"), F.explode(F.sequence("location.start_line", "location.end_line")).alias("n")
-    )
-    read = wanted.join(lines, ["repo_url", "commit", "file", "n"]).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("ls"))
-    read = read.select("row", F.array_join(F.transform("ls", lambda x: x["text"]), "\n").alias("found"))
-    return rows.join(read, "row", "left").withColumn("snippet", F.coalesce("snippet", T.usable_snippet(F.col("found")))).select(*columns)
+    columns, place = findings.columns, ["repo_url", "commit", "place"]
+    rows = findings.withColumn("place", F.struct("location.file", "location.start_line", "location.end_line"))
+    wanted = rows.filter("snippet is null").select(*place).distinct()
+    each = wanted.select(*place, F.col("place.file").alias("file"), F.explode(F.sequence("place.start_line", "place.end_line")).alias("n"))
+    read = each.join(lines, ["repo_url", "commit", "file", "n"]).groupBy(*place).agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("ls"))
+    read = read.select(*place, F.array_join(F.transform("ls", lambda x: x["text"]), "\n").alias("found"))
+    return rows.join(read, place, "left").withColumn("snippet", F.coalesce("snippet", T.usable_snippet(F.col("found")))).select(*columns)
 
 
 def latest_by(rows: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import families, lines
@@ -1306,54 +1307,180 @@ UNION ALL SELECT 'INVALID_VERDICT', finding_id, 'MAYBE' FROM reviews WHERE doc %
 # --- raw reports ------------------------------------------------------------
 
 
-def _raw_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A scanner's JSON report made of parts, in the shape that ``read_scanner_json`` gives."""
-    p = _table(spark, sf_dir, "part")
+#: Results of one raw report that the queries write.
+_PER_REPORT = 400
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share, below spark.checkpoint.dir."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or ("file:///tmp/checkpoints" if spark.sparkContext.master.startswith("local[") else None)
+    if shared is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _write_reports(parts: DataFrame, document: Column, name: str) -> tuple[str, DataFrame]:
+    """Write one file of JSON for each group of parts; returns the files' glob and the table of their jobs."""
+    spark = parts.sparkSession
+    path = _folder(spark, name)
+    rows = parts.groupBy("job").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "r"))).alias("rs")).withColumn("rs", F.transform("rs", lambda x: x["r"]))
+    rows.select("job", document.alias("value")).repartition("job").write.option("maxRecordsPerFile", 1).partitionBy("job").text(path)
+    files = spark.read.schema("value string").text(f"{path}/*/*").select(F.col("_metadata.file_path").alias("source_file")).distinct()
+    job = F.regexp_extract("source_file", r"/job=(\d+)/", 1).cast("int")
+    jobs = files.withColumn("job", job).select(
+        "source_file", F.concat(F.lit("https://github.com/acme/x"), "job", F.lit(".git/")).alias("repo_url"), F.left(F.sha2(F.col("job").cast("string"), 256), F.lit(40)).alias("commit"),
+        F.lit("semgrep").alias("scanner"), F.lit("1.0.0").alias("version"), F.lit("b" * 40).alias("ruleset_commit"), F.concat(F.lit("scan-"), "job").alias("scan_id"),
+        F.concat(F.lit("raw/"), "job", F.lit(".json")).alias("ref"), F.lit("C:\\work").alias("source_root"), F.lit("/home/rules").alias("ruleset_root"),
+    )
+    return f"{path}/*/*", jobs
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "part").withColumn("job", F.floor(F.col("p_partkey") / _PER_REPORT).cast("int"))
+
+
+def _raw_reports(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A scanner's JSON reports made of parts, read from their files, and their jobs. Some results lack a rule or a place."""
+    p = _parts(spark, sf_dir)
     k = F.col("p_partkey")
-    place = lambda line: F.struct(line.cast("string").alias("line"), F.lit("3").alias("col"))
+    place = lambda line: F.struct(line.alias("line"), F.lit(3).alias("col"))
+    at = lambda line: F.struct(F.lit("src/t.py").alias("path"), place(line).alias("start"), place(line + 1).alias("end"))
+    text = lambda x: F.to_json(x)
+    source = F.concat(F.lit('["CliLoc",['), text(at(k % 7 + 1)), F.lit(',"src()"]]'))
+    between = F.when(k % 3 == 0, F.concat(F.lit("["), text(F.struct(at(k % 5).alias("location"), F.lit("v").alias("content"))), F.lit("]"))).otherwise("[]")
+    sink = F.concat(F.lit('["CliCall",[['), text(at(k % 9 + 1)), F.lit(',"sink()"],[],[]]]'))
+    trace = F.when(k % 2 == 0, F.concat(F.lit('{"taint_source":'), source, F.lit(',"intermediate_vars":'), between, F.lit(',"taint_sink":'), sink, F.lit("}"))).otherwise("null")
     result = F.to_json(
         F.struct(
-            F.concat(F.lit("home.rules.python."), "p_type").alias("check_id"), F.concat(F.lit(".\\src\\f"), k.cast("string"), F.lit(".py")).alias("path"),
-            place(k % 40 + 1).alias("start"), place(k % 40 + k % 3).alias("end"),
+            F.when(k % 17 == 0, " ").otherwise(F.concat(F.lit("home.rules.python."), "p_type")).alias("check_id"), F.concat(F.lit("C:\\work\\.\\src\\f"), k.cast("string"), F.lit(".py")).alias("path"),
+            place(F.when(k % 19 == 0, 0).otherwise(k % 40 + 1)).alias("start"), place(k % 40 + k % 3).alias("end"),
             F.struct(
                 F.col("p_name").alias("message"), F.lit("ERROR").alias("severity"), F.when(k % 2 == 0, "requires login").otherwise("x  =  1").alias("lines"),
                 F.lit("FP").alias("fingerprint"), F.struct(F.array(F.lit("CWE-78: text"), F.lit("CWE-0022")).alias("cwe"), F.array(F.lit("b"), F.lit(" a ")).alias("category")).alias("metadata"),
+                F.lit("@trace@").alias("dataflow_trace"),
             ).alias("extra"),
         )
     )
-    return p.groupBy().agg(F.array_sort(F.collect_list(F.struct("p_partkey", result.alias("r")))).alias("rs")).select(
-        F.lit("1.0.0").alias("version"), F.transform("rs", lambda x: x["r"]).alias("results"), F.array().cast("array<string>").alias("errors"),
-        F.struct(F.array().cast("array<string>").alias("scanned")).alias("paths"), F.lit("raw.json").alias("source_file"),
-    )
+    whole = F.replace(result, F.lit('"@trace@"'), trace)
+    version = F.when(F.col("job") % 3 == 2, "0.9").otherwise("1.0.0")
+    document = F.concat(F.lit('{"version":"'), version, F.lit('","results":['), F.array_join("rs", ","), F.lit('],"errors":[],"paths":{"scanned":[]}}'))
+    path, jobs = _write_reports(p.withColumn("r", whole), document, "reports")
+    return reports.read_scanner_json(spark, path), jobs
 
 
-_CONTEXT = reports.Context("https://github.com/acme/x.git", "a" * 40, "semgrep", "1.0.0", "b" * 40, "scan", "raw.json", ruleset_root="/home/rules")
+_PARTS = f"p AS (SELECT *, p_partkey // {_PER_REPORT} AS job, p_partkey % {_PER_REPORT} AS pos, p_partkey AS k FROM part)"
+_RAW_REF = "'raw/' || job || '.json#results/' || pos"
+_SOUND = "k % 17 <> 0 AND k % 19 <> 0"
 
 
 @_query
 def s9_scanner_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings of a raw report."""
-    f = reports.findings_of_json(_raw_report(spark, sf_dir), _CONTEXT)
+    """Findings of raw reports, each in the context of its own job."""
+    f = reports.findings_of_json(*_raw_reports(spark, sf_dir))
     return f.select(
-        F.col("provenance.raw_result_ref").alias("ref"), "repo_url", F.col("rule.id").alias("rule_id"), F.array_join("rule.cwe", ",").alias("cwe"), F.col("rule.category").alias("category"),
-        "location.file", "location.start_line", "location.end_line", "location.start_col", "snippet", "fingerprint",
+        F.col("provenance.raw_result_ref").alias("ref"), "repo_url", "commit", "provenance.scan_id", F.col("rule.id").alias("rule_id"), F.array_join("rule.cwe", ",").alias("cwe"),
+        F.col("rule.category").alias("category"), "location.file", "location.start_line", "location.end_line", "location.start_col", "snippet", "fingerprint",
     )
 
 
-_sql("s9_scanner_json", (), """
-SELECT 'raw.json#results/' || (row_number() OVER (ORDER BY p_partkey) - 1) AS ref, 'https://github.com/acme/x' AS repo_url, 'python.' || p_type AS rule_id, 'CWE-22,CWE-78' AS cwe, 'a, b' AS category,
-  'src/f' || p_partkey || '.py' AS file, CAST(p_partkey % 40 + 1 AS INTEGER) AS start_line, CAST(greatest(p_partkey % 40 + p_partkey % 3, p_partkey % 40 + 1) AS INTEGER) AS end_line, 3 AS start_col,
-  CASE WHEN p_partkey % 2 = 1 THEN 'x  =  1' END AS snippet, CASE WHEN p_partkey % 2 = 1 THEN sha256('x = 1') ELSE 'FP' END AS fingerprint FROM part""")
+_sql("s9_scanner_json", (), f"""
+SELECT {_RAW_REF} AS ref, 'https://github.com/acme/x' || job AS repo_url, substr(sha256('' || job), 1, 40) AS commit, 'scan-' || job AS scan_id, 'python.' || p_type AS rule_id,
+  'CWE-22,CWE-78' AS cwe, 'a, b' AS category, 'src/f' || k || '.py' AS file, CAST(k % 40 + 1 AS INTEGER) AS start_line, CAST(greatest(k % 40 + k % 3, k % 40 + 1) AS INTEGER) AS end_line, 3 AS start_col,
+  CASE WHEN k % 2 = 1 THEN 'x  =  1' END AS snippet, CASE WHEN k % 2 = 1 THEN sha256('x = 1') ELSE 'FP' END AS fingerprint FROM p WHERE {_SOUND}""", _PARTS)
+
+
+@_query
+def s12_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trace nodes of raw results, in order."""
+    f = reports.findings_of_json(*_raw_reports(spark, sf_dir))
+    n = f.select(F.col("provenance.raw_result_ref").alias("ref"), F.posexplode("dataflow_trace").alias("position", "n"))
+    return n.select("ref", "position", "n.file", "n.line", "n.description", "n.code")
+
+
+_sql("s12_traces", (), f"""
+SELECT ref, CAST(row_number() OVER (PARTITION BY ref ORDER BY o) - 1 AS INTEGER) AS position, 'src/t.py' AS file, line || '-' || (line + 1) AS line, description, code FROM (
+  SELECT {_RAW_REF} AS ref, 1 AS o, k % 7 + 1 AS line, 'source' AS description, 'CliLoc' AS code FROM p WHERE {_SOUND} AND k % 2 = 0
+  UNION ALL SELECT {_RAW_REF}, 2, k % 5, 'intermediate', 'v' FROM p WHERE {_SOUND} AND k % 6 = 0 AND k % 5 > 0
+  UNION ALL SELECT {_RAW_REF}, 3, k % 9 + 1, 'sink', 'CliCall' FROM p WHERE {_SOUND} AND k % 2 = 0)""", _PARTS)
+
+
+@_query
+def s30_fan_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of every job's findings, read together; the findings of two formats make one table."""
+    own = reports.findings_of_json(*_raw_reports(spark, sf_dir)).unionByName(reports.findings_of_sarif(*_sarif_reports(spark, sf_dir)))
+    return findings.by_job(own)
+
+
+_sql("s30_fan_in", (), f"""
+SELECT repo_url, commit, 'semgrep' AS scanner, count(*) AS findings, count(DISTINCT rule) AS unique_rules, count(DISTINCT file) AS unique_files, count(*) FILTER (traced) AS with_trace FROM (
+  SELECT 'https://github.com/acme/x' || job AS repo_url, substr(sha256('' || job), 1, 40) AS commit, 'python.' || p_type AS rule, 'src/f' || k || '.py' AS file, k % 2 = 0 AS traced FROM p WHERE {_SOUND}
+  UNION ALL SELECT 'https://github.com/acme/x' || job, substr(sha256('' || job), 1, 40), 'r' || k % 5, 'src/s' || k % 50 || '.py', k % 2 = 0 FROM p WHERE k % 11 <> 0) GROUP BY 1, 2""", _PARTS)
+
+
+def _sarif_reports(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """SARIF reports made of parts, read from their files, and their jobs. Some results have no place."""
+    k = F.col("p_partkey")
+    spot = lambda line: F.struct(
+        F.struct(F.concat(F.lit("file:///C:/work/src/s"), (k % 50).cast("string"), F.lit(".py")).alias("uri")).alias("artifactLocation"),
+        F.struct(line.alias("startLine"), F.lit(2).alias("startColumn"), F.struct(F.when(k % 2 == 0, " ").otherwise("y = 2").alias("text")).alias("snippet")).alias("region"),
+    )
+    physical = spot(F.when(k % 11 == 0, 0).otherwise(k % 30 + 1))
+    step = lambda said, line: F.struct(F.struct(F.struct(F.lit(said).alias("text")).alias("message"), spot(line).alias("physicalLocation")).alias("location"))
+    flow = F.array(F.struct(F.array(F.struct(F.array(step("source", k % 30 + 1), step("sink", k % 30 + 2), step("sink", k % 30 + 2)).alias("locations"))).alias("threadFlows")))
+    result = F.to_json(
+        F.struct(
+            F.concat(F.lit("r"), (k % 5).cast("string")).alias("ruleId"), F.when(k % 4 == 0, "note").alias("level"), F.struct(F.col("p_name").alias("text")).alias("message"),
+            F.array(F.struct(physical.alias("physicalLocation"))).alias("locations"), F.when(k % 2 == 0, flow).alias("codeFlows"),
+        )
+    )
+    rules = ",".join(f'{{"id":"r{n}","properties":{{"tags":["external/cwe/cwe-0{n}7"]}},"defaultConfiguration":{{"level":"error"}}}}' for n in range(5))
+    head = f'{{"runs":[{{"tool":{{"driver":{{"semanticVersion":"1.0.0","rules":[{rules}]}}}},"results":['
+    path, jobs = _write_reports(_parts(spark, sf_dir).withColumn("r", result), F.concat(F.lit(head), F.array_join("rs", ","), F.lit("]}]}")), "sarif")
+    return reports.read_sarif(spark, path), jobs
+
+
+@_query
+def s10_s11_sarif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of SARIF reports, with the lines of their code flows."""
+    f = reports.findings_of_sarif(*_sarif_reports(spark, sf_dir))
+    return f.select(
+        F.col("provenance.raw_result_ref").alias("ref"), "repo_url", F.col("rule.id").alias("rule_id"), F.array_join("rule.cwe", ",").alias("cwe"), F.col("rule.severity").alias("severity"),
+        "location.file", "location.start_line", "location.end_line", "snippet", F.array_join(F.transform("dataflow_trace", lambda n: F.concat_ws(":", n["description"], n["line"])), ",").alias("trace"),
+    )
+
+
+_sql("s10_s11_sarif", (), """
+SELECT 'raw/' || job || '.json#runs/0/results/' || pos AS ref, 'https://github.com/acme/x' || job AS repo_url, 'r' || k % 5 AS rule_id, 'CWE-' || (k % 5 * 10 + 7) AS cwe,
+  CASE WHEN k % 4 = 0 THEN 'note' ELSE 'error' END AS severity, 'src/s' || k % 50 || '.py' AS file, CAST(k % 30 + 1 AS INTEGER) AS start_line, CAST(k % 30 + 1 AS INTEGER) AS end_line,
+  CASE WHEN k % 2 = 1 THEN 'y = 2' END AS snippet, CASE WHEN k % 2 = 0 THEN 'source:' || (k % 30 + 1) || ',sink:' || (k % 30 + 2) ELSE '' END AS trace FROM p WHERE k % 11 <> 0""", _PARTS)
 
 
 @_query
 def v31_report_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What makes a raw report unusable."""
-    r = _raw_report(spark, sf_dir).withColumn("version", F.lit("0.9"))
-    return reports.report_violations(r, _CONTEXT)
+    """What makes raw reports unusable: the version of some, the rule or place of some results."""
+    report, jobs = _raw_reports(spark, sf_dir)
+    v = reports.report_violations(report, jobs)
+    return v.select("rule_id", F.regexp_extract("key", r"(?:/job=|^raw/)(\d+(?:\.json#results/\d+)?)", 1).alias("key"), "detail")
+
+
+_sql("v31_report_gate", (), """
+SELECT DISTINCT 'VERSION_MISMATCH' AS rule_id, '' || job AS key, '0.9' AS detail FROM p WHERE job % 3 = 2
+UNION ALL SELECT CASE WHEN k % 17 = 0 THEN 'NO_RULE' ELSE 'NO_PLACE' END, job || '.json#results/' || pos, 'C:\\work\\.\\src\\f' || k || '.py' FROM p WHERE k % 17 = 0 OR k % 19 = 0""", _PARTS)
+
+
+@_query
+def s30_unclaimed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports without a job, jobs without a report, and a report that two jobs name."""
+    report, jobs = _raw_reports(spark, sf_dir)
+    n = F.regexp_extract("ref", r"(\d+)", 1).cast("int")
+    given = jobs.filter(n % 4 != 1).unionByName(jobs.filter(n % 4 == 2)).unionByName(jobs.filter(n == 0).withColumn("source_file", F.lit("file:///gone/job=0/x")))
+    v = reports.unclaimed_files(report, given)
+    return v.select("rule_id", F.regexp_extract("key", r"/job=(\d+)/", 1).alias("key"), "detail")
 
 
-_sql("v31_report_gate", (), "SELECT 'VERSION_MISMATCH' AS rule_id, 'raw.json' AS key, '0.9' AS detail")
+_sql("s30_unclaimed", (), """
+SELECT DISTINCT 'NO_JOB' AS rule_id, '' || job AS key, '' AS detail FROM p WHERE job % 4 = 1 UNION ALL SELECT 'NO_REPORT', '0', ''
+UNION ALL SELECT DISTINCT 'SEVERAL_JOBS', '' || job, '2' FROM p WHERE job % 4 = 2""", _PARTS)
 
 
 @_query

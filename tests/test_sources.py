@@ -54,7 +54,7 @@ def test_scanner_json(spark, tmp_path):
     assert (f["location"]["file"], f["location"]["start_line"], f["location"]["end_line"], f["snippet"], f["fingerprint"]) == ("src/a.py", 9, 9, None, None)
     assert f["rule"]["cwe"] == ["CWE-78"] and f["repo_url"] == "https://github.com/example/project"
     assert [(n["file"], n["line"], n["description"], n["code"]) for n in f["dataflow_trace"]] == [("src/s.py", "1-2", "source", "CliLoc"), ("src/s.py", "4", "intermediate", "v"), ("src/a.py", "9", "sink", "CliCall")]
-    assert {(r["rule_id"], r["key"]) for r in reports.report_violations(report, CONTEXT).collect()} == {("NO_RULE", "1"), ("NO_PLACE", "2")}
+    assert {(r["rule_id"], r["key"]) for r in reports.report_violations(report, CONTEXT).collect()} == {("NO_RULE", "raw.json#results/1"), ("NO_PLACE", "raw.json#results/2")}
     jobs = report.select(F.lit("r").alias("repo_url"), F.lit("c").alias("commit"), F.lit("s").alias("scanner"), "errors", "results", "paths")
     assert tuple(ledger.errors_of(jobs).first())[4:5] == ("PartialParsing",) and ledger.errors_of(jobs).first()["path"] == "a.py"
     d = ledger.diagnostics(jobs).first()
