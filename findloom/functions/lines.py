@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _LINE = r"^\s*([0-9]+)(?:\s*-\s*([0-9]+))?\s*$"
@@ -41,3 +41,39 @@ def positive_int(value: Column) -> Column:
     """The value as an int of at least 1, else null; booleans have none."""
     n = F.when(value.cast("string").rlike(r"^\s*[0-9]+\s*$"), F.trim(value.cast("string"))).try_cast("int")
     return F.when(n >= 1, n)
+
+
+#: Lines of a strip of level 0, and by how much a level's strips are wider than those of the one below.
+STRIP, GROWTH = 16, 8
+
+
+def strip_level(lo: Column, hi: Column) -> Column:
+    """The level at which a span of lines touches two strips at most."""
+    return F.greatest(F.lit(0), F.ceil(F.log(float(GROWTH), (hi - lo + 1) / F.lit(float(STRIP))))).cast("int")
+
+
+def levels_of(*spans: tuple[DataFrame, Column, Column]) -> int:
+    """The highest level that one of the spans (rows, lo, hi) needs; a maximum, whatever the number of rows."""
+    return max((rows.agg(F.max(strip_level(lo, hi))).first()[0] or 0 for rows, lo, hi in spans), default=0)
+
+
+def strips(lo: Column, hi: Column, highest: int) -> Column:
+    """Array of struct(level, strip): the strips that a span touches at its own
+    level and those above, up to ``highest``. Spans that overlap share a strip
+    at the greater of their levels, so a join on (level, strip) finds them
+    without comparing a whole file, and a span of any length has few strips."""
+    own = strip_level(lo, hi)
+
+    def touched(level: int) -> Column:
+        width = STRIP * GROWTH**level
+        found = F.transform(F.sequence(F.floor(lo / width), F.floor(hi / width)), lambda s: F.struct(F.lit(level).alias("level"), s.alias("strip")))
+        return F.when(own <= level, found).otherwise(F.array().cast("array<struct<level:int,strip:bigint>>"))
+
+    return F.concat(*map(touched, range(highest + 1)))
+
+
+def meets_first(level: Column, strip: Column, a_lo: Column, a_hi: Column, b_lo: Column, b_hi: Column) -> Column:
+    """Whether two spans that share a strip meet there first: at the greater of
+    their levels, where the later one begins. True of one strip for each pair that overlaps."""
+    width = F.lit(STRIP) * F.pow(F.lit(float(GROWTH)), level)
+    return (level == F.greatest(strip_level(a_lo, a_hi), strip_level(b_lo, b_hi))) & (strip == F.floor(F.greatest(a_lo, b_lo) / width))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +11,7 @@ from ..functions import families, lines
 from ..functions import text as T
 from ..functions.canonical import canonical_json, case_key, digits_mod3, stable_hash, to_json
 from ..operators import audit, dataset, dedup, findings, gates, ledger, matching, metrics, reviews, rules, sampling, usage
-from ..sources import code, jsonl, reports
+from ..sources import code, jsonl, reports, scratch
 from . import views as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,7 +35,8 @@ def oracle_sql() -> dict[str, str]:
 def _sql(name: str, views: tuple[str, ...], body: str, more: str = "") -> None:
     """Register SQL: the views, further ``more`` clauses, and the query's body."""
     head = V.sql_of(*views) if views else ""
-    _SQL[name] = head + ((", " if head else "WITH ") + more if more else "") + "\n" + body
+    text = head + ((", " if head else "WITH ") + more if more else "") + "\n" + body
+    _SQL[name] = text.replace("WITH ", "WITH RECURSIVE ", 1) if "FROM steps s JOIN" in more else text
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,11 +117,61 @@ SELECT repo, commit_sha, scanner, rule_n, file, start_line, end_line, start_col,
 FROM (SELECT {_KEY}, {_ID} AS id FROM findings) GROUP BY {_KEYS}""")
 
 
+#: Clusters over two scanners, in SQL. All members of a cluster are of different scanners, so it has two groups at
+#: most, and complete-link merging takes the pairs of a file in order, each whose groups are both still free.
+_CLUSTERS = """
+ks AS (SELECT *, row_number() OVER (ORDER BY repo, file, start_line, end_line, coalesce(start_col, -1), coalesce(end_col, -1), scanner, rule_n) AS k FROM g),
+ps AS (
+  SELECT a.repo, a.file, a.k AS ka, b.k AS kb, row_number() OVER (PARTITION BY a.repo, a.file ORDER BY a.k, b.k) AS r
+  FROM ks a JOIN ks b ON a.repo = b.repo AND a.commit_sha = b.commit_sha AND a.file = b.file AND a.scanner <> b.scanner AND a.k < b.k WHERE {compatible}),
+steps AS (
+  SELECT repo, file, 0::BIGINT AS r, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS ka, CAST(NULL AS BIGINT) AS kb FROM ps WHERE r = 1
+  UNION ALL SELECT p.repo, p.file, p.r, CASE WHEN free THEN used || [p.ka, p.kb] ELSE used END, CASE WHEN free THEN p.ka END, CASE WHEN free THEN p.kb END
+  FROM (SELECT ps.*, s.used, NOT list_contains(s.used, ps.ka) AND NOT list_contains(s.used, ps.kb) AS free FROM steps s JOIN ps ON ps.repo = s.repo AND ps.file = s.file AND ps.r = s.r + 1) p),
+of_group AS (SELECT kb AS k, ka AS c FROM steps WHERE ka IS NOT NULL),
+rows_of AS (
+  SELECT coalesce(o.c, ks.k) AS c, f.* FROM (SELECT """ + _KEY + ", rule_id, " + _ID + """ AS id FROM findings) f
+  JOIN ks ON f.repo = ks.repo AND f.file = ks.file AND f.start_line = ks.start_line AND f.end_line = ks.end_line AND f.start_col IS NOT DISTINCT FROM ks.start_col
+    AND f.end_col IS NOT DISTINCT FROM ks.end_col AND f.scanner = ks.scanner AND f.rule_n = ks.rule_n LEFT JOIN of_group o ON o.k = ks.k),
+identities AS (
+  SELECT DISTINCT c, id, '["' || concat_ws('","', id, repo, commit_sha, scanner, version, rule_n, ruleset, file) || '",' || concat_ws(',', start_line, end_line, coalesce('' || start_col, 'null'), coalesce('' || end_col, 'null')) || ']' AS j FROM rows_of),
+ids AS (SELECT c, 'canonical-' || sha256('[' || string_agg(j, ',' ORDER BY id) || ']') AS canonical_id FROM identities GROUP BY c),
+clusters AS (
+  SELECT c, min(repo) AS repo_url, min(commit_sha) AS commit, min(file) AS file, min(start_line) AS start_line, max(end_line) AS end_line, count(*) AS member_count,
+    CASE WHEN count(DISTINCT scanner) > 1 THEN 'CROSS_TOOL_SEMANTIC' WHEN count(*) > 1 THEN 'EXACT_DUPLICATE' ELSE 'SINGLETON' END AS cluster_type, string_agg(DISTINCT id, ',' ORDER BY id) AS finding_ids,
+    string_agg(DISTINCT scanner, ',' ORDER BY scanner) AS scanners, string_agg(DISTINCT rule_id, ',' ORDER BY rule_id) AS rule_ids,
+    string_agg(DISTINCT scanner || ':' || rule_id, ',' ORDER BY scanner || ':' || rule_id) AS observed_by, count(DISTINCT (scanner, rule_n, start_line, end_line, start_col, end_col)) AS groups
+  FROM rows_of GROUP BY c)"""
+
+
 @_query
 def a3_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters of exact duplicates, one row each."""
-    f = dedup.canonical(V.findings(spark, sf_dir), cross_tool=False)
-    s = dedup.summaries(f)
+    """Clusters over all scanners, one row each."""
+    s = dedup.summaries(dedup.canonical(V.findings(spark, sf_dir)))
+    return s.select(
+        "canonical_finding_id", "repo_url", "commit", "file", "start_line", "end_line", "member_count", "cluster_type", F.array_join("finding_ids", ",").alias("finding_ids"),
+        F.array_join("scanners", ",").alias("scanners"), F.array_join("rule_ids", ",").alias("rule_ids"),
+        F.array_join(F.transform("observed_by", lambda o: F.concat_ws(":", o["scanner"], o["rule_id"])), ",").alias("observed_by"),
+    )
+
+
+@_query
+def a5_dedup_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of deduplication over all scanners."""
+    return dedup.statistics(dedup.canonical(V.findings(spark, sf_dir)))
+
+
+@_query
+def c1_canonical_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster that every observation is in."""
+    f = dedup.canonical(V.findings(spark, sf_dir))
+    return f.select(F.col("provenance.raw_result_ref").alias("ref"), "canonical_finding_id")
+
+
+@_query
+def a2_exact_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of exact duplicates alone, without any merging over scanners."""
+    s = dedup.summaries(dedup.canonical(V.findings(spark, sf_dir), cross_tool=False))
     return s.select(
         "repo_url", "commit", "file", "start_line", "end_line", "member_count", "cluster_type", F.array_join("finding_ids", ",").alias("finding_ids"),
         F.array_join("scanners", ",").alias("scanners"), F.array_join("rule_ids", ",").alias("rule_ids"),
@@ -129,7 +179,7 @@ def a3_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_sql("a3_clusters", ("findings",), f"""
+_sql("a2_exact_clusters", ("findings",), f"""
 SELECT repo AS repo_url, commit_sha AS commit, file, start_line, end_line, count(*) AS member_count,
   CASE WHEN count(*) > 1 THEN 'EXACT_DUPLICATE' ELSE 'SINGLETON' END AS cluster_type, string_agg(DISTINCT id, ',' ORDER BY id) AS finding_ids,
   scanner AS scanners, string_agg(DISTINCT rule_id, ',' ORDER BY rule_id) AS rule_ids,
@@ -137,19 +187,6 @@ SELECT repo AS repo_url, commit_sha AS commit, file, start_line, end_line, count
 FROM (SELECT {_KEY}, rule_id, {_ID} AS id FROM findings) GROUP BY {_KEYS}""")
 
 
-@_query
-def a5_dedup_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counters of exact deduplication."""
-    return dedup.statistics(dedup.canonical(V.findings(spark, sf_dir), cross_tool=False))
-
-
-_sql("a5_dedup_statistics", ("findings",), f"""
-SELECT CAST(sum(n) AS BIGINT) AS input_findings, CAST(sum(n) AS BIGINT) AS output_findings, count(*) AS exact_groups, CAST(sum(n) - count(*) AS BIGINT) AS exact_duplicate_observations,
-  count(*) AS canonical_clusters, CAST(0 AS BIGINT) AS cross_tool_merges, CAST(0 AS BIGINT) AS cross_tool_clusters,
-  count(*) FILTER (n > 1) AS exact_duplicate_clusters, count(*) FILTER (n = 1) AS singleton_clusters, CAST(sum(n) AS BIGINT) AS findings_with_canonical_id
-FROM (SELECT count(*) AS n FROM (SELECT {_KEY} FROM findings) GROUP BY {_KEYS})""")
-
-
 @_query
 def j6_cross_tool_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of groups of different scanners that describe one place, by file."""
@@ -158,35 +195,35 @@ def j6_cross_tool_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("repo_n").alias("repo"), F.col("path_n").alias("file"), *cols("a"), *cols("b"))
 
 
-_sql("j6_cross_tool_pairs", ("findings",), """
-SELECT repo, file, start_a, scanner_a, rule_a, start_b, scanner_b, rule_b FROM (
-  SELECT a.repo, a.file, a.start_line AS start_a, a.scanner AS scanner_a, a.rule_n AS rule_a, b.start_line AS start_b, b.scanner AS scanner_b, b.rule_n AS rule_b
-  FROM g a JOIN g b ON a.repo = b.repo AND a.commit_sha = b.commit_sha AND a.file = b.file AND a.scanner <> b.scanner
-  WHERE greatest(0, b.start_line - a.end_line, a.start_line - b.end_line) <= 5
-    AND (a.start_line, a.end_line, coalesce(a.start_col, -1), coalesce(a.end_col, -1), a.scanner, a.rule_n) < (b.start_line, b.end_line, coalesce(b.start_col, -1), coalesce(b.end_col, -1), b.scanner, b.rule_n)
-    AND NOT coalesce(a.start_line = a.end_line AND b.start_line = b.end_line AND a.start_line = b.start_line AND (a.end_col < b.start_col OR b.end_col < a.start_col), false)
-    AND len(list_filter(a.sides, lambda x: len(list_filter(b.sides, lambda y:
-      (x.cwe IS NOT NULL AND y.cwe IS NOT NULL AND x.cwe <> y.cwe) OR (x.snip IS NOT NULL AND y.snip IS NOT NULL AND x.snip <> y.snip)
-      OR NOT (a.rule_n = b.rule_n OR coalesce(x.cwe = y.cwe, false) OR coalesce(x.ev = y.ev, false) OR list_has_any(x.cats, y.cats)))) > 0)) = 0
-)""", f"""g AS (
+#: Exact groups with the different evidence of their observations, and whether two describe one place.
+_GROUPS = f"""g AS (
   SELECT {_KEYS}, list(DISTINCT {{'cwe': cwe_no, 'snip': snip, 'ev': ev, 'cats': cats}}) AS sides FROM (
     SELECT {_KEY}, cwe_no, trim(regexp_replace(snippet, '\\s+', ' ', 'g')) AS snip,
       coalesce('s' || trim(regexp_replace(snippet, '\\s+', ' ', 'g')), 'f' || CASE WHEN lower(fingerprint) <> 'requires login' THEN lower(fingerprint) END) AS ev,
       coalesce(list_filter(list_transform(regexp_split_to_array(lower(category), '[,;|]'), lambda c: trim(c)), lambda c: c <> ''), CAST([] AS VARCHAR[])) AS cats
-    FROM findings) GROUP BY {_KEYS})""")
-
-
-@_query
-def c1_canonical_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters over all scanners, merged completely linked."""
-    s = dedup.summaries(dedup.canonical(V.findings(spark, sf_dir)))
-    return s.select("canonical_finding_id", "cluster_type", "repo_url", "commit", "file", "start_line", "end_line", "member_count", F.array_join("scanners", ",").alias("scanners"))
+    FROM findings) GROUP BY {_KEYS})"""
+_COMPATIBLE = """greatest(0, b.start_line - a.end_line, a.start_line - b.end_line) <= 5
+    AND NOT coalesce(a.start_line = a.end_line AND b.start_line = b.end_line AND a.start_line = b.start_line AND (a.end_col < b.start_col OR b.end_col < a.start_col), false)
+    AND len(list_filter(a.sides, lambda x: len(list_filter(b.sides, lambda y:
+      (x.cwe IS NOT NULL AND y.cwe IS NOT NULL AND x.cwe <> y.cwe) OR (x.snip IS NOT NULL AND y.snip IS NOT NULL AND x.snip <> y.snip)
+      OR NOT (a.rule_n = b.rule_n OR coalesce(x.cwe = y.cwe, false) OR coalesce(x.ev = y.ev, false) OR list_has_any(x.cats, y.cats)))) > 0)) = 0"""
 
+_sql("j6_cross_tool_pairs", ("findings",), f"""
+SELECT a.repo, a.file, a.start_line AS start_a, a.scanner AS scanner_a, a.rule_n AS rule_a, b.start_line AS start_b, b.scanner AS scanner_b, b.rule_n AS rule_b
+FROM g a JOIN g b ON a.repo = b.repo AND a.commit_sha = b.commit_sha AND a.file = b.file AND a.scanner <> b.scanner
+WHERE (a.start_line, a.end_line, coalesce(a.start_col, -1), coalesce(a.end_col, -1), a.scanner, a.rule_n) < (b.start_line, b.end_line, coalesce(b.start_col, -1), coalesce(b.end_col, -1), b.scanner, b.rule_n)
+  AND {_COMPATIBLE}""", _GROUPS)
 
-@_query
-def c1_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counters of clustering over all scanners."""
-    return dedup.statistics(dedup.canonical(V.findings(spark, sf_dir)))
+_IN_CLUSTERS = _GROUPS + "," + _CLUSTERS.format(compatible=_COMPATIBLE)
+_sql("a3_clusters", ("findings",), """
+SELECT canonical_id AS canonical_finding_id, repo_url, commit, file, start_line, end_line, member_count, cluster_type, finding_ids, scanners, rule_ids, observed_by FROM clusters JOIN ids USING (c)""", _IN_CLUSTERS)
+_sql("c1_canonical_clusters", ("findings",), "SELECT x.ref, canonical_id AS canonical_finding_id FROM ids JOIN r USING (c) JOIN findings x ON x.ref = r.ref",
+     _IN_CLUSTERS.replace(", rule_id, 'finding-'", ", ref, rule_id, 'finding-'") + ", r AS (SELECT DISTINCT c, ref FROM rows_of)")
+_sql("a5_dedup_statistics", ("findings",), """
+SELECT CAST(sum(member_count) AS BIGINT) AS input_findings, CAST(sum(member_count) AS BIGINT) AS output_findings, CAST(sum(groups) AS BIGINT) AS exact_groups,
+  CAST(sum(member_count) - sum(groups) AS BIGINT) AS exact_duplicate_observations, count(*) AS canonical_clusters, CAST(sum(groups) - count(*) AS BIGINT) AS cross_tool_merges,
+  count(*) FILTER (cluster_type LIKE 'CROSS%') AS cross_tool_clusters, count(*) FILTER (cluster_type LIKE 'EXACT%') AS exact_duplicate_clusters,
+  count(*) FILTER (cluster_type = 'SINGLETON') AS singleton_clusters, CAST(sum(member_count) AS BIGINT) AS findings_with_canonical_id FROM clusters""", _IN_CLUSTERS)
 
 
 @_query
@@ -414,7 +451,7 @@ pairs AS (
   WHERE greatest(0, e.sink_start - f.end_line, f.start_line - e.sink_end) <= 5),
 tiers AS (SELECT *, CASE WHEN gap = 0 AND coalesce(source_gap = 0, false) THEN 0 WHEN coalesce(source_gap <= 5, false) AND agrees THEN 1 ELSE 2 END AS tier FROM pairs),
 best AS (SELECT *, min(tier) OVER (PARTITION BY ref) AS m FROM tiers)"""
-_TIER = "CASE {} WHEN 0 THEN 'STRICT' WHEN 1 THEN 'STRONG' WHEN 2 THEN 'CANDIDATE' ELSE 'UNMATCHED' END"
+_TIER = "CASE {} WHEN 0 THEN 'STRICT_SOURCE_SINK' WHEN 1 THEN 'STRONG_SOURCE_SINK' WHEN 2 THEN 'CANDIDATE_REVIEW' ELSE 'UNMATCHED' END"
 
 
 @_query
@@ -438,7 +475,7 @@ def w1_tier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _sql("w1_tier_counts", ("findings", "entries"), f"""
-SELECT t AS match_tier, count(x) AS n FROM (SELECT unnest(['STRICT', 'STRONG', 'CANDIDATE', 'UNMATCHED']) AS t) LEFT JOIN (
+SELECT t AS match_tier, count(x) AS n FROM (SELECT unnest(['STRICT_SOURCE_SINK', 'STRONG_SOURCE_SINK', 'CANDIDATE_REVIEW', 'UNMATCHED']) AS t) LEFT JOIN (
   SELECT {_TIER.format('m')} AS x FROM findings f LEFT JOIN (SELECT ref, min(tier) AS m FROM tiers GROUP BY ref) b ON b.ref = f.ref) ON x = t GROUP BY t""", _MATCH_SQL)
 
 
@@ -1311,18 +1348,10 @@ UNION ALL SELECT 'INVALID_VERDICT', finding_id, 'MAYBE' FROM reviews WHERE doc %
 _PER_REPORT = 400
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share, below spark.checkpoint.dir."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or ("file:///tmp/checkpoints" if spark.sparkContext.master.startswith("local[") else None)
-    if shared is None:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _write_reports(parts: DataFrame, document: Column, name: str) -> tuple[str, DataFrame]:
     """Write one file of JSON for each group of parts; returns the files' glob and the table of their jobs."""
     spark = parts.sparkSession
-    path = _folder(spark, name)
+    path = scratch.folder(spark, name)
     rows = parts.groupBy("job").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "r"))).alias("rs")).withColumn("rs", F.transform("rs", lambda x: x["r"]))
     rows.select("job", document.alias("value")).repartition("job").write.option("maxRecordsPerFile", 1).partitionBy("job").text(path)
     files = spark.read.schema("value string").text(f"{path}/*/*").select(F.col("_metadata.file_path").alias("source_file")).distinct()

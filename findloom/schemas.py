@@ -58,6 +58,6 @@ FP_REASONS = (
     "SCANNER_MODELING_ERROR",
     "OTHER_EXPLAINED",
 )
-TIERS = ("STRICT", "STRONG", "CANDIDATE", "UNMATCHED")
+TIERS = ("STRICT_SOURCE_SINK", "STRONG_SOURCE_SINK", "CANDIDATE_REVIEW", "UNMATCHED")
 NO_RULES = "NoApplicableRuleConfig"
 SPLITS = ("train", "validation", "test")

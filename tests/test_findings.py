@@ -90,7 +90,7 @@ def test_tiers(spark):
     e = spark.createDataFrame([entry(1, 20, l1="命令注入")], ENTRY)
     fix = e.withColumn("repo_url", F.lit("https://github.com/example/project"))
     got = {r["finding_id"][-1]: r for r in matching.match_candidates(f, fix, 2).collect()}
-    assert {k: r["match_tier"] for k, r in got.items()} == {"a": "STRICT", "b": "CANDIDATE", "c": "UNMATCHED", "d": "STRONG", "e": "STRONG"}
+    assert {k: r["match_tier"] for k, r in got.items()} == {"a": "STRICT_SOURCE_SINK", "b": "CANDIDATE_REVIEW", "c": "UNMATCHED", "d": "STRONG_SOURCE_SINK", "e": "STRONG_SOURCE_SINK"}
     assert got["d"]["matches"][0]["category_cwe_evidence"] == ["family:command_injection"]
     assert matching.match_candidates(f, fix.withColumn("verify", F.lit(0))).filter("match_tier <> 'UNMATCHED'").isEmpty()
 
