@@ -32,6 +32,8 @@ FEATURES = (
 #: Share of the diagonal in a class covariance, and the least variance of a statistic.
 SHRINKAGE, FLOOR = 0.05, 1e-3
 THRESHOLD = 0.3
+#: Labelled rows that the pipeline's model is fit on at most, those of lowest hash.
+FIT_ROWS = 20_000
 
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
@@ -135,10 +137,25 @@ def fit(labelled: DataFrame, label_col: str = "label", shrinkage: float = SHRINK
     return Model(means, whiten, constants)
 
 
-def train(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", folds: int = 5) -> Model:
-    """A model from the labelled rows outside fold 0 (crc32 of the id as text)."""
+def known_labels(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", folds: int = 5) -> DataFrame:
+    """Rows (doc_id, label) to learn from: ids outside fold 0 (crc32 of the id as text), of several labels the greatest."""
     known = labels.filter(F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(label_col).cast("int").alias("label"))
-    return fit(stats.join(known.filter(crc_bucket(F.col("doc_id"), folds) != 0), "doc_id"))
+    return known.filter(crc_bucket(F.col("doc_id"), folds) != 0)
+
+
+def train(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", folds: int = 5) -> Model:
+    """A model from all labelled rows outside fold 0."""
+    return fit(stats.join(known_labels(labels, id_col, label_col, folds), "doc_id"))
+
+
+def train_on_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, rows: int = FIT_ROWS) -> Model:
+    """A model from at most ``rows`` labelled ids outside fold 0, those of lowest
+    hash; statistics are computed of their documents alone. The ids are
+    broadcast, which ``rows`` bounds."""
+    known = known_labels(labels, id_col, label_col, folds).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
+    sample = own.join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi")
+    return fit(with_statistics(sample, "doc_id", "t").join(F.broadcast(known), "doc_id"))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, threshold: float = THRESHOLD) -> DataFrame:
@@ -163,10 +180,12 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that the classifier does not reject, with all their columns.
 
-    The statistics of unlabelled texts are computed where they are read, so no
-    text is shuffled.
+    The model learns from ``FIT_ROWS`` labelled documents at most; every
+    document is scored by the statistics of its whole text, where it is read,
+    so no text is shuffled. Null and empty texts are scored like any other;
+    rows with a null id stay or go by their text.
     """
-    model = train(with_statistics(docs, id_col, text_col), labels, id_col, folds=folds)
+    model = train_on_sample(docs, labels, id_col, text_col, folds=folds)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
