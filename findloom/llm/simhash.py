@@ -266,12 +266,11 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     miss. All columns are kept. Rows that repeat a kept doc_id and its text
     leave one row; rows with a null doc_id, which name no document, stay.
     """
-    kept = near_copies.first_of_each(docs, id_col, text_col).select(F.col("doc_id").alias("kept doc_id"), F.col("same").alias("kept same"))
+    kept = near_copies.first_of_each(docs, id_col, text_col).select(F.col("doc_id").alias("kept doc_id"), F.col("same").alias("kept same"), "rows")
+    repeated = not kept.filter("rows > 1").isEmpty()
     named = docs.withColumn("row same", near_copies.same_text(text_col))
     on = (F.col(id_col).cast("long") == F.col("kept doc_id")) & (F.col("row same") == F.col("kept same"))
-    return (
-        named.join(kept.hint("shuffle_hash"), on, "left_semi")
-        .dropDuplicates([id_col, "row same"])
-        .drop("row same")
-        .unionByName(docs.filter(F.col(id_col).isNull()))
-    )
+    left = named.join(kept.hint("shuffle_hash"), on, "left_semi")
+    if repeated:
+        left = left.dropDuplicates([id_col, "row same"])
+    return left.drop("row same").unionByName(docs.filter(F.col(id_col).isNull()))
