@@ -15,7 +15,7 @@ WINDOW, END = 4096, 2
 #: Tokens of document tails that a task gathers before it packs them.
 POOL_TOKENS = 1 << 22
 #: Words, and pieces of words, whose ids a Python worker remembers from task to task.
-CACHE_WORDS, CACHE_PIECES = 350_000, 700_000
+CACHE_WORDS, CACHE_PIECES = 150_000, 300_000
 
 
 def best_fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
