@@ -1284,37 +1284,75 @@ SELECT f.ref AS finding_id, CASE WHEN f.start_line % 4 <> 0 THEN 'NOT_APPLICABLE
 FROM findings f LEFT JOIN (SELECT ref, min(m) AS m, count(*) AS n, string_agg(DISTINCT entry_id, ',' ORDER BY entry_id) AS es FROM best WHERE tier = m GROUP BY ref) b ON b.ref = f.ref""", _MATCH_SQL)
 
 
-def _small_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The dataset with seven positives in repositories of their own."""
-    e = _enriched(spark, sf_dir)
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The enriched dataset with fewer positives than negatives, as scans have them."""
     no = F.regexp_extract("finding_id", r"(\d+)$", 1).cast("long")
-    first = e.filter(F.col("machine_reference.label") == "MACHINE_TRUE_POSITIVE").orderBy(no).limit(7).select("finding_id", F.lit(True).alias("kept"))
-    j = e.join(first, "finding_id", "left").filter((F.col("machine_reference.label") == "MACHINE_FALSE_POSITIVE") | F.col("kept"))
-    own = F.when(F.col("kept"), F.concat(F.lit("own-"), F.col("finding_id"))).otherwise(F.col("features.repository"))
-    return j.withColumn("features", F.col("features").withField("repository", own)).drop("kept")
+    label = F.when(F.col("machine_reference.label") == "MACHINE_UNCERTAIN", "MACHINE_UNCERTAIN").when(no % 9 == 0, "MACHINE_TRUE_POSITIVE").otherwise("MACHINE_FALSE_POSITIVE")
+    return _enriched(spark, sf_dir).withColumn("machine_reference", F.struct(label.alias("label")))
+
+
+_LABELLED = """e AS (
+  SELECT finding_id, repository, rule_id, cwe_a, cwe_b, language, has_dataflow, ['train', 'validation', 'test'][CAST(substr(repository, 2) AS INTEGER) % 3 + 1] AS split,
+    CASE WHEN label = 'UNCERTAIN' THEN 'MACHINE_UNCERTAIN' WHEN CAST(substr(finding_id, 9) AS BIGINT) % 9 = 0 THEN 'MACHINE_TRUE_POSITIVE' ELSE 'MACHINE_FALSE_POSITIVE' END AS lab FROM gold)"""
 
 
 @_query
 def c3_repository_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repositories assigned to splits that meet the targets."""
-    return dataset.assign(_small_split(spark, sf_dir), "seed")
+    """Positives of the splits that whole repositories are assigned to, against their targets."""
+    rows = _labelled(spark, sf_dir)
+    at = dataset.assign(rows, "seed")
+    j = rows.join(at, F.col("features.repository") == F.col("repository"))
+    counted = j.groupBy("split").agg(F.count_if(F.col("machine_reference.label") == "MACHINE_TRUE_POSITIVE").alias("positives"))
+    return counted.select("split", "positives")
+
+
+# All subsets of 17 repositories that train and validation may get, by their sums: the closest to the targets in all.
+_sql("c3_repository_splits", ("gold",), """
+SELECT unnest(['train', 'validation', 'test']) AS split, unnest([t, v, (SELECT sum(n) FROM c)::BIGINT - t - v]) AS positives FROM (
+  SELECT t, v FROM steps s, goal WHERE s.i = (SELECT max(i) FROM c) ORDER BY abs(t - gt) + abs(v - gv) + abs(total - t - v - (total - gt - gv)), t LIMIT 1)""", _LABELLED + """,
+c AS (SELECT row_number() OVER (ORDER BY repository) AS i, count(*) AS n FROM e WHERE lab = 'MACHINE_TRUE_POSITIVE' GROUP BY repository),
+goal AS (SELECT total, total - 2 * (total * 2 // 7) AS gt, total * 2 // 7 AS gv FROM (SELECT sum(n)::BIGINT AS total FROM c)),
+steps AS (SELECT 0::BIGINT AS i, 0::BIGINT AS t, 0::BIGINT AS v UNION SELECT c.i, s.t + c.n * w.a, s.v + c.n * w.b FROM steps s JOIN c ON c.i = s.i + 1, (VALUES (0, 0), (0, 1), (1, 0)) w(a, b))""")
 
 
 @_query
 def c4_balanced_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One matched negative for each positive of a split."""
-    rows = _small_split(spark, sf_dir)
-    return dataset.balanced(rows, dataset.assign(rows, "seed"), "seed")
+    """One matched negative for each positive of a split, repositories being dealt by their number."""
+    rows = _labelled(spark, sf_dir)
+    names = F.element_at(F.array(*map(F.lit, ("train", "validation", "test"))), F.substring("repository", 2, 9).cast("int") % 3 + 1)
+    at = rows.select(F.col("features.repository").alias("repository")).distinct().withColumn("split", names)
+    return dataset.balanced(rows, at, "seed")
+
+
+_sql("c4_balanced_splits", ("gold",), """
+SELECT split, finding_id, lab AS class FROM p UNION ALL SELECT split, chosen, 'MACHINE_FALSE_POSITIVE' FROM steps WHERE chosen IS NOT NULL""", _LABELLED + """,
+p AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY finding_id) AS k, count(*) OVER (PARTITION BY split) AS want FROM e WHERE lab = 'MACHINE_TRUE_POSITIVE'),
+near AS (
+  SELECT p.split, p.k, n.finding_id AS n, row_number() OVER (PARTITION BY p.split, p.k ORDER BY 16 * (p.repository = n.repository)::INT + 8 * (p.rule_id = n.rule_id)::INT
+    + 4 * coalesce(list_has_any([p.cwe_a, p.cwe_b], list_filter([n.cwe_a, n.cwe_b], lambda x: x IS NOT NULL)), false)::INT + 2 * (p.language = n.language)::INT + (p.has_dataflow = n.has_dataflow)::INT DESC,
+    sha256(concat_ws(chr(0), 'seed', p.split, p.finding_id, n.finding_id)) DESC) AS r
+  FROM p JOIN e n ON n.split = p.split AND n.lab = 'MACHINE_FALSE_POSITIVE' QUALIFY r <= any_value(p.want) OVER (PARTITION BY p.split, p.k)),
+steps AS (
+  SELECT DISTINCT split, 0::BIGINT AS k, CAST([] AS VARCHAR[]) AS taken, CAST(NULL AS VARCHAR) AS chosen FROM p
+  UNION ALL SELECT s.split, s.k + 1, s.taken || [arg_min(near.n, near.r)], arg_min(near.n, near.r) FROM steps s JOIN near ON near.split = s.split AND near.k = s.k + 1 AND NOT list_contains(s.taken, near.n)
+  GROUP BY s.split, s.k, s.taken)""")
 
 
 @_query
 def u5_split_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings and repositories that two splits share: none."""
-    rows = _small_split(spark, sf_dir)
-    return dataset.split_leaks(dataset.balanced(rows, dataset.assign(rows, "seed"), "seed"), rows)
+    """Findings and repositories that two splits share, where findings are dealt without regard to repositories."""
+    rows = _labelled(spark, sf_dir)
+    no = F.regexp_extract("finding_id", r"(\d+)$", 1).cast("long")
+    dealt = rows.select("finding_id", F.when(no % 17 < 9, "train").when(no % 17 < 16, "validation").when(no % 5 == 0, "test").otherwise("train").alias("split"))
+    again = rows.filter(no % 40 == 3).select("finding_id", F.lit("test").alias("split"))
+    return dataset.split_leaks(dealt.unionByName(again), rows)
 
 
-_sql("u5_split_leaks", (), "SELECT 'x' AS rule_id, 'x' AS key, 'x' AS detail WHERE 1 = 0")
+_sql("u5_split_leaks", ("gold",), """
+SELECT 'FINDING_LEAK' AS rule_id, finding_id AS key, string_agg(DISTINCT s, ',' ORDER BY s) AS detail FROM d GROUP BY finding_id HAVING count(DISTINCT s) > 1
+UNION ALL SELECT 'REPOSITORY_LEAK', repository, string_agg(DISTINCT s, ',' ORDER BY s) FROM d GROUP BY repository HAVING count(DISTINCT s) > 1""",
+     """x AS (SELECT finding_id, repository, CAST(substr(finding_id, 9) AS BIGINT) AS no FROM gold),
+d AS (SELECT *, CASE WHEN no % 17 < 9 THEN 'train' WHEN no % 17 < 16 THEN 'validation' WHEN no % 5 = 0 THEN 'test' ELSE 'train' END AS s FROM x UNION ALL SELECT *, 'test' FROM x WHERE no % 40 = 3)""")
 
 
 @_query

@@ -1,7 +1,10 @@
 """Golden cases of deduplication, matching, metrics, evidence and splits."""
 
+import hashlib
 import itertools
 import json
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import Row
@@ -179,6 +182,43 @@ def test_splits(spark):
         dataset.assign(df, "seed", {"train": 7, "validation": 7, "test": 7})
 
 
+def test_assignment_by_table_is_as_close_as_all_ways():
+    rng = random.Random(4)
+    for _ in range(40):
+        repos = [(f"r{k}", rng.randint(1, 9), rng.randint(0, 9)) for k in range(rng.randint(1, 7))]
+        targets = dataset.targets_of(sum(r[1] for r in repos))
+        off = lambda at: sum(abs(sum(r[1] for r in repos if at[r[0]] == s) - n) for s, n in targets.items())  # noqa: B023, E731
+        by_table, best = dataset._by_table(repos, targets, "seed"), dataset._all_ways(repos, targets, "seed")
+        assert by_table.keys() == best.keys() and off(by_table) == off(best)
+    assert dataset.targets_of(7) == dataset.TARGETS
+
+
+def test_many_repositories_are_assigned(spark, monkeypatch):
+    feature = lambda repo: Row(repository=repo, rule_id="r", cwes=[], language="go", has_dataflow=False)
+    rows = [(f"{r}-{k}", Row(label=f"MACHINE_{'TRUE' if k < 1 + r % 3 else 'FALSE'}_POSITIVE"), feature(f"repo{r}")) for r in range(60) for k in range(6)]
+    df = spark.createDataFrame(rows, "finding_id string, machine_reference struct<label:string>, features struct<repository:string,rule_id:string,cwes:array<string>,language:string,has_dataflow:boolean>")
+    for tabled in (10_000, 5):
+        monkeypatch.setattr(dataset, "MAX_TABLED", tabled)
+        at = {r["repository"]: r["split"] for r in dataset.assign(df, "seed").collect()}
+        have = Counter(at[f"repo{r}"] for r in range(60) for _ in range(1 + r % 3))
+        assert len(at) == 60 and (dict(have) == dataset.targets_of(120) if tabled > 60 else set(have) == {"train", "validation", "test"})
+
+
+def test_positives_look_further_where_their_best_are_taken(spark, monkeypatch):
+    monkeypatch.setattr(dataset, "CANDIDATES", 1)
+    feature = Row(repository="a", rule_id="r", cwes=[], language="go", has_dataflow=False)
+    rows = [(f"p{k}", Row(label="MACHINE_TRUE_POSITIVE"), feature) for k in range(9)] + [(f"n{k}", Row(label="MACHINE_FALSE_POSITIVE"), feature) for k in range(12)]
+    df = spark.createDataFrame(rows, "finding_id string, machine_reference struct<label:string>, features struct<repository:string,rule_id:string,cwes:array<string>,language:string,has_dataflow:boolean>")
+    got = dataset.balanced(df, spark.createDataFrame([("a", "train")], "repository string, split string"), "seed").collect()
+    tie = lambda p, n: hashlib.sha256("\0".join(["seed", "train", p, n]).encode()).hexdigest()
+    free, want = {f"n{k}" for k in range(12)}, set()
+    for p in sorted(f"p{k}" for k in range(9)):
+        best = max(free, key=lambda n: tie(p, n))  # noqa: B023
+        free.remove(best)
+        want.add(best)
+    assert {r["finding_id"] for r in got if r["class"] == "MACHINE_FALSE_POSITIVE"} == want and len(got) == 18
+
+
 def test_gates(spark):
     schema = (
         "finding_id string, schema_version int, label string, reasoning string, evidence array<string>, reviewer struct<id:string,kind:string>, "
