@@ -67,7 +67,7 @@ def violations(findings: DataFrame) -> DataFrame:
     broken = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in checks.items()]))
     malformed = f.select(F.explode(broken).alias("rule_id"), F.col("finding_id").alias("key"), F.coalesce("provenance.raw_result_ref", F.lit("")).alias("detail"))
     n = F.count_distinct(F.struct(*EXACT_KEY))
-    shared = f.groupBy("finding_id").agg(n.alias("n")).filter("n > 1")
+    shared = f.filter(~blank(F.col("finding_id"))).groupBy("finding_id").agg(n.alias("n")).filter("n > 1")
     return malformed.unionByName(shared.select(F.lit("CONFLICTING_IDENTITY").alias("rule_id"), F.col("finding_id").alias("key"), F.col("n").cast("string").alias("detail")))
 
 

@@ -58,9 +58,10 @@ def event_violations(events: DataFrame, keys: list[str]) -> DataFrame:
     ``events`` has (keys, line, type).
     """
     n = lambda t: F.count_if(F.col("type") == t)
+    at = F.struct("line", "type")
     g = events.groupBy(*keys).agg(
         n("thread.started").alias("threads"), n("turn.started").alias("opened"), n("turn.completed").alias("closed"),
-        F.count_if(F.col("type").isin("turn.failed", "error")).alias("failed"), F.max_by("type", "line").alias("last"), F.min_by("type", "line").alias("first"),
+        F.count_if(F.col("type").isin("turn.failed", "error")).alias("failed"), F.max_by("type", at).alias("last"), F.min_by("type", at).alias("first"),
     )
     tests = {
         "THREADS": F.col("threads") != 1,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import families, lines
 from ..functions import text as T
 from ..functions.canonical import canonical_json, case_key, digits_mod3, stable_hash, to_json
-from ..operators import audit, dataset, dedup, findings, gates, ledger, matching, metrics, reviews, rules, sampling, usage
+from ..operators import audit, dataset, dedup, findings, gates, ledger, matching, metrics, packages, reviews, rules, sampling, usage
 from ..sources import code, jsonl, reports, scratch
 from . import views as V
 
@@ -40,7 +40,7 @@ def _sql(name: str, views: tuple[str, ...], body: str, more: str = "") -> None:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact-duplicate clusters of findings."""
+    """Clusters of findings over all scanners."""
     return a3_clusters(spark, sf_dir)
 
 
@@ -228,11 +228,22 @@ SELECT CAST(sum(member_count) AS BIGINT) AS input_findings, CAST(sum(member_coun
 
 @_query
 def v1_v2_finding_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Malformed findings and ids with two identities: none."""
-    return findings.violations(V.findings(spark, sf_dir))
+    """Malformed findings, and ids that name two identities, of findings that are broken in every way."""
+    f = V.findings(spark, sf_dir)
+    n = F.col("location.start_line")
+    f = f.withColumns({
+        "finding_id": F.when(n == 1, " ").when(n == 2, F.concat(F.lit("shared-"), F.coalesce("rule.category", F.lit("none")))).otherwise(F.col("finding_id")), "repo_url": F.when(n == 3, " .git").otherwise(F.col("repo_url")),
+        "commit": F.when(n != 4, F.col("commit")), "scanner": F.when(n != 5, F.col("scanner")), "rule": F.when(n == 6, F.col("rule").withField("id", F.lit(" "))).otherwise(F.col("rule")),
+        "provenance": F.when(n == 7, F.col("provenance").withField("raw_result_ref", F.lit(""))).otherwise(F.col("provenance")),
+        "location": F.when(n == 8, F.col("location").withField("file", F.lit(None))).when(n == 9, F.col("location").withField("end_line", F.lit(8))).when(n == 10, F.col("location").withField("start_line", F.lit(0))).otherwise(F.col("location")),
+    })
+    return findings.violations(f)
 
 
-_sql("v1_v2_finding_gate", (), "SELECT 'x' AS rule_id, 'x' AS key, 'x' AS detail WHERE 1 = 0")
+_sql("v1_v2_finding_gate", ("findings",), f"""
+SELECT ['FINDING_ID', 'x', 'REPO_URL', 'COMMIT', 'SCANNER', 'RULE', 'RAW_REF', 'PATH', 'LINES', 'LINES'][start_line] AS rule_id, CASE WHEN start_line = 1 THEN ' ' ELSE id END AS key, CASE WHEN start_line = 7 THEN '' ELSE ref END AS detail
+FROM (SELECT *, {_ID} AS id FROM findings) WHERE start_line <= 10 AND start_line <> 2
+UNION ALL SELECT 'CONFLICTING_IDENTITY', 'shared-' || c, '' || count(*) FROM (SELECT DISTINCT coalesce(category, 'none') AS c, {_KEY} FROM findings WHERE start_line = 2) GROUP BY c HAVING count(*) > 1""")
 
 
 @_query
@@ -688,19 +699,23 @@ SELECT count(*) AS audited, count(*) FILTER (doc % 23 <> 0 AND doc % 7 < 2) AS n
 
 @_query
 def p9_j12_adjudication(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Adjudicator's input: opinions in an order that a hash decides."""
+    """Adjudicator's input: each routed case with its own finding, and opinions in an order that a hash decides."""
     r = _reconciled(spark, sf_dir)
     third = _decisions(spark, sf_dir).select("finding_id", "verdict", "confidence")
-    ids = r.select("finding_id")
-    f = V.findings(spark, sf_dir).limit(1).drop("finding_id")  # any finding's shape; each case carries a copy
-    q = reviews.adjudication_input(r, third, ids.crossJoin(F.broadcast(f)))  # one row
-    return q.select("finding_id", F.col("opinions")[0]["reasoning"].alias("first"), F.col("opinions")[1]["reasoning"].alias("second"), F.col("blind_opinion.verdict").alias("third"), F.size("opinions.evidence").alias("opinions"))
+    number = F.regexp_extract("provenance.raw_result_ref", r"^raw/(\d+)-", 1)
+    f = V.findings(spark, sf_dir).withColumns({"finding_id": F.concat(F.lit("finding-"), number), "ref": F.col("provenance.raw_result_ref")})
+    q = reviews.adjudication_input(r, third, findings.latest_by(f, ["finding_id"], "ref").drop("ref"))
+    return q.select(
+        "finding_id", F.col("finding.provenance.raw_result_ref").alias("ref"), F.col("opinions")[0]["reasoning"].alias("first"), F.col("opinions")[1]["reasoning"].alias("second"),
+        F.col("blind_opinion.verdict").alias("third"), F.size("opinions.evidence").alias("opinions"),
+    )
 
 
-_sql("p9_j12_adjudication", ("reviews",), """
-SELECT finding_id, CASE WHEN odd THEN 'b' ELSE 'a' END || doc AS first, CASE WHEN odd THEN 'a' ELSE 'b' END || doc AS second,
+_sql("p9_j12_adjudication", ("reviews", "findings"), """
+SELECT finding_id, ref, CASE WHEN odd THEN 'b' ELSE 'a' END || doc AS first, CASE WHEN odd THEN 'a' ELSE 'b' END || doc AS second,
   CASE WHEN doc % 7 = 0 THEN 'TRUE_POSITIVE' WHEN doc % 7 = 1 THEN 'UNCERTAIN' ELSE 'FALSE_POSITIVE' END AS third, 2 AS opinions
-FROM (SELECT *, instr('13579bdf', substr(sha256(finding_id), 2, 1)) > 0 AS odd FROM routed WHERE coalesce(reasons, '') <> '' AND doc % 23 <> 0)""", _ROUTED)
+FROM (SELECT *, instr('13579bdf', substr(sha256(finding_id), 2, 1)) > 0 AS odd FROM routed WHERE coalesce(reasons, '') <> '' AND doc % 23 <> 0)
+JOIN (SELECT 'finding-' || regexp_extract(ref, '^raw/(\\d+)-', 1) AS finding_id, max(ref) AS ref FROM findings GROUP BY 1) USING (finding_id)""", _ROUTED)
 
 
 @_query
@@ -1048,7 +1063,14 @@ def v28_event_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations whose turns do not open, close and end."""
     c = _table(spark, sf_dir, "conversations")
     kind = F.when(F.col("turn") == 0, "thread.started").when(F.col("role") == "user", "turn.started").otherwise("turn.completed")
-    return usage.event_violations(c.select("conv_id", F.col("turn").alias("line"), kind.alias("type")).dropDuplicates(["conv_id", "line"]), ["conv_id"]).filter("rule_id <> 'OPEN_TURN'")
+    return usage.event_violations(c.select("conv_id", F.col("turn").alias("line"), kind.alias("type")), ["conv_id"])
+
+
+_sql("v28_event_logs", (), """
+SELECT unnest(list_filter([CASE WHEN threads <> 1 THEN 'THREADS' END, CASE WHEN first <> 'thread.started' THEN 'FIRST_EVENT' END, CASE WHEN opened <> closed THEN 'OPEN_TURN' END,
+    CASE WHEN last <> 'turn.completed' THEN 'LAST_EVENT' END], lambda x: x IS NOT NULL)) AS rule_id, '' || conv_id AS key, last AS detail
+FROM (SELECT conv_id, count(*) FILTER (t = 'thread.started') AS threads, count(*) FILTER (t = 'turn.started') AS opened, count(*) FILTER (t = 'turn.completed') AS closed, arg_min(t, (turn, t)) AS first, arg_max(t, (turn, t)) AS last
+  FROM (SELECT conv_id, turn, CASE WHEN turn = 0 THEN 'thread.started' WHEN role = 'user' THEN 'turn.started' ELSE 'turn.completed' END AS t FROM conversations) GROUP BY conv_id)""")
 
 
 # --- source text ------------------------------------------------------------
@@ -1114,10 +1136,10 @@ def _rule_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """YAML rule files made of parts: two rules each, some of them security."""
     p = _table(spark, sf_dir, "part")
     k = F.col("p_partkey")
-    category = lambda n: F.when((k + n) % 3 == 0, "Security").otherwise("style")
+    category = lambda n: F.when((k % 3 == 0) | ((k % 7 == 0) & (n > 0)), "Security").otherwise("style")
     rule = lambda n: F.concat(F.lit("  - id: 'rule-"), ((k + n) % 900).cast("string"), F.lit("'\n    metadata:\n      category: "), category(n), F.lit("\n"))
     name = F.concat(F.lit("lang"), (k % 5).cast("string"), F.lit("/f"), k.cast("string"), F.when(k % 50 == 7, ".test.yaml").otherwise(".yaml"))
-    return p.select(name.alias("file"), F.concat(F.lit("rules:\n"), rule(0), rule(3 + 0)).alias("text"))
+    return p.select(name.alias("file"), F.concat(F.lit("rules:\n"), rule(0), rule(3)).alias("text"))
 
 
 _RULES = "rf AS (SELECT p_partkey AS k, 'lang' || (p_partkey % 5) || '/f' || p_partkey || '.yaml' AS file FROM part WHERE p_partkey % 50 <> 7), ri AS (SELECT file, 2 AS line, 'rule-' || (k % 900) AS rule_id FROM rf UNION ALL SELECT file, 5, 'rule-' || ((k + 3) % 900) FROM rf)"
@@ -1159,7 +1181,7 @@ def a18_security_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.selection_counts(rules.security_files(code.rule_categories(_rule_files(spark, sf_dir))))
 
 
-_sql("a18_security_rules", (), "SELECT 'lang' || (k % 5) AS folder, count(*) FILTER (k % 3 = 0) AS selected, count(*) FILTER (k % 3 <> 0) AS skipped, CAST(0 AS BIGINT) AS mixed FROM rf GROUP BY 1", _RULES)
+_sql("a18_security_rules", (), "SELECT 'lang' || (k % 5) AS folder, count(*) FILTER (k % 3 = 0) AS selected, count(*) FILTER (k % 3 <> 0 AND k % 7 <> 0) AS skipped, count(*) FILTER (k % 3 <> 0 AND k % 7 = 0) AS mixed FROM rf GROUP BY 1", _RULES)
 
 
 @_query
@@ -1362,21 +1384,309 @@ def p12_accept_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.machine_reference(m, dataset.accept_all(m)).select("tp", "fp", "tn", "fn", "precision", "recall", "selective_coverage")
 
 
-_sql("p12_accept_all", ("gold",), """
-SELECT t AS tp, f AS fp, CAST(0 AS BIGINT) AS tn, CAST(0 AS BIGINT) AS fn, t / (t + f) AS precision, 1.0::DOUBLE AS recall, 1.0::DOUBLE AS selective_coverage
-FROM (SELECT count(*) FILTER (label LIKE 'TP%') AS t, count(*) FILTER (label = 'FP_CONFIRMED') AS f FROM gold)""")
+_sql("p12_accept_all", ("gold",), f"""
+SELECT tp, fp, tn, fn, precision, recall, selective_coverage FROM (SELECT {_RATES} FROM (SELECT {_COUNTERS} FROM (SELECT label IN ('TP_KNOWN', 'TP_NOVEL') AS truth, 'TRUE_POSITIVE' AS v FROM gold WHERE label <> 'UNCERTAIN')))""")
 
 
 @_query
 def p13_import_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Imported verdicts that do not fit their split."""
+    """Imported verdicts that do not fit their split: too many, too few, unknown and repeated ones."""
     p = V.predictions(spark, sf_dir).withColumn("verdict", F.when(F.substring("finding_id", -1, 1) == "7", "MAYBE").otherwise(F.col("verdict")))
-    return dataset.import_violations(p, V.gold(spark, sf_dir)).filter("rule_id <> 'EXTRA_PREDICTION'")
+    return dataset.import_violations(p.unionByName(p.filter(F.substring("finding_id", -2, 2) == "08")), V.gold(spark, sf_dir))
 
 
 _sql("p13_import_gate", ("gold", "reviews"), """
-SELECT 'MISSING_PREDICTION' AS rule_id, finding_id AS key, '' AS detail FROM gold WHERE finding_id NOT IN (SELECT finding_id FROM reviews WHERE doc % 11 <> 0)
-UNION ALL SELECT 'INVALID_VERDICT', finding_id, 'MAYBE' FROM reviews WHERE doc % 11 <> 0 AND doc % 10 = 7""")
+SELECT 'MISSING_PREDICTION' AS rule_id, finding_id AS key, '' AS detail FROM gold WHERE finding_id NOT IN (SELECT finding_id FROM p)
+UNION ALL SELECT 'INVALID_VERDICT', finding_id, 'MAYBE' FROM p WHERE doc % 10 = 7
+UNION ALL SELECT 'EXTRA_PREDICTION', finding_id, v FROM p WHERE finding_id NOT IN (SELECT finding_id FROM gold)
+UNION ALL SELECT 'REPEATED_PREDICTION', finding_id, '' || count(*) FROM p GROUP BY finding_id HAVING count(*) > 1""",
+     """one AS (SELECT *, CASE WHEN doc % 10 = 7 THEN 'MAYBE' ELSE verdict END AS v FROM reviews WHERE doc % 11 <> 0), p AS (SELECT * FROM one UNION ALL SELECT * FROM one WHERE finding_id LIKE '%08')""")
+
+
+# --- packages of stages -----------------------------------------------------
+
+
+def _sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = V.flat(spark, sf_dir, "reviews")
+    return r.select(F.col("doc").alias("position"), "finding_id", (F.col("doc") % 50).alias("k"))
+
+
+def _rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+@_query
+def s22_sample_package(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample package with another file, another id and another number than its manifest states."""
+    f = _sample(spark, sf_dir)
+    index = f.withColumn("finding_id", F.when(F.col("k") == 7, "other").otherwise(F.col("finding_id"))).filter("k != 9")
+    manifest = _rows(spark, [(5, {"a": "aa", "b": "bb", "c": "cc"})], "sample_size long, outputs map<string,string>")
+    return packages.sample_violations(manifest, _rows(spark, [("a", "AA"), ("b", "xx")], "name string, sha256 string"), f, index)
+
+
+_sql("s22_sample_package", ("reviews",), """
+SELECT 'SAMPLE_AND_INDEX' AS rule_id, '' || doc AS key, finding_id || CASE WHEN doc % 50 = 7 THEN ' other' ELSE ' -' END AS detail FROM reviews WHERE doc % 50 IN (7, 9)
+UNION ALL SELECT 'CHECKSUM', 'b', 'bb' UNION ALL SELECT 'MISSING_FILE', 'c', 'cc' UNION ALL SELECT 'SAMPLE_SIZE', '' || count(*), '5' FROM reviews HAVING count(*) <> 5""")
+
+
+@_query
+def s23_evidence_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence packets of other findings, of other snapshots, unverified ones, and one too few."""
+    f = _sample(spark, sf_dir)
+    k = F.col("k")
+    p = f.filter("k != 11").select(
+        "position", "finding_id", F.struct(F.when(k == 3, "x").otherwise(F.col("finding_id")).alias("finding_id"), F.lit("r").alias("repo_url"), F.lit("c").alias("commit")).alias("finding"),
+        F.struct(F.lit("r").alias("repo_url"), F.when(k == 5, "d").otherwise("c").alias("commit"), F.when(k != 6, k != 4).alias("git_state_verified")).alias("snapshot"),
+    )
+    return packages.packet_violations(p, f)
+
+
+_sql("s23_evidence_packets", ("reviews",), """
+SELECT 'PACKETS_AND_SAMPLE' AS rule_id, '' || doc AS key, '- ' || finding_id AS detail FROM reviews WHERE doc % 50 = 11
+UNION ALL SELECT CASE doc % 50 WHEN 3 THEN 'PACKET_FINDING' WHEN 5 THEN 'PACKET_SNAPSHOT' ELSE 'PACKET_NOT_VERIFIED' END, finding_id, '' FROM reviews WHERE doc % 50 IN (3, 4, 5, 6)""")
+
+
+@_query
+def s31_frozen_triple(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What has changed in a frozen triple of findings, packets and index."""
+    f = V.findings(spark, sf_dir).withColumns({"finding_id": F.col("provenance.raw_result_ref"), "position": F.col("provenance.raw_result_ref")})
+    n = F.col("location.start_line")
+    shown = reviews.blind(f.withColumn("message", F.when(n == 13, "changed").otherwise(F.col("message"))), ("semgrep",))
+    packets = shown.select(F.col("finding_id").alias("position"), "finding_id", F.when(n == 19, 2).otherwise(1).alias("schema_version"), F.when(n == 17, 0).otherwise(n).alias("review_order"), F.struct(*shown.columns).alias("finding"))
+    return packages.frozen_violations(f, packets, f.filter(n != 23).select("position", "finding_id", n.alias("review_order")), "semgrep", "1.0.0")
+
+
+_sql("s31_frozen_triple", ("findings",), """
+SELECT 'SCANNER' AS rule_id, ref AS key, '' AS detail FROM findings WHERE scanner <> 'semgrep' AND start_line <> 23
+UNION ALL SELECT CASE start_line WHEN 13 THEN 'BLIND_PROJECTION' WHEN 17 THEN 'REVIEW_ORDER' ELSE 'PACKET_SCHEMA' END, ref, '' FROM findings WHERE start_line IN (13, 17, 19)
+UNION ALL SELECT 'INDEX_AND_SAMPLE', ref, '- ' || ref FROM findings WHERE start_line = 23""")
+
+
+def _run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
+    """A run, its predictions and cases, what was expected, and the files: some of each is broken."""
+    f = _sample(spark, sf_dir)
+    k = F.col("k")
+    predictions = f.select("position", F.when(k == 1, "odd").otherwise(F.col("finding_id")).alias("finding_id"), F.when(k < 3, "same").when(k < 40, F.concat(F.lit("resp"), "position")).alias("response_id"))
+    used = F.create_map(F.lit("input_tokens"), F.col("position"), F.lit("output_tokens"), F.lit(2).cast("long"))
+    cases = f.filter("k != 4").select(
+        F.when(k == 5, F.concat("finding_id", F.lit("-"))).otherwise(F.col("finding_id")).alias("finding_id"), F.when(k == 6, "FAILED").otherwise("SUCCESS").alias("status"),
+        F.concat(F.lit("case/"), "position").alias("name"), F.sha2(F.col("position").cast("string"), 256).alias("sha256"), used.alias("usage"),
+    )
+    files = f.filter("k != 7").select(F.concat(F.lit("case/"), "position").alias("name"), F.sha2(F.when(k == 8, "changed").otherwise(F.col("position").cast("string")), 256).alias("sha256"))
+    run = _rows(spark, [("COMPLETE", True, 3, 3, 1, {"input_tokens": 7, "total_tokens": 9})], "status string, complete boolean, total long, success long, failed long, usage map<string,long>")
+    return run, predictions, cases, f.select("position", "finding_id"), files
+
+
+_RUN = "r AS (SELECT doc, finding_id, doc % 50 AS k FROM reviews)"
+_RUN_SQL = """
+SELECT 'RUN_TOTAL' AS rule_id, 'run' AS key, '' AS detail UNION ALL SELECT 'RUN_FAILED', 'run', '' UNION ALL SELECT 'PREDICTIONS', '' || doc, 'odd ' || finding_id FROM r WHERE k = 1
+UNION ALL SELECT 'CASE_NOT_DONE', finding_id, '' FROM r WHERE k IN (4, 5, 6) UNION ALL SELECT 'UNEXPECTED_CASE', finding_id || '-', '' FROM r WHERE k = 5
+UNION ALL SELECT CASE k WHEN 7 THEN 'MISSING_FILE' ELSE 'CHECKSUM' END, 'case/' || doc, sha256('' || doc) FROM r WHERE k IN (7, 8)
+UNION ALL SELECT 'REPEATED_RESPONSE', 'same', '' || count(*) FROM r WHERE k < 3 HAVING count(*) > 1
+UNION ALL SELECT 'USAGE', 'input_tokens', sum(doc) || ' 7' FROM r WHERE k <> 4 UNION ALL SELECT 'USAGE', 'output_tokens', 2 * count(*) || ' 0' FROM r WHERE k <> 4 UNION ALL SELECT 'USAGE', 'total_tokens', '0 9'"""
+
+
+@_query
+def s24_completed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What keeps a reviewer's run from being complete and proven."""
+    return packages.run_violations(*_run(spark, sf_dir))
+
+
+_sql("s24_completed_run", ("reviews",), _RUN_SQL, _RUN)
+
+
+def _responses(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Adjudicators' responses, and what was exposed to them."""
+    r = V.flat(spark, sf_dir, "reviews").select("finding_id", (F.col("doc") % 50).alias("k"))
+    k = F.col("k")
+    strings = lambda *x: F.array(*map(F.lit, x)).cast("array<string>")
+    node = lambda n: F.struct(F.lit("a.py").alias("file"), F.lit(n).alias("line"), F.lit("d").alias("description"), F.lit("c").alias("code"))
+    verdict = F.when(k == 1, "MAYBE").when(k % 3 == 0, "TRUE_POSITIVE").when(k % 3 == 1, "FALSE_POSITIVE").otherwise("UNCERTAIN")
+    given = r.select(
+        "finding_id", verdict.alias("verdict"), F.when(k == 2, "SURE").otherwise("HIGH").alias("confidence"),
+        F.when(k == 4, strings("CONSTANT_VALUE", "CONSTANT_VALUE")).when(k == 3, strings("CONSTANT_VALUE")).when((k % 3 == 1) & (k != 7), strings("CONSTANT_VALUE")).otherwise(strings()).alias("reason_codes"),
+        F.when(k == 6, " ").when(k == 9, F.repeat(F.lit("x"), 16_001)).otherwise("why").alias("reasoning"),
+        F.when(k == 12, F.array(node("9"))).when(k == 15, F.array(node("1"), node("1"))).when(k == 18, F.array().cast(reviews.EVIDENCE)).otherwise(F.array(node("1"))).alias("evidence"),
+        F.when((k % 3 == 2) & (k != 5), "unclear").when(k == 10, "but").alias("uncertainty_reason"),
+    )
+    return given, r.select("finding_id", node("1").alias("node"))
+
+
+_RESPONSES = "q AS (SELECT finding_id, doc % 50 AS k, CASE WHEN doc % 50 = 1 THEN 'MAYBE' WHEN doc % 50 % 3 = 0 THEN 'TRUE_POSITIVE' WHEN doc % 50 % 3 = 1 THEN 'FALSE_POSITIVE' ELSE 'UNCERTAIN' END AS v FROM reviews)"
+_RESPONSES_SQL = """SELECT unnest(CASE k WHEN 1 THEN ['VERDICT'] WHEN 2 THEN ['CONFIDENCE'] WHEN 3 THEN ['TRUE_SEMANTICS'] WHEN 4 THEN ['REASON_CODES'] WHEN 5 THEN ['UNCERTAIN_SEMANTICS'] WHEN 6 THEN ['REASONING']
+    WHEN 7 THEN ['FALSE_SEMANTICS'] WHEN 9 THEN ['REASONING'] WHEN 10 THEN ['FALSE_SEMANTICS'] WHEN 15 THEN ['REPEATED_EVIDENCE'] WHEN 18 THEN ['TRUE_SEMANTICS'] ELSE [] END) AS rule_id, finding_id AS key, v AS detail FROM q
+UNION ALL SELECT 'NOT_EXPOSED', finding_id, 'a.py:9' FROM q WHERE k = 12"""
+
+
+@_query
+def v16_adjudicator_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with adjudicators' responses."""
+    return packages.response_violations(*_responses(spark, sf_dir))
+
+
+_sql("v16_adjudicator_responses", ("reviews",), _RESPONSES_SQL, _RESPONSES)
+
+
+@_query
+def v29_decision_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What keeps final decisions from being proven."""
+    run, predictions, cases, expected, files = _run(spark, sf_dir)
+    given, exposed = _responses(spark, sf_dir)
+    place = predictions.join(expected.withColumnRenamed("finding_id", "own"), "position").select("position", "response_id", F.col("finding_id").alias("told"), "own")
+    decisions = given.withColumnRenamed("finding_id", "own").join(place, "own").withColumnRenamed("told", "finding_id").drop("own")
+    decisions = decisions.withColumn("row_sha256", F.when(F.col("position") % 50 == 20, "x").otherwise("y"))
+    return packages.decision_violations(run, decisions, cases.withColumn("decision_sha256", F.lit("y")), expected, files, exposed)
+
+
+_sql("v29_decision_proofs", ("reviews",), _RUN_SQL + "\nUNION ALL SELECT rule_id, CASE WHEN k = 1 THEN 'odd' ELSE key END, detail FROM (" + _RESPONSES_SQL.replace("v AS detail FROM q", "v AS detail, k FROM q").replace("'a.py:9' FROM q", "'a.py:9', k FROM q") + """)
+UNION ALL SELECT 'NOT_EXPOSED', 'odd', 'a.py:1' FROM q WHERE k = 1 UNION ALL SELECT 'DECISION_CHANGED', finding_id, 'x' FROM q WHERE k = 20""", _RUN + ", " + _RESPONSES)
+
+
+@_query
+def v19_quarantine_proof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pointers whose quarantine their attempts and their scan's policy do not prove."""
+    a = V.attempts(spark, sf_dir)
+    job = ["repo_url", "commit", "scanner"]
+    last = ledger.latest(a).select("scan_id", *job, "status", "event_id")
+    n = a.filter("status = 'TIMEOUT'").groupBy(*job).agg(F.count("*").alias("n"))
+    p = last.join(n, job, "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("int"))
+    k = F.col("event_id") % 10
+    scheduling = F.struct(
+        F.when(k == 1, "OPEN").otherwise("QUARANTINED").alias("state"), F.lit("timeout_budget_exhausted").alias("reason"), F.when(k == 2, F.col("n") + 1).otherwise(F.col("n")).alias("matching_timeout_attempts"),
+        F.lit(1).alias("limit"), F.when(k == 3, "F" * 64).otherwise("f" * 64).alias("policy_sha256"), F.when(k == 4, "2026-01-01T00:00:00").otherwise("2026-01-01T00:00:00Z").alias("decided_at"),
+    )
+    p = p.select("scan_id", *job, "status", F.when(k == 5, 3).when(k == 6, 1).otherwise(2).alias("schema_version"), F.when(k != 7, scheduling).alias("scheduling"))
+    policies = _rows(spark, [("scan-0", 1, "bounded-timeout-retry", 1, "f" * 64)], "scan_id string, schema_version int, policy string, max_completed_timeout_attempts int, sha256 string")
+    return packages.quarantine_violations(p, a, policies)
+
+
+_sql("v19_quarantine_proof", ("attempts",), """
+SELECT unnest(list_filter([CASE WHEN k = 5 THEN 'POINTER_SCHEMA' END, CASE WHEN k = 6 THEN 'SCHEDULING_IN_SCHEMA_1' END, CASE WHEN k = 7 THEN 'NO_SCHEDULING' END, CASE WHEN k = 1 THEN 'STATE' END,
+    CASE WHEN two AND status NOT IN ('TIMEOUT', 'INTERRUPTED', 'FAILED') THEN 'STATUS' END, CASE WHEN two AND n + (k = 2)::INT < 1 THEN 'COUNT' END, CASE WHEN k = 2 THEN 'TIMEOUTS' END, CASE WHEN k = 4 THEN 'DECIDED_AT' END,
+    CASE WHEN two AND scan_id <> 'scan-0' THEN 'NO_POLICY' END, CASE WHEN k = 3 AND scan_id = 'scan-0' THEN 'POLICY_SHA256' END], lambda x: x IS NOT NULL)) AS rule_id,
+  repo || ' ' || commit_sha || ' ' || scanner AS key, status AS detail FROM (SELECT *, k NOT IN (5, 6, 7) AS two FROM j)""",
+     """l AS (SELECT * FROM attempts QUALIFY row_number() OVER (PARTITION BY repo, commit_sha, scanner ORDER BY event_id DESC) = 1),
+j AS (SELECT l.*, l.event_id % 10 AS k, coalesce(n, 0) AS n FROM l LEFT JOIN (SELECT repo, commit_sha, scanner, count(*) AS n FROM attempts WHERE status = 'TIMEOUT' GROUP BY 1, 2, 3) t USING (repo, commit_sha, scanner))""")
+
+
+@_query
+def v32_manifest_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots of a manifest without a url or a commit."""
+    n = F.col("c_custkey")
+    c = _table(spark, sf_dir, "customer").select(n.alias("position"), F.when(n % 9 == 0, " ").otherwise("https://h/r").alias("repo_url"), F.when(n % 7 != 0, "c0").alias("commit"))
+    return packages.snapshot_violations(c)
+
+
+_sql("v32_manifest_snapshots", (), """
+SELECT 'REPO_URL' AS rule_id, '' || c_custkey AS key, '' AS detail FROM customer WHERE c_custkey % 9 = 0 UNION ALL SELECT 'COMMIT', '' || c_custkey, '' FROM customer WHERE c_custkey % 7 = 0""")
+
+
+@_query
+def v20_attestation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An attestation that another policy, a missing proof and a changed one keep from standing."""
+    d = _table(spark, sf_dir, "nation")
+    proof = F.struct(F.concat(F.lit("p"), "n_nationkey").alias("path"), F.sha2("n_name", 256).alias("sha256"))
+    proofs = d.groupBy().agg(F.map_from_entries(F.collect_list(F.struct(F.col("n_name").alias("key"), proof.alias("value")))).alias("frozen_inputs"))
+    policy = F.create_map(*[F.lit(x) for k, v in packages.POLICY.items() for x in (k, v or k == "human_gold")])
+    a = proofs.select(F.lit(1).alias("schema_version"), F.lit(packages.APPROVED).alias("status"), policy.alias("policy"), F.lit(packages.VERIFICATION).alias("verification_method"), F.lit(True).alias("independent"), F.lit(None).cast("boolean").alias("repository_split"), "frozen_inputs")
+    k = F.col("n_nationkey")
+    files = d.filter(k % 5 != 0).select(F.concat(F.lit("p"), "n_nationkey").alias("name"), F.sha2(F.when(k % 7 == 1, "changed").otherwise(F.col("n_name")), 256).alias("sha256"))
+    return packages.attestation_violations(a, files)
+
+
+_sql("v20_attestation", (), """
+SELECT 'POLICY' AS rule_id, 'attestation' AS key, '' AS detail UNION ALL SELECT 'REPOSITORY_SPLIT', 'attestation', ''
+UNION ALL SELECT CASE WHEN n_nationkey % 5 = 0 THEN 'MISSING_FILE' ELSE 'CHECKSUM' END, 'p' || n_nationkey, sha256(n_name) FROM nation WHERE n_nationkey % 5 = 0 OR n_nationkey % 7 = 1""")
+
+
+@_query
+def a28_folder_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of rule folders, each over the lengths, paths and digests of its YAML files in order."""
+    k = F.col("p_partkey")
+    path = F.concat(F.lit("a"), (k % 3).cast("string"), F.when(k % 2 == 0, "-x/").otherwise("/"), k.cast("string"), F.when(k % 4 == 0, ".txt").when(k % 4 == 1, ".YML").otherwise(".yaml"))
+    return packages.folder_digests(_table(spark, sf_dir, "part").select(F.concat(F.lit("f"), (k % 20).cast("string")).alias("folder"), path.alias("path"), F.sha2("p_name", 256).alias("sha256")))
+
+
+_sql("a28_folder_digests", (), """
+SELECT folder, sha256(from_hex(string_agg(printf('%016X', octet_length(encode(path))) || hex(encode(path)) || sha256(p_name), '' ORDER BY string_split(path, '/')))) AS sha256 FROM (
+  SELECT 'f' || p_partkey % 20 AS folder, 'a' || p_partkey % 3 || CASE WHEN p_partkey % 2 = 0 THEN '-x/' ELSE '/' END || p_partkey || CASE p_partkey % 4 WHEN 0 THEN '.txt' WHEN 1 THEN '.YML' ELSE '.yaml' END AS path, p_name, p_partkey FROM part)
+WHERE p_partkey % 4 <> 0 GROUP BY folder""")
+
+
+@_query
+def a27_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of an ordered inventory of files."""
+    n = _table(spark, sf_dir, "nation")
+    path = F.concat(F.lit("d"), (F.col("n_nationkey") % 4).cast("string"), F.when(F.col("n_nationkey") % 3 == 0, "/raw-response-").otherwise("/step-"), "n_nationkey")
+    return packages.inventory_digest(n.select(path.alias("path"), F.sha2("n_name", 256).alias("sha256")))
+
+
+_sql("a27_inventory", (), """
+SELECT count(*) AS files, count(*) FILTER (path LIKE '%raw-response%') AS raw_responses, sha256('[' || string_agg('{"path":"' || path || '","sha256":"' || sha256(n_name) || '"}', ',' ORDER BY path) || ']') AS inventory_sha256
+FROM (SELECT 'd' || n_nationkey % 4 || CASE WHEN n_nationkey % 3 = 0 THEN '/raw-response-' ELSE '/step-' END || n_nationkey AS path, n_name FROM nation)""")
+
+
+@_query
+def a30_review_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each stage of a review has come."""
+    r = V.flat(spark, sf_dir, "reviews")
+    k = F.col("doc") % 8
+    stage = F.element_at(F.array(*map(F.lit, ("reviewer-a", "reviewer-b", "final"))), (F.col("doc") % 3 + 1).cast("int"))
+    done = F.col("doc") % 3 == 0
+    cases = r.filter((k != 7) | done).select(stage.alias("stage"), "finding_id", F.when(done, "SUCCESS").when(k == 0, "FAILED").when(k == 1, "RUNNING").otherwise("SUCCESS").alias("status"))
+    return packages.review_status(cases, r.groupBy(stage.alias("stage")).agg(F.count("*").alias("expected")).unionByName(_rows(spark, [("publish", 2)], "stage string, expected long")))
+
+
+_sql("a30_review_status", ("reviews",), """
+SELECT ['reviewer-a', 'reviewer-b', 'final'][doc % 3 + 1] AS stage, count(*) AS expected, count(*) FILTER (doc % 3 = 0 OR doc % 8 BETWEEN 2 AND 6) AS success, count(*) FILTER (doc % 3 > 0 AND doc % 8 = 0) AS failed,
+  count(*) FILTER (doc % 3 > 0 AND doc % 8 = 1) AS running, count(*) FILTER (doc % 3 > 0 AND doc % 8 = 7) AS pending, count(*) = count(*) FILTER (doc % 3 = 0 OR doc % 8 BETWEEN 2 AND 6) AS complete FROM reviews GROUP BY 1
+UNION ALL SELECT 'publish', 2, 0, 0, 0, 2, false""")
+
+
+@_query
+def p4_selected_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of wanted ids, and the ids that have none."""
+    r = V.flat(spark, sf_dir, "reviews").select("finding_id")
+    ids = r.filter(F.substring("finding_id", -1, 1) == "3").unionByName(_rows(spark, [("lost",), ("lost",)], "finding_id string"))
+    return packages.selected(r, ids).select(F.lit("SELECTED").alias("rule_id"), F.col("finding_id").alias("key"), F.lit("").alias("detail")).unionByName(packages.missing(r, ids))
+
+
+_sql("p4_selected_records", ("reviews",), "SELECT 'MISSING_RECORD' AS rule_id, 'lost' AS key, '' AS detail UNION ALL SELECT 'SELECTED', finding_id, '' FROM reviews WHERE finding_id LIKE '%3'")
+
+
+@_query
+def p6_bounded_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings cut to a budget of characters: first the trace, then the texts."""
+    d = _table(spark, sf_dir, "documents").filter("text is not null")
+    node = F.struct(F.lit("a.py").alias("file"), F.lit("1").alias("line"), F.lit("d").alias("description"), F.repeat(F.lit("c"), 20).alias("code"))
+    f = d.select("doc_id", F.substring("text", 1, 600).alias("message"), F.array_repeat(node, (F.col("doc_id") % 9).cast("int")).alias("dataflow_trace"), F.repeat(F.lit("s"), (F.col("doc_id") % 400).cast("int")).alias("snippet"))
+    b = packages.bounded(f, 500)
+    return b.select("doc_id", F.size("dataflow_trace").alias("nodes"), F.length("message").alias("message_chars"), F.length("snippet").alias("snippet_chars"), "fits")
+
+
+@_query
+def x49_excludes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Globs of nested directories as plain names."""
+    k = F.col("p_partkey") % 4
+    p = _table(spark, sf_dir, "part").select("p_partkey", F.when(k == 0, F.concat(F.lit("**/"), "p_name", F.lit("/**"))).when(k == 1, F.concat(F.lit("**/a/"), "p_name", F.lit("/**"))).when(k == 2, "**/x*/**").otherwise(F.col("p_name")).alias("glob"))
+    return p.select("p_partkey", T.plain_exclude(F.col("glob")).alias("glob"))
+
+
+_sql("x49_excludes", (), """
+SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN '**/a/' || p_name || '/**' WHEN 2 THEN '**/x*/**' ELSE p_name END AS glob FROM part""")
+
+
+@_query
+def x50_consensus_reviewer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reviewer that two participants make together."""
+    n = _table(spark, sf_dir, "nation")
+    who = lambda x: F.struct(F.lit("p").alias("provider"), F.concat(F.lit(x), "n_nationkey").alias("provider_version"), F.concat(F.lit(x), "n_name").alias("model"), F.lit(x).alias("model_version"))
+    r = n.select("n_nationkey", packages.consensus_reviewer(who("a"), who("b")).alias("r"))
+    return r.select("n_nationkey", "r.id", "r.role", "r.provider_version", "r.model", "r.model_version", F.size("r.participants").alias("participants"))
+
+
+_sql("x50_consensus_reviewer", (), """
+SELECT n_nationkey, 'reviewer-a+reviewer-b' AS id, 'CONSENSUS_A_B' AS role, sha256('["a' || n_nationkey || '","b' || n_nationkey || '"]') AS provider_version, 'a' || n_name || '+b' || n_name AS model, 'a+b' AS model_version, 2 AS participants FROM nation""")
 
 
 # --- raw reports ------------------------------------------------------------

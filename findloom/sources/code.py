@@ -28,12 +28,13 @@ def slices(wanted: DataFrame, lines: DataFrame, keys: list[str], numbered: bool
     A range asks for each of its lines by an equi-join, so nothing is compared
     beyond the lines that are read. A range without lines has a null slice.
     """
-    own = wanted.withColumn("_row", F.monotonically_increasing_id())
-    each = own.select("_row", *keys, F.explode(F.sequence("start", "end")).alias("n"))
+    place = [*keys, "start", "end"]
+    each = wanted.select(*place).distinct().select(*place, F.explode(F.sequence("start", "end")).alias("n"))
     text = F.concat(F.col("n").cast("string"), F.lit(": "), F.col("text")) if numbered else F.col("text")
-    read = each.join(lines, [*keys, "n"]).groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("n", text.alias("t")))).alias("ls"))
-    read = read.select("_row", F.array_join(F.transform("ls", lambda x: x["t"]), "\n").alias("slice"))
-    return own.join(read, "_row", "left").drop("_row")
+    read = each.join(lines, [*keys, "n"]).groupBy(*place).agg(F.array_sort(F.collect_list(F.struct("n", text.alias("t")))).alias("ls"))
+    read = read.select(*place, F.array_join(F.transform("ls", lambda x: x["t"]), "\n").alias("slice"))
+    columns = [*wanted.columns, "slice"]
+    return wanted.join(read, place, "left").select(*columns)
 
 
 def search(lines: DataFrame, needle: str, case_sensitive: bool = True, limit: int = 40) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from findloom.functions import lines
 from findloom.functions import text as T
 from findloom.functions.canonical import json_hash
-from findloom.operators import audit, dataset, dedup, findings, gates, ledger, matching, metrics, reviews, sampling, usage
+from findloom.operators import audit, dataset, dedup, findings, gates, ledger, matching, metrics, packages, reviews, sampling, usage
 from findloom.schemas import ENTRY, FINDING
 
 
@@ -311,3 +311,70 @@ def test_ledger_conflicts(spark):
     now = spark.createDataFrame([("r", "c", "x", "h3")], "repo_url string, commit string, scanner string, sha string")
     assert [r["input"] for r in ledger.resume_conflicts(a, now, "sha").collect()] == ["sha"]
     assert ledger.latest(a).first()["sha"] == "h2"
+
+
+def slow_bounded(row, budget):
+    """As ``packages.bounded``, a step at a time."""
+    size = lambda: len(json.dumps(row, ensure_ascii=False, separators=(",", ":")))
+    while size() > budget and row["dataflow_trace"]:
+        row["dataflow_trace"].pop()
+    while size() > budget and any(row[c] and len(row[c]) > 64 for c in ("message", "snippet")):
+        for c in ("message", "snippet"):
+            if row[c] and len(row[c]) > 64:
+                limit = max(64, len(row[c]) // 2)
+                row[c] = row[c][: limit - 14] + "...[truncated]"
+    return row, size() <= budget
+
+
+def test_findings_shrink_to_a_budget(spark):
+    rng = random.Random(5)
+    node = lambda: {"file": "a.py", "line": str(rng.randint(1, 99)), "code": "c" * rng.randint(0, 60)}
+    rows = []
+    for _ in range(60):
+        rows.append({"message": "m" * rng.randint(0, 900), "dataflow_trace": [node() for _ in range(rng.randint(0, 6))], "snippet": None if rng.random() < 0.2 else '"é\n' * rng.randint(0, 200)})
+    df = spark.createDataFrame([Row(n=i, **r) for i, r in enumerate(rows)], "n int, message string, dataflow_trace array<struct<file:string,line:string,code:string>>, snippet string")
+    for budget in (150, 400, 1000):
+        got = {r["n"]: r for r in packages.bounded(df.select("message", "dataflow_trace", "snippet", "n"), budget).collect()}
+        for i, row in enumerate(rows):
+            want, fits = slow_bounded(json.loads(json.dumps({**row, "n": i})), budget)
+            r = got[i]
+            assert ([n.asDict() for n in r["dataflow_trace"]], r["message"], r["snippet"], r["fits"]) == (want["dataflow_trace"], want["message"], want["snippet"], fits)
+
+
+def test_strings_of_any_depth(spark):
+    df = spark.createDataFrame([("a", ["b", None], [["c"], None, ["d"]]), (None, None, None)], "x string, y array<string>, z array<array<string>>")
+    kinds = {f.name: f.dataType for f in df.schema}
+    got = df.select(*[T.strings_of(c, kinds[c]).alias(c) for c in kinds]).collect()
+    assert [tuple(r) for r in got] == [(["a"], ["b"], ["c", "d"]), ([], [], [])]
+
+
+def test_a_file_with_all_findings(spark):
+    """One file of 20,000 findings and entries, half of them on one line."""
+    own = [finding(f"r{i}", line=1 if i % 2 else i + 1, scanner=("semgrep", "other")[i % 2]) for i in range(20_000)]
+    f = spark.createDataFrame(own, FINDING)
+    e = f.filter("location.start_line % 10 = 1").select(
+        F.concat(F.lit("e-"), F.col("provenance.raw_result_ref")).alias("entry_id"), F.lit("rep").alias("report_id"), "repo_url", "commit", F.lit("p").alias("project"), F.lit(1).alias("verify"),
+        F.lit("x").alias("vuln_category_l1"), F.lit(None).cast("string").alias("vuln_category_l2"), F.struct(F.lit("a").alias("file"), F.lit("1").alias("line"), F.lit("").alias("code")).alias("entry_point"),
+        F.struct(F.col("location.file").alias("file"), F.col("location.start_line").cast("string").alias("line"), F.lit("").alias("code")).alias("critical_operation"), F.array().cast("array<struct<file:string,line:string,code:string>>").alias("trace"),
+    )
+    lone = e.filter("cast(critical_operation.line as int) > 1")
+    m = {r["ref"].rpartition("/")[2]: r["matches"] for r in matching.match_candidates(f, lone).select("ref", F.size("matches").alias("matches")).collect()}
+    at = [i + 1 for i in range(0, 20_000, 2) if (i + 1) % 10 == 1 and i]
+    want = {f"r{i}": 0 for i in range(20_000)}
+    for line in at:
+        for i in range(max(0, line - 7), min(20_000, line + 6)):
+            if i % 2 == 0 and abs(i + 1 - line) <= 5:
+                want[f"r{i}"] += 1
+    assert m == want
+
+
+def test_spans_of_any_length_share_a_strip(spark):
+    rng = random.Random(6)
+    spans = [(lo, lo + rng.choice([0, 1, 15, 16, 17, 200, 5000, 2**30])) for lo in (rng.randint(1, 20_000) for _ in range(120))]
+    df = spark.createDataFrame([(i, *s) for i, s in enumerate(spans)], "i int, lo int, hi int")
+    highest = lines.levels_of((df, F.col("lo"), F.col("hi")))
+    side = lambda s: df.select(F.col("i").alias(f"i{s}"), F.col("lo").alias(f"lo{s}"), F.col("hi").alias(f"hi{s}"), F.explode(lines.strips(F.col("lo"), F.col("hi"), highest)).alias("at")).select("*", "at.*").drop("at")
+    once = lines.meets_first(F.col("level"), F.col("strip"), *[F.col(f"{c}{s}") for s in "ab" for c in ("lo", "hi")])
+    got = sorted((r["ia"], r["ib"]) for r in side("a").join(side("b"), ["level", "strip"]).filter(once).collect())
+    assert got == [(i, j) for i, a in enumerate(spans) for j, b in enumerate(spans) if a[0] <= b[1] and b[0] <= a[1]]
+    assert side("a").groupBy("ia").count().agg(F.max("count")).first()[0] <= 2 * (highest + 1)
