@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 WINDOW = 10
 #: The characters that separate words, after A-Z became a-z; in original text A-Z belong to words.
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -57,6 +60,19 @@ def _seeds(windows: DataFrame, size: int) -> DataFrame:
     return words.select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(step)), lambda s: F.xxhash64(F.slice(F.col("w"), s, seed)))).alias("seed")).distinct()
 
 
+def _all_seeds(windows: DataFrame, sizes: list[int]) -> tuple[DataFrame, dict[int, list[int]]]:
+    """Rows (size, seed), and by size the seeds themselves where they are few enough to go with the plan."""
+    each = [_seeds(windows, size).select(F.lit(size).alias("size"), "seed") for size in sizes]
+    if not each:
+        return windows.select("size", F.lit(0).cast("long").alias("seed")), {}
+    seeds = materialize(reduce(DataFrame.unionByName, each), "seeds")
+    counts = {r["size"]: r["count"] for r in seeds.groupBy("size").count().collect()}
+    known: dict[int, list[int]] = {size: [] for size in sizes if counts.get(size, 0) <= LITERAL_SEEDS}
+    for r in seeds.filter(F.col("size").isin(list(known))).collect():
+        known[r["size"]].append(r["seed"])
+    return seeds, known
+
+
 def _places(size: int) -> Column:
     """The looked-for places of ``words``, counted from 0."""
     seed, step = _seed_size(size)
@@ -89,26 +105,22 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     is verified word by word against the windows. A set too large for that is
     joined by shuffle instead.
     """
-    windows = item_windows(items, text_col=items_text, window=window).persist()
+    windows = materialize(item_windows(items, text_col=items_text, window=window), "windows")
     sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())
+    seeds, known = _all_seeds(windows, sizes)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    if len(known) < len(sizes):
+        rows = materialize(rows, "rows")  # the rows are joined with what is found in them, so their numbers must stay
     words = _held(rows, "words", words_of(F.col("text")), "row", "doc_id")
     near = [F.array().cast("array<struct<start:int,size:int,window:string>>")]
     for size in sizes:
-        seeds = _seeds(windows, size)
         seed, _ = _seed_size(size)
-        if seeds.count() <= LITERAL_SEEDS:
-            known = [r["seed"] for r in seeds.collect()]
-            words = _held(
-                words,
-                f"found_{size}",
-                F.filter(_places(size), _in_set(known, seed)),
-                *words.columns,
-            )
+        if size in known:
+            words = _held(words, f"found_{size}", F.filter(_places(size), _in_set(known[size], seed)), *words.columns)
         else:
             each = words.select("row", F.col("words"), F.explode(_places(size)).alias("p"))
             each = each.select("row", "p", F.xxhash64(F.slice(F.col("words"), F.col("p") + 1, seed)).alias("seed"))
-            found = each.join(seeds, "seed", "left_semi").groupBy("row").agg(F.collect_list("p").alias(f"found_{size}"))
+            found = each.join(seeds.filter(F.col("size") == size), "seed", "left_semi").groupBy("row").agg(F.collect_list("p").alias(f"found_{size}"))
             words = words.join(found, "row", "left").withColumn(f"found_{size}", F.coalesce(f"found_{size}", F.array().cast("array<int>")))
         near.append(_around(F.col(f"found_{size}"), size))
     small = windows.count() <= BROADCAST_WINDOWS

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +76,21 @@ def minimum_slack_bins(lengths: list[int], window: int = WINDOW) -> list[list[in
 _SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+# How a tokenizer prepares texts whose words can be encoded one by one.
+BY_WORD_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+BY_WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def encodes_by_word(config: dict) -> bool:
+    """Whether a tokenizer's file says that it lower-cases, never merges across
+    white space, cuts letters from signs and writes bytes as letters."""
+    normalizers = [n.get("type") for n in (config.get("normalizer") or {}).get("normalizers", [])]
+    steps = (config.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    patterns = [(s.get("pattern") or {}).get("Regex") for s in steps if s.get("type") == "Split"]
+    plain = [not s.get("add_prefix_space") and not s.get("use_regex") for s in steps if s.get("type") == "ByteLevel"]
+    return normalizers == BY_WORD_NORMALIZERS and patterns == [BY_WORD_PATTERN] and plain == [True] and len(steps) == 2
+
+
 def _byte_letters() -> dict[int, int]:
     """Byte-level vocabularies write a printable byte as itself and the others,
     in order, as the characters from 256 on."""
@@ -85,10 +102,10 @@ def _byte_letters() -> dict[int, int]:
 class Encoder(dict):
     """Ids of whole texts, word by word with a memory (the dict itself).
 
-    The tokenizer never merges across ASCII white space, so a text's ids are
-    the ids of its words in turn. It also cuts a word of letters from the signs
-    after it, so the two are looked up apart. Any other word goes through the
-    whole tokenizer.
+    A tokenizer that ``encodes_by_word`` never merges across ASCII white space,
+    so a text's ids are the ids of its words in turn. It also cuts a word of
+    letters from the signs after it, so the two are looked up apart. Any other
+    word goes through the whole tokenizer, as do all texts with any other file.
     """
 
     def __init__(self, path: str, end: int = END):
@@ -96,6 +113,7 @@ class Encoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_word = encodes_by_word(json.loads(Path(path).read_text(encoding="utf-8")))
         self.model = self.tokenizer.model
         self.end = np.array([end], "<u4").tobytes()
         self.pieces: dict[str, bytes] = {}
@@ -130,6 +148,8 @@ class Encoder(dict):
         return text.lower().split()
 
     def __call__(self, text: bytes) -> bytes:
+        if not self.by_word:
+            return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes() + self.end
         if len(self) > CACHE_WORDS:
             self.clear()
         if len(self.pieces) > CACHE_PIECES:

@@ -108,12 +108,39 @@ def _window_rows(repeat: int):
     return run
 
 
+def maximal(start: np.ndarray, stop: np.ndarray, repeat: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of repeats grown together: a repeat goes on as long as the next window of ``repeat`` words is repeated too."""
+    order = np.argsort(start, kind="stable")
+    start, reach = start[order], np.maximum.accumulate(stop[order])
+    begins = np.flatnonzero(np.concatenate(([True], start[1:] > reach[:-1] - repeat + 1)))
+    return start[begins], reach[np.append(begins[1:], len(start)) - 1]
+
+
+def _maximal_rows(repeat: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = batch.column(1)
+            offsets, flat = spans.offsets.to_numpy(), spans.values
+            first, stop = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(2))
+            grown = [maximal(first[a:b], stop[a:b], repeat) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            ends = np.cumsum([0, *(len(g[0]) for g in grown)]).astype(np.int32)
+            columns = [np.concatenate([g[k] for g in grown]) if grown else np.empty(0, np.int32) for k in range(2)]
+            values = pa.StructArray.from_arrays([pa.array(c.astype(np.int32)) for c in columns], ["start", "stop"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), values)], ["row_key", "spans"])
+
+    return run
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repeat: int = REPEAT, seed: int = SEED) -> DataFrame:
     """Rows (row_key, spans): the word ranges that maximal repeats cover in a text.
 
-    A repeat is a sequence of ``repeat`` or more words that starts at another
-    place too, in the same document or another one. ``spans`` is an array of
-    (start, stop), stop excluded; texts without a repeat give no row.
+    A repeat is a sequence of ``repeat`` or more words all of whose windows
+    start at another place too, in the same document or another one; it is
+    maximal, as the windows before and after it start nowhere else. ``spans``
+    is an array of (start, stop), stop excluded; texts without a repeat give no
+    row. Documents are told apart by 64 bits of their id and text: of 10^10,
+    about three share them with another, and lose its words too where they have
+    as many.
 
     1. Every window of ``repeat`` words selects the winnowed seed it holds; an
        anchor is a seed with the run of windows that select it.
@@ -122,8 +149,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
        an anchor also agree in its context, extension both ways succeeds for
        all of its windows, and they are repeats at once. So are those of a
        context that occurs twice.
-    3. Where contexts differ, the match ends inside: one window of each place
-       after another is compared, by its hash beside the anchor's, 128 bits.
+    3. Where contexts differ, the match ends inside: each place is extended by
+       every number of words to the left, and what is left of a window to the
+       right, and extensions are compared by their hash beside the anchor's, 64
+       bits each; equal ones are one window.
+    4. Neighbouring windows that are repeated grow together into maximal repeats.
     """
     # Rows with equal id and text get one key, as they get one result.
     keyed = docs.select(F.xxhash64(id_col, text_col).alias("row_key"), F.col(text_col).cast("binary").alias("t"))
@@ -170,15 +200,18 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             .select("row_key", F.col("start").alias("first"), F.lit(1).alias("count"))
         )
     )
-    return repeats.groupBy("row_key").agg(
+    spans = repeats.groupBy("row_key").agg(
         F.collect_set(F.struct(F.col("first").alias("start"), (F.col("first") + F.col("count") + (repeat - 1)).alias("stop"))).alias("spans")
     )
+    return spans.mapInArrow(_maximal_rows(repeat), "row_key long, spans array<struct<start:int,stop:int>>")
 
 
 def cut(text: bytes | None, starts, stops) -> tuple[int, int, bytes]:
     """Number of words, number of words inside the ranges, and the others joined by one space."""
     words = (text or b"").split()
     n = len(words)
+    if len(starts) and int(stops.max()) > n:  # another document's, see ``repeated_spans``
+        starts, stops = starts[stops <= n], stops[stops <= n]
     if not len(starts):
         return n, 0, b" ".join(words)
     edge = np.zeros(n + 1, np.int64)

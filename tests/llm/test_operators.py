@@ -163,6 +163,31 @@ def test_substring_removal(spark, size, seed, vocabulary):
     assert [(r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got] == slow_repeats(texts, size)
 
 
+def test_maximal_repeats(spark):
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(60)}"
+    shared = [[word() for _ in range(rng.randint(4, 15))] for _ in range(4)]
+    texts = [" ".join(w for _ in range(4) for w in (rng.choice(shared) if rng.random() < 0.5 else [word() for _ in range(rng.randint(1, 9))])) for _ in range(40)]
+    size = 5
+    words = [t.split() for t in texts]
+    seen = Counter(tuple(w[i : i + size]) for w in words for i in range(len(w) - size + 1))
+    want = {}
+    for t, w in zip(texts, words, strict=True):
+        runs = []
+        for i in range(len(w) - size + 1):
+            if seen[tuple(w[i : i + size])] > 1:
+                if runs and runs[-1][1] == i + size - 1:
+                    runs[-1][1] += 1
+                else:
+                    runs.append([i, i + size])
+        if runs:
+            want[t] = [tuple(r) for r in runs]
+    df = docs_of(spark, texts)
+    keys = {r["k"]: r["text"] for r in df.select(F.xxhash64("doc_id", "text").alias("k"), "text").collect()}
+    got = {keys[r["row_key"]]: [tuple(s) for s in r["spans"]] for r in substring.repeated_spans(df, repeat=size, seed=3).collect()}
+    assert got == want and max(b - a for runs in want.values() for a, b in runs) > size
+
+
 # --- decontamination --------------------------------------------------------
 
 
@@ -237,6 +262,16 @@ def test_encoder_is_the_tokenizer():
         assert np.frombuffer(encode(text.encode()), "<u4").tolist() == [*t.encode(text, add_special_tokens=False).ids, 2], text
 
 
+def test_encoder_of_another_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, encode = Tokenizer.from_file(path), packing.Encoder(path)
+    assert not encode.by_word and packing.Encoder(TOKENIZER).by_word
+    for text in ("", " ", "Hello  World\n it's", "ÄÖÜ é", "a b"):
+        assert np.frombuffer(encode(text.encode()), "<u4").tolist() == [*t.encode(text, add_special_tokens=False).ids, 2]
+
+
 def test_best_fill_is_exact():
     rng = random.Random(4)
     for _ in range(60):
