@@ -265,18 +265,23 @@ def leaks(rows: DataFrame, key: str = "finding_id", max_chars: int = 1_000_000)
         for rule, test in tests.items()
     ]
     none = F.array().cast("array<struct<rule_id:string,detail:string>>")
-    each = F.array_compact(F.array(*found)) if found else none
+    # Most rows have nothing to tell, and one look at all their strings says so.
+    any_ = lambda s: s.rlike(f"{T.ADVISORY}|{T.ENTRY_NAME}") | (F.length(s) > max_chars)
+    told = F.exists(F.concat(*[F.coalesce(strings, F.array().cast("array<string>")) for _, strings in leaves]), lambda s: F.coalesce(any_(s), F.lit(False))) if found else None
+    each = F.when(told, F.array_compact(F.array(*found))).otherwise(none) if found else none
     return rows.select(F.col(key).alias("key"), F.explode(each).alias("x")).select("x.rule_id", "key", "x.detail")
 
 
 def json_leaks(rows: DataFrame, json_col: str, key: str, forbidden: tuple[str, ...] = FORBIDDEN_KEYS) -> DataFrame:
     """Forbidden keys and advisory or entry ids in JSON of any shape.
 
-    Keys are the strings that a colon follows; all strings are searched.
+    Keys are the strings that a colon follows; all strings are searched, with
+    their escapes decoded.
     """
-    keys = F.regexp_extract_all(json_col, F.lit(r'"((?:[^"\\]|\\.)*)"\s*:'), 1)
+    plain = lambda s: F.when(F.contains(s, F.lit("\\")), F.get(F.from_json(F.concat(F.lit('["'), s, F.lit('"]')), "array<string>"), F.lit(0))).otherwise(s)
+    keys = F.transform(F.regexp_extract_all(json_col, F.lit(r'"((?:[^"\\]|\\.)*)"\s*:'), 1), plain)
     bad = F.filter(F.transform(keys, lambda k: F.regexp_replace(F.lower(k), "[^a-z0-9]", "")), lambda k: k.isin(*forbidden))
-    text = F.col(json_col)
+    text = F.array_join(F.transform(F.regexp_extract_all(json_col, F.lit(r'"((?:[^"\\]|\\.)*)"'), 1), plain), "\n")
     found = F.concat(
         F.transform(F.array_distinct(bad), lambda k: F.struct(F.lit("FORBIDDEN_KEY").alias("rule_id"), k.alias("detail"))),
         F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(T.ADVISORY), 0)), lambda x: F.struct(F.lit("ADVISORY_ID").alias("rule_id"), x.alias("detail"))),
@@ -327,3 +332,17 @@ def manifest_differences(stated: DataFrame, found: DataFrame) -> DataFrame:
         "RECORDS": F.col("f_sha").isNotNull() & ~F.col("records").eqNullSafe(F.col("f_records")),
     }
     return broken(j, tests, "path")
+
+
+def corpus_violations(run: DataFrame, files: DataFrame, records: DataFrame) -> DataFrame:
+    """What keeps an input from being the official corpus: its run (status,
+    complete, path, sha256, records) is not complete, the file (path, sha256)
+    is another, or it holds another number of records."""
+    n = records.agg(F.count("*").alias("n"))
+    j = run.join(files.select("path", F.col("sha256").alias("found")), "path", "left").crossJoin(n)  # one row each
+    tests = {
+        "NOT_COMPLETE": ~F.coalesce((F.col("status") == "COMPLETE") & F.col("complete"), F.lit(False)),
+        "SHA256": ~F.col("sha256").eqNullSafe(F.col("found")),
+        "RECORDS": ~F.col("records").eqNullSafe(F.col("n")),
+    }
+    return broken(j, tests, "path")

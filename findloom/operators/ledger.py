@@ -68,11 +68,16 @@ def select_snapshots(snapshots: DataFrame, repos: list[str] | None = None, commi
     return out.limit(limit) if limit is not None else out
 
 
-def unused_filters(snapshots: DataFrame, repos: list[str]) -> DataFrame:
-    """Filter values (repo_url) that no snapshot has."""
-    wanted = snapshots.sparkSession.createDataFrame([(r,) for r in repos], "repo_url string")
-    key = T.normalize_repo(F.col("repo_url")).alias("r")
-    return wanted.withColumn("r", key).join(snapshots.select(key), "r", "left_anti").select("repo_url")
+def unused_filters(snapshots: DataFrame, repos: list[str] | None = None, commits: list[str] | None = None) -> DataFrame:
+    """Rows (rule_id, key, detail): filter values that no snapshot has."""
+    spark = snapshots.sparkSession
+    found = spark.createDataFrame([], "rule_id string, key string, detail string")
+    for rule, column, values, form in (("UNUSED_REPOSITORY", "repo_url", repos, T.normalize_repo), ("UNUSED_COMMIT", "commit", commits, T.normalize_commit)):
+        if values:
+            wanted = spark.createDataFrame([(v,) for v in values], "value string").withColumn("v", form(F.col("value")))
+            lone = wanted.join(snapshots.select(form(F.col(column)).alias("v")), "v", "left_anti")
+            found = found.unionByName(lone.select(F.lit(rule).alias("rule_id"), F.col("value").alias("key"), F.lit("").alias("detail")))
+    return found
 
 
 def expected_jobs(snapshots: DataFrame, scanners: list[str]) -> DataFrame:

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.canonical import json_hash, to_json
-from ..schemas import CONFIDENCES, FP_REASONS
+from ..functions.lines import strict_span
+from ..schemas import ABSTAIN, CONFIDENCES, FALSE, FP_REASONS, TRUE
 from .gates import broken, repeated, together
-from .reviews import MAX_EVIDENCE, blind
+from .reviews import MAX_EVIDENCE, blind, citations_outside
 
 # States and names as the files of the data spell them.
 BLOCKING_STATES = ("TIMEOUT", "INTERRUPTED", "FAILED")
@@ -167,6 +168,31 @@ def response_violations(responses: DataFrame, exposed: DataFrame) -> DataFrame:
     return together(broken(responses, tests, "finding_id", c("verdict")), _told(outside, "NOT_EXPOSED", c("finding_id"), F.concat_ws(":", "node.file", "node.line")))
 
 
+def semantic_defects(responses: DataFrame, shown: DataFrame) -> DataFrame:
+    """What a verifier's response (finding_id, verdict, reason_codes, evidence,
+    abstain_reason) lacks to mean something: fields that its verdict asks for or
+    forbids, and evidence that stands whole in one range (finding_id, file,
+    start, end) that was shown."""
+    c = F.col
+    codes, nodes = F.coalesce(F.size("reason_codes"), F.lit(0)), F.coalesce(F.size("evidence"), F.lit(0))
+    why = ~F.coalesce(F.trim("abstain_reason") == "", F.lit(True))
+    is_ = lambda v: F.coalesce(c("verdict") == v, F.lit(False))
+    tests = {
+        "FALSE_SEMANTICS": is_(FALSE) & ((codes == 0) | (nodes == 0) | why),
+        "TRUE_SEMANTICS": is_(TRUE) & ((codes > 0) | (nodes == 0) | why),
+        "ABSTAIN_SEMANTICS": is_(ABSTAIN) & ((codes > 0) | ~why),
+    }
+    cited = responses.select("finding_id", F.explode("evidence").alias("node")).withColumn("at", strict_span(F.col("node.line")))
+    unread = cited.filter("at is null")
+    ranges = cited.filter("at is not null").select("finding_id", F.col("node.file").alias("file"), F.col("at.start").alias("start"), F.col("at.end").alias("end"))
+    outside = citations_outside(ranges, shown)
+    return together(
+        broken(responses, tests, "finding_id", c("verdict")),
+        _told(unread, "EVIDENCE_LINE", c("finding_id"), c("node.line")),
+        _told(outside, "NOT_SHOWN", c("finding_id"), F.concat_ws(":", "file", "start", "end")),
+    )
+
+
 def decision_violations(run: DataFrame, decisions: DataFrame, cases: DataFrame, expected: DataFrame, files: DataFrame, exposed: DataFrame) -> DataFrame:
     """What keeps final decisions from being proven: those of ``run_violations``
     and of ``response_violations``, and rows that differ from the file of their

@@ -40,6 +40,13 @@ def snapshot_configs(snapshots: DataFrame, detected: DataFrame, configs: DataFra
     return folders_for(named, overrides if overrides is not None else configs).unionByName(folders_for(rest, configs)).distinct()
 
 
+def assembled_inventory(languages: DataFrame, configs: DataFrame, files: DataFrame) -> DataFrame:
+    """Rows (rule_id, files): the rules that the languages (language) of all
+    snapshots call for, over rule files (folder, file, line, rule_id)."""
+    folders = folders_for(languages.select("language").distinct(), configs)
+    return files.join(folders, "folder", "left_semi").groupBy("rule_id").agg(F.array_sort(F.collect_set("file")).alias("files"))
+
+
 def inventory(ids: DataFrame) -> DataFrame:
     """One row of counts over (file, line, rule_id)."""
     n = ids.groupBy("rule_id").agg(F.count("*").alias("n"))

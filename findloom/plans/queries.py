@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import families, lines
 from ..functions import text as T
-from ..functions.canonical import canonical_json, case_key, digits_mod3, stable_hash, to_json
+from ..functions.canonical import canonical_json, case_key, digits_mod3, finding_id, stable_hash, to_json
 from ..operators import audit, dataset, dedup, findings, gates, ledger, matching, metrics, packages, reviews, rules, sampling, usage
 from ..sources import code, jsonl, reports, scratch
+from ..sources import ledger as ledger_files
 from . import views as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1403,6 +1404,11 @@ UNION ALL SELECT 'REPEATED_PREDICTION', finding_id, '' || count(*) FROM p GROUP
      """one AS (SELECT *, CASE WHEN doc % 10 = 7 THEN 'MAYBE' ELSE verdict END AS v FROM reviews WHERE doc % 11 <> 0), p AS (SELECT * FROM one UNION ALL SELECT * FROM one WHERE finding_id LIKE '%08')""")
 
 
+#: Results of one raw report that the queries write.
+_PER_REPORT = 400
+_PARTS = f"p AS (SELECT *, p_partkey // {_PER_REPORT} AS job, p_partkey % {_PER_REPORT} AS pos, p_partkey AS k FROM part)"
+
+
 # --- packages of stages -----------------------------------------------------
 
 
@@ -1527,6 +1533,27 @@ def v16_adjudicator_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 _sql("v16_adjudicator_responses", ("reviews",), _RESPONSES_SQL, _RESPONSES)
 
 
+@_query
+def v27_semantic_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verifiers' responses whose fields do not go with their verdict, or whose evidence was not shown whole."""
+    r = V.flat(spark, sf_dir, "reviews")
+    k = F.col("doc") % 12
+    strings = lambda *x: F.array(*map(F.lit, x)).cast("array<string>")
+    node = lambda line: F.array(F.struct(F.lit("a.py").alias("file"), F.lit(line).alias("line"), F.lit("d").alias("description"), F.lit("c").alias("code")))
+    given = r.select(
+        "finding_id", "verdict", F.when(k < 6, strings("CONSTANT_VALUE")).otherwise(strings()).alias("reason_codes"),
+        F.when(k % 4 == 0, node("3-9")).when(k % 4 == 1, node("3-19")).when(k % 4 == 2, node("03")).otherwise(F.array().cast(reviews.EVIDENCE)).alias("evidence"), F.when(k % 3 == 0, "no way to tell").alias("abstain_reason"),
+    )
+    shown = r.select("finding_id", F.lit("a.py").alias("file"), F.lit(1).alias("start"), F.lit(10).alias("end"))
+    return packages.semantic_defects(given, shown.unionByName(shown.withColumns({"start": F.lit(11), "end": F.lit(20)})))
+
+
+_sql("v27_semantic_defects", ("reviews",), """
+SELECT unnest(list_filter([CASE WHEN verdict = 'FALSE_POSITIVE' AND (k >= 6 OR k % 4 = 3 OR k % 3 = 0) THEN 'FALSE_SEMANTICS' END, CASE WHEN verdict = 'TRUE_POSITIVE' AND (k < 6 OR k % 4 = 3 OR k % 3 = 0) THEN 'TRUE_SEMANTICS' END,
+    CASE WHEN verdict = 'ABSTAIN' AND (k < 6 OR k % 3 <> 0) THEN 'ABSTAIN_SEMANTICS' END], lambda x: x IS NOT NULL)) AS rule_id, finding_id AS key, verdict AS detail FROM q
+UNION ALL SELECT 'EVIDENCE_LINE', finding_id, '03' FROM q WHERE k % 4 = 2 UNION ALL SELECT 'NOT_SHOWN', finding_id, 'a.py:3:19' FROM q WHERE k % 4 = 1""", "q AS (SELECT *, doc % 12 AS k FROM reviews)")
+
+
 @_query
 def v29_decision_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What keeps final decisions from being proven."""
@@ -1689,11 +1716,382 @@ _sql("x50_consensus_reviewer", (), """
 SELECT n_nationkey, 'reviewer-a+reviewer-b' AS id, 'CONSENSUS_A_B' AS role, sha256('["a' || n_nationkey || '","b' || n_nationkey || '"]') AS provider_version, 'a' || n_name || '+b' || n_name AS model, 'a+b' AS model_version, 2 AS participants FROM nation""")
 
 
+# --- files, orders and gates that break ---------------------------------------
+
+
+def _json_lines(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of JSON lines made of nations: objects, a list, words, and blank lines."""
+    k = F.col("n_nationkey")
+    line = F.when(k % 5 == 1, '[1]').when(k % 5 == 2, "no json").when(k % 5 == 3, " ").otherwise(F.concat(F.lit('{"n": '), k.cast("string"), F.lit(', "name": "'), "n_name", F.lit('"}')))
+    path = scratch.folder(spark, "lines")
+    _table(spark, sf_dir, "nation").select(line.alias("value")).write.text(path)
+    return path
+
+
+@_query
+def s3_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of JSON as rows; those without an object keep their text."""
+    return jsonl.read_jsonl(spark, _json_lines(spark, sf_dir), "n int, name string").select("n", "name", F.col(jsonl.CORRUPT).alias("corrupt"))
+
+
+_sql("s3_json_lines", (), """
+SELECT CASE WHEN n_nationkey % 5 IN (0, 4) THEN CAST(n_nationkey AS INTEGER) END AS n, CASE WHEN n_nationkey % 5 IN (0, 4) THEN n_name END AS name,
+  CASE n_nationkey % 5 WHEN 1 THEN '[1]' WHEN 2 THEN 'no json' END AS corrupt FROM nation WHERE n_nationkey % 5 <> 3""")
+
+
+@_query
+def s5_line_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What keeps lines of JSON, and their files, from being read under a profile's limits."""
+    v = jsonl.line_violations(spark, f"{_json_lines(spark, sf_dir)}/part-*", limits=jsonl.Limits(file_bytes=10, line_bytes=26, rows=3))
+    return v.select("rule_id", F.when(F.col("rule_id") == "FILE_TOO_LARGE", "").otherwise(F.col("detail")).alias("detail"))
+
+
+_sql("s5_line_gate", (), """
+WITH l AS (SELECT CASE n_nationkey % 5 WHEN 1 THEN '[1]' WHEN 2 THEN 'no json' WHEN 3 THEN ' ' ELSE '{"n": ' || n_nationkey || ', "name": "' || n_name || '"}' END AS v, n_nationkey % 5 AS k FROM nation)
+SELECT 'NOT_AN_OBJECT' AS rule_id, v AS detail FROM l WHERE k IN (1, 2) UNION ALL SELECT 'LINE_TOO_LONG', v FROM l WHERE octet_length(encode(v)) > 26
+UNION ALL SELECT 'TOO_MANY_ROWS', '' || count(*) FROM l WHERE k <> 3 UNION ALL SELECT 'FILE_TOO_LARGE', ''""")
+
+
+@_query
+def k3_written_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows written as canonical JSON lines, and one document, as their files hold them."""
+    n = _table(spark, sf_dir, "nation").select(F.col("n_name").alias("z"), F.col("n_nationkey").alias("a"), F.lit(None).cast("string").alias("m"))
+    lines, document = scratch.folder(spark, "written"), scratch.folder(spark, "document")
+    jsonl.write_jsonl(n, lines, "a")
+    jsonl.write_document(n.agg(F.count("*").alias("rows"), F.max("a").alias("last")), document)
+    files = spark.read.text(f"{document}/part-*", wholetext=True)
+    return spark.read.text(f"{lines}/part-*").select(F.lit("line").alias("kind"), "value").unionByName(files.select(F.lit("document").alias("kind"), F.regexp_replace("value", "\n$", "").alias("value")))
+
+
+_sql("k3_written_lines", (), """
+SELECT 'line' AS kind, '{"a":' || n_nationkey || ',"m":null,"z":"' || n_name || '"}' AS value FROM nation
+UNION ALL SELECT 'document', '{"last":' || max(n_nationkey) || ',"rows":' || count(*) || '}' FROM nation""")
+
+
+@_query
+def x3_file_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests, bytes and records of files, against what a manifest states of them."""
+    n = _table(spark, sf_dir, "nation")
+    path = scratch.folder(spark, "files")
+    n.select(F.col("n_nationkey").alias("k"), F.concat_ws("\n", "n_name", "n_name").alias("value")).repartition("k").write.partitionBy("k").text(path)
+    found = jsonl.manifest(spark, f"{path}/*/part-*")
+    key = F.regexp_extract("path", r"/k=(\d+)/", 1)
+    return found.select(key.alias("k"), "sha256", "bytes", "records")
+
+
+_sql("x3_file_digests", (), """
+SELECT '' || n_nationkey AS k, sha256(n_name || chr(10) || n_name || chr(10)) AS sha256, CAST(2 * octet_length(encode(n_name)) + 2 AS BIGINT) AS bytes, CAST(2 AS BIGINT) AS records FROM nation""")
+
+
+@_query
+def v21_manifest_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose digest or number of records is not what their manifest states, and a run that is no official corpus."""
+    n = _table(spark, sf_dir, "nation")
+    k = F.col("n_nationkey")
+    stated = n.select(F.col("n_name").alias("path"), F.sha2("n_name", 256).alias("sha256"), k.alias("records"))
+    found = n.filter(k % 6 != 0).select(F.col("n_name").alias("path"), F.sha2(F.when(k % 4 == 1, "x").otherwise(F.col("n_name")), 256).alias("sha256"), F.when(k % 7 == 1, 99).otherwise(k).alias("records"))
+    run = _rows(spark, [("COMPLETE", None, "FRANCE", "0", 1)], "status string, complete boolean, path string, sha256 string, records long")
+    return gates.manifest_differences(stated, found).unionByName(gates.corpus_violations(run, found, n))
+
+
+_sql("v21_manifest_differences", (), """
+SELECT unnest(CASE WHEN n_nationkey % 6 = 0 THEN ['MISSING_FILE'] ELSE list_filter([CASE WHEN n_nationkey % 4 = 1 THEN 'SHA256' END, CASE WHEN n_nationkey % 7 = 1 AND n_nationkey <> 99 THEN 'RECORDS' END], lambda x: x IS NOT NULL) END) AS rule_id,
+  n_name AS key, '' AS detail FROM nation UNION ALL SELECT unnest(['NOT_COMPLETE', 'SHA256', 'RECORDS']), 'FRANCE', ''""")
+
+
+@_query
+def s14_ledger_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts and pointers of a scan ledger that disagree."""
+    a = V.attempts(spark, sf_dir).withColumns({"folder_number": F.col("attempt") + (F.col("event_id") % 50 == 3).cast("int"), "file": F.concat(F.lit("a/"), "event_id")})
+    k = F.col("event_id") % 50
+    p = ledger.latest(a).select(
+        F.when(k == 4, "scan-x").otherwise(F.col("scan_id")).alias("scan_id"), "repo_url", "commit", "scanner", F.when(k == 5, "LOST").otherwise(F.col("status")).alias("status"),
+        F.when(k == 6, 99).otherwise(F.col("attempt")).alias("attempt"), F.when(k == 7, "../x").otherwise("attempts/0001/status.json").alias("attempt_status"), F.concat(F.lit("p/"), "event_id").alias("file"), k.alias("k"),
+    )
+    return ledger_files.violations(a, p.unionByName(p.filter("k = 8")))
+
+
+_sql("s14_ledger_gate", ("attempts",), """
+SELECT 'ATTEMPT_NUMBER' AS rule_id, 'a/' || event_id AS key, '' || n AS detail FROM x WHERE event_id % 50 = 3
+UNION ALL SELECT CASE event_id % 50 WHEN 4 THEN 'SCAN_ID_DIFFERS' WHEN 5 THEN 'STATUS_DIFFERS' WHEN 6 THEN 'POINTER_WITHOUT_ATTEMPT' ELSE 'PATH_OUTSIDE' END, 'p/' || event_id,
+  CASE WHEN event_id % 50 = 7 THEN '../x' ELSE 'attempts/0001/status.json' END FROM x WHERE n = last AND event_id % 50 IN (4, 5, 6, 7)
+UNION ALL SELECT 'REPEATED_JOB', repo || ' ' || commit_sha || ' ' || scanner, '2' FROM x WHERE n = last AND event_id % 50 = 8""",
+     """x AS (SELECT *, row_number() OVER (PARTITION BY repo, commit_sha, scanner ORDER BY event_id) AS n, count(*) OVER (PARTITION BY repo, commit_sha, scanner) AS last FROM attempts)""")
+
+
+@_query
+def v26_resume_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Successes that were made from other inputs than those of now."""
+    a = V.attempts(spark, sf_dir).withColumns({"ruleset": F.lit("r1"), "profile": F.concat(F.lit("p"), F.col("event_id") % 3)})
+    now = a.select("repo_url", "commit", "scanner").distinct().withColumns({"ruleset": F.when(F.col("scanner") == "click", "r2").otherwise("r1"), "profile": F.lit("p0")})
+    return ledger.resume_conflicts(a, now, "ruleset", "profile")
+
+
+_sql("v26_resume_conflicts", ("attempts",), """
+SELECT repo AS repo_url, commit_sha AS commit, scanner, unnest(list_filter([CASE WHEN scanner = 'click' THEN 'ruleset' END, CASE WHEN event_id % 3 <> 0 THEN 'profile' END], lambda x: x IS NOT NULL)) AS input
+FROM (SELECT * FROM attempts QUALIFY row_number() OVER (PARTITION BY repo, commit_sha, scanner ORDER BY event_id DESC) = 1) WHERE status = 'SUCCESS'""")
+
+
+@_query
+def p2_o7_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chosen snapshots in order, the first three, and filters that no snapshot has."""
+    s = V.findings(spark, sf_dir).select(T.normalize_repo(F.col("repo_url")).alias("repo_url"), T.normalize_commit(F.col("commit")).alias("commit")).distinct()
+    repos = [f"https://github.com/acme/r{n}.git/" for n in (0, 5, 10, 15, 20, 999_999)]
+    chosen = ledger.select_snapshots(s, repos, None, 3)
+    return chosen.select(F.lit("CHOSEN").alias("rule_id"), F.col("repo_url").alias("key"), F.col("commit").alias("detail")).unionByName(ledger.unused_filters(s, repos, ["0" * 40]))
+
+
+_sql("p2_o7_snapshots", ("findings",), """
+SELECT 'CHOSEN' AS rule_id, repo AS key, commit_sha AS detail FROM (SELECT DISTINCT repo, commit_sha FROM findings WHERE repo IN (SELECT 'https://github.com/acme/r' || n FROM (SELECT unnest([0, 5, 10, 15, 20]) AS n)) ORDER BY 1, 2 LIMIT 3)
+UNION ALL SELECT 'UNUSED_REPOSITORY', 'https://github.com/acme/r' || n || '.git/', '' FROM (SELECT unnest([0, 5, 10, 15, 20, 999999]) AS n) WHERE 'https://github.com/acme/r' || n NOT IN (SELECT repo FROM findings)
+UNION ALL SELECT 'UNUSED_COMMIT', '0000000000000000000000000000000000000000', ''""")
+
+
+@_query
+def o1_o2_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of each finding in its file, by the order of findings."""
+    from pyspark.sql import Window as W
+
+    f = findings.keyed(findings.ordered(V.findings(spark, sf_dir))).withColumn("k", findings.sort_key())
+    return f.select(F.col("provenance.raw_result_ref").alias("ref"), F.row_number().over(W.partitionBy("repo_n", "path_n").orderBy("k")).alias("place"))
+
+
+_sql("o1_o2_orders", ("findings",), f"""
+SELECT ref, CAST(row_number() OVER (PARTITION BY repo, file ORDER BY commit_sha, start_line, end_line, coalesce(start_col, -1), coalesce(end_col, -1), scanner, version, lower(rule_id), id, ref) AS INTEGER) AS place
+FROM (SELECT *, {_ID} AS id FROM findings)""")
+
+
+@_query
+def o9_trace_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First and last nodes of long traces, and texts cut with a mark."""
+    d = V.flat(spark, sf_dir, "reviews")
+    node = lambda n: F.struct(F.lit("a.py").alias("file"), n.cast("string").alias("line"), F.lit("d").alias("description"), F.repeat(F.lit("c"), n).alias("code"))
+    f = d.select("finding_id", F.lit("long message").alias("message"), F.lit("s").alias("snippet"), F.transform(F.sequence(F.lit(1), (F.col("doc") % 20 + 1).cast("int")), node).alias("dataflow_trace"))
+    m = reviews.for_model(f, head=3, tail=2, message=7, code=6, mark="..")
+    return m.select("finding_id", "message", "omitted_trace_nodes", F.array_join(F.transform("dataflow_trace", lambda n: F.concat_ws(":", n["line"], n["code"])), ",").alias("trace"))
+
+
+_sql("o9_trace_ends", ("reviews",), """
+SELECT finding_id, 'long ..' AS message, CAST(greatest(0, n - 5) AS INTEGER) AS omitted_trace_nodes,
+  array_to_string(list_transform(list_filter(range(1, n + 1), lambda i: n <= 5 OR i <= 3 OR i > n - 2), lambda i: i || ':' || CASE WHEN i > 6 THEN 'cccc..' ELSE repeat('c', i) END), ',') AS trace
+FROM (SELECT finding_id, doc % 20 + 1 AS n FROM reviews)""")
+
+
+@_query
+def x4_finding_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of findings from their place, rule and snapshot alone."""
+    f = findings.keyed(V.findings(spark, sf_dir))
+    place = F.col("location").withField("file", F.col("path_n"))
+    return f.select(F.col("provenance.raw_result_ref").alias("ref"), finding_id(F.col("repo_n"), F.col("commit_n"), F.col("scanner_n"), F.col("rule_n"), place, F.col("ruleset_n")).alias("id"))
+
+
+_sql("x4_finding_ids", ("findings",), """
+SELECT ref, 'finding-' || sha256('{"commit":"' || commit_sha || '","location":{"end_col":' || coalesce('' || end_col, 'null') || ',"end_line":' || end_line || ',"file":"' || file || '","start_col":' || coalesce('' || start_col, 'null')
+  || ',"start_line":' || start_line || '},"repo_url":"' || repo || '","rule_id":"' || lower(rule_id) || '","ruleset_commit":"' || ruleset || '","scanner":"' || scanner || '"}') AS id FROM findings""")
+
+
+@_query
+def x28_x29_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uris and absolute paths relative to a root, whatever the root's case."""
+    p = _table(spark, sf_dir, "part")
+    k, name = F.col("p_partkey"), F.concat(F.lit("f"), F.col("p_partkey").cast("string"))
+    raw = F.when(k % 4 == 0, F.concat(F.lit("file:///C:/Work/a%20b/"), name)).when(k % 4 == 1, F.concat(F.lit("c:\\work\\"), name)).when(k % 4 == 2, F.concat(F.lit("file:///tmp/x+y/"), name)).otherwise(F.concat(F.lit("./src//"), name))
+    return p.select("p_partkey", T.relative_path(raw, "C:\\Work\\").alias("path"))
+
+
+_sql("x28_x29_paths", (), """
+SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'a b/' WHEN 1 THEN '' WHEN 2 THEN '/tmp/x+y/' ELSE 'src/' END || 'f' || p_partkey AS path FROM part""")
+
+
+@_query
+def x42_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How alike each labelled finding is to the one of the next number."""
+    m = V.machine(spark, sf_dir)
+    n = F.regexp_extract("finding_id", r"(\d+)$", 1).cast("long")
+    a, b = m.select("finding_id", "features", (n + 1).alias("n")), m.select(F.col("finding_id").alias("other"), F.col("features").alias("theirs"), n.alias("n"))
+    return a.join(b, "n").select("finding_id", "other", dataset.similarity(F.col("features"), F.col("theirs")).alias("score"))
+
+
+_sql("x42_similarity", ("gold",), """
+SELECT a.finding_id, b.finding_id AS other, CAST(16 * (a.repository = b.repository)::INT + 8 * (a.rule_id = b.rule_id)::INT + 4 * coalesce(list_has_any(list_filter([a.cwe_a, a.cwe_b], lambda x: x IS NOT NULL), list_filter([b.cwe_a, b.cwe_b], lambda x: x IS NOT NULL)), false)::INT
+  + 2 * (a.language = b.language)::INT + (a.has_dataflow = b.has_dataflow)::INT AS INTEGER) AS score
+FROM gold a JOIN gold b ON CAST(substr(b.finding_id, 9) AS BIGINT) = CAST(substr(a.finding_id, 9) AS BIGINT) + 1""")
+
+
+@_query
+def x47_usage_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters under common names, details objects and negative numbers among them, and their sums."""
+    e = _table(spark, sf_dir, "events")
+    k = F.col("event_id")
+    given = F.create_map(F.lit("promptTokenCount"), k % 7 - 1, F.lit("output_tokens"), k % 5, F.lit("input_tokens_details.cached_tokens"), k % 3, F.lit("other"), k)
+    runs = e.select((k % 4).alias("run"), usage.normalized(given).alias("usage"))
+    return usage.totals(runs, ["run"])
+
+
+_sql("x47_usage_details", (), """
+SELECT run, counter, CAST(sum(n) AS BIGINT) AS n FROM (SELECT event_id % 4 AS run, unnest(['input_tokens', 'output_tokens', 'cached_input_tokens']) AS counter, unnest([event_id % 7 - 1, event_id % 5, event_id % 3]) AS n FROM events) WHERE n >= 0 GROUP BY 1, 2""")
+
+
+@_query
+def a26_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of each split against its target; one split has nothing."""
+    rows = _labelled(spark, sf_dir)
+    names = F.element_at(F.array(*map(F.lit, ("train", "validation"))), F.substring("features.repository", 2, 9).cast("int") % 2 + 1)
+    chosen = rows.select(names.alias("split"), "finding_id", F.col("machine_reference.label").alias("class"))
+    return dataset.split_counts(chosen, {"train": 3, "validation": 2, "test": 0})
+
+
+_sql("a26_split_counts", ("gold",), """
+SELECT s AS split, count(lab) FILTER (lab = 'MACHINE_TRUE_POSITIVE') AS positives, count(lab) FILTER (lab = 'MACHINE_FALSE_POSITIVE') AS negatives,
+  count(lab) FILTER (lab = 'MACHINE_TRUE_POSITIVE') = any_value(t) AND count(lab) FILTER (lab = 'MACHINE_FALSE_POSITIVE') = any_value(t) AS balanced
+FROM (SELECT unnest(['train', 'validation', 'test']) AS s, unnest([3, 2, 0]) AS t) LEFT JOIN (SELECT lab, ['train', 'validation'][CAST(substr(repository, 2) AS INTEGER) % 2 + 1] AS s FROM e) USING (s) GROUP BY s""", _LABELLED)
+
+
+@_query
+def p14_agent_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blind packets of the findings of a split."""
+    r = V.flat(spark, sf_dir, "reviews")
+    return dataset.agent_input(r.select("finding_id", "source"), V.gold(spark, sf_dir).filter("label = 'FP_CONFIRMED'"))
+
+
+_sql("p14_agent_input", ("gold", "reviews"), "SELECT finding_id, source FROM reviews WHERE finding_id IN (SELECT finding_id FROM gold WHERE label = 'FP_CONFIRMED')")
+
+
+@_query
+def j22_j23_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules that the languages of all sources call for, and the folders that sources name for themselves."""
+    d = _table(spark, sf_dir, "documents").select("source", "lang").distinct()
+    configs = rules.routes(spark, {"en": ["f0", "f1"], "de": ["f2"], "fr": ["f1"]})
+    k = F.col("p_partkey")
+    files = _table(spark, sf_dir, "part").select(F.concat(F.lit("f"), (k % 5).cast("string")).alias("folder"), F.concat(F.lit("x"), k.cast("string")).alias("file"), F.lit(1).alias("line"), F.concat(F.lit("rule-"), (k % 30).cast("string")).alias("rule_id"))
+    found = rules.assembled_inventory(d.filter("lang <> 'es'").select(F.col("lang").alias("language")), configs, files)
+    snapshots = d.select(F.col("source").alias("repo_url"), F.lit("c").alias("commit")).distinct().withColumn("languages", F.when(F.crc32("repo_url") < 0, F.array(F.lit("x"))).otherwise(F.when(F.length("repo_url") % 2 == 0, F.array(F.lit(" ENGLISH "), F.lit("de"))).otherwise(F.array().cast("array<string>"))))
+    detected = d.select(F.col("source").alias("repo_url"), F.lit("c").alias("commit"), F.col("lang").alias("language"))
+    routed = rules.snapshot_configs(snapshots, detected, configs, rules.routes(spark, {"en": ["own"], "de": ["own", "f2"]}), {"english": "en"})
+    return found.select(F.lit("rule").alias("kind"), F.col("rule_id").alias("name"), F.array_join("files", ",").alias("value")).unionByName(routed.select(F.lit("folder").alias("kind"), F.col("repo_url").alias("name"), F.col("folder").alias("value")))
+
+
+_sql("j22_j23_inventory", (), """
+SELECT 'rule' AS kind, 'rule-' || p_partkey % 30 AS name, string_agg('x' || p_partkey, ',' ORDER BY 'x' || p_partkey) AS value FROM part
+WHERE p_partkey % 5 IN (SELECT f FROM (SELECT unnest(['en', 'en', 'de', 'fr']) AS l, unnest([0, 1, 2, 1]) AS f) WHERE l IN (SELECT lang FROM documents)) GROUP BY 2
+UNION ALL SELECT DISTINCT 'folder', source, unnest(['own', 'f2']) FROM documents WHERE length(source) % 2 = 0
+UNION ALL SELECT DISTINCT 'folder', source, f FROM documents JOIN (SELECT unnest(['en', 'en', 'de', 'fr']) AS l, unnest(['f0', 'f1', 'f2', 'f1']) AS f) ON l = lang WHERE length(source) % 2 = 1""")
+
+
+@_query
+def s29_s21_evidence_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbered lines of each document in ranges of 25 lines, with identifiers redacted, while they fit a case's budget."""
+    ls = _lines(spark, sf_dir)
+    wanted = ls.groupBy("doc_id").agg(F.max("n").alias("last")).select("doc_id", F.lit(1).alias("start"), F.least("last", F.lit(60)).cast("int").alias("end"))
+    cut = reviews.in_ranges(wanted)
+    read = code.slices(cut, ls, ["doc_id"], numbered=True).withColumn("slice", T.redact_ids(F.col("slice")))
+    kept = code.within_budget(read, 4000, key="doc_id", order="start")
+    return kept.select("doc_id", "start", "end", F.sha2("slice", 256).alias("sha256"))
+
+
+_sql("s29_s21_evidence_reads", (), """
+SELECT doc_id, s AS start, e AS "end", sha256(t) AS sha256 FROM (
+  SELECT doc_id, s, e, t, sum(length(t)) OVER (PARTITION BY doc_id ORDER BY s) AS used FROM (
+    SELECT doc_id, CAST(s AS INTEGER) AS s, CAST(max(n) AS INTEGER) AS e, string_agg(n || ': ' || x, chr(10) ORDER BY n) AS t FROM (
+      SELECT doc_id, n, x, (n - 1) // 25 * 25 + 1 AS s FROM (SELECT doc_id, unnest(ls) AS x, unnest(range(1, len(ls) + 1)) AS n FROM (
+        SELECT doc_id, CASE WHEN ls[-1] = '' THEN ls[:-2] ELSE ls END AS ls FROM (SELECT doc_id, string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS ls FROM documents WHERE text IS NOT NULL))) WHERE n <= 60) GROUP BY 1, 2))
+WHERE used <= 4000""")
+
+
+@_query
+def v15_evidence_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence whose code is not the source text at its place."""
+    ls = _lines(spark, sf_dir).select(F.lit("r").alias("repo_url"), F.lit("c").alias("commit"), F.col("doc_id").cast("string").alias("file"), "n", "text")
+    first = ls.filter("n = 1")
+    k = F.col("file").cast("long") % 4
+    said = F.when(k == 1, F.col("text")).otherwise(F.concat(F.lit("1: "), "text"))
+    node = F.struct("file", F.when(k == 2, "x").when(k == 3, "900000").otherwise("1").alias("line"), F.lit("d").alias("description"), T.redact_ids(said).alias("code"))
+    cited = first.select(F.col("file").alias("finding_id"), "repo_url", "commit", F.lit(0).alias("position"), node.alias("node"), k.alias("k"))
+    wrong = reviews.evidence_errors(cited.drop("k"), ls)
+    return cited.select("finding_id", "k").join(wrong, "finding_id", "left").groupBy("k").agg(F.count("*").alias("cited"), F.count("position").alias("wrong"))
+
+
+_sql("v15_evidence_gate", (), """
+SELECT doc_id % 4 AS k, count(*) AS cited, count(*) FILTER (doc_id % 4 > 0) AS wrong FROM documents WHERE text <> '' GROUP BY 1""")
+
+
+@_query
+def a21_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors, partly parsed files, findings and scanned paths of each job's raw reports."""
+    p = _parts(spark, sf_dir)
+    k = F.col("p_partkey")
+    error = F.when(k % 3 == 0, F.concat(F.lit('{"type":["PartialParsing",[]],"spans":[{"file":"f'), (k % 7).cast("string"), F.lit('.py"}]}'))).otherwise('{"type":"Timeout","path":"x.py"}')
+    r = p.select(
+        F.concat(F.lit("r"), "job").alias("repo_url"), F.lit("c").alias("commit"), F.lit("s").alias("scanner"), F.when(k % 5 == 0, F.array(error)).otherwise(F.array().cast("array<string>")).alias("errors"),
+        F.array_repeat(F.lit("{}"), (k % 4).cast("int")).alias("results"), F.struct(F.array_repeat(F.lit("p"), (k % 2).cast("int")).alias("scanned")).alias("paths"),
+    )
+    d = ledger.diagnostics(r)
+    return d.select("repo_url", "errors_total", F.array_join("partial_parsing_files", ",").alias("partial"), "findings", "scanned_paths")
+
+
+_sql("a21_diagnostics", (), """
+SELECT 'r' || job AS repo_url, count(*) FILTER (k % 5 = 0) AS errors_total, coalesce(string_agg(DISTINCT 'f' || k % 7 || '.py', ',' ORDER BY 'f' || k % 7 || '.py') FILTER (k % 15 = 0), '') AS partial,
+  CAST(sum(k % 4) AS BIGINT) AS findings, CAST(sum(k % 2) AS BIGINT) AS scanned_paths FROM p GROUP BY job""", _PARTS)
+
+
+@_query
+def v11_v12_blind_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with blind inputs: forbidden columns, malformed and repeated findings, leaks, too many rows."""
+    f = reviews.blind(V.findings(spark, sf_dir)).withColumns({"finding_id": F.col("provenance.raw_result_ref"), "repo_url": T.normalize_repo(F.col("repo_url")), "commit": T.normalize_commit(F.col("commit"))})
+    n = F.col("location.start_line")
+    f = f.withColumns({
+        "repo_url": F.when(n == 1, "http://x").otherwise(F.col("repo_url")), "commit": F.when(n == 2, "abc").otherwise(F.col("commit")), "message": F.when(n == 4, "see CVE-2020-1234").otherwise(F.col("message")),
+        "location": F.when(n == 3, F.col("location").withField("file", F.lit("a/../b"))).otherwise(F.col("location")), "dataflow_trace": F.when(n == 5, F.transform("dataflow_trace", lambda x: x.withField("line", F.lit("0")))).otherwise(F.col("dataflow_trace")),
+        "gold_label": F.lit("x"),
+    })
+    again = f.filter(n == 6).unionByName(f)
+    return gates.blind_inputs(again, 100)
+
+
+_sql("v11_v12_blind_gate", ("findings",), """
+SELECT 'FORBIDDEN_KEY' AS rule_id, '$.gold_label' AS key, '' AS detail UNION ALL SELECT 'TOO_MANY_ROWS', '', '' || (count(*) + count(*) FILTER (start_line = 6)) FROM findings HAVING count(*) > 100
+UNION ALL SELECT ['REPO_URL', 'COMMIT', 'PATH', 'ADVISORY_ID'][start_line], ref, CASE WHEN start_line = 4 THEN '$.message' ELSE '' END FROM findings WHERE start_line <= 4
+UNION ALL SELECT 'TRACE', ref, '' FROM findings WHERE start_line = 5 AND trace_file IS NOT NULL UNION ALL SELECT 'REPEATED_ID', ref, '2' FROM findings WHERE start_line = 6""")
+
+
+@_query
+def v4_v7_machine_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What keeps machine labels and predictions from a metric: fields, roles, independence, provenance and evidence."""
+    g = V.flat(spark, sf_dir, "gold").select("finding_id", F.col("machine_label").alias("label"), (F.regexp_extract("finding_id", r"(\d+)$", 1).cast("long") % 40).alias("k"))
+    k, false = F.col("k"), F.col("label") == "MACHINE_FALSE_POSITIVE"
+    strings = lambda *x: F.array(*map(F.lit, x)).cast("array<string>")
+    node = lambda line: F.array(F.struct(F.lit("a.py").alias("file"), F.lit(line).alias("line"), F.lit("d").alias("description"), F.lit("c").alias("code")))
+    both = k < 20
+    labels = g.select(
+        "finding_id", F.when(k == 1, "NONE").otherwise(F.col("label")).alias("label"), F.when(k == 2, "SURE").otherwise("HIGH").alias("confidence"),
+        F.when(false & (k != 3), strings("CONSTANT_VALUE")).otherwise(strings()).alias("reason_codes"), F.when(k == 4, "").otherwise("why").alias("reasoning"), F.when(k == 5, node("0")).otherwise(node("1")).alias("evidence"),
+        F.when(F.col("label") == "MACHINE_UNCERTAIN", "unclear").alias("uncertainty_reason"),
+        F.struct(
+            F.when(k == 6, "OTHER").when(both, "CONSENSUS_A_B").otherwise("ADJUDICATOR_C").alias("role"), F.when(both & (k != 7), strings("a", "b")).when(both, strings("a", "a")).otherwise(strings("c")).alias("ids"),
+            F.when(both, strings("m", "n")).otherwise(strings("o")).alias("models"),
+        ).alias("reviewer"),
+        F.when(k == 8, "2026-01-01").otherwise("2026-01-01T00:00:00Z").alias("reviewed_at"),
+        F.struct(
+            (~both).alias("blind_first"), F.when(both, strings()).otherwise(strings("ANY")).alias("route_reasons"), F.when(~both, F.lit("a" * 64)).alias("blind_sha256"),
+            F.when(~both, F.when(k == 21, "short").otherwise("b" * 64)).alias("final_sha256"),
+        ).alias("provenance"),
+        F.when(k == 9, strings("entry-1")).otherwise(strings()).alias("linked_entry_ids"),
+    )
+    p = V.flat(spark, sf_dir, "reviews").select("finding_id", F.col("verdict").alias("verdict"))
+    return gates.machine_inputs(labels, p.join(g.filter("k != 10").select("finding_id"), "finding_id", "left_semi"))
+
+
+_sql("v4_v7_machine_gate", ("gold",), """
+SELECT unnest(list_filter([CASE WHEN k = 1 THEN 'LABEL' END, CASE WHEN k = 2 THEN 'CONFIDENCE' END, CASE WHEN k = 3 AND machine_label = 'MACHINE_FALSE_POSITIVE' THEN 'FALSE_FIELDS' END, CASE WHEN k = 4 THEN 'REASONING' END,
+    CASE WHEN k = 5 THEN 'EVIDENCE_NODE' END, CASE WHEN k = 6 THEN 'ROLE' END, CASE WHEN k = 7 THEN 'CONSENSUS' END, CASE WHEN k = 8 THEN 'REVIEWED_AT' END, CASE WHEN k = 9 THEN 'LINKED_BEFORE_FREEZE' END, CASE WHEN k = 21 THEN 'ADJUDICATOR' END], lambda x: x IS NOT NULL)) AS rule_id,
+  finding_id AS key, CASE WHEN k = 1 THEN 'NONE' ELSE machine_label END AS detail FROM g
+UNION ALL SELECT 'MISSING_PREDICTION', finding_id, '' FROM g WHERE k = 10 OR finding_id NOT IN (SELECT 'finding-' || doc_id FROM documents)""",
+     "g AS (SELECT finding_id, machine_label, CAST(substr(finding_id, 9) AS BIGINT) % 40 AS k FROM gold)")
+
+
 # --- raw reports ------------------------------------------------------------
 
 
-#: Results of one raw report that the queries write.
-_PER_REPORT = 400
 
 
 def _write_reports(parts: DataFrame, document: Column, name: str) -> tuple[str, DataFrame]:
@@ -1745,7 +2143,6 @@ def _raw_reports(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return reports.read_scanner_json(spark, path), jobs
 
 
-_PARTS = f"p AS (SELECT *, p_partkey // {_PER_REPORT} AS job, p_partkey % {_PER_REPORT} AS pos, p_partkey AS k FROM part)"
 _RAW_REF = "'raw/' || job || '.json#results/' || pos"
 _SOUND = "k % 17 <> 0 AND k % 19 <> 0"
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,9 +24,21 @@ def read_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.withColumn("source_file", F.col("_metadata.file_path"))
 
 
-def line_violations(spark: SparkSession, path: str, max_bytes: int = 32 << 20, max_rows: int = 10_000) -> DataFrame:
+@dataclass(frozen=True)
+class Limits:
+    """What an input may hold: bytes of a file and of a line, rows of a file."""
+
+    file_bytes: int = 1 << 30
+    line_bytes: int = 32 << 20
+    rows: int = 10_000
+
+
+def line_violations(spark: SparkSession, path: str, max_bytes: int = 32 << 20, max_rows: int = 10_000, limits: Limits | None = None) -> DataFrame:
     """Rows (rule_id, key, detail): lines over ``max_bytes``, in bad UTF-8 or
-    without an object, and files with no row or over ``max_rows`` rows."""
+    without an object, files with no row or over ``max_rows`` rows, and files
+    beyond the ``limits`` of a profile, which stand for the two if given."""
+    limits = limits or Limits(line_bytes=max_bytes, rows=max_rows)
+    max_bytes, max_rows = limits.line_bytes, limits.rows
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value"), F.trim("value") != "")
     lines = lines.toDF("file", "value", "filled").filter("filled")
     shape = F.schema_of_variant(F.try_parse_json("value"))
@@ -35,12 +49,14 @@ def line_violations(spark: SparkSession, path: str, max_bytes: int = 32 << 20, m
     }
     found = F.filter(F.array(*[F.when(test, F.lit(name)) for name, test in checks.items()]), lambda x: x.isNotNull())
     by_line = lines.select(F.explode(found).alias("rule_id"), F.col("file").alias("key"), F.left("value", F.lit(80)).alias("detail"))
-    sizes = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file")).join(lines.groupBy("file").count(), "file", "left")
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length")
+    large = files.filter(F.col("length") > limits.file_bytes).select(F.lit("FILE_TOO_LARGE").alias("rule_id"), F.col("file").alias("key"), F.col("length").cast("string").alias("detail"))
+    sizes = files.join(lines.groupBy("file").count(), "file", "left")
     n = F.coalesce("count", F.lit(0))
     by_file = sizes.select(
         F.when(n == 0, "NO_ROWS").when(n > max_rows, "TOO_MANY_ROWS").alias("rule_id"), F.col("file").alias("key"), n.cast("string").alias("detail")
     ).filter("rule_id is not null")
-    return by_line.unionByName(by_file)
+    return by_line.unionByName(by_file).unionByName(large)
 
 
 def canonical_rows(df: DataFrame) -> DataFrame:
@@ -60,3 +76,11 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").load(path)
     newlines = F.length("content") - F.length(F.replace(F.decode("content", "ISO-8859-1"), F.lit("\n"), F.lit("")))
     return files.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"), newlines.cast("long").alias("records"))
+
+
+def write_document(df: DataFrame, path: str) -> None:
+    """One row as one canonical JSON document in a folder of its own, which Spark
+    commits whole or not at all; more rows or none are an error."""
+    if df.limit(2).count() != 1:
+        raise ValueError("a document has one row")
+    canonical_rows(df).coalesce(1).write.text(path)
