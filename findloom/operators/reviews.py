@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -243,6 +245,24 @@ def overlay(base: DataFrame, retry: DataFrame, key: str = "finding_id") -> DataF
     return base.join(retry.select(key), key, "left_anti").unionByName(retry)
 
 
+def composite(runs: list[tuple[str, DataFrame]], key: str = "finding_id") -> DataFrame:
+    """Of each case the row of the last run in which it succeeded, with that
+    run's name as ``run`` and whether it was reused from before the last one.
+
+    ``runs`` are given in order, each with a ``status``; cases that no run
+    finished have none (``pending`` names them).
+    """
+    done = [rows.filter("status = 'SUCCESS'").withColumns({"run": F.lit(name), "_order": F.lit(i)}) for i, (name, rows) in enumerate(runs)]
+    w = W.partitionBy(key).orderBy(F.col("_order").desc())
+    last = reduce(DataFrame.unionByName, done).withColumn("_rank", F.row_number().over(w)).filter("_rank = 1")
+    return last.withColumn("reused", F.col("_order") < len(runs) - 1).drop("_rank", "_order")
+
+
+def lineage(composed: DataFrame) -> DataFrame:
+    """Rows (run, cases): from which run how many cases of a composite come."""
+    return composed.groupBy("run").agg(F.count("*").alias("cases"))
+
+
 def pending(expected: DataFrame, done: DataFrame, key: str = "finding_id") -> DataFrame:
     """Work that no successful case covers yet."""
     return expected.join(done.filter("status = 'SUCCESS'").select(key), key, "left_anti")

@@ -14,7 +14,9 @@ def routes(spark: SparkSession, configs: dict[str, list[str]]) -> DataFrame:
 
 
 def folders_for(languages: DataFrame, configs: DataFrame) -> DataFrame:
-    """Distinct rule folders of the languages (…, language), by the columns beside it."""
+    """Distinct rule folders of the languages (…, language), by the columns beside it.
+
+    ``configs`` is a configuration, a few rows for each language, and so goes to every task."""
     return languages.join(F.broadcast(configs), "language").drop("language").distinct()
 
 

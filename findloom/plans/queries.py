@@ -740,6 +740,21 @@ def j18_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
 _sql("j18_overlay", ("reviews",), "SELECT finding_id, CASE WHEN verdict_b <> 'ABSTAIN' THEN verdict_b ELSE verdict END AS verdict FROM reviews")
 
 
+@_query
+def c6_composite_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each case the last run that finished it, reused or new."""
+    r = V.flat(spark, sf_dir, "reviews")
+    k = F.col("doc") % 10
+    run = lambda name, rows, failed: (name, rows.select("finding_id", F.when(failed, "FAILED").otherwise("SUCCESS").alias("status"), F.lit(name).alias("said")))
+    c = reviews.composite([run("base", r, k < 4), run("supplement", r.filter(k < 5), k < 2), run("last", r.filter(k < 2), k == 0)])
+    return c.select("finding_id", "run", "said", "reused")
+
+
+_sql("c6_composite_run", ("reviews",), """
+SELECT finding_id, CASE WHEN k = 1 THEN 'last' WHEN k < 5 THEN 'supplement' ELSE 'base' END AS run, CASE WHEN k = 1 THEN 'last' WHEN k < 5 THEN 'supplement' ELSE 'base' END AS said, k <> 1 AS reused
+FROM (SELECT *, doc % 10 AS k FROM reviews) WHERE k > 0""")
+
+
 @_query
 def p19_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cases that no success covers yet."""
