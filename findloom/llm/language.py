@@ -100,13 +100,17 @@ class Transitions:
 
     def count(self, s: np.ndarray) -> int:
         """The phrases of one text, symbol by symbol."""
+        if self.table is not None:
+            to_of = self.table.item
+        else:
+            known = dict(zip(self.keys.tolist(), self.to.tolist(), strict=True))
+            to_of = lambda key: known.get(key, 0)
         phrases, state = 0, 0
-        zero = np.zeros(1, np.int64)
-        for c in s.reshape(-1, 1):
-            to = int(self.step(zero + state, c)[0])
+        for c in s.tolist():
+            to = to_of(state * self.width + c)
             if not to:
                 phrases += state != 0
-                to = int(self.step(zero, c)[0])
+                to = to_of(c)
                 phrases += to == 0
             state = to
         return phrases + (state != 0)
@@ -162,6 +166,7 @@ class Model:
         flat = np.concatenate(parsed) if parsed else np.zeros(0, np.int64)
         active = np.searchsorted(-length, -np.arange(1, LANE + 1), side="right")
         offsets = np.cumsum(size) - size
+        final = start + length == (offsets + size)[owner]  # lanes that end with their text
         counts = np.zeros((len(texts), len(self.languages)), np.int64)
         lacking = np.zeros_like(counts)
         for j, automaton in enumerate(self.automata):
@@ -185,17 +190,18 @@ class Model:
             begins[offsets[1:]] = True  # a text's end marks its neighbour's first symbol, which begins a phrase anyway
             total = _by_text(begins[:-1], offsets, size)
             lacking[:, j] = _by_text(s == 0, offsets, size)
-            apart = self._mend(automaton, s, begins, state[before], start[later], length[later], owner[later], total)
+            apart = self._mend(automaton, s, begins, state[before], start[later], length[later], owner[later], final[later], total)
             for i in apart:
                 total[i] = automaton.count(s[offsets[i] : offsets[i] + size[i]])
             counts[:, j] = total
         return counts, lacking, size
 
     @staticmethod
-    def _mend(automaton: Transitions, s: np.ndarray, begins: np.ndarray, state: np.ndarray, start: np.ndarray, length: np.ndarray, owner: np.ndarray, total: np.ndarray) -> list[int]:
+    def _mend(automaton: Transitions, s: np.ndarray, begins: np.ndarray, state: np.ndarray, start: np.ndarray, length: np.ndarray, owner: np.ndarray, final: np.ndarray, total: np.ndarray) -> list[int]:
         """Follow the phrases that go over the lanes' borders, and put ``total`` right.
 
-        Returns the texts with a lane in which the two parsings do not meet.
+        Returns the texts with a lane, but for their last, in which the two
+        parsings do not meet.
         """
         on = np.flatnonzero(state != 0)
         state = state[on]
@@ -204,7 +210,7 @@ class Model:
         for k in range(LANE):
             over = length[on] <= k
             if over.any():
-                apart.update(owner[on[over]].tolist())
+                apart.update(owner[on[over & ~final[on]]].tolist())
                 on, state = on[~over], state[~over]
             if not len(on):
                 break
@@ -217,7 +223,7 @@ class Model:
             change[on] += fresh.astype(np.int64) - told
             to[to == 0] = automaton.step(np.zeros(int((to == 0).sum()), np.int64), c[to == 0])
             on, state = on[~met], to[~met]
-        apart.update(owner[on].tolist())
+        apart.update(owner[on[~final[on]]].tolist())
         np.add.at(total, owner, change)
         return sorted(apart)
 
