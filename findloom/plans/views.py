@@ -136,6 +136,9 @@ def flat(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view's plain columns."""
     table, columns = VIEWS[name]
     rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:
+        rows = rows.repartition(min(cores, 64))  # a small table of one row group would keep one core busy
     return rows.selectExpr(*[f"{_dialect(x, 'sha2({}, 256)')} AS {c}" for c, x in columns.items()])
 
 
