@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -74,3 +75,8 @@ def materialize(df: DataFrame, name: str, files: int | None = None) -> DataFrame
 def crc_bucket(key, parts: int):
     """crc32 of the key as text, modulo ``parts``."""
     return F.pmod(F.crc32(key.cast("string")), F.lit(parts))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once."""
+    return F.transform(F.array(value), body)[0]

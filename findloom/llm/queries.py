@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html, language, media, packing, quality, simhash, substring, urls, warc
+from . import decontamination, fim, html, language, media, packing, quality, secrets, simhash, substring, trie, urls, warc
 from .common import materialize, release, table, written
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -77,6 +77,32 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the trie of all conversations, each begun with another's turns.
+
+    Conversation c is rebuilt from the first h turns of conversation c - c % 5
+    and its own turns after its first h: see ``trie.spliced``. A node is each
+    distinct sequence of first d turns, ``depth`` d from the root's 0 on;
+    ``conv_id`` is its smallest member, ``parent_conv_id`` its parent's,
+    ``saved_tokens`` the bytes of its subtree's turns that other members repeat,
+    ``ends_sha256`` tells the members that end there. Null roles and texts are
+    empty; turns of one number are in order of their digests; rows without a
+    conv_id are left out. No conversations, no nodes.
+    """
+    return trie.prefix_trie(*trie.spliced(trie.ordered_turns(table(spark, sf_dir, "conversations"))))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text cut by characters and put in another order: see ``fim.transform``. Null and empty texts are plain."""
+    return fim.report(table(spark, sf_dir, "documents"))
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets of every document: see ``secrets.scan``. Null and empty texts have none."""
+    docs = table(spark, sf_dir, "documents")
+    return secrets.report(docs, secrets.train(secrets.samples(docs)))
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the quality model rejects. Null and empty texts are judged as texts of no words."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
@@ -139,6 +165,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_quality,
         op9_html,
         op10_packing,
+        op11_prefix_trie,
+        op12_fill_in_middle,
+        op13_secrets,
     )
     return {f.__name__: f for f in own}
 
@@ -207,5 +236,70 @@ FROM f
 """
 
 
+#: The unsigned crc32 of a decimal number.
+_CRC_SQL = """(4294967295 - list_reduce(
+    list_prepend(4294967295, list_transform(string_split(CAST({} AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda a, c: xor(a >> 8, list_reduce([xor(a, c) & 255, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, b: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))
+  ))"""
+
+_OP11_SQL = f"""
+WITH own AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS d
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+convs AS (SELECT conv_id, {_CRC_SQL.format("conv_id")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM own)),
+head AS (SELECT c.conv_id, o.d, o.role, o.text FROM convs c JOIN own o ON o.conv_id = c.conv_id - c.conv_id % 5 AND o.d <= c.h),
+heads AS (SELECT conv_id, count(*) AS m FROM head GROUP BY conv_id),
+turns AS (
+  SELECT conv_id, d, sha256(strlen(role) || ':' || role || text) AS k, strlen(text) AS bytes FROM (
+    SELECT * FROM head
+    UNION ALL
+    SELECT conv_id, o.d - c.h + coalesce(m, 0), role, text FROM own o JOIN convs c USING (conv_id) LEFT JOIN heads USING (conv_id) WHERE o.d > c.h
+  )
+),
+lengths AS (SELECT conv_id, coalesce(max(d), 0) AS n FROM convs LEFT JOIN turns USING (conv_id) GROUP BY conv_id),
+prefixes AS (
+  SELECT conv_id, d, sha256(string_agg(k, ',') OVER (PARTITION BY conv_id ORDER BY d)) AS p, bytes FROM turns
+  UNION ALL SELECT conv_id, 0, '', 0 FROM convs
+),
+nodes AS (
+  SELECT d, p, min(conv_id) AS node, count(*) AS n_convs, any_value(bytes) AS bytes,
+    string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d) AS ends
+  FROM prefixes JOIN lengths USING (conv_id) GROUP BY d, p
+),
+places AS (SELECT x.conv_id, x.d, n.node FROM prefixes x JOIN nodes n USING (d, p)),
+tree AS (SELECT n.*, a.node AS parent FROM nodes n LEFT JOIN places a ON a.conv_id = n.node AND a.d = n.d - 1),
+children AS (SELECT parent AS node, d - 1 AS d, count(*) AS n_children FROM tree WHERE parent IS NOT NULL GROUP BY ALL),
+below AS (
+  SELECT a.node, a.d, sum((t.n_convs - 1) * t.bytes) AS saved, count(*) FILTER (c.node IS NULL) AS n_leaves
+  FROM tree t LEFT JOIN children c ON c.node = t.node AND c.d = t.d JOIN places a ON a.conv_id = t.node AND a.d <= t.d GROUP BY a.node, a.d
+)
+SELECT t.node AS conv_id, CAST(t.d AS BIGINT) AS depth, t.parent AS parent_conv_id, CAST(n_convs AS BIGINT) AS n_convs,
+  CAST(coalesce(n_children, 0) AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens,
+  sha256(coalesce(ends, '')) AS ends_sha256
+FROM tree t LEFT JOIN children c ON c.node = t.node AND c.d = t.d JOIN below b ON b.node = t.node AND b.d = t.d
+"""
+
+_OP12_SQL = """
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+drawn AS (
+  SELECT doc_id, t, length(t) AS n, CAST('0x' || x[1:8] AS BIGINT) AS h1, CAST('0x' || x[9:16] AS BIGINT) AS h2,
+    CAST('0x' || x[17:24] AS BIGINT) AS h3, CAST('0x' || x[25:32] AS BIGINT) AS h4
+  FROM docs
+),
+cut AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn
+),
+parts AS (SELECT *, t[1:a] AS pre, t[a + 1:b] AS mid, t[b + 1:n] AS suf FROM cut)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE t END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM parts
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": _OP1_SQL, "op5_decontamination": _OP5_SQL, "op7_substring": _OP7_SQL}
+    return {"op1_warc": _OP1_SQL, "op5_decontamination": _OP5_SQL, "op7_substring": _OP7_SQL, "op11_prefix_trie": _OP11_SQL, "op12_fill_in_middle": _OP12_SQL}
