@@ -31,7 +31,9 @@ def digest32(payload: Column) -> Column:
 
 
 def revisits(pages: DataFrame, id_col: str, payload_col: str, min_bytes: int = 0) -> DataFrame:
-    """Rows (id, refers_to): pages whose payload a page of smaller id has too.
+    """Rows (id, sha, n, refers_to): pages whose payload a page of smaller id has too.
+
+    One id may have several payloads, each with a row of its own.
 
     Payloads are compared by SHA-1 and length, which alone are shuffled. One
     payload may hold a third of the rows: the counts are combined before the
@@ -42,7 +44,7 @@ def revisits(pages: DataFrame, id_col: str, payload_col: str, min_bytes: int = 0
         F.col(id_col).alias("id"), F.unhex(F.sha1(payload_col)).alias("sha"), F.length(payload_col).alias("n")
     )
     first = materialize(keys.groupBy("sha", "n").agg(F.min("id").alias("refers_to"), F.count("*").alias("rows")).filter("rows > 1").drop("rows"), "first")
-    return materialize(keys.join(first, ["sha", "n"]).filter("id > refers_to").select("id", "refers_to").distinct(), "revisits")
+    return materialize(keys.join(first, ["sha", "n"]).filter("id > refers_to").select("id", "sha", "n", "refers_to").distinct(), "revisits")
 
 
 def _line(value: str) -> bytes:
@@ -159,7 +161,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         if parts:
             yield pa.RecordBatch.from_arrays([pa.array([b"\r\n\r\n".join(parts)], pa.binary())], ["value"])
 
-    joined = rows.join(seen.hint("shuffle_hash"), "id", "left")
+    told = rows.withColumn("sha", F.unhex(F.sha1("payload"))).withColumn("n", F.length("payload"))
+    joined = told.join(seen.hint("shuffle_hash"), ["id", "sha", "n"], "left")
     archives = joined.select("id", "url", "payload", digest32(F.col("payload")).alias("digest"), "refers_to").mapInArrow(run, "value binary")
     (
         archives.select(F.col("value").cast("string"))

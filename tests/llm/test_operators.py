@@ -1,5 +1,6 @@
 """The operators against brute-force versions, round trips and held-out accuracy."""
 
+import base64
 import hashlib
 import math
 import random
@@ -357,6 +358,19 @@ def test_warc_of_repeated_ids_and_a_missing_response(spark, tmp_path, monkeypatc
     assert lone["payload_bytes"] is None and lone["error"] == "revisit: its response is missing"
 
 
+def test_warc_of_ids_with_several_payloads(spark):
+    """Each payload of an id is told by itself: a response here, a revisit there."""
+    rows = [(1, "a"), (2, "a"), (2, "b"), (3, "b"), (4, "a"), (4, "b"), (4, "c"), (4, "c"), (5, "c" * 9000), (5, "d" * 9000), (6, "d" * 9000)]
+    pages = spark.createDataFrame([(i, "http://h/", b) for i, b in rows], "page_id long, url string, html string")
+    sha = {b: base64.b32encode(hashlib.sha1(b.encode()).digest()).decode() for _, b in rows}
+    want = []
+    for i, b in rows:
+        least = min(k for k, c in rows if c == b)
+        want.append((i, len(b), sha[b], "response" if i == least else "revisit", None if i == least else least, None))
+    got = warc.round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_warc_damage():
     parts = [(2, b"cd"), (1, b"ab"), (3, b"e")]
     assert warc.reassemble(parts, [5]) == (b"abcde", None)
