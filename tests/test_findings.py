@@ -161,6 +161,64 @@ def test_evidence_against_source(spark):
     assert sorted(r["position"] for r in reviews.evidence_errors(cited, ls).collect()) == [2, 3]
 
 
+def groups_of(spark, rows):
+    """Groups of (line, end, start_col, end_col, scanner, rule, cwes), all in one file unless a file is given."""
+    side = lambda cwes, n: [Row(cwes=cwes, categories=[], snippet_hash=None, evidence=None)]
+    made = []
+    for n, (line, end, lo, hi, scanner, rule, cwes, *file) in enumerate(rows):
+        k = Row(repo_n="r", commit_n="c", path_n=file[0] if file else "f", start_line=line, end_line=end, start_col=-1 if lo is None else lo, end_col=-1 if hi is None else hi,
+                scanner_n=scanner, version_n="", rule_n=rule, finding_id=f"{n:06d}", ref="")
+        made.append((f"g{n:06d}", k, "r", "c", k.path_n, scanner, rule, line, end, lo, hi, side(cwes, n)))
+    key = "struct<repo_n:string,commit_n:string,path_n:string,start_line:int,end_line:int,start_col:int,end_col:int,scanner_n:string,version_n:string,rule_n:string,finding_id:string,ref:string>"
+    return spark.createDataFrame(made, f"group_key string, k {key}, repo_n string, commit_n string, path_n string, scanner_n string, rule_n string, start_line int, end_line int, start_col int, end_col int, "
+                                 "sides array<struct<cwes:array<string>,categories:array<string>,snippet_hash:string,evidence:string>>")
+
+
+def slow_pairs(rows, tolerance):
+    found = []
+    key = lambda n: (rows[n][7:], rows[n][0], rows[n][1], *(-1 if c is None else c for c in rows[n][2:4]), rows[n][4], rows[n][5], n)
+    for a in range(len(rows)):
+        for b in range(len(rows)):
+            (la, ea, sa, ca, xa, ra, wa, *fa), (lb, eb, sb, cb, xb, rb, wb, *fb) = rows[a], rows[b]
+            if key(a) >= key(b) or fa != fb or xa == xb or max(0, lb - ea, la - eb) > tolerance or (wa and wb and not set(wa) & set(wb)) or not (ra == rb != "" or set(wa) & set(wb)):
+                continue
+            if la == ea == lb == eb and None not in (sa, ca, sb, cb) and (ca < sb or cb < sa):
+                continue
+            found.append((key(a), key(b), f"g{a:06d}", f"g{b:06d}"))
+    return [p[2:] for p in sorted(found)]
+
+
+def random_groups(seed, n, lines, scanners="xyz", rules=3, cwes=3):
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(n):
+        line = rng.randint(1, lines)
+        lo = rng.choice([None, rng.randint(1, 60)])
+        rows.append((line, line + rng.choice([0, 0, 0, 1, 4, 40]), lo, None if lo is None or rng.random() < 0.1 else lo + rng.choice([0, 5, 300, -3]), rng.choice(scanners), rng.choice(["", *"rstuvw"[:rules]]),
+                     rng.choice([[], [f"CWE-{rng.randint(1, cwes)}"]]), rng.choice("fg")))
+    return rows
+
+
+@pytest.mark.parametrize(("seed", "tolerance"), [(1, 5), (2, 0), (3, 2)])
+def test_pairs_and_clusters_by_strips_are_those_of_one_pass(spark, monkeypatch, seed, tolerance):
+    """Pairs against all pairs; clusters of strips of a few pairs against one merging in order, with three scanners."""
+    rows = random_groups(seed, 220, 150)
+    groups, want = groups_of(spark, rows), slow_pairs(rows, tolerance)
+    assert sorted((r.a, r.b) for r in dedup.cross_tool_pairs(groups, tolerance).collect()) == sorted(want)
+    whole = dedup._merge(want)
+    assert len(set(whole.values())) < len(whole)
+    for most in (100_000, 7):
+        monkeypatch.setattr(dedup, "MOST_PAIRS", most)
+        assert {r.group_key: r.cluster for r in dedup.clusters_of_groups(groups, tolerance).collect()} == whole
+
+
+def test_strips_wait_for_what_comes_before():
+    """A name whose pairs are not all known blocks what comes after it, and nothing else."""
+    pairs = [("a", "b"), ("b", "c"), ("d", "e"), ("c", "d")]
+    assert dedup._merge(pairs, frozenset("a")) == {"a": "a", "b": "b", "c": "c", "d": "d", "e": "d"}
+    assert dedup._merge(pairs, frozenset("e"))["a"] == dedup._merge(pairs)["b"] == "a"
+
+
 def test_splits(spark):
     feature = lambda repo, rule: Row(repository=repo, rule_id=rule, cwes=["CWE-1"], language="go", has_dataflow=False)
     rows = []
