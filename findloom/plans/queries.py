@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import families, lines
+from ..functions import families, json_schema, lines
 from ..functions import text as T
 from ..functions.canonical import canonical_json, case_key, digits_mod3, finding_id, stable_hash, to_json
 from ..operators import audit, dataset, dedup, findings, gates, ledger, matching, metrics, packages, reviews, rules, sampling, usage
@@ -377,18 +377,79 @@ _sql("x34_x35_urls_paths", ("findings",), """
 SELECT ref, replace(substr(repo, 20), '/', '__') AS slug, start_line % 5 NOT IN (0, 1) AS safe, CASE WHEN start_line % 5 = 1 THEN 'typescript' ELSE 'python' END AS language FROM findings""")
 
 
+#: Ends of texts with advisory ids and credentials of several shapes.
+_SECRET_ENDS = [
+    " and ENTRY-00012; Authorization: Bearer abc.def", " token={abcdefgh cookie: a{bcdefghij", " refresh-token = \"abcdefg, continuation_data:'12345' continuation=1234567}",
+    " x eyJabcdefgh.ijklmnop_q.rstuvwxyz-0 eyJshort.ijklmnop.rstuvwxy", " BEARER  a~b+c/d== my_access_token_x=12345678;Cookie=abc", " opaque " + "Ab9_" * 24 + " and " + "Ab9_" * 23,
+]
+
+
 @_query
 def x36_x37_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts without advisory ids, entry names and credentials."""
+    """Whole texts, with credentials put at their ends, without advisory ids, entry names and credentials."""
     d = _table(spark, sf_dir, "documents")
-    tail = F.concat(F.lit(" see CVE-2024-"), F.lpad((F.col("doc_id") % 10000).cast("string"), 5, "0"), F.lit(" and ENTRY-00012; Authorization: Bearer abc.def"))
-    text = F.concat(F.left(F.regexp_replace("text", "[^a-z ]", ""), F.lit(60)), tail)
+    ends = F.get(F.array(*map(F.lit, _SECRET_ENDS)), (F.col("doc_id") % len(_SECRET_ENDS)).cast("int"))
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit(" see CVE-2024-"), F.lpad((F.col("doc_id") % 10000).cast("string"), 5, "0"), ends)
     return d.select("doc_id", T.redact_ids(text).alias("ids"), T.redact_secrets(text).alias("secrets"))
 
 
-_sql("x36_x37_redaction", (), """
-SELECT doc_id, b || ' see [REDACTED] and [REDACTED]; Authorization: Bearer abc.def' AS ids, b || ' see CVE-2024-' || lpad('' || (doc_id % 10000), 5, '0') || ' and ENTRY-00012; Authorization: [REDACTED]' AS secrets
-FROM (SELECT doc_id, left(regexp_replace(text, '[^a-z ]', '', 'g'), 60) AS b FROM documents)""")
+_ENDS_SQL = ", ".join("'" + end.replace("'", "''") + "'" for end in _SECRET_ENDS)
+_sql("x36_x37_redaction", (), rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') || ' see CVE-2024-' || lpad('' || (doc_id % 10000), 5, '0') || ([{_ENDS_SQL}])[1 + doc_id % {len(_SECRET_ENDS)}] AS t FROM documents)
+SELECT doc_id,
+  regexp_replace(regexp_replace(t, '(?i)\b(CVE-[0-9]{{4}}-[0-9]{{4,}}|GHSA(-[23456789CFGHJMPQRVWX]{{4}}){{3}})\b', '[REDACTED]', 'g'), '(?i)\bentry-[0-9]{{5}}\b', '[REDACTED]', 'g') AS ids,
+  right(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?i)\bbearer\s+[a-z0-9._~+/=-]+', '[REDACTED]', 'g'),
+    '\beyJ[a-zA-Z0-9_-]{{8,}}\.[a-zA-Z0-9_-]{{8,}}\.[a-zA-Z0-9_-]{{8,}}\b', '[REDACTED]', 'g'),
+    '(?i)((access[_-]?token|refresh[_-]?token|token|authorization|cookie|continuation([_-]?(token|data))?)\s*["'']?\s*[:=]\s*["'']?)[^\s"'',;}}{{]{{6,}}', '\1[REDACTED]', 'g'),
+    '\b[A-Za-z0-9+/=_-]{{96,}}\b', '[REDACTED]', 'g'), 4000) AS secrets
+FROM t""")
+
+
+#: A schema with every keyword that records of reviews use, over orders as JSON.
+_ORDER_SCHEMA = {
+    "type": "object",
+    "additionalProperties": False,
+    "required": ["key", "status", "lines", "at"],
+    "properties": {
+        "key": {"type": "integer", "minimum": 1},
+        "status": {"enum": ["O", "F", "P"]},
+        "version": {"const": 1},
+        "at": {"type": "string", "format": "date-time"},
+        "clerk": {"type": ["string", "null"], "minLength": 3, "maxLength": 15, "pattern": "^Clerk#"},
+        "lines": {"type": "array", "minItems": 1, "maxItems": 3, "uniqueItems": True, "items": {"$ref": "#/$defs/line"}},
+        "total": {"anyOf": [{"type": "number", "maximum": 10_000_000}, {"type": "null"}]},
+    },
+    "allOf": [{"if": {"properties": {"status": {"const": "P"}}, "required": ["status"]}, "then": {"required": ["clerk"]}}],
+    "$defs": {"line": {"oneOf": [{"type": "integer", "minimum": 1}, {"type": "string", "pattern": "^[1-9][0-9]*-[1-9][0-9]*$"}]}},
+}
+
+
+@_query
+def v23_schema_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as JSON, most of them broken in one way, held against a schema."""
+    o, k = _table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    way = k % 19
+    piece = lambda name, broken, sound: F.when(way == name, broken).otherwise(sound)
+    members = [
+        F.concat(F.lit('"key":'), F.when(way == 0, F.lit("0")).when(way == 1, F.concat(k, F.lit(".5"))).when(way == 2, F.concat(k, F.lit(".0"))).otherwise(k.cast("string"))),
+        F.concat(F.lit('"status":"'), F.when(way == 3, F.lit("X")).when(way == 4, F.lit("P")).otherwise(F.lit("O")), F.lit('"')),
+        F.concat(F.lit('"version":'), piece(5, F.lit("true"), F.lit("1"))),
+        F.when(way != 6, F.concat(F.lit('"at":"2024-02-'), piece(7, F.lit("30"), F.lit("28")), F.lit('T10:00:00Z"'))),
+        F.when(way != 4, F.concat(F.lit('"clerk":'), F.when(way == 8, F.lit('"C"')).when(way == 9, F.lit("null")).when(way == 10, F.lit('"Clerk#\\u00e9\\u00e9-0123456789"')).otherwise(F.lit('"Clerk#01"')))),
+        F.concat(F.lit('"lines":'), F.when(way == 11, F.lit("[]")).when(way == 12, F.lit('[1,2,"3-4",5]')).when(way == 13, F.lit('[1,"2-2",1]')).when(way == 14, F.lit('["0-1",2,0]')).otherwise(F.lit('[7,"1-2"]'))),
+        F.concat(F.lit('"total":'), F.when(way == 15, F.lit("1e9")).when(way == 16, F.lit('"1"')).otherwise(F.lit("null"))),
+        F.when(way == 17, F.lit('"odd \\"name":1')),
+    ]
+    text = F.concat(F.lit("{"), F.concat_ws(",", *members), piece(18, F.lit(""), F.lit("}")))
+    found = o.select("o_orderkey", F.explode(json_schema.violations(text, _ORDER_SCHEMA)).alias("x"))
+    return found.select("o_orderkey", "x.path", "x.keyword")
+
+
+_sql("v23_schema_violations", (), """
+WITH expected(way, path, keyword) AS (VALUES (0, '$.key', 'minimum'), (1, '$.key', 'type'), (3, '$.status', 'enum'), (4, '$.clerk', 'required'), (5, '$.version', 'const'), (6, '$.at', 'required'), (7, '$.at', 'format'),
+  (8, '$.clerk', 'minLength'), (8, '$.clerk', 'pattern'), (10, '$.clerk', 'maxLength'), (11, '$.lines', 'minItems'), (12, '$.lines', 'maxItems'), (13, '$.lines', 'uniqueItems'),
+  (14, '$.lines[0]', 'oneOf'), (14, '$.lines[2]', 'oneOf'), (15, '$.total', 'anyOf'), (16, '$.total', 'anyOf'), (17, '$.odd "name', 'additionalProperties'), (18, '$', 'json'))
+SELECT o_orderkey, path, keyword FROM orders JOIN expected ON way = o_orderkey % 19""")
 
 
 @_query
