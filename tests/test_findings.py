@@ -277,6 +277,27 @@ def test_positives_look_further_where_their_best_are_taken(spark, monkeypatch):
     assert {r["finding_id"] for r in got if r["class"] == "MACHINE_FALSE_POSITIVE"} == want and len(got) == 18
 
 
+@pytest.mark.parametrize("alike", [False, True])
+def test_rounds_end_where_turns_end(spark, monkeypatch, alike):
+    """Of random candidates, and of ones that all positives rank alike."""
+    rng = random.Random(5)
+    rows, want = [], set()
+    for split in ("train", "test"):
+        taken = set()
+        shared = rng.sample(range(40), 12)
+        for p in sorted(f"p{rng.randrange(10**6):06d}" for _ in range(25 if alike else 60)):
+            likes = shared if alike else rng.sample(range(70), rng.randint(0, 12))
+            rows += [(split, p, f"{split}{n:02d}", rank) for rank, n in enumerate(likes)]  # no finding is in two splits
+            free = [n for n in likes if n not in taken]
+            if free:
+                taken.add(free[0])
+                want.add((split, p, f"{split}{free[0]:02d}"))
+    near = spark.createDataFrame(rows, "split string, positive string, negative string, rank int")
+    for most in (10**6, 0):
+        monkeypatch.setattr(dataset, "MOST_TURNS", most)
+        assert set(map(tuple, dataset._chosen(near).collect())) == want
+
+
 def test_gates(spark):
     schema = (
         "finding_id string, schema_version int, label string, reasoning string, evidence array<string>, reviewer struct<id:string,kind:string>, "
