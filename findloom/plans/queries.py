@@ -1289,14 +1289,38 @@ _sql("v10_leaks", ("findings",), """
 SELECT CASE WHEN start_line % 9 = 0 THEN 'ADVISORY_ID' ELSE 'ENTRY_ID' END AS rule_id, ref AS key, '$.message' AS detail FROM findings WHERE start_line % 9 < 2""")
 
 
-@_query
-def v10_json_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Forbidden keys and unknown keys in JSON."""
-    e = _table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 6 == 0, '{"k": {"Gold-Label": 1}}').otherwise(F.col("props")).alias("props"))
-    return gates.json_leaks(e, "props", "event_id").unionByName(gates.unknown_keys(e, "props", "event_id", ["a"]))
+#: JSON that leaks in several ways, by event_id % 11; the others are events' own. No two ways share a key.
+_LEAKING_JSON = {
+    0: '{"k": {"Gold-Label": 1}}',
+    1: '{"a": [{"Gold\\u002dLabel": {"see": "x CVE-2024-12345"}}]}',  # an escaped key
+    2: '{"note": "\\"goldlabel\\": 1"}',  # a key's text inside a value leaks nothing
+    3: '{"a": {"b": ["ok", "see entry-00012 there"]}}',
+    4: "goldlabel: 1",
+    5: '{"long": "' + "x" * 70 + '"}',
+    6: "[" * 7 + "1" + "]" * 7,
+    7: "[" + ",".join(["0"] * 30) + "]",
+    8: None,
+}
 
 
-_sql("v10_json_leaks", (), "SELECT 'FORBIDDEN_KEY' AS rule_id, event_id AS key, 'goldlabel' AS detail FROM events WHERE event_id % 6 = 0 UNION ALL SELECT 'UNKNOWN_KEY', event_id, 'k' FROM events")
+@_query
+def v10_json_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forbidden keys, ids and values past the limits in JSON of any shape, and keys that are not allowed."""
+    way = F.col("event_id") % 11
+    text = F.col("props")
+    for number, leaking in _LEAKING_JSON.items():
+        text = F.when(way == number, F.lit(leaking)).otherwise(text)
+    e = _table(spark, sf_dir, "events").select("event_id", text.alias("props"))
+    found = gates.json_leaks(e, "props", "event_id", max_depth=6, max_values=25, max_chars=64)
+    return found.unionByName(gates.unknown_keys(e, "props", "event_id", ["a"]))
+
+
+_sql("v10_json_leaks", (), """
+WITH leaks(way, rule_id, detail) AS (VALUES (0, 'FORBIDDEN_KEY', '$.k.Gold-Label'), (1, 'FORBIDDEN_KEY', '$.a[0].Gold-Label'), (1, 'ADVISORY_ID', '$.a[0].Gold-Label.see'), (3, 'ENTRY_ID', '$.a.b[1]'),
+  (4, 'NOT_JSON', '$'), (5, 'TOO_LONG', '$.long'), (6, 'TOO_DEEP', '$[0][0][0][0][0][0][0]'), (7, 'TOO_MANY_VALUES', '$'), (8, 'NOT_JSON', '$'),
+  (0, 'UNKNOWN_KEY', 'k'), (2, 'UNKNOWN_KEY', 'note'), (5, 'UNKNOWN_KEY', 'long'))
+SELECT rule_id, event_id AS key, detail FROM events JOIN leaks ON way = event_id % 11
+UNION ALL SELECT 'UNKNOWN_KEY', event_id, 'k' FROM events WHERE event_id % 11 > 8""")
 
 
 @_query
