@@ -150,17 +150,6 @@ def with_second_report(findings: DataFrame, other: DataFrame) -> DataFrame:
     )
 
 
-def with_snippets(findings: DataFrame, lines: DataFrame) -> DataFrame:
-    """Findings without a snippet get the lines that they span from (repo_url, commit, file, n, text)."""
-    columns, place = findings.columns, ["repo_url", "commit", "place"]
-    rows = findings.withColumn("place", F.struct("location.file", "location.start_line", "location.end_line"))
-    wanted = rows.filter("snippet is null").select(*place).distinct()
-    each = wanted.select(*place, F.col("place.file").alias("file"), F.explode(F.sequence("place.start_line", "place.end_line")).alias("n"))
-    read = each.join(lines, ["repo_url", "commit", "file", "n"]).groupBy(*place).agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("ls"))
-    read = read.select(*place, F.array_join(F.transform("ls", lambda x: x["text"]), "\n").alias("found"))
-    return rows.join(read, place, "left").withColumn("snippet", F.coalesce("snippet", T.usable_snippet(F.col("found")))).select(*columns)
-
-
 def latest_by(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Of each key the row that comes last by ``order``."""
     w = W.partitionBy(*keys).orderBy(F.col(order).desc())

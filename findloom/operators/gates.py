@@ -194,6 +194,40 @@ def predictions(rows: DataFrame, blind: DataFrame) -> DataFrame:
     return together(broken(rows, tests, "finding_id", c("verdict")), repeated(rows, "finding_id"), different_ids(rows, blind, names=("EXTRA_PREDICTION", "MISSING_PREDICTION")))
 
 
+# The mode in which machine reviewers run, and why their predictions stay out of evaluation.
+DEVELOPMENT, NOT_ELIGIBLE = "DEVELOPMENT", "DEVELOPMENT_OR_PARTIAL_INPUT"
+#: What a prediction has to say in words.
+STATED = ("attacker_capability", "entry_point", "security_effect", "controls", "reasoning")
+
+
+def prediction_core(rows: DataFrame, run: dict[str, str | None], config: dict[str, str]) -> DataFrame:
+    """What keeps machine predictions from being those of a frozen development run.
+
+    ``rows``: finding_id, schema_version, verdict, confidence,
+    evaluation_eligible, exclusion_reason, reason_codes, the texts of
+    ``STATED``, agent(provider, provider_version, model). ``run`` has
+    evaluation_mode, provider, provider_version and model, ``config`` the
+    frozen provider and model. A run at fault is told once, by its field.
+    """
+    c = F.col
+    false = F.coalesce(c("verdict") == VERDICTS[1], F.lit(False))
+    agent = {"provider": config["provider"], "provider_version": run.get("provider_version"), "model": config["model"]}
+    tests = {
+        "SCHEMA_VERSION": ~c("schema_version").eqNullSafe(F.lit(1)),
+        "VERDICT": ~F.coalesce(c("verdict").isin(*VERDICTS), F.lit(False)),
+        "CONFIDENCE": ~F.coalesce(c("confidence").isin(*CONFIDENCES), F.lit(False)),
+        "ELIGIBLE": ~c("evaluation_eligible").eqNullSafe(F.lit(False)) | ~c("exclusion_reason").eqNullSafe(F.lit(NOT_ELIGIBLE)),
+        "REASON_CODES": c("reason_codes").isNull() | ~_own_strings(c("reason_codes")) | ~F.coalesce(F.forall("reason_codes", lambda x: x.isin(*FP_REASONS)), F.lit(True)),
+        "REASONS_AND_VERDICT": false == _empty(c("reason_codes")),
+        **{f"EMPTY_{name.upper()}": _blank(c(name)) for name in STATED},
+        "AGENT": reduce(Column.__or__, [~c(f"agent.{k}").eqNullSafe(F.lit(v)) for k, v in agent.items()]),
+    }
+    wanted = {"evaluation_mode": DEVELOPMENT, "provider": config["provider"], "model": config["model"], "provider_version": run.get("provider_version") or "a version"}
+    faults = [("RUN", k, str(run.get(k))) for k, v in wanted.items() if run.get(k) != v]
+    of_run = rows.sparkSession.createDataFrame(faults, "rule_id string, key string, detail string")
+    return together(broken(rows, tests, "finding_id"), repeated(rows, "finding_id"), of_run)
+
+
 # --- leaks ------------------------------------------------------------------
 
 

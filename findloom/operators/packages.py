@@ -6,6 +6,8 @@ check gives rows (rule_id, key, detail), none of them for a sound package.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from ..functions import text as T
 from ..functions.canonical import json_hash, to_json
 from ..functions.lines import strict_span
 from ..schemas import ABSTAIN, CONFIDENCES, FALSE, FP_REASONS, TRUE
+from ..sources.scratch import written
 from .gates import broken, repeated, together
 from .reviews import MAX_EVIDENCE, blind, citations_outside
 
@@ -54,6 +57,40 @@ def checksum_violations(proofs: DataFrame, files: DataFrame) -> DataFrame:
     return j.select(wrong.alias("rule_id"), F.col("name").alias("key"), F.coalesce("stated", F.lit("")).alias("detail")).filter("rule_id is not null")
 
 
+def proof_chain(pins: DataFrame, files: DataFrame, root: str, max_depth: int = 16) -> DataFrame:
+    """Rows (rule_id, key, detail): files that a chain of proofs no longer bears out.
+
+    ``pins`` are rows (holder, name, sha256): what a proof, manifest or
+    inventory states of other files; ``files`` are rows (name, sha256) as they
+    are now; ``root`` is the proof that is trusted. CHANGED and MISSING files
+    are told with the holder that names them. What a broken file states is
+    UNPROVEN, told with the first broken link above it, and ADDED is what no
+    pin reaches. Chains are followed link by link, a join each; one that is
+    longer than ``max_depth`` is an error, as one that comes back to itself is.
+    """
+    found, level = [], pins.filter(F.col("holder") == root).withColumn("above", F.lit(None).cast("string"))
+    for _ in range(max_depth):
+        at = level.select("holder", "name", F.lower("sha256").alias("stated"), "above").join(files.select("name", F.lower("sha256").alias("now")), "name", "left")
+        own = F.when(F.col("now").isNull(), "MISSING").when(F.col("stated").isNull() | (F.col("stated") != F.col("now")), "CHANGED")
+        at = written(at.select("holder", "name", "above", own.alias("own")), "links")
+        if at.isEmpty():
+            break
+        found.append(at)
+        broken_at = F.coalesce("above", F.when(F.col("own").isNotNull(), F.col("name")))
+        level = pins.join(at.select(F.col("name").alias("holder"), broken_at.alias("above")).distinct(), "holder").select("holder", "name", "sha256", "above")
+    else:
+        raise ValueError(f"a chain of proofs is longer than {max_depth}")
+    none = pins.sparkSession.createDataFrame([], "holder string, name string, above string, own string")
+    seen = reduce(DataFrame.unionByName, found, none)
+    rule = F.when(F.col("above").isNotNull(), "UNPROVEN").otherwise(F.col("own"))
+    added = files.join(seen.select("name"), "name", "left_anti").filter(F.col("name") != root)
+    return together(
+        _told(seen.withColumn("rule", rule).filter("rule = 'UNPROVEN'"), "UNPROVEN", F.col("name"), F.col("above")),
+        *[_told(seen.withColumn("rule", rule).filter(F.col("rule") == r), r, F.col("name"), F.col("holder")) for r in ("CHANGED", "MISSING")],
+        _told(added, "ADDED", F.col("name")),
+    )
+
+
 def sample_violations(manifest: DataFrame, files: DataFrame, findings: DataFrame, index: DataFrame) -> DataFrame:
     """What is wrong with a sample package: files against the manifest's
     checksums, findings against the index in ids and order, and their number.

@@ -1334,6 +1334,123 @@ SELECT 'MISSING_PREDICTION' AS rule_id, finding_id AS key, '' AS detail FROM gol
 UNION ALL SELECT 'MISSING_LABEL', finding_id, '' FROM reviews WHERE doc % 11 <> 0 AND finding_id NOT IN (SELECT finding_id FROM gold)""")
 
 
+@_query
+def v14_prediction_core(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Machine predictions that break the contract of a development run, one in each way, of a run in another mode."""
+    r = V.reviewer(spark, sf_dir).join(V.flat(spark, sf_dir, "reviews").select("finding_id", "doc"), "finding_id")
+    k = F.col("doc") % 23
+    put = lambda way, broken, sound: F.when(k == way, broken).otherwise(sound)
+    one, two = F.array(F.lit("CONSTANT_VALUE")), F.array(F.lit("CONSTANT_VALUE"), F.lit("CONSTANT_VALUE"))
+    false = F.col("verdict") == "FALSE_POSITIVE"
+    codes = F.when(false & (k == 3), two).when(false & (k == 4), F.array(F.lit("NO_REASON"))).when(false == (k != 5), one).otherwise(F.array().cast("array<string>"))
+    agent = F.struct(F.lit("p").alias("provider"), put(6, F.lit("2"), F.lit("1")).alias("provider_version"), F.lit("m").alias("model"))
+    rows = r.select(
+        "finding_id", put(0, F.lit(2), F.lit(1)).alias("schema_version"), "verdict", put(1, F.lit("SURE"), F.lit("HIGH")).alias("confidence"), (k == 2).alias("evaluation_eligible"),
+        put(7, F.lit(None), F.lit(gates.NOT_ELIGIBLE)).alias("exclusion_reason"), codes.alias("reason_codes"), *[put(8 + n, F.lit(" "), F.lit("text")).alias(name) for n, name in enumerate(gates.STATED)], agent.alias("agent"),
+    )
+    run = {"evaluation_mode": "OFFICIAL", "provider": "p", "provider_version": "1", "model": "m"}
+    return gates.prediction_core(rows, run, {"provider": "p", "model": "m"})
+
+
+_sql("v14_prediction_core", ("reviews",), """
+SELECT r AS rule_id, finding_id AS key, '' AS detail FROM reviews JOIN (VALUES (0, 'SCHEMA_VERSION'), (1, 'CONFIDENCE'), (2, 'ELIGIBLE'), (7, 'ELIGIBLE'), (5, 'REASONS_AND_VERDICT'), (6, 'AGENT'),
+  (8, 'EMPTY_ATTACKER_CAPABILITY'), (9, 'EMPTY_ENTRY_POINT'), (10, 'EMPTY_SECURITY_EFFECT'), (11, 'EMPTY_CONTROLS'), (12, 'EMPTY_REASONING')) x(k, r) ON k = doc % 23
+UNION ALL SELECT 'REASON_CODES', finding_id, '' FROM reviews WHERE doc % 23 IN (3, 4) AND verdict = 'FALSE_POSITIVE'
+UNION ALL SELECT 'RUN', 'evaluation_mode', 'OFFICIAL'""")
+
+
+@_query
+def v30_current_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of a run that its chain of proofs no longer bears out: a proof of manifests, which state the files of orders."""
+    o = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
+    name, manifest = F.concat(F.lit("file-"), "k"), F.concat(F.lit("manifest-"), (F.col("k") % 50).cast("string"))
+    sha = lambda c, more="": F.sha2(F.concat(c, F.lit(more)), 256)
+    manifests = o.select(manifest.alias("name")).distinct()
+    pins = o.select(manifest.alias("holder"), name.alias("name"), sha(name).alias("sha256")).unionByName(manifests.select(F.lit("proof").alias("holder"), "name", F.upper(sha(F.col("name"))).alias("sha256")))
+    changed = F.when(F.col("k") % 17 == 0, sha(name, "x")).otherwise(sha(name))
+    files = o.filter("k % 17 <> 1").select(name.alias("name"), changed.alias("sha256")).unionByName(o.filter("k % 17 = 2").select(F.concat(F.lit("extra-"), "k").alias("name"), F.lit("0").alias("sha256")))
+    now = manifests.filter("name <> 'manifest-4'").select("name", F.when(F.col("name") == "manifest-3", "0").otherwise(sha(F.col("name"))).alias("sha256"))
+    return packages.proof_chain(pins, files.unionByName(now), "proof")
+
+
+_sql("v30_current_proofs", (), """
+WITH f AS (SELECT 'file-' || o_orderkey AS name, o_orderkey % 17 AS k, 'manifest-' || (o_orderkey % 50) AS m, o_orderkey FROM orders)
+SELECT CASE WHEN m IN ('manifest-3', 'manifest-4') THEN 'UNPROVEN' WHEN k = 0 THEN 'CHANGED' ELSE 'MISSING' END AS rule_id, name AS key, m AS detail FROM f WHERE m IN ('manifest-3', 'manifest-4') OR k IN (0, 1)
+UNION ALL SELECT 'ADDED', 'extra-' || o_orderkey, '' FROM f WHERE k = 2
+UNION ALL SELECT DISTINCT CASE m WHEN 'manifest-3' THEN 'CHANGED' ELSE 'MISSING' END, m, 'proof' FROM f WHERE m IN ('manifest-3', 'manifest-4')""")
+
+
+@_query
+def v30_row_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with the hash of their canonical JSON, by which later stages pin them."""
+    p = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.upper("p_name").alias("a"), F.when(F.col("p_partkey") % 3 > 0, F.col("p_size")).alias("size"))
+    return reviews.with_row_hash(p).select("key", "row_sha256")
+
+
+_sql("v30_row_hashes", (), """
+SELECT p_partkey AS key, sha256('{"a":"' || upper(p_name) || '","key":' || p_partkey || ',"size":' || CASE WHEN p_partkey % 3 > 0 THEN '' || p_size ELSE 'null' END || '}') AS row_sha256 FROM part""")
+
+
+@_query
+def s4_empty_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inputs without any row, among all languages' documents and one that none has."""
+    d = _table(spark, sf_dir, "documents")
+    kinds = {"any": d, "none": d.filter("lang = 'tlh'"), "long": d.filter("n_chars > 1000000000"), "short": d.filter("n_chars >= 0")}
+    return gates.together(*[gates.empty(rows, name) for name, rows in kinds.items()])
+
+
+_sql("s4_empty_inputs", (), """
+SELECT 'EMPTY' AS rule_id, x AS key, '' AS detail FROM (
+  SELECT 'any' AS x, count(*) AS n FROM documents UNION ALL SELECT 'none', count(*) FROM documents WHERE lang = 'tlh'
+  UNION ALL SELECT 'long', count(*) FROM documents WHERE n_chars > 1000000000 UNION ALL SELECT 'short', count(*) FROM documents WHERE n_chars >= 0) WHERE n = 0""")
+
+
+@_query
+def s7_s8_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON documents over several lines, a file each, some of which hold no object."""
+    s = _table(spark, sf_dir, "supplier")
+    path, k = scratch.folder(spark, "documents"), F.col("s_suppkey")
+    sound = F.concat(F.lit('{\n "k": '), k, F.lit(',\n "name": "'), "s_name", F.lit('"}'))
+    text = F.when(k % 7 == 3, "[1]").when(k % 7 == 4, F.concat(F.lit('{"k": '), k)).when(k % 7 == 5, '{"other": {"k": 1}}').otherwise(sound)
+    s.select(k.alias("file"), text.alias("value")).repartition("file").write.partitionBy("file").text(path)
+    found = jsonl.read_document(spark, f"{path}/*/part-*", "k long, name string")
+    return found.select(F.regexp_extract("source_file", r"/file=(\d+)/", 1).cast("long").alias("file"), "k", "name", F.col(jsonl.CORRUPT).isNotNull().alias("broken"))
+
+
+_sql("s7_s8_documents", (), """
+SELECT CAST(s_suppkey AS BIGINT) AS file, CASE WHEN s_suppkey % 7 NOT IN (3, 4, 5) THEN CAST(s_suppkey AS BIGINT) END AS k, CASE WHEN s_suppkey % 7 NOT IN (3, 4, 5) THEN s_name END AS name, s_suppkey % 7 IN (3, 4) AS broken FROM supplier""")
+
+
+@_query
+def p15_p16_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place and the trace of each match as nodes of file and line."""
+    m = matching.match_candidates(V.findings(spark, sf_dir), V.entries(spark, sf_dir))
+    node = lambda n: F.concat_ws(":", n["file"], n["line"])
+    bare = lambda c: F.regexp_replace(F.translate(c, "\\", "/"), "^[.]/|/(?=/)", "")
+    return m.select("ref", bare(node(F.col("location"))).alias("location"), F.array_join(F.transform("trace_nodes", node), ",").alias("trace"))
+
+
+_sql("p15_p16_nodes", ("findings",), """
+SELECT ref, file || ':' || start_line || CASE WHEN end_line <> start_line THEN '-' || end_line ELSE '' END AS location,
+  CASE WHEN trace_file IS NULL THEN '' ELSE trace_file || ':' || trace_line || CASE WHEN trace_end <> trace_line THEN '-' || trace_end ELSE '' END END AS trace FROM findings""")
+
+
+@_query
+def x51_nested_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All strings of nested arrays in order, without nulls."""
+    p = _table(spark, sf_dir, "part")
+    k = F.col("p_partkey") % 4
+    inner = F.array(F.col("p_name"), F.when(k == 1, F.col("p_brand")))
+    nested = F.when(k != 2, F.array(inner, F.when(k == 3, F.array(F.col("p_type"))))).alias("nested")
+    p = p.select("p_partkey", nested, F.when(k > 0, F.col("p_brand")).alias("plain"))
+    join = lambda c: F.array_join(T.strings_of(c, p.schema[c].dataType), "|").alias(c)
+    return p.select("p_partkey", join("nested"), join("plain"))
+
+
+_sql("x51_nested_strings", (), """
+SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN p_name || '|' || p_brand WHEN 3 THEN p_name || '|' || p_type ELSE '' END AS nested, CASE WHEN p_partkey % 4 > 0 THEN p_brand ELSE '' END AS plain FROM part""")
+
+
 @_query
 def v24_repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Finding ids of more than one observation."""
