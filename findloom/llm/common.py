@@ -80,3 +80,20 @@ def crc_bucket(key, parts: int):
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of ``value``, which is evaluated once."""
     return F.transform(F.array(value), body)[0]
+
+
+def own_key(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """A 64-bit key of each row's id and text, equal for equal rows alone.
+
+    Rows that share a 64-bit hash with a row of another id or text, which a
+    second hash tells, get a key made of both. At 10^10 rows about three hashes
+    are shared; it is they that are gathered, not the rows.
+    """
+    first, second = _hashes(F.col(id_col), F.col(text_col))
+    pairs = docs.select(first.alias("a"), second.alias("b")).groupBy("a").agg(F.min("b").alias("least"), F.max("b").alias("most"))
+    shared = [row[0] for row in pairs.filter("least <> most").select("a").collect()]
+    return F.when(first.isin(shared), F.xxhash64(first, second)).otherwise(first) if shared else first
+
+
+def _hashes(row_id: Column, text: Column) -> tuple[Column, Column]:
+    return F.xxhash64(row_id, text), F.xxhash64(F.lit("second"), text, row_id)

@@ -8,7 +8,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, own_key
 
 WINDOW = 10
 #: The characters that separate words, after A-Z became a-z; in original text A-Z belong to words.
@@ -159,7 +159,7 @@ def report(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
 def _boxed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows (own, t, row_key): the other columns as a struct, so that none of their names can clash."""
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
-    return docs.select(own.alias("own"), F.col(text_col).alias("t"), F.xxhash64(id_col, text_col).alias("row_key"))
+    return docs.select(own.alias("own"), F.col(text_col).alias("t"), own_key(docs, id_col, text_col).alias("row_key"))
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:

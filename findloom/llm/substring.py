@@ -7,10 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, own_key
 from .rolling import Words, buffers
 
 #: Words of a repeat, and words of a seed.
@@ -131,16 +131,16 @@ def _maximal_rows(repeat: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repeat: int = REPEAT, seed: int = SEED) -> DataFrame:
+def repeated_spans(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repeat: int = REPEAT, seed: int = SEED, row_key: Column | None = None
+) -> DataFrame:
     """Rows (row_key, spans): the word ranges that maximal repeats cover in a text.
 
     A repeat is a sequence of ``repeat`` or more words all of whose windows
     start at another place too, in the same document or another one; it is
     maximal, as the windows before and after it start nowhere else. ``spans``
     is an array of (start, stop), stop excluded; texts without a repeat give no
-    row. Documents are told apart by 64 bits of their id and text: of 10^10,
-    about three share them with another, and lose its words too where they have
-    as many.
+    row. Documents are told apart by ``row_key``, by default ``own_key``.
 
     1. Every window of ``repeat`` words selects the winnowed seed it holds; an
        anchor is a seed with the run of windows that select it.
@@ -156,7 +156,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     4. Neighbouring windows that are repeated grow together into maximal repeats.
     """
     # Rows with equal id and text get one key, as they get one result.
-    keyed = docs.select(F.xxhash64(id_col, text_col).alias("row_key"), F.col(text_col).cast("binary").alias("t"))
+    row_key = own_key(docs, id_col, text_col) if row_key is None else row_key
+    keyed = docs.select(row_key.alias("row_key"), F.col(text_col).cast("binary").alias("t"))
     rows = materialize(
         keyed.mapInArrow(_anchor_rows(repeat, seed), "row_key long, first int, count int, anchor long, context long"), "anchors"
     )
@@ -210,8 +211,6 @@ def cut(text: bytes | None, starts, stops) -> tuple[int, int, bytes]:
     """Number of words, number of words inside the ranges, and the others joined by one space."""
     words = (text or b"").split()
     n = len(words)
-    if len(starts) and int(stops.max()) > n:  # another document's, see ``repeated_spans``
-        starts, stops = starts[stops <= n], stops[stops <= n]
     if not len(starts):
         return n, 0, b" ".join(words)
     edge = np.zeros(n + 1, np.int64)
@@ -251,9 +250,10 @@ def _cut_rows(with_text: bool):
 def _joined(docs: DataFrame, id_col: str, text_col: str, repeat: int, seed: int) -> DataFrame:
     """Rows (own, t, spans): the other columns of a document as a struct, its
     text, and its spans or null. No name of ``docs`` can clash."""
-    spans = materialize(repeated_spans(docs, id_col, text_col, repeat, seed), "spans")
+    row_key = own_key(docs, id_col, text_col)
+    spans = materialize(repeated_spans(docs, id_col, text_col, repeat, seed, row_key), "spans")
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
-    rows = docs.select(own.alias("own"), F.col(text_col).alias("t"), F.xxhash64(id_col, text_col).alias("row_key"))
+    rows = docs.select(own.alias("own"), F.col(text_col).alias("t"), row_key.alias("row_key"))
     return rows.join(spans.hint("shuffle_hash"), "row_key", "left")
 
 

@@ -16,7 +16,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from findloom.llm import decontamination, graph, language, media, packing, quality, simhash, substring, urls, warc
+from findloom.llm import common, decontamination, graph, language, media, packing, quality, simhash, substring, urls, warc
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 SF = "/root/testdata/sf0.001"
@@ -164,6 +164,20 @@ def test_substring_removal(spark, size, seed, vocabulary):
     assert [(r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got] == slow_repeats(texts, size)
 
 
+def test_documents_of_one_hash_are_told_apart(spark, monkeypatch):
+    """With a first hash of three bits, every document shares it with others, and none loses their words."""
+    monkeypatch.setattr(common, "_hashes", lambda row_id, text: (F.pmod(F.xxhash64(row_id, text), F.lit(8)), F.xxhash64(F.lit(1), text, row_id)))
+    rng = random.Random(3)
+    shared = [f"s{k}" for k in range(40)]
+    texts = [" ".join([f"w{rng.randrange(50)}" for _ in range(rng.randint(0, 9))] + (shared if k % 3 == 0 else []) + [f"v{rng.randrange(50)}" for _ in range(9)]) for k in range(60)]
+    docs = docs_of(spark, texts)
+    got = substring.removal_report(docs).orderBy("doc_id").collect()
+    assert [(r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got] == slow_repeats(texts, 35)
+    items = spark.createDataFrame([(1, " ".join(shared[:12]))], "item_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in decontamination.remove_spans(docs, items).collect()}
+    assert all((clean[k] == t) == (k % 3 > 0) and not set(clean[k].split()) & set(shared[:12]) for k, t in enumerate(texts))
+
+
 def test_maximal_repeats(spark):
     rng = random.Random(12)
     word = lambda: f"w{rng.randrange(60)}"
