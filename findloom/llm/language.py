@@ -8,12 +8,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import crc_bucket
 
-#: The bound of the training sample: letters and spaces of a language, texts expected for it, and languages, the most frequent first.
-TRAIN_SYMBOLS, TRAIN_TEXTS, LANGUAGES = 30_000, 60, 200
+#: The bound of the training sample: letters and spaces of a language, its texts, and
+#: letters and spaces of all languages, which share them evenly, down to the last number for each.
+TRAIN_SYMBOLS, TRAIN_TEXTS, ALL_SYMBOLS, LEAST_SYMBOLS = 30_000, 60, 6_000_000, 300
 #: Symbols of a text that are parsed beside each other; the parsing goes on over their borders.
 LANE = 512
 UNKNOWN = "und"
@@ -281,24 +283,38 @@ def build(samples: dict[str, list[str]], limit: int = TRAIN_SYMBOLS) -> Model:
     return Model(languages, letters, symbol, automata, cost)
 
 
-def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, folds: int, held_out: int, texts: int = TRAIN_TEXTS, limit: int = TRAIN_SYMBOLS) -> dict[str, list[str]]:
-    """By language the texts of lowest hash, about ``texts`` of them, none beyond ``limit`` characters.
+def symbols_each(languages: int, limit: int = TRAIN_SYMBOLS, total: int = ALL_SYMBOLS) -> int:
+    """Symbols that each of so many languages is learnt from."""
+    return max(min(limit, total // max(1, languages)), LEAST_SYMBOLS)
 
-    Learns the ``LANGUAGES`` most frequent values of ``lang_col``. The count of
-    each sets a threshold for its hashes, so no language is sorted or gathered
-    in one task; what reaches the driver is bounded.
+
+def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, folds: int, held_out: int, texts: int = TRAIN_TEXTS, limit: int = TRAIN_SYMBOLS, total: int = ALL_SYMBOLS) -> dict[str, list[str]]:
+    """By language its different (id, text) of lowest hash: ``texts`` of them at
+    most, and no more than have ``symbols_each`` letters and spaces.
+
+    Every value of ``lang_col`` is learnt, however rare: more languages share
+    ``total`` symbols. A language's count sets a threshold for its hashes that
+    about twice as many texts pass, which are then ranked; so no language is
+    sorted or gathered in one task, and what reaches the driver is bounded.
     """
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (crc_bucket(F.col(id_col), folds) != held_out)).select(
-        F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.substring(text_col, 1, limit).alias("t")
+        F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string"), text_col).alias("h"), F.col(text_col).alias("t")
     )
-    frequent = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    if not frequent:
+    counts = known.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()
+    if not counts:
         return {}
-    counted = docs.sparkSession.createDataFrame([(r["lang"], r["n"]) for r in frequent], "lang string, n long")
+    limit = symbols_each(len(counts), limit, total)
+    counted = docs.sparkSession.createDataFrame([(r["lang"], r["n"]) for r in counts], "lang string, n long")
     share = F.pmod("h", F.lit(1 << 30)) / F.lit(float(1 << 30))
-    wanted = known.join(F.broadcast(counted), "lang").filter(share < texts / F.col("n")).select("lang", "h", "t")
-    out: dict[str, list[str]] = {r["lang"]: [] for r in frequent}
-    for r in sorted(wanted.collect(), key=lambda r: (r["h"], r["t"])):
+    drawn = known.join(F.broadcast(counted), "lang").filter(share < 2 * texts / F.col("n")).select("lang", "h", F.substring("t", 1, limit).alias("t"))
+    order = W.partitionBy("lang").orderBy("h")
+    symbols = F.length(F.regexp_replace("t", r"\P{L}+", " "))
+    ranked = drawn.groupBy("lang", "h").agg(F.min("t").alias("t")).select(
+        "*", F.row_number().over(order).alias("rank"), F.sum(symbols).over(order.rowsBetween(W.unboundedPreceding, -1)).alias("before")
+    )
+    wanted = ranked.filter((F.col("rank") <= texts) & (F.coalesce("before", F.lit(0)) < limit)).select("lang", "h", "t")
+    out: dict[str, list[str]] = {r["lang"]: [] for r in counts}
+    for r in sorted(wanted.collect(), key=lambda r: r["h"]):
         out[r["lang"]].append(r["t"])
     letters = _letters()
     return {k: v for k, v in out.items() if any(letters[points(t)].any() for t in v)}
@@ -313,7 +329,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     from, every row is ``und``. A null doc_id is neither held out nor learnt from.
     """
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(build(training_sample(docs, id_col, text_col, lang_col, folds, held_out)))
+    sample = training_sample(docs, id_col, text_col, lang_col, folds, held_out)
+    model = spark.sparkContext.broadcast(build(sample, symbols_each(len(sample))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -482,6 +482,43 @@ def test_language_on_held_out_rows(spark):
     assert {r["lang_pred"] for r in language.identify(odd).filter("doc_id is not null").collect()} == {"und"}
 
 
+def words_of(rng, letters):
+    return " ".join("".join(rng.choices(letters, k=5)) for _ in range(40))
+
+
+def test_every_language_is_learnt_however_many(spark):
+    """260 languages, the rarest with one text: each has a block of letters, and none goes without a symbol budget."""
+    rng = random.Random(6)
+    blocks = [[chr(0x4E00 + 20 * k + i) for i in range(20)] for k in range(260)]
+    rows = [(4 * k + j, words_of(rng, b), f"l{k:03}") for k, b in enumerate(blocks) for j in range(1 if k == 7 else 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learnt = {r["lang"] for r in docs.filter(~(common.crc_bucket(F.col("doc_id"), 4) == 2)).select("lang").distinct().collect()}
+    got = language.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert len(got) == len(rows) and len(learnt) > 200
+    assert all(r["lang_pred"] == r["lang"] for r in got if r["lang"] in learnt)
+    assert language.symbols_each(4) == 30_000 and language.symbols_each(260) == 23_076 and language.symbols_each(10**6) == 300
+
+
+def test_language_sample_is_bounded_whatever_repeats(spark):
+    """A row repeated a thousand times counts once, an id of many texts does not stand for all, and texts end where their letters suffice."""
+    rng = random.Random(7)
+    rows = [(1, "one text again and again", "en")] * 1000 + [(3, words_of(rng, "abcdefgh"), "en") for _ in range(300)] + [(4, "eins", "de")]
+    docs = spark.createDataFrame(rows, "id long, t string, l string").repartition(5)
+    sample = language.training_sample(docs, "id", "t", "l", 4, 99, texts=40)
+    assert set(sample) == {"en", "de"} and sample["de"] == ["eins"]
+    assert len(sample["en"]) == len(set(sample["en"])) and 20 <= len(sample["en"]) <= 40
+    small = language.training_sample(docs, "id", "t", "l", 4, 99, texts=40, limit=500)
+    assert small["en"] == sample["en"][: len(small["en"])] and 2 <= len(small["en"]) <= 22
+    assert language.training_sample(docs.limit(0), "id", "t", "l", 4, 99) == {}
+
+
+def test_language_of_odd_rows_by_value(spark):
+    rows = [(4, "the cat and the dog", "en"), (5, "der hund und die katze", "de"), (None, "the dog", None), (5, "der hund", "de"), (5, "der hund", "de"), (9, None, "en"), (9, "", None), (9, "12 -", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"lang_pred": F.lit("x"), "score": F.lit(7)})
+    got = Counter((r["doc_id"], r["held_out"], r["lang_pred"], r["score"] > 0) for r in language.identify(docs, held_out=7).collect())
+    assert got == {(4, False, "en", True): 1, (5, False, "de", True): 3, (None, False, "en", True): 1, (9, False, "und", False): 3}
+
+
 # --- quality ----------------------------------------------------------------
 
 
