@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DataType, DateType, IntegralType, MapType, NullType, StringType, StructType, TimestampNTZType, TimestampType
 
 
 @pandas_udf(StringType())
@@ -38,14 +38,53 @@ def _small_escapes(text: Column) -> Column:
 
 
 def ordered_json(value: Column) -> Column:
-    """Canonical JSON of a struct, or of an array of strings, whose fields are
-    named in order and hold no floats: what ``canonical_json`` gives, without Python."""
+    """Canonical JSON of a value whose fields and keys are in order and hold no
+    floats: what ``canonical_json`` gives, without Python."""
     return _small_escapes(to_json(value))
 
 
-def json_hash(value: Column) -> Column:
-    """SHA-256 of the canonical JSON of a struct, map or array."""
-    return F.sha2(canonical_json(to_json(value)), 256)
+#: What Spark and Python write alike. Numbers with fractions are not of them.
+_ALIKE = (StringType, IntegralType, BooleanType, NullType, DateType, TimestampType, TimestampNTZType, BinaryType)
+
+
+def is_native(kind: DataType) -> bool:
+    """Whether Spark's functions alone can write values of this type canonically."""
+    if isinstance(kind, StructType):
+        names = [n.lower() for n in kind.names]
+        return len(names) == len(set(names)) and all(is_native(f.dataType) for f in kind.fields)
+    if isinstance(kind, ArrayType):
+        return is_native(kind.elementType)
+    if isinstance(kind, MapType):
+        return isinstance(kind.keyType, StringType) and is_native(kind.valueType)
+    return isinstance(kind, _ALIKE)
+
+
+def in_order(value: Column, kind: DataType) -> Column:
+    """The value with the fields of its structs and the keys of its maps in order of their code points, at any depth."""
+    if isinstance(kind, StructType) and kind.fields:
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        return F.when(value.isNotNull(), F.struct(*[in_order(value.getField(f.name), f.dataType).alias(f.name) for f in fields]))
+    if isinstance(kind, ArrayType) and isinstance(kind.elementType, (StructType, ArrayType, MapType)):
+        return F.transform(value, lambda x: in_order(x, kind.elementType))
+    if isinstance(kind, MapType):
+        keys = F.array_sort(F.map_keys(value))
+        return F.map_from_arrays(keys, F.transform(keys, lambda k: in_order(F.element_at(value, k), kind.valueType)))
+    return value
+
+
+def canonical(value: Column, kind: DataType) -> Column:
+    """Canonical JSON of a struct, map or array of the given type.
+
+    Written by Spark's functions, but for types with floats or decimals, with
+    map keys other than strings, or with field names that differ in case alone:
+    these go through ``canonical_json``. A null value has null text.
+    """
+    return ordered_json(in_order(value, kind)) if is_native(kind) else canonical_json(to_json(value))
+
+
+def json_hash(value: Column, kind: DataType) -> Column:
+    """SHA-256 of the canonical JSON of a struct, map or array of the given type."""
+    return F.sha2(canonical(value, kind), 256)
 
 
 def stable_hash(*parts: Column | str) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.canonical import json_hash, to_json
+from ..functions.canonical import json_hash, ordered_json, to_json
 from ..functions.lines import strict_span
 from ..schemas import ABSTAIN, CONFIDENCES, FALSE, FP_REASONS, TRUE
 from ..sources.scratch import written
@@ -125,10 +125,10 @@ def frozen_violations(findings: DataFrame, packets: DataFrame, index: DataFrame,
     compared by a hash of its JSON."""
     shown = blind(findings, (scanner,))
     names = shown.columns
-    digest = lambda columns: json_hash(F.struct(*columns))
+    told = packets.select("position", "schema_version", "review_order", F.struct(*[F.col(f"finding.{n}").alias(n) for n in names]).alias("told"))
     place = findings.select("finding_id", "position", F.col("scanner").alias("own_scanner"))
-    own = shown.select("finding_id", digest(names).alias("own")).join(place, "finding_id")
-    j = packets.select("position", "schema_version", "review_order", digest([F.col(f"finding.{n}").alias(n) for n in names]).alias("theirs")).join(own, "position").join(
+    own = shown.select("finding_id", json_hash(F.struct(*names), shown.schema).alias("own")).join(place, "finding_id")
+    j = told.select("position", "schema_version", "review_order", json_hash(F.col("told"), told.schema["told"].dataType).alias("theirs")).join(own, "position").join(
         index.select("position", F.col("review_order").alias("index_order")), "position"
     )
     tests = {
@@ -249,7 +249,7 @@ def consensus_reviewer(a: Column, b: Column) -> Column:
     both = lambda k: F.concat_ws("+", a[k], b[k])
     return F.struct(
         F.lit("reviewer-a+reviewer-b").alias("id"), F.lit("MODEL").alias("kind"), F.lit("CONSENSUS_A_B").alias("role"), F.lit("MULTIPLE_MODELS").alias("provider"),
-        json_hash(F.array(a["provider_version"], b["provider_version"])).alias("provider_version"), both("model").alias("model"), both("model_version").alias("model_version"),
+        F.sha2(ordered_json(F.array(a["provider_version"], b["provider_version"])), 256).alias("provider_version"), both("model").alias("model"), both("model_version").alias("model_version"),
         F.array(a, b).alias("participants"),
     )
 
@@ -351,7 +351,7 @@ def folder_digests(files: DataFrame) -> DataFrame:
 def inventory_digest(files: DataFrame) -> DataFrame:
     """One row (files, raw_responses, inventory_sha256) over (path, sha256): the hash of the ordered list's canonical JSON."""
     listed = files.agg(F.count("*").alias("files"), F.count_if(F.substring_index("path", "/", -1).contains("raw-response")).alias("raw_responses"), F.array_sort(F.collect_list(F.struct("path", "sha256"))).alias("xs"))
-    return listed.select("files", "raw_responses", json_hash(F.col("xs")).alias("inventory_sha256"))
+    return listed.select("files", "raw_responses", json_hash(F.col("xs"), listed.schema["xs"].dataType).alias("inventory_sha256"))
 
 
 # --- selection and budgets --------------------------------------------------

@@ -270,4 +270,4 @@ def pending(expected: DataFrame, done: DataFrame, key: str = "finding_id") -> Da
 
 def with_row_hash(rows: DataFrame, name: str = "row_sha256") -> DataFrame:
     """Rows with the hash of their canonical JSON, by which later stages pin them."""
-    return rows.withColumn(name, json_hash(F.struct(*rows.columns)))
+    return rows.withColumn(name, json_hash(F.struct(*rows.columns), rows.schema))

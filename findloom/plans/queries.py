@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import families, json_schema, lines
 from ..functions import text as T
-from ..functions.canonical import canonical_json, case_key, digits_mod3, finding_id, stable_hash, to_json
+from ..functions.canonical import canonical, case_key, digits_mod3, finding_id, stable_hash
 from ..operators import audit, dataset, dedup, findings, gates, ledger, matching, metrics, packages, reviews, rules, sampling, usage
 from ..sources import code, jsonl, reports, scratch
 from ..sources import ledger as ledger_files
@@ -501,8 +501,9 @@ FROM (SELECT DISTINCT repo FROM entries)""")
 def x1_canonical_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical JSON of customers, its hash, and the key of a case."""
     c = _table(spark, sf_dir, "customer")
-    row = canonical_json(to_json(F.struct("c_name", F.col("c_custkey").alias("key"), F.lit(None).cast("string").alias("none"))))
-    return c.select("c_custkey", row.alias("json"), F.sha2(row, 256).alias("hash"), case_key(F.col("c_name")).alias("case_key"))
+    named = c.select("c_custkey", "c_name", F.lit(None).cast("string").alias("none"), F.col("c_custkey").alias("key"))
+    row = canonical(F.struct("none", "key", "c_name"), named.select("none", "key", "c_name").schema)
+    return named.select("c_custkey", row.alias("json"), F.sha2(row, 256).alias("hash"), case_key(F.col("c_name")).alias("case_key"))
 
 
 _sql("x1_canonical_json", (), """

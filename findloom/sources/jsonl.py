@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.canonical import canonical_json, to_json
+from ..functions.canonical import canonical
 
 CORRUPT = "_corrupt_record"
 
@@ -61,7 +61,7 @@ def line_violations(spark: SparkSession, path: str, max_bytes: int = 32 << 20, m
 
 def canonical_rows(df: DataFrame) -> DataFrame:
     """Each row as one line of canonical JSON, nulls included."""
-    return df.select(canonical_json(to_json(F.struct(*df.columns))).alias("value"))
+    return df.select(canonical(F.struct(*df.columns), df.schema).alias("value"))
 
 
 def write_jsonl(df: DataFrame, path: str, *order: str) -> None:

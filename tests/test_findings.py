@@ -9,10 +9,11 @@ from collections import Counter
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from findloom.functions import lines
 from findloom.functions import text as T
-from findloom.functions.canonical import json_hash
+from findloom.functions.canonical import canonical, canonical_json, is_native, json_hash, to_json
 from findloom.operators import audit, dataset, dedup, findings, gates, ledger, matching, metrics, packages, reviews, sampling, usage
 from findloom.schemas import ENTRY, FINDING
 
@@ -373,12 +374,41 @@ def test_usage_of_resumed_sessions(spark):
 
 def test_canonical_json_is_python_json(spark):
     value = {"b": None, "a": 'q"\u001f\u00e9\n', "n": 1}
-    row = spark.createDataFrame([(value["a"], 1)], "a string, n int").select(json_hash(F.struct(F.lit(None).cast("string").alias("b"), "a", "n")).alias("h")).first()
+    df = spark.createDataFrame([(None, value["a"], 1)], "b string, a string, n int")
+    row = df.select(json_hash(F.struct("b", "a", "n"), df.schema).alias("h")).first()
     import hashlib
 
     assert row["h"] == hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
 
 
+KIND = "z string, n long, b struct<y:array<struct<q:int,a:string>>,`é`:boolean,e:struct<v:int,u:string>>, m map<string,array<string>>, mm map<string,map<string,int>>, l array<array<string>>"
+
+
+def test_native_canonical_json_is_python_json_at_any_depth(spark):
+    """Fields and keys are sorted within structs, maps and arrays, nulls and controls kept, without Python in the plan."""
+    odd = "".join(map(chr, range(0x20))) + '\\u001F\\\\\x1f\x1e"/\x7f\u2028é\U0001f600'
+    rows = [
+        (odd, -(1 << 63), ([(1, odd), (None, None), None], True, (None, "x")), {"b": ["2", None], "a": [], "é": None, "B": [odd], odd: [""]}, {"k": {"z": 1, "a": None}, "j": {}, "i": None}, [["b", "a"], None, []]),
+        (None, None, None, None, None, None),
+        ("", 0, (None, None, None), {}, {}, []),
+    ]
+    df = spark.createDataFrame(rows, KIND)
+    out = df.select(canonical(F.struct(*df.columns), df.schema).alias("got"), canonical_json(to_json(F.struct(*df.columns))).alias("want"), canonical(F.col("m"), df.schema["m"].dataType).alias("m"), F.to_json("m").alias("m0"))
+    for r in out.collect():
+        assert r["got"] == r["want"] == json.dumps(json.loads(r["got"]), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        assert (r["m"] is None) == (r["m0"] is None)
+    plan = df.select(canonical(F.struct(*df.columns), df.schema))._jdf.queryExecution().toString()
+    assert "canonical_json" not in plan and "ArrowEval" not in plan
+
+
+def test_canonical_json_of_what_spark_writes_otherwise(spark):
+    """Fractions, numbered keys and names that differ in case go the other way, with the same text as Python's."""
+    df = spark.createDataFrame([(1e10, 0.1, {2: "b", 10: "a"})], "x double, d double, m map<int,string>")
+    assert not any(is_native(f.dataType) for f in df.schema)
+    assert df.select(canonical(F.struct("x", "d", "m"), df.schema)).first()[0] == '{"d":0.1,"m":{"10":"a","2":"b"},"x":10000000000.0}'
+    assert not is_native(StructType.fromDDL("a string").add("A", "string")) and is_native(df.select(F.lit(1).alias("a")).schema)
+
+
 def test_rule_ids_and_paths(spark):
     df = spark.createDataFrame([("home.rules.python.x", "file:///C:/Repo/a%20b+c.py"), ("old.place.home.rules.y", "/src/./x"), ("plain", None)], "r string, p string")
     got = df.select(T.rule_id(F.col("r"), "/home/rules").alias("r"), T.relative_path(F.col("p"), "c:/repo").alias("p")).collect()
