@@ -1262,6 +1262,38 @@ def a18_security_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 _sql("a18_security_rules", (), "SELECT 'lang' || (k % 5) AS folder, count(*) FILTER (k % 3 = 0) AS selected, count(*) FILTER (k % 3 <> 0 AND k % 7 <> 0) AS skipped, count(*) FILTER (k % 3 <> 0 AND k % 7 = 0) AS mixed FROM rf GROUP BY 1", _RULES)
 
 
+def _rule_texts(k: Column) -> Column:
+    """Rule files in seven styles by their number, the last two broken."""
+    n = k.cast("string")
+    text = lambda *parts: F.concat(*[n if p is None else F.lit(p) for p in parts])
+    styles = [
+        text("rules: [{id: r", None, ", metadata: {category: Security, tags: [a, {b: c}]}}, {id: s", None, "}]\n"),
+        text("# head\n---\nrules:\n- id: \"r", None, "\"  # note\n  metadata: {'category': 'it''s: # one'}\n---\nrules:\n  -   metadata:\n        category: two\n      id: s", None, "\n...\n"),
+        text("base: &base\n  category: security\n  level: 1\nrules:\n- id: r", None, "\n  metadata: *base\n- id: s", None, "\n  metadata:\n    <<: *base\n    category: own\n"),
+        text("rules:\n- id: r", None, "\n  message: |\n    id: no\n    metadata:\n      category: no\n  metadata:\n    category: >-\n      two\n      lines\n- {id: s", None, ", metadata: [category, x]}\n"),
+        text("rules:\n- metadata: {category: x}\n- id: s", None, "\n  metadata:\n    category: yes\n- words\n"),
+        text("rules:\n- id: r", None, "\n  metadata: {category: x\n"),
+        text("rules:\n  - id: r", None, "\n\tmetadata: x\n"),
+    ]
+    return F.element_at(F.array(*styles), (k % 7 + 1).cast("int"))
+
+
+@_query
+def s17_yaml_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules and problems of YAML files with flow and block styles, anchors, merges and several documents."""
+    p = _table(spark, sf_dir, "part").select(F.concat(F.lit("r/f"), F.col("p_partkey").cast("string"), F.lit(".yml")).alias("file"), _rule_texts(F.col("p_partkey")).alias("text"))
+    r = code.read_rules(p)
+    return r.select("file", "document", "position", "rule_id", "category", F.substring_index("problem", ":", 1).alias("problem"))
+
+
+_sql("s17_yaml_rules", (), """
+SELECT 'r/f' || p_partkey || '.yml' AS file, CAST(document AS INTEGER) AS document, CAST(position AS INTEGER) AS position, letter || p_partkey AS rule_id, category, problem
+FROM part JOIN (VALUES (0, 0, 0, 'r', 'Security', NULL), (0, 0, 1, 's', NULL, NULL), (1, 0, 0, 'r', 'it''s: # one', NULL), (1, 1, 0, 's', 'two', NULL),
+  (2, 0, 0, 'r', 'security', NULL), (2, 0, 1, 's', 'own', NULL), (3, 0, 0, 'r', 'two lines', NULL), (3, 0, 1, 's', NULL, NULL),
+  (4, 0, 0, NULL, 'x', 'NO_RULE_ID'), (4, 0, 1, 's', 'True', NULL), (5, 0, 0, NULL, NULL, 'NOT_YAML'), (6, 0, 0, NULL, NULL, 'NOT_YAML')) v(style, document, position, letter, category, problem)
+ON p_partkey % 7 = style""")
+
+
 @_query
 def j17_rule_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule folders for the languages of the documents' sources."""

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.yaml_text import NotYaml, documents
 
 
 def lines_of(files: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
@@ -93,17 +97,47 @@ def rule_ids(files: DataFrame) -> DataFrame:
     return found.select("file", F.col("n").alias("line"), bare.alias("rule_id")).filter("rule_id != ''")
 
 
-def rule_categories(files: DataFrame) -> DataFrame:
-    """Rows (file, rule_id, category): each rule with the ``category:`` of its metadata, null where it has none.
+RULE = "file string, document int, position int, rule_id string, category string, problem string"
+
+
+def _rules_of(text: str) -> Iterator[tuple[int, int, str | None, str | None, str | None]]:
+    """Rows (document, position, rule_id, category, problem) of one rule file."""
+    try:
+        read = documents(text)
+    except NotYaml as e:
+        yield 0, 0, None, None, f"NOT_YAML: {e}"
+        return
+    for d, document in enumerate(read):
+        found = document.get("rules") if isinstance(document, dict) else None
+        for k, rule in enumerate(found if isinstance(found, list) else []):
+            if not isinstance(rule, dict):
+                continue
+            name = str(rule.get("id") or "").strip()
+            metadata = rule.get("metadata")
+            category = metadata.get("category") if isinstance(metadata, dict) else None
+            yield d, k, name or None, str(category).strip() if category else None, None if name else "NO_RULE_ID"
+
+
+def read_rules(files: DataFrame) -> DataFrame:
+    """Rows (file, document, position, rule_id, category, problem): the rules of YAML
+    rule files, in all of their documents, in block or flow style, anchors and merges followed.
 
-    Rules are block mappings in a list: a rule's lines go from its ``- id:`` to the next one's.
+    A rule without a category has null. A text that is no YAML is one row with a
+    problem, a rule without an id another; what is no mapping is passed over.
+    Test files, null and empty texts have no rows. Files are read one by one
+    where Spark holds them, as no function of Spark's reads YAML.
     """
-    from pyspark.sql import Window as W
 
-    yaml = files.filter(F.lower("file").rlike(r"\.ya?ml$") & ~F.lower("file").rlike(r"\.test\.ya?ml$"))
-    ls = lines_of(yaml, ["file"])
-    ids = rule_ids(files).withColumnRenamed("line", "n")
-    rule = F.last("rule_id", True).over(W.partitionBy("file").orderBy("n").rowsBetween(W.unboundedPreceding, 0))
-    category = F.regexp_extract("text", r"""^\s+category\s*:\s*['"]?([^'"#]+?)['"]?\s*(?:#.*)?$""", 1)
-    tagged = ls.join(ids, ["file", "n"], "left").withColumn("rule_id", rule).withColumn("c", F.when(category != "", category))
-    return tagged.filter("rule_id is not null").groupBy("file", "rule_id").agg(F.min("c").alias("category"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(f, *r) for f, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for r in _rules_of(t)]
+            kinds = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], RULE.replace(" string", "").replace(" int", "").split(", "))
+
+    yaml = files.filter(F.lower("file").rlike(r"\.ya?ml$") & ~F.lower("file").rlike(r"\.test\.ya?ml$") & F.col("text").isNotNull())
+    return yaml.select("file", "text").mapInArrow(run, RULE)
+
+
+def rule_categories(files: DataFrame) -> DataFrame:
+    """Rows (file, rule_id, category): each rule that ``read_rules`` can read, one that stands twice as two rows."""
+    return read_rules(files).filter("problem is null").select("file", "rule_id", "category")
