@@ -1861,19 +1861,19 @@ SELECT 'REPO_URL' AS rule_id, '' || c_custkey AS key, '' AS detail FROM customer
 @_query
 def v20_attestation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An attestation that another policy, a missing proof and a changed one keep from standing."""
-    d = _table(spark, sf_dir, "nation")
-    proof = F.struct(F.concat(F.lit("p"), "n_nationkey").alias("path"), F.sha2("n_name", 256).alias("sha256"))
-    proofs = d.groupBy().agg(F.map_from_entries(F.collect_list(F.struct(F.col("n_name").alias("key"), proof.alias("value")))).alias("frozen_inputs"))
+    d = _table(spark, sf_dir, "supplier")
+    proof = F.struct(F.concat(F.lit("p"), "s_suppkey").alias("path"), F.sha2("s_name", 256).alias("sha256"))
+    proofs = d.groupBy().agg(F.map_from_entries(F.collect_list(F.struct(F.col("s_name").alias("key"), proof.alias("value")))).alias("frozen_inputs"))
     policy = F.create_map(*[F.lit(x) for k, v in packages.POLICY.items() for x in (k, v or k == "human_gold")])
     a = proofs.select(F.lit(1).alias("schema_version"), F.lit(packages.APPROVED).alias("status"), policy.alias("policy"), F.lit(packages.VERIFICATION).alias("verification_method"), F.lit(True).alias("independent"), F.lit(None).cast("boolean").alias("repository_split"), "frozen_inputs")
-    k = F.col("n_nationkey")
-    files = d.filter(k % 5 != 0).select(F.concat(F.lit("p"), "n_nationkey").alias("name"), F.sha2(F.when(k % 7 == 1, "changed").otherwise(F.col("n_name")), 256).alias("sha256"))
+    k = F.col("s_suppkey")
+    files = d.filter(k % 5 != 0).select(F.concat(F.lit("p"), "s_suppkey").alias("name"), F.sha2(F.when(k % 7 == 1, "changed").otherwise(F.col("s_name")), 256).alias("sha256"))
     return packages.attestation_violations(a, files)
 
 
 _sql("v20_attestation", (), """
 SELECT 'POLICY' AS rule_id, 'attestation' AS key, '' AS detail UNION ALL SELECT 'REPOSITORY_SPLIT', 'attestation', ''
-UNION ALL SELECT CASE WHEN n_nationkey % 5 = 0 THEN 'MISSING_FILE' ELSE 'CHECKSUM' END, 'p' || n_nationkey, sha256(n_name) FROM nation WHERE n_nationkey % 5 = 0 OR n_nationkey % 7 = 1""")
+UNION ALL SELECT CASE WHEN s_suppkey % 5 = 0 THEN 'MISSING_FILE' ELSE 'CHECKSUM' END, 'p' || s_suppkey, sha256(s_name) FROM supplier WHERE s_suppkey % 5 = 0 OR s_suppkey % 7 = 1""")
 
 
 @_query
@@ -1893,14 +1893,14 @@ WHERE p_partkey % 4 <> 0 GROUP BY folder""")
 @_query
 def a27_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The digest of an ordered inventory of files."""
-    n = _table(spark, sf_dir, "nation")
-    path = F.concat(F.lit("d"), (F.col("n_nationkey") % 4).cast("string"), F.when(F.col("n_nationkey") % 3 == 0, "/raw-response-").otherwise("/step-"), "n_nationkey")
-    return packages.inventory_digest(n.select(path.alias("path"), F.sha2("n_name", 256).alias("sha256")))
+    n = _table(spark, sf_dir, "customer")
+    path = F.concat(F.lit("d"), (F.col("c_custkey") % 4).cast("string"), F.when(F.col("c_custkey") % 3 == 0, "/raw-response-").otherwise("/step-"), "c_custkey")
+    return packages.inventory_digest(n.select(path.alias("path"), F.sha2("c_name", 256).alias("sha256")))
 
 
 _sql("a27_inventory", (), """
-SELECT count(*) AS files, count(*) FILTER (path LIKE '%raw-response%') AS raw_responses, sha256('[' || string_agg('{"path":"' || path || '","sha256":"' || sha256(n_name) || '"}', ',' ORDER BY path) || ']') AS inventory_sha256
-FROM (SELECT 'd' || n_nationkey % 4 || CASE WHEN n_nationkey % 3 = 0 THEN '/raw-response-' ELSE '/step-' END || n_nationkey AS path, n_name FROM nation)""")
+SELECT count(*) AS files, count(*) FILTER (path LIKE '%raw-response%') AS raw_responses, sha256('[' || string_agg('{"path":"' || path || '","sha256":"' || sha256(c_name) || '"}', ',' ORDER BY path) || ']') AS inventory_sha256
+FROM (SELECT 'd' || c_custkey % 4 || CASE WHEN c_custkey % 3 = 0 THEN '/raw-response-' ELSE '/step-' END || c_custkey AS path, c_name FROM customer)""")
 
 
 @_query
@@ -1956,25 +1956,25 @@ SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN '**/a/' || p
 @_query
 def x50_consensus_reviewer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reviewer that two participants make together."""
-    n = _table(spark, sf_dir, "nation")
-    who = lambda x: F.struct(F.lit("p").alias("provider"), F.concat(F.lit(x), "n_nationkey").alias("provider_version"), F.concat(F.lit(x), "n_name").alias("model"), F.lit(x).alias("model_version"))
-    r = n.select("n_nationkey", packages.consensus_reviewer(who("a"), who("b")).alias("r"))
-    return r.select("n_nationkey", "r.id", "r.role", "r.provider_version", "r.model", "r.model_version", F.size("r.participants").alias("participants"))
+    n = _table(spark, sf_dir, "customer")
+    who = lambda x: F.struct(F.lit("p").alias("provider"), F.concat(F.lit(x), "c_custkey").alias("provider_version"), F.concat(F.lit(x), "c_name").alias("model"), F.lit(x).alias("model_version"))
+    r = n.select("c_custkey", packages.consensus_reviewer(who("a"), who("b")).alias("r"))
+    return r.select("c_custkey", "r.id", "r.role", "r.provider_version", "r.model", "r.model_version", F.size("r.participants").alias("participants"))
 
 
 _sql("x50_consensus_reviewer", (), """
-SELECT n_nationkey, 'reviewer-a+reviewer-b' AS id, 'CONSENSUS_A_B' AS role, sha256('["a' || n_nationkey || '","b' || n_nationkey || '"]') AS provider_version, 'a' || n_name || '+b' || n_name AS model, 'a+b' AS model_version, 2 AS participants FROM nation""")
+SELECT c_custkey, 'reviewer-a+reviewer-b' AS id, 'CONSENSUS_A_B' AS role, sha256('["a' || c_custkey || '","b' || c_custkey || '"]') AS provider_version, 'a' || c_name || '+b' || c_name AS model, 'a+b' AS model_version, 2 AS participants FROM customer""")
 
 
 # --- files, orders and gates that break ---------------------------------------
 
 
 def _json_lines(spark: SparkSession, sf_dir: str) -> str:
-    """A folder of JSON lines made of nations: objects, a list, words, and blank lines."""
-    k = F.col("n_nationkey")
-    line = F.when(k % 5 == 1, '[1]').when(k % 5 == 2, "no json").when(k % 5 == 3, " ").otherwise(F.concat(F.lit('{"n": '), k.cast("string"), F.lit(', "name": "'), "n_name", F.lit('"}')))
+    """A folder of JSON lines made of customers, in three files: objects, a list, words, and blank lines."""
+    k = F.col("c_custkey")
+    line = F.when(k % 5 == 1, '[1]').when(k % 5 == 2, "no json").when(k % 5 == 3, " ").otherwise(F.concat(F.lit('{"n": '), k.cast("string"), F.lit(', "name": "'), "c_name", F.lit('"}')))
     path = scratch.folder(spark, "lines")
-    _table(spark, sf_dir, "nation").select(line.alias("value")).write.text(path)
+    _table(spark, sf_dir, "customer").select(line.alias("value"), (k % 3).alias("g")).repartition("g").write.partitionBy("g").text(path)
     return path
 
 
@@ -1985,27 +1985,27 @@ def s3_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _sql("s3_json_lines", (), """
-SELECT CASE WHEN n_nationkey % 5 IN (0, 4) THEN CAST(n_nationkey AS INTEGER) END AS n, CASE WHEN n_nationkey % 5 IN (0, 4) THEN n_name END AS name,
-  CASE n_nationkey % 5 WHEN 1 THEN '[1]' WHEN 2 THEN 'no json' END AS corrupt FROM nation WHERE n_nationkey % 5 <> 3""")
+SELECT CASE WHEN c_custkey % 5 IN (0, 4) THEN CAST(c_custkey AS INTEGER) END AS n, CASE WHEN c_custkey % 5 IN (0, 4) THEN c_name END AS name,
+  CASE c_custkey % 5 WHEN 1 THEN '[1]' WHEN 2 THEN 'no json' END AS corrupt FROM customer WHERE c_custkey % 5 <> 3""")
 
 
 @_query
 def s5_line_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What keeps lines of JSON, and their files, from being read under a profile's limits."""
-    v = jsonl.line_violations(spark, f"{_json_lines(spark, sf_dir)}/part-*", limits=jsonl.Limits(file_bytes=10, line_bytes=26, rows=3))
+    v = jsonl.line_violations(spark, f"{_json_lines(spark, sf_dir)}/g=*/part-*", limits=jsonl.Limits(file_bytes=10, line_bytes=39, rows=3))
     return v.select("rule_id", F.when(F.col("rule_id") == "FILE_TOO_LARGE", "").otherwise(F.col("detail")).alias("detail"))
 
 
 _sql("s5_line_gate", (), """
-WITH l AS (SELECT CASE n_nationkey % 5 WHEN 1 THEN '[1]' WHEN 2 THEN 'no json' WHEN 3 THEN ' ' ELSE '{"n": ' || n_nationkey || ', "name": "' || n_name || '"}' END AS v, n_nationkey % 5 AS k FROM nation)
-SELECT 'NOT_AN_OBJECT' AS rule_id, v AS detail FROM l WHERE k IN (1, 2) UNION ALL SELECT 'LINE_TOO_LONG', v FROM l WHERE octet_length(encode(v)) > 26
-UNION ALL SELECT 'TOO_MANY_ROWS', '' || count(*) FROM l WHERE k <> 3 UNION ALL SELECT 'FILE_TOO_LARGE', ''""")
+WITH l AS (SELECT CASE c_custkey % 5 WHEN 1 THEN '[1]' WHEN 2 THEN 'no json' WHEN 3 THEN ' ' ELSE '{"n": ' || c_custkey || ', "name": "' || c_name || '"}' END AS v, c_custkey % 5 AS k, c_custkey % 3 AS g FROM customer)
+SELECT 'NOT_AN_OBJECT' AS rule_id, v AS detail FROM l WHERE k IN (1, 2) UNION ALL SELECT 'LINE_TOO_LONG', v FROM l WHERE octet_length(encode(v)) > 39
+UNION ALL SELECT 'TOO_MANY_ROWS', '' || count(*) FROM l WHERE k <> 3 GROUP BY g UNION ALL SELECT 'FILE_TOO_LARGE', '' FROM l GROUP BY g""")
 
 
 @_query
 def k3_written_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows written as canonical JSON lines, and one document, as their files hold them."""
-    n = _table(spark, sf_dir, "nation").select(F.col("n_name").alias("z"), F.col("n_nationkey").alias("a"), F.lit(None).cast("string").alias("m"))
+    n = _table(spark, sf_dir, "customer").select(F.col("c_name").alias("z"), F.col("c_custkey").alias("a"), F.lit(None).cast("string").alias("m"))
     lines, document = scratch.folder(spark, "written"), scratch.folder(spark, "document")
     jsonl.write_jsonl(n, lines, "a")
     jsonl.write_document(n.agg(F.count("*").alias("rows"), F.max("a").alias("last")), document)
@@ -2014,39 +2014,40 @@ def k3_written_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _sql("k3_written_lines", (), """
-SELECT 'line' AS kind, '{"a":' || n_nationkey || ',"m":null,"z":"' || n_name || '"}' AS value FROM nation
-UNION ALL SELECT 'document', '{"last":' || max(n_nationkey) || ',"rows":' || count(*) || '}' FROM nation""")
+SELECT 'line' AS kind, '{"a":' || c_custkey || ',"m":null,"z":"' || c_name || '"}' AS value FROM customer
+UNION ALL SELECT 'document', '{"last":' || max(c_custkey) || ',"rows":' || count(*) || '}' FROM customer""")
 
 
 @_query
 def x3_file_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests, bytes and records of files, against what a manifest states of them."""
-    n = _table(spark, sf_dir, "nation")
+    k = F.floor(F.col("c_custkey") / 64)
     path = scratch.folder(spark, "files")
-    n.select(F.col("n_nationkey").alias("k"), F.concat_ws("\n", "n_name", "n_name").alias("value")).repartition("k").write.partitionBy("k").text(path)
+    texts = _table(spark, sf_dir, "customer").groupBy(k.alias("k")).agg(F.array_join(F.sort_array(F.collect_list("c_name")), "\n").alias("value"))
+    texts.repartition("k").write.partitionBy("k").text(path)
     found = jsonl.manifest(spark, f"{path}/*/part-*")
     key = F.regexp_extract("path", r"/k=(\d+)/", 1)
     return found.select(key.alias("k"), "sha256", "bytes", "records")
 
 
 _sql("x3_file_digests", (), """
-SELECT '' || n_nationkey AS k, sha256(n_name || chr(10) || n_name || chr(10)) AS sha256, CAST(2 * octet_length(encode(n_name)) + 2 AS BIGINT) AS bytes, CAST(2 AS BIGINT) AS records FROM nation""")
+SELECT '' || c_custkey // 64 AS k, sha256(string_agg(c_name, chr(10) ORDER BY c_name) || chr(10)) AS sha256, CAST(sum(octet_length(encode(c_name)) + 1) AS BIGINT) AS bytes, count(*) AS records FROM customer GROUP BY c_custkey // 64""")
 
 
 @_query
 def v21_manifest_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files whose digest or number of records is not what their manifest states, and a run that is no official corpus."""
-    n = _table(spark, sf_dir, "nation")
-    k = F.col("n_nationkey")
-    stated = n.select(F.col("n_name").alias("path"), F.sha2("n_name", 256).alias("sha256"), k.alias("records"))
-    found = n.filter(k % 6 != 0).select(F.col("n_name").alias("path"), F.sha2(F.when(k % 4 == 1, "x").otherwise(F.col("n_name")), 256).alias("sha256"), F.when(k % 7 == 1, 99).otherwise(k).alias("records"))
-    run = _rows(spark, [("COMPLETE", None, "FRANCE", "0", 1)], "status string, complete boolean, path string, sha256 string, records long")
+    n = _table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    stated = n.select(F.col("c_name").alias("path"), F.sha2("c_name", 256).alias("sha256"), k.alias("records"))
+    found = n.filter(k % 6 != 0).select(F.col("c_name").alias("path"), F.sha2(F.when(k % 4 == 1, "x").otherwise(F.col("c_name")), 256).alias("sha256"), F.when(k % 7 == 1, 99).otherwise(k).alias("records"))
+    run = _rows(spark, [("COMPLETE", None, "Customer#000000006", "0", 1)], "status string, complete boolean, path string, sha256 string, records long")
     return gates.manifest_differences(stated, found).unionByName(gates.corpus_violations(run, found, n))
 
 
 _sql("v21_manifest_differences", (), """
-SELECT unnest(CASE WHEN n_nationkey % 6 = 0 THEN ['MISSING_FILE'] ELSE list_filter([CASE WHEN n_nationkey % 4 = 1 THEN 'SHA256' END, CASE WHEN n_nationkey % 7 = 1 AND n_nationkey <> 99 THEN 'RECORDS' END], lambda x: x IS NOT NULL) END) AS rule_id,
-  n_name AS key, '' AS detail FROM nation UNION ALL SELECT unnest(['NOT_COMPLETE', 'SHA256', 'RECORDS']), 'FRANCE', ''""")
+SELECT unnest(CASE WHEN c_custkey % 6 = 0 THEN ['MISSING_FILE'] ELSE list_filter([CASE WHEN c_custkey % 4 = 1 THEN 'SHA256' END, CASE WHEN c_custkey % 7 = 1 AND c_custkey <> 99 THEN 'RECORDS' END], lambda x: x IS NOT NULL) END) AS rule_id,
+  c_name AS key, '' AS detail FROM customer UNION ALL SELECT unnest(['NOT_COMPLETE', 'SHA256', 'RECORDS']), 'Customer#000000006', ''""")
 
 
 @_query
@@ -2509,11 +2510,11 @@ UNION ALL SELECT DISTINCT 'SEVERAL_JOBS', '' || job, '2' FROM p WHERE job % 4 =
 
 @_query
 def k1_canonical_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations as canonical JSON lines."""
-    return jsonl.canonical_rows(_table(spark, sf_dir, "nation").select("n_name", "n_nationkey"))
+    """Customers as canonical JSON lines."""
+    return jsonl.canonical_rows(_table(spark, sf_dir, "customer").select("c_name", "c_custkey"))
 
 
-_sql("k1_canonical_rows", (), """SELECT '{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || '}' AS value FROM nation""")
+_sql("k1_canonical_rows", (), """SELECT '{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '"}' AS value FROM customer""")
 
 
 # --- evidence and official gates --------------------------------------------
