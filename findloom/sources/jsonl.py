@@ -44,11 +44,11 @@ def line_violations(spark: SparkSession, path: str, max_bytes: int = 32 << 20, m
     shape = F.schema_of_variant(F.try_parse_json("value"))
     checks = {
         "LINE_TOO_LONG": F.octet_length("value") > max_bytes,
-        "INVALID_UTF8": F.contains("value", F.lit("�")),
+        "INVALID_UTF8": ~F.is_valid_utf8("value"),
         "NOT_AN_OBJECT": ~F.coalesce(shape.startswith("OBJECT"), F.lit(False)),
     }
     found = F.filter(F.array(*[F.when(test, F.lit(name)) for name, test in checks.items()]), lambda x: x.isNotNull())
-    by_line = lines.select(F.explode(found).alias("rule_id"), F.col("file").alias("key"), F.left("value", F.lit(80)).alias("detail"))
+    by_line = lines.select(F.explode(found).alias("rule_id"), F.col("file").alias("key"), F.left(F.make_valid_utf8("value"), F.lit(80)).alias("detail"))
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length")
     large = files.filter(F.col("length") > limits.file_bytes).select(F.lit("FILE_TOO_LARGE").alias("rule_id"), F.col("file").alias("key"), F.col("length").cast("string").alias("detail"))
     sizes = files.join(lines.groupBy("file").count(), "file", "left")

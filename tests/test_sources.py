@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from findloom.operators import findings, ledger, rules
-from findloom.sources import code, jsonl
+from findloom.sources import code, jsonl, scratch
 from findloom.sources import ledger as files
 from findloom.sources import reports
 from findloom.streaming import attempts
@@ -104,6 +104,22 @@ def test_ledger_files(spark, tmp_path):
     assert states == {"s": (2, 1, "SUCCESS"), "t": (1, 0, "FAILED")}
 
 
+def test_utf8_is_judged_by_bytes(spark, tmp_path):
+    """A sound replacement character is no fault, broken bytes are one even where they stand in an object."""
+    (tmp_path / "u.jsonl").write_bytes('{"a": "\ufffd é"}\n'.encode() + b'{"a": "\xff\xe9"}\n')
+    got = [(r["rule_id"], r["detail"]) for r in jsonl.line_violations(spark, f"file://{tmp_path}/u.jsonl").collect()]
+    assert ("INVALID_UTF8", '{"a": "\ufffd\ufffd"}') in got and {d for _, d in got} == {'{"a": "\ufffd\ufffd"}'}
+
+
+def test_written_tables_are_released(spark):
+    first = scratch.written(spark.range(3), "kept")
+    assert first.count() == 3
+    path = scratch._NAMED[-1]
+    assert scratch.release(spark) >= 1 and scratch.release(spark) == 0
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    assert not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def test_rule_files(spark, tmp_path):
     put(tmp_path / "tree/python/a.yaml", "rules:\n- id: one # c\n  metadata:\n    category: security\n- id: 'two'\n  metadata:\n    category: \"style\"\n")
     put(tmp_path / "tree/go/b.yml", "rules:\n  - id: one\n    metadata: {}\n")
