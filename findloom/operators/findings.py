@@ -35,12 +35,12 @@ def keyed(findings: DataFrame) -> DataFrame:
 EXACT_KEY = (*SNAPSHOT, "scanner_n", "version_n", "rule_n", "ruleset_n", "path_n", "start_line", "end_line", "start_col", "end_col")
 
 
-def sort_key() -> Column:
+def sort_key(ref: str = "provenance.raw_result_ref") -> Column:
     """The order of findings. A missing column number comes before all others."""
     return F.struct(
         "repo_n", "commit_n", "path_n", "start_line", "end_line",
         F.coalesce("start_col", F.lit(-1)).alias("start_col"), F.coalesce("end_col", F.lit(-1)).alias("end_col"),
-        "scanner_n", "version_n", "rule_n", "finding_id", F.col("provenance.raw_result_ref").alias("ref"),
+        "scanner_n", "version_n", "rule_n", "finding_id", F.col(ref).alias("ref"),
     )
 
 

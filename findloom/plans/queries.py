@@ -148,7 +148,7 @@ clusters AS (
 @_query
 def a3_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters over all scanners, one row each."""
-    s = dedup.summaries(dedup.canonical(V.findings(spark, sf_dir)))
+    s = dedup.cluster_summaries(V.findings(spark, sf_dir))
     return s.select(
         "canonical_finding_id", "repo_url", "commit", "file", "start_line", "end_line", "member_count", "cluster_type", F.array_join("finding_ids", ",").alias("finding_ids"),
         F.array_join("scanners", ",").alias("scanners"), F.array_join("rule_ids", ",").alias("rule_ids"),
@@ -159,7 +159,7 @@ def a3_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def a5_dedup_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counters of deduplication over all scanners."""
-    return dedup.statistics(dedup.canonical(V.findings(spark, sf_dir)))
+    return dedup.cluster_statistics(V.findings(spark, sf_dir))
 
 
 @_query
