@@ -487,3 +487,14 @@ def test_spans_of_any_length_share_a_strip(spark):
     got = sorted((r["ia"], r["ib"]) for r in side("a").join(side("b"), ["level", "strip"]).filter(once & (F.col("loa") <= F.col("hib")) & (F.col("lob") <= F.col("hia"))).collect())
     assert got == [(i, j) for i, a in enumerate(spans) for j, b in enumerate(spans) if a[0] <= b[1] and b[0] <= a[1]]
     assert side("a").groupBy("ia").count().agg(F.max("count")).first()[0] <= 2 * (highest + 1)
+
+
+def test_clusters_of_groups_alone_are_those_of_canonical_findings(spark):
+    """Summaries and counters made of groups equal those made of findings with ids, also without any finding."""
+    rows = [finding("1", line=10), finding("1", line=10), finding("2", scanner="other", line=12), finding("3", scanner="third", line=11), finding("4", line=90), finding("5", id=None, line=95)]
+    plain = lambda df: sorted(map(repr, df.select(*sorted(df.columns)).collect()))
+    for some in (rows, []):
+        f = frame(spark, some)
+        whole = dedup.canonical(f)
+        assert plain(dedup.cluster_summaries(f)) == plain(dedup.summaries(whole))
+        assert plain(dedup.cluster_statistics(f)) == plain(dedup.statistics(whole))
