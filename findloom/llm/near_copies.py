@@ -1,4 +1,4 @@
-"""Near copies by similarity: five-word shingle sets whose Jaccard similarity is 0.8 or more."""
+"""What near copies are: five-word shingle sets whose Jaccard similarity is 0.8 or more, told by the sets themselves."""
 
 from __future__ import annotations
 
@@ -11,33 +11,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .graph import connected_components
 
 #: Ratio of the sizes of sets in one class.
 SIZE_STEP = 1.05
 #: Words of a shingle. Two sets are alike if ALIKE[0] * |union| <= ALIKE[1] * |intersection|.
 SHINGLE, ALIKE = 5, (4, 5)
-#: A pair at similarity 0.8 shares one band or more with a chance of 1 - (1 - 0.8 ** 5) ** 25 = 0.99995.
-BANDS, BAND_ROWS = 25, 5
-#: Of 128 bits, one of each least hash, a pair at 0.8 differs in 12.8 at the mean, with a deviation of 3.4.
-SKETCH, SKETCH_BUDGET = 128, 32
+#: Fingerprints whose bits are compared before the sets are. Of their 256 bits a pair
+#: at 0.8 differs in 39 at the mean with a deviation of 6, one without common shingles in 128.
+SKETCH, SKETCH_BUDGET = 4, 76
+#: Sets of as many shingles or fewer, whose bits tell less, are compared wherever they share a rare one.
+SMALL = 8
 #: Texts that a task holds as Python objects at once, words whose hashes it
 #: remembers, and texts that are compared with one other in a task.
 SLICE, WORDS, COMPARED = 64, 100_000, 256
 
-_RANDOM = np.random.default_rng(20_240_229)
-_TIMES = _RANDOM.integers(0, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_FLIP = _RANDOM.integers(0, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2)
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
+def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-class _Hashes(dict):
+class Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= WORDS:
             self.clear()
@@ -52,55 +49,13 @@ def shingles(text: bytes, hashes: dict[bytes, int] | None = None) -> np.ndarray:
         return np.empty(0, np.uint64)
     if len(words) < SHINGLE:
         return np.array([xxhash.xxh64_intdigest(b" ".join(words), 1)], np.uint64)
-    hashes = _Hashes() if hashes is None else hashes
+    hashes = Hashes() if hashes is None else hashes
     w = np.fromiter((hashes[x] for x in words), np.uint64, len(words))
     m = len(w) - SHINGLE + 1
     h = w[:m].copy()
     for k in range(1, SHINGLE):
-        h = h * _STEP + w[k : m + k]
-    return np.unique(_mixed(h))
-
-
-def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Of each set, none of them empty: BANDS band keys, and SKETCH bits as two words."""
-    flat, starts = np.concatenate(sets), np.cumsum([0, *map(len, sets[:-1])])
-    least = np.empty((SKETCH, len(sets)), np.uint64)
-    for j in range(SKETCH):
-        least[j] = np.minimum.reduceat((flat ^ _FLIP[j]) * _TIMES[j], starts)
-    least = _mixed(least)
-    rows = least[: BANDS * BAND_ROWS].reshape(BANDS, BAND_ROWS, len(sets))
-    keys = np.repeat(np.arange(BANDS, dtype=np.uint64)[:, None], len(sets), axis=1)
-    for k in range(BAND_ROWS):
-        keys = _mixed(keys * _STEP + rows[:, k])
-    bits = np.packbits((least & np.uint64(1)).astype(np.uint8).T, axis=1, bitorder="little")
-    return np.ascontiguousarray(keys.T), np.ascontiguousarray(bits).view("<u8")
-
-
-_SCHEMA = "doc_id long, same long, node long, second long, n int, s0 long, s1 long, bands array<long>"
-
-
-def _lists(parts: list[np.ndarray]) -> pa.ListArray:
-    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).view(np.int64)))
-
-
-def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = _Hashes()
-    for b in batches:
-        for lo in range(0, b.num_rows, SLICE):
-            part = b.slice(lo, SLICE)
-            sets = [shingles(t or b"", hashes) for t in part.column(2).to_pylist()]
-            nodes = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64)
-            second = np.array([xxhash.xxh3_64_intdigest(s.tobytes(), 1) for s in sets], np.uint64)
-            full = [k for k, s in enumerate(sets) if len(s)]
-            bands, bits = [np.empty(0, np.uint64)] * len(sets), np.zeros((len(sets), 2), np.uint64)
-            if full:
-                keys, bits[full] = signatures([sets[k] for k in full])
-                for k, row in zip(full, keys, strict=True):
-                    bands[k] = row
-            columns = [part.column(0), part.column(1), pa.array(nodes.view(np.int64)), pa.array(second.view(np.int64)), pa.array(np.array([len(s) for s in sets], np.int32))]
-            columns += [pa.array(np.ascontiguousarray(bits[:, k]).view(np.int64)) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*columns, _lists(bands)], [c.split()[0] for c in _SCHEMA.split(", ")])
+        h = h * STEP + w[k : m + k]
+    return np.unique(mixed(h))
 
 
 def same_text(text_col: str) -> Column:
@@ -108,16 +63,21 @@ def same_text(text_col: str) -> Column:
     return F.xxhash64(F.col(text_col).cast("string"))
 
 
-def _may_be_alike(a: str, b: str) -> Column:
-    """Whether sizes and sketches leave it open that two sets are alike."""
+def sketch_of(n: str, prints: str) -> Column:
+    """What ``may_be_alike`` reads of a set: its size and first fingerprints."""
+    return F.struct(F.col(n).alias("n"), *[F.get(prints, F.lit(k)).alias(f"s{k}") for k in range(SKETCH)])
+
+
+def may_be_alike(a: str, b: str) -> Column:
+    """Whether sizes and fingerprints leave it open that two sets are alike."""
     sizes = ALIKE[0] * F.greatest(f"{a}.n", f"{b}.n") <= ALIKE[1] * F.least(f"{a}.n", f"{b}.n")
-    apart = sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in ("s0", "s1")), F.lit(0))
-    return sizes & (apart <= SKETCH_BUDGET)
+    apart = sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in (f"s{k}" for k in range(SKETCH))), F.lit(0))
+    return sizes & ((apart <= SKETCH_BUDGET) | (F.greatest(f"{a}.n", f"{b}.n") <= SMALL))
 
 
 def _compared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (a, part, b, t) in order of a and part, the text of ``a`` itself first, with a null ``b``: the pairs that are alike."""
-    hashes, own, whose = _Hashes(), np.empty(0, np.uint64), None
+    hashes, own, whose = Hashes(), np.empty(0, np.uint64), None
     for batch in batches:
         for lo in range(0, batch.num_rows, SLICE):
             found: list[tuple[int, int]] = []
@@ -133,7 +93,7 @@ def _compared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
 
 
-def _alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose sets are alike, by the sets themselves.
 
     A text that is compared with many is sent to as many tasks as their number
@@ -149,7 +109,7 @@ def _alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return materialize(rows.mapInArrow(_compared_rows, "a long, b long"), "alike")
 
 
-def _once_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def once_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (node, t) without those that repeat a node of this task."""
     seen: set[int] = set()
     for b in batches:
@@ -162,7 +122,7 @@ def _once_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (node, n, gram) of rows (node, t): the shingles of each text and their number."""
-    hashes = _Hashes()
+    hashes = Hashes()
     for b in batches:
         for lo in range(0, b.num_rows, SLICE):
             part = b.slice(lo, SLICE)
@@ -178,7 +138,7 @@ def _overlap(a: Column, b: Column) -> Column:
     return F.ceil((a + b) * ALIKE[0] / (ALIKE[0] + ALIKE[1]))
 
 
-def _sharing_rare(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+def sharing_rare(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) of rows (node, of, c) that may be alike, of different ``c``.
 
     Of two alike sets, ordered from their rarest shingle on, so many must agree
@@ -203,63 +163,5 @@ def _sharing_rare(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     long = partner.select("node", "n", "of", "c", "k", F.explode(F.slice("g", F.lit(1), begin(_overlap(smallest, n)))).alias("gram"))
     x, y = [side.select("k", "gram", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "of", "c")]) for side, s in ((short, "x"), (long, "y"))]
     ordered = F.struct("n_x", "node_x") < F.struct("n_y", "node_y")
-    pairs = x.join(y, ["k", "gram"]).filter(ordered & (F.col("c_x") != F.col("c_y")) & _may_be_alike("of_x", "of_y"))
+    pairs = x.join(y, ["k", "gram"]).filter(ordered & (F.col("c_x") != F.col("c_y")) & may_be_alike("of_x", "of_y"))
     return pairs.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
-
-
-def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, same, rows) of the document of smallest id of each component
-    of near copies, with the number of rows that repeat it.
-
-    Texts are lowered and split into words at white space; two are linked if
-    their shingle sets are alike, or if both have no words. Rows with a null id
-    are not looked at. ``same`` is that of ``same_text``.
-
-    Sets that share a band are candidates. First each is compared with the one
-    of its band that shares most bands with others, as the text does that a
-    family's others are made of; this joins a large group by few pairs;
-    then those that are still apart are compared where they share one of their
-    rarest shingles. The texts of
-    candidates alone are shuffled, once for all comparisons.
-    """
-    named = docs.filter(F.col(id_col).isNotNull())
-    read = named.select(F.col(id_col).cast("long").alias("doc_id"), same_text(text_col).alias("same"), F.col(text_col).cast("binary").alias("t"))
-    rows = materialize(read.mapInArrow(_set_rows, _SCHEMA), "signatures")
-    firsts = [F.first(c).alias(c) for c in ("n", "s0", "s1", "bands")]
-    told = [F.min("second").alias("least"), F.max("second").alias("most")]
-    nodes_of = lambda rows: materialize(rows.groupBy("node").agg(F.min(F.struct("doc_id", "same")).alias("first"), *firsts, *told), "nodes")
-    nodes = nodes_of(rows)
-    # Different sets of one 64-bit hash, about three of 10^10, are told apart by a second one.
-    shared = [row[0] for row in nodes.filter("least <> most").select("node").collect()]
-    if shared:
-        rows = materialize(rows.withColumn("node", F.when(F.col("node").isin(shared), F.xxhash64("node", "second")).otherwise(F.col("node"))), "signatures")
-        nodes = nodes_of(rows)
-    entries = nodes.select(F.explode("bands").alias("band"), "node", F.struct("n", "s0", "s1").alias("of"))
-    counts = entries.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1")
-    shared = materialize(entries.join(counts, "band"), "bands")
-    # The text of a family that the others are made of shares more bands than they do.
-    met = materialize(shared.groupBy("node").agg(F.sum("members").alias("met")), "met")
-    ranked = materialize(shared.join(met, "node").select("band", "node", "of", "met"), "ranked")
-    centers = ranked.groupBy("band").agg(F.max(F.struct("met", "node")).alias("most")).select("band", F.col("most.node").alias("center"))
-    shared = materialize(ranked.drop("met").join(centers, "band"), "around")
-    others = shared.filter("node != center")
-    needed = shared.select("node").distinct().join(nodes.select("node", "first"), "node").select("first.doc_id", "first.same", "node")
-    held = read.join(needed.hint("shuffle_hash"), ["doc_id", "same"]).select("node", "t")
-    texts = materialize(held.mapInArrow(_once_rows, "node long, t binary"), "texts")
-    known = nodes.select(F.col("node").alias("center"), F.struct("n", "s0", "s1").alias("of_center"))
-    pairs = others.groupBy("center", "node").agg(F.first("of").alias("of")).join(known, "center")
-    links = _alike(pairs.filter(_may_be_alike("of_center", "of")).select(F.col("center").alias("a"), F.col("node").alias("b")), texts)
-    found = connected_components(links)
-    at = materialize(
-        others.join(found.withColumnRenamed("component", "c"), "node", "left").select("band", "node", "of", F.coalesce("c", "node").alias("c")),
-        "apart",
-    )
-    mixed = at.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low != high").select("band")
-    at = materialize(at.join(mixed, "band", "left_semi"), "mixed")
-    left = materialize(at.select("node", "of", "c").distinct(), "left")
-    more = _alike(_sharing_rare(left, texts), texts)
-    if not more.isEmpty():
-        found = connected_components(links.unionByName(more))
-    whole = nodes.select("node", "first").join(found, "node", "left").groupBy(F.coalesce("component", "node").alias("c")).agg(F.min("first").alias("first"))
-    repeated = rows.groupBy("doc_id", "same").agg(F.count("*").alias("rows"))
-    return materialize(whole.select("first.doc_id", "first.same").join(repeated, ["doc_id", "same"]), "kept")

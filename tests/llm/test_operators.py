@@ -122,6 +122,63 @@ def test_near_copies_against_all_pairs(spark):
     assert kept == sorted(set(components(len(texts), linked)))
 
 
+@pytest.mark.parametrize("limit,hub", [(50_000, 1_000), (50_000, 10), (30, 10)])
+def test_trie_cells_join_every_link_of_a_block(spark, monkeypatch, limit, hub):
+    monkeypatch.setattr(simhash, "SUBTRIE_ROWS", limit)
+    monkeypatch.setattr(simhash, "HUB_ROWS", hub)
+    monkeypatch.setattr(simhash, "LEADERS", 2)
+    monkeypatch.setattr(simhash, "ONE_IN", 1)
+    rng = random.Random(7)
+    flip = lambda x, share: x ^ sum(1 << b for b in range(64) if rng.random() < share)
+    rows = [[rng.getrandbits(64) for _ in range(2)] for _ in range(20)]
+    rows += [[flip(x, share) for x in base] for base in rows[:3] for share in (0.03, 0.1, 0.2) for _ in range(20)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    df = spark.createDataFrame([([signed(x) for x in row], i) for i, row in enumerate(rows)], "prints array<long>, rep long")
+    met = defaultdict(set)
+    for r in simhash.trie_cells(df).collect():
+        met[r["cell"]].add(r["rep"])
+    assert all(len(reps) > 1 for reps in met.values())
+    together = {pair for reps in met.values() for pair in combinations(sorted(reps), 2)}
+    linked, near = set(), defaultdict(list)
+    for i, j in combinations(range(len(rows)), 2):
+        for k in range(2):
+            x = rows[i][k] ^ rows[j][k]
+            for block in range(4):
+                if x.bit_count() <= simhash.NEAR_BUDGET and not x >> 16 * block & 0xFFFF:
+                    linked.add((i, j))
+                    near[k, block].append((i, j))
+    assert len(linked) > 300 and linked <= together
+    if limit > 30:  # an undivided subtrie has whole components, and nothing else is in its cells
+        want = set()
+        for pairs in near.values():
+            label = components(len(rows), pairs)
+            want |= {(i, j) for i, j in combinations(range(len(rows)), 2) if label[i] == label[j]}
+        assert together == want
+
+
+def test_near_copies_come_by_fingerprints_and_trie(spark, monkeypatch):
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(3000)}" for _ in range(200)]
+    texts = [" ".join(words), " ".join([*words[:100], "x", *words[101:]]), "q w e r t y u i", "q w e r t y u i o"]
+    assert [r["doc_id"] for r in simhash.keep_one_of_each(docs_of(spark, texts)).orderBy("doc_id").collect()] == [0, 2]
+    found = simhash.trie_cells
+    monkeypatch.setattr(simhash, "trie_cells", lambda prints: found(prints).limit(0))
+    assert [r["doc_id"] for r in simhash.keep_one_of_each(docs_of(spark, texts)).orderBy("doc_id").collect()] == [0, 1, 2]
+
+
+def test_fingerprints_miss_few_near_copies():
+    rng = np.random.default_rng(9)
+    missed = 0
+    for common, own in ((5, (0, 1)), (16, (2, 2)), (80, (10, 10)), (80, (0, 20)), (400, (50, 50))):
+        sets = [rng.integers(0, 1 << 63, common + sum(own), dtype=np.uint64) * np.uint64(2) for _ in range(1000)]
+        sets = [s ^ (s >> np.uint64(31)) for s in sets]
+        a = simhash.fingerprints([s[: common + own[0]] for s in sets])
+        x = a ^ simhash.fingerprints([np.concatenate((s[:common], s[common + own[0] :])) for s in sets])
+        agree = sum((x >> np.uint64(16 * r)) & np.uint64(0xFFFF) == 0 for r in range(4))
+        missed += int((np.sum(agree * (np.bitwise_count(x) <= simhash.NEAR_BUDGET), axis=1) == 0).sum())
+    assert missed <= 3
+
+
 def test_near_copies_of_one_id_with_other_texts(spark):
     texts = ["a b c d e f", "g h i j k l", "a b c d e f", "m n o p q r"]
     rows = spark.createDataFrame(list(zip([1, 1, 2, None], texts, strict=True)), "doc_id long, text string")
