@@ -349,6 +349,19 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _SET_SCHEMA.split(", ")])
 
 
+def _still_apart(at: DataFrame) -> DataFrame:
+    """Rows (node, c), each once, of rows (cell, node, c): the members of each component ``c`` that shares a cell with another.
+
+    A text is in up to 136 cells, and most of a family is one component soon,
+    so cells are held against each other by components and not by members.
+    """
+    met = materialize(at.select("cell", "c").distinct(), "met")
+    mixed = met.groupBy("cell").agg(F.count("*").alias("components")).filter("components > 1").select("cell")
+    apart = met.join(mixed, "cell", "left_semi").select("c").distinct()
+    members = materialize(at.select("node", "c").distinct(), "members")
+    return members.join(apart, "c", "left_semi").select("node", "c")
+
+
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, same, rows) of the document of smallest id of each component
     of near copies, with the number of rows that repeat it.
@@ -396,8 +409,7 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = connected_components(links)
     found = found.select("node", F.col("component").alias("c"))
     at = materialize(others.select("cell", "node").join(found, "node", "left").select("cell", "node", F.coalesce("c", "node").alias("c")), "apart")
-    mixed = at.groupBy("cell").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low != high").select("cell")
-    left = at.join(mixed, "cell", "left_semi").select("node", "c").union(small.join(found, "node", "left").select("node", F.coalesce("c", "node")))
+    left = _still_apart(at).union(small.join(found, "node", "left").select("node", F.coalesce("c", "node")))
     left = materialize(left.distinct().join(known, "node"), "left")
     more = near_copies.alike(near_copies.sharing_rare(left, texts), texts)
     if not more.isEmpty():

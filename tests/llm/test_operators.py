@@ -179,6 +179,42 @@ def test_fingerprints_miss_few_near_copies():
     assert missed <= 3
 
 
+def semi_join_rows(spark, run):
+    """The most rows that a left semi join of ``run`` makes."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    run()
+    made = [0]
+    executions = store.executionsList(before, 10_000)
+    for execution in map(executions.apply, range(executions.size())):
+        values, nodes = store.executionMetrics(execution.executionId()), store.planGraph(execution.executionId()).allNodes()
+        for node in map(nodes.apply, range(nodes.size())):
+            if "Join" in node.name() and "LeftSemi" in node.desc():
+                metrics = map(node.metrics().apply, range(node.metrics().size()))
+                told = [values.get(m.accumulatorId()) for m in metrics if m.name() == "number of output rows"]
+                made += [int(x.get().replace(",", "")) for x in told if x.isDefined()]
+    return max(made)
+
+
+def test_cells_of_a_family_are_joined_by_components(spark):
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(3000)}" for _ in range(200)]
+    texts = []
+    for edits in [0] + [1] * 150 + [5] * 6:
+        copy = list(base)
+        for k in rng.sample(range(5, 195), edits):
+            copy[k] = f"w{rng.randrange(3000)}"
+        texts.append(" ".join(copy))
+    sets = [slow_shingles(t) for t in texts]
+    alike = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
+    linked = [(i, j) for i in range(len(texts)) for j in range(i) if alike(sets[i], sets[j])]
+    kept = []
+    rows = semi_join_rows(spark, lambda: kept.extend(simhash.keep_one_of_each(docs_of(spark, texts)).collect()))
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(components(len(texts), linked)))
+    assert len(kept) > 1
+    assert 0 < rows < 20 * len(texts)  # it was 4,868 by members
+
+
 def test_near_copies_of_one_id_with_other_texts(spark):
     texts = ["a b c d e f", "g h i j k l", "a b c d e f", "m n o p q r"]
     rows = spark.createDataFrame(list(zip([1, 1, 2, None], texts, strict=True)), "doc_id long, text string")
