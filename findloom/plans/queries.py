@@ -1019,13 +1019,17 @@ SELECT count(*) AS jobs, count(*) FILTER (done) AS done, count(*) FILTER (NOT do
 
 
 def _reports_of_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw errors and scanned paths of successful jobs, made of their events."""
+    """Raw errors and scanned paths of successful jobs, made of their events in order.
+
+    An error is known by its number in its report, which several steps make anew.
+    """
     a = V.flat(spark, sf_dir, "attempts")
     k = F.get_json_object("props", "$.k")
     kind = F.when(F.col("event_id") % 3 == 0, '["PartialParsing","x"]').otherwise('"Timeout"')
     error = F.concat(F.lit('{"type":'), kind, F.lit(',"path":"./src\\\\m'), k, F.lit('.py","level":"warn"}'))
+    in_order = lambda test, value: F.transform(F.array_sort(F.collect_list(F.when(test, F.struct("event_id", value.alias("value"))))), lambda x: x["value"])
     return a.groupBy(F.col("repo").alias("repo_url"), F.lit("c").alias("commit"), "scanner").agg(
-        F.collect_list(F.when(F.col("event_id") % 5 == 0, error)).alias("errors"), F.collect_list(F.when(F.col("event_id") % 5 != 0, F.concat(F.lit("src/M"), k, F.lit(".py")))).alias("scanned")
+        in_order(F.col("event_id") % 5 == 0, error).alias("errors"), in_order(F.col("event_id") % 5 != 0, F.concat(F.lit("src/M"), k, F.lit(".py"))).alias("scanned")
     )
 
 

@@ -22,3 +22,13 @@ def test_query(spark, con, name):
     else:
         assert oracle.compare(spark, con, query, sql, SF)[1] == ""
     spark.catalog.clearCache()
+
+
+def test_reports_do_not_depend_on_the_order_of_events(spark, tmp_path):
+    """An error keeps its number whatever order its events come in, as steps join on it."""
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    got = []
+    for k, order in enumerate((events["event_id"].asc(), events["event_id"].desc())):
+        events.repartition(8, "user_id").sortWithinPartitions(order).write.parquet(f"{tmp_path}/{k}/events.parquet")
+        got.append(sorted(map(tuple, own._reports_of_jobs(spark, f"{tmp_path}/{k}").select("repo_url", "scanner", "errors", "scanned").collect())))
+    assert got[0] == got[1] and got[0]
