@@ -172,7 +172,7 @@ def c1_canonical_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def a2_exact_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters of exact duplicates alone, without any merging over scanners."""
-    s = dedup.summaries(dedup.canonical(V.findings(spark, sf_dir), cross_tool=False))
+    s = dedup.cluster_summaries(V.findings(spark, sf_dir), cross_tool=False)
     return s.select(
         "repo_url", "commit", "file", "start_line", "end_line", "member_count", "cluster_type", F.array_join("finding_ids", ",").alias("finding_ids"),
         F.array_join("scanners", ",").alias("scanners"), F.array_join("rule_ids", ",").alias("rule_ids"),
@@ -191,7 +191,7 @@ FROM (SELECT {_KEY}, rule_id, {_ID} AS id FROM findings) GROUP BY {_KEYS}""")
 @_query
 def j6_cross_tool_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of groups of different scanners that describe one place, by file."""
-    p = dedup.cross_tool_pairs(dedup.exact_groups(V.findings(spark, sf_dir)))
+    p = dedup.pairs_of_findings(V.findings(spark, sf_dir))
     cols = lambda s: [F.col(f"k{s}.start_line").alias(f"start_{s}"), F.col(f"k{s}.scanner_n").alias(f"scanner_{s}"), F.col(f"k{s}.rule_n").alias(f"rule_{s}")]
     return p.select(F.col("repo_n").alias("repo"), F.col("path_n").alias("file"), *cols("a"), *cols("b"))
 
